@@ -15,7 +15,7 @@ def store(uri: str):
 def create(uri: str):
     files, path = store(uri)
     files.create_dir(posixpath.dirname(path), recursive=True)
-    return files.open_output_stream(path)
+    return files.open_output_stream(path, compression=None)  # a name ending in .zst would be compressed again
 
 
 def open_input(uri: str):
