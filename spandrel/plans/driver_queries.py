@@ -1,4 +1,448 @@
-"""Queries of the engine on the driver's tables."""
+"""Queries of the engine on the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import evals, graph, relational, search, spatial
+from ..operators.request import Field, Filter, Request
+from ..streaming import windows
+from . import router
+from . import views as v
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _at(part: str) -> str:
+    return f"{v.ELEMENTS} e WHERE {part}"
+
+
+# Relational requests
+
+
+@query(f"SELECT count(DISTINCT (dataset, express_id)) AS count FROM {_at("ifc_class = 'IfcStandard' AND level_key = 'level 2'")}")
+def count_class_level(s, d):
+    return relational.count(v.tables(s, d), Request("count", "standard", "floor 2"))
+
+
+@query(f"SELECT DISTINCT dataset, express_id, global_id, ifc_class, predefined_type, name, level FROM {_at("ifc_class = 'IfcPromo'")} ORDER BY name NULLS FIRST, ifc_class, global_id, express_id LIMIT 50")
+def list_elements(s, d):
+    return relational.listing(v.tables(s, d), Request("list", "promo", limit=50))
+
+
+_QTY = "SELECT {how} AS value, count(*) AS matched_count, 0::BIGINT AS missing_count FROM part WHERE {where}"
+
+
+def _rounded(df):
+    return df.select(F.round("value", 4).alias("value"), "matched_count", "missing_count")
+
+
+@query("SELECT round(sum(p_retailprice), 4) AS value, count(*) AS matched_count, 0::BIGINT AS missing_count FROM part WHERE p_type = 'SMALL'")
+def agg_sum_quantity(s, d):
+    return _rounded(relational.aggregate(v.tables(s, d), Request("aggregate", "small", aggregate_op="sum", aggregate_field=Field("quantity", "Qto_Part.NetPrice"))))
+
+
+@query("SELECT round(avg(p_size), 4) AS value, count(*) AS matched_count, (SELECT count(*) FROM supplier) AS missing_count FROM part")
+def agg_avg_property(s, d):
+    return _rounded(relational.aggregate(v.tables(s, d), Request("aggregate", aggregate_op="avg", aggregate_field=Field("property", "Size"))))
+
+
+@query("SELECT 'min' AS op, min(p_retailprice) AS value FROM part WHERE p_size % 5 = 3 UNION ALL SELECT 'max', max(p_retailprice) FROM part WHERE p_size % 5 = 3")
+def agg_min_max(s, d):
+    t = v.tables(s, d)
+    one = lambda op: relational.aggregate(t, Request("aggregate", level="Level 03", aggregate_op=op, aggregate_field=Field("quantity", "NetPrice"))).select(F.lit(op).alias("op"), "value")
+    return one("min").unionByName(one("max"))
+
+
+@query(f"SELECT ifc_class AS value, count(DISTINCT (dataset, express_id)) AS count FROM {v.ELEMENTS} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def group_by_element(s, d):
+    return relational.group(v.tables(s, d), Request("group", group_by=Field("element", "ifc_class")))
+
+
+@query("SELECT p_brand AS value, count(*) AS count FROM part WHERE p_type = 'MEDIUM' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def group_by_property(s, d):
+    return relational.group(v.tables(s, d), Request("group", "Medium", group_by=Field("property", "Pset_Part.Brand")))
+
+
+@query("SELECT count(*) AS count FROM part WHERE p_brand = 'Brand#12'")
+def filter_property_exists(s, d):
+    return relational.count(v.tables(s, d), Request("count", filters=(Filter("property", "Pset_Part.Brand", "eq", "Brand#12"),)))
+
+
+@query("SELECT count(*) AS count FROM part WHERE p_retailprice >= 950 AND p_size < 20")
+def filter_quantity_exists(s, d):
+    return relational.count(v.tables(s, d), Request("count", filters=(Filter("quantity", "NetPrice", "gte", 950), Filter("quantity", "Qto_Part.NetSize", "lt", 20))))
+
+
+@query("SELECT p_name AS name, count(*) AS n FROM part WHERE list_contains(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+'), 'red') GROUP BY 1")
+def text_token_match(s, d):
+    return relational.scope(v.tables(s, d), Request("list", text_match="Red")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'named' AS kind, count(*) AS n FROM part WHERE p_name ILIKE '%bolt%' UNION ALL SELECT 'suppliers', 0::BIGINT UNION ALL SELECT 'by_class', count(*) FROM supplier WHERE s_name ILIKE '%supplier%'")
+def type_row_exclusion(s, d):
+    t = v.tables(s, d)
+    n = lambda kind, r: relational.scope(t, r).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+    name = lambda p: (Filter("element", "name", "like", p),)
+    return n("named", Request("count", filters=name("%Bolt%"))).unionByName(n("suppliers", Request("count", filters=name("%SUPPLIER%")))).unionByName(n("by_class", Request("count", "SupplierType", filters=name("%supplier%"))))
+
+
+@query("""SELECT user_id AS express_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS number FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
+def first_value_window(s, d):
+    return relational.first_values(v.tables(s, d), Field("property", "K")).select("express_id", "number")
+
+
+@query(f"SELECT dataset, count(*) AS n, round(avg(express_id), 6) AS mean_id, min(name) AS first_name FROM {v.ELEMENTS} GROUP BY 1 UNION ALL SELECT 'all', count(*), round(avg(express_id), 6), min(name) FROM {v.ELEMENTS}")
+def multi_dataset_merge(s, d):
+    e = v.elements(s, d)
+    figures = (F.count("*").alias("n"), F.round(F.avg("express_id"), 6).alias("mean_id"), F.min("name").alias("first_name"))
+    return e.groupBy("dataset").agg(*figures).unionByName(e.agg(F.lit("all").alias("dataset"), *figures))
+
+
+_KEYS = """SELECT k AS key, count(DISTINCT e) AS n_elements FROM (SELECT unnest(['Brand', 'Size', 'Price', 'Pset_Part.Brand', 'Pset_Part.Size', 'Pset_Part.Price', 'NetPrice', 'NetSize', 'Qto_Part.NetPrice', 'Qto_Part.NetSize']) AS k,
+ p_partkey AS e FROM part UNION ALL SELECT unnest(['K', 'Custom_Events.K']), user_id FROM events) GROUP BY 1"""
+
+
+@query(_KEYS)
+def attribute_keys(s, d):
+    return relational.attribute_keys(v.tables(s, d)).select("key", "n_elements")
+
+
+@query("SELECT 'level ' || p_size AS level_key, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'ground floor', count(*) FROM part UNION ALL SELECT 'basement ' || s_nationkey, count(*) FROM supplier GROUP BY 1")
+def canonical_levels(s, d):
+    size = F.col("p_size").cast("string")
+    part = v.table(s, d, "part")
+    raw = part.select(F.concat(F.lit("  Floor_0"), size).alias("raw")).unionByName(part.select(F.concat(F.lit("GROUND-Level / "), size).alias("raw")))
+    raw = raw.unionByName(v.table(s, d, "supplier").select(F.concat(F.lit("Basement.00"), F.col("s_nationkey").cast("string")).alias("raw")))
+    return raw.groupBy(tx.level_key(F.col("raw")).alias("level_key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS element_id, 'Brand' AS property_name, 'json:\"' || p_brand || '\"' AS value FROM part UNION ALL SELECT p_partkey, 'Size', 'json:' || p_size FROM part")
+def eav_unpivot(s, d):
+    return v.tables(s, d).properties.where(F.col("property_name").isin("Brand", "Size")).select("element_id", "property_name", "value")
+
+
+@query("SELECT CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS prefix, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 0.0, count(*) FROM customer")
+def numeric_prefixes(s, d):
+    both = v.table(s, d, "orders").select(F.col("o_orderpriority").alias("t")).unionAll(v.table(s, d, "customer").select("c_name"))
+    return both.groupBy(tx.numeric_prefix(F.col("t")).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM part) AS matched_count, (SELECT count(*) FROM supplier) AS missing_count")
+def field_coverage(s, d):
+    return relational.coverage(v.tables(s, d), Request("count"), Field("element", "type_name"))
+
+
+@query("SELECT p_partkey AS element_id, 'Brand=' || p_brand || ';Size=' || p_size AS attributes FROM part")
+def element_properties(s, d):
+    p = v.tables(s, d).properties.where(F.col("property_name").isin("Brand", "Size"))
+    text, number = relational.decoded(F.col("value"))
+    shown = F.concat_ws("=", "property_name", F.coalesce(text, number.cast("long").cast("string")))
+    return p.groupBy("element_id").agg(F.array_join(F.array_sort(F.collect_list(shown)), ";").alias("attributes"))
+
+
+@query(f"SELECT s AS supplier, count(*) AS n, round(sum(p_retailprice), 4) AS total, min(p_retailprice) AS least, max(p_retailprice) AS most FROM {v.LINKS} JOIN part ON p = 'P' || p_partkey GROUP BY 1")
+def aggregate_id_sets(s, d):
+    prices = v.table(s, d, "part").select(v.key("P", "p_partkey").alias("src"), "p_retailprice")
+    price = F.col("p_retailprice")
+    return v.connections(s, d).join(prices, "src").groupBy(F.col("dst").alias("supplier")).agg(F.count("*").alias("n"), F.round(F.sum(price), 4).alias("total"), F.min(price).alias("least"), F.max(price).alias("most"))
+
+
+@query(f"SELECT p_brand AS value, count(DISTINCT p) AS count FROM {v.LINKS} JOIN part ON p = 'P' || p_partkey JOIN supplier ON s = 'S' || s_suppkey WHERE s_acctbal > 5000 GROUP BY 1")
+def group_id_set(s, d):
+    pumps = v.table(s, d, "supplier").where("s_acctbal > 5000").select(v.key("S", "s_suppkey").alias("dst"))
+    ids = v.connections(s, d).join(pumps, "dst", "left_semi").select("src").distinct()
+    brands = v.table(s, d, "part").select(v.key("P", "p_partkey").alias("src"), "p_brand")
+    return ids.join(brands, "src").groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("count"))
+
+
+@query("SELECT p_partkey AS express_id, p_name AS name, p_size AS size, (SELECT count(*) FROM part WHERE p_size > 45) AS total_found FROM part WHERE p_size > 45 ORDER BY p_name, p_partkey LIMIT 25")
+def find_nodes_bounded(s, d):
+    hits = v.table(s, d, "part").where("p_size > 45").select(F.col("p_partkey").alias("express_id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    return relational.bounded(hits, [F.asc("name"), F.asc("express_id")], 25).select("express_id", "name", "size", "total_found")
+
+
+# Graph
+
+
+@query("SELECT 'R' || n_regionkey AS seed, 'O' || o_orderkey AS id, 3 AS depth FROM nation JOIN customer ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey")
+def containment_descendants(s, d):
+    seeds = v.table(s, d, "region").select(v.key("R", "r_regionkey").alias("id"))
+    return graph.elements_below(v.nodes(s, d), v.hierarchy(s, d), seeds).select("seed", "id", "depth")
+
+
+@query("SELECT 'O' || o_orderkey AS seed, 'N' || c_nationkey AS id FROM orders JOIN customer ON o_custkey = c_custkey")
+def ancestor_container(s, d):
+    seeds = v.table(s, d, "orders").select(v.key("O", "o_orderkey").alias("id"))
+    return graph.container_of(v.nodes(s, d), v.hierarchy(s, d), seeds, "IfcBuilding")
+
+
+@query("SELECT 'O' || a.o_orderkey AS seed, 'O' || b.o_orderkey AS id FROM orders a JOIN orders b USING (o_custkey) WHERE a.o_orderstatus = 'P' AND a.o_orderkey <> b.o_orderkey")
+def same_storey(s, d):
+    seeds = v.nodes(s, d).where("class_ = 'IfcBeam'").select("id")
+    return graph.same_container(v.nodes(s, d), v.hierarchy(s, d), seeds)
+
+
+@query("""SELECT 'R' || n_regionkey AS seed, 'R' || n_regionkey AS from_id, 'N' || n_nationkey AS to_id, 'contains' AS relation, 1 AS depth FROM nation
+ UNION ALL SELECT 'R' || n_regionkey, 'N' || n_nationkey, 'C' || c_custkey, 'contains', 2 FROM nation JOIN customer ON n_nationkey = c_nationkey""")
+def traverse_depth2(s, d):
+    seeds = v.table(s, d, "region").select(v.key("R", "r_regionkey").alias("id"))
+    return graph.traverse(v.hierarchy(s, d), seeds, 2, ("contains",))
+
+
+_HOPS = f"""WITH l AS {v.LINKS}, a AS (SELECT DISTINCT p FROM l WHERE s = 'S0'), b AS (SELECT DISTINCT s FROM l JOIN a USING (p) WHERE s <> 'S0'), c AS (SELECT DISTINCT p FROM l JOIN b USING (s) WHERE p NOT IN (SELECT p FROM a))
+ SELECT p AS id, 1 AS depth FROM a UNION ALL SELECT s, 2 FROM b UNION ALL SELECT p, 3 FROM c"""
+
+
+@query(_HOPS)
+def network_trace(s, d):
+    return graph.trace(v.connections(s, d), s.createDataFrame([("S0",)], "id string"), 3).select("id", "depth")
+
+
+@query(f"WITH l AS {v.LINKS} SELECT CASE WHEN EXISTS (SELECT 1 FROM l x JOIN l y USING (p) WHERE x.s = 'S0' AND y.s = 'S1') THEN 2 ELSE 4 END::BIGINT AS hops")
+def shortest_hops(s, d):
+    return graph.shortest_path(v.connections(s, d), "S0", "S1").agg(F.count("*").alias("hops"))
+
+
+@query("SELECT 'N' || n_nationkey AS id FROM nation WHERE n_nationkey % 10 <> 1 UNION ALL SELECT 'C' || c_custkey FROM customer WHERE c_nationkey % 10 <> 1 UNION ALL SELECT 'O' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 10 <> 1")
+def container_excluding(s, d):
+    containers = v.table(s, d, "region").select(v.key("R", "r_regionkey").alias("id"))
+    out = v.table(s, d, "nation").where(F.col("n_nationkey") % 10 == 1).select(v.key("N", "n_nationkey").alias("id"))
+    return graph.excluding(v.hierarchy(s, d), containers, out)
+
+
+@query(f"SELECT s AS anchor, p AS id, 'ifc_connected_to' AS relation FROM {v.LINKS}")
+def neighbors_both_ways(s, d):
+    anchors = v.table(s, d, "supplier").select(v.key("S", "s_suppkey").alias("id"))
+    return graph.neighbours(v.connections(s, d), anchors, "ifc_connected_to")
+
+
+@query(f"SELECT p AS id, count(*) AS matched_anchors, min(s) AS first_anchor FROM {v.LINKS} GROUP BY 1")
+def relation_union(s, d):
+    anchors = v.table(s, d, "supplier").select(v.key("S", "s_suppkey").alias("id"))
+    return graph.related(v.connections(s, d), anchors, "ifc_connected_to")
+
+
+@query("SELECT 'O' || o_orderkey AS id, 1 AS score, o_orderpriority AS label FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%'")
+def classification_match(s, d):
+    return graph.by_classification(v.nodes(s, d), v.edges(s, d), "Urgent").select("id", "score", F.col("labels")[0].alias("label"))
+
+
+_BOUNDS = "SELECT DISTINCT l_partkey AS element, s_nationkey AS space FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity >= 49"
+
+
+@query(f"WITH b AS ({_BOUNDS}) SELECT x.space AS src, y.space AS dst, count(*) AS n_shared, min(x.element) AS first_shared FROM b x JOIN b y USING (element) WHERE x.space < y.space GROUP BY 1, 2")
+def shared_boundary_pairs(s, d):
+    of = v.table(s, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 49").join(v.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = of.select(F.col("l_partkey").alias("src"), F.col("s_nationkey").alias("dst"), F.lit("bounds_space").alias("relation"))
+    return graph.shared_boundaries(e).select("src", "dst", F.size("shared").cast("long").alias("n_shared"), F.col("shared")[0].alias("first_shared"))
+
+
+@query(f"SELECT 'class' AS kind, class_ AS name, count(*) AS n FROM {v.NODES} GROUP BY 2 UNION ALL SELECT 'relation', relation, count(*) FROM {v.EDGES} GROUP BY 2")
+def graph_summary(s, d):
+    return graph.summary(v.nodes(s, d), v.edges(s, d))
+
+
+@query(f"SELECT id, count(*) AS degree FROM (SELECT src AS id FROM {v.EDGES} UNION ALL SELECT dst FROM {v.EDGES}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_degrees(s, d):
+    return graph.top_degrees(v.edges(s, d))
+
+
+@query(f"SELECT relation, count(*) AS n FROM (SELECT DISTINCT * FROM {v.EDGES}) GROUP BY 1")
+def symmetric_relation_counts(s, d):
+    e = v.edges(s, d)
+    back = e.where("relation = 'ifc_connected_to'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation")
+    return graph.relation_counts(e.unionByName(back))
+
+
+@query(f"SELECT 'contains/contained_in' AS pair, count(*) AS n FROM (SELECT DISTINCT * FROM {v.DOWN})")
+def inverse_pairs(s, d):
+    return graph.inverse_pair_counts(v.edges(s, d))
+
+
+_SERVING = f"""WITH k AS (SELECT 'N' || s_nationkey AS space, 'S' || s_suppkey AS id, s_acctbal > 5000 AS e FROM supplier), base AS (SELECT *, CASE WHEN e THEN 6 ELSE 5 END AS b FROM k),
+ r AS (SELECT space, id, b AS score, 0 AS hops, e AS equipment FROM base UNION ALL SELECT space, p, b + 2, 1, TRUE FROM base JOIN {v.LINKS} ON s = id JOIN part ON p = 'P' || p_partkey WHERE p_brand = 'Brand#1'),
+ g AS (SELECT space, id, max(score) AS score, min(hops) AS hops, bool_or(equipment) AS equipment FROM r GROUP BY 1, 2), w AS (SELECT *, bool_or(equipment) OVER (PARTITION BY space) AS has_any FROM g)
+ SELECT space, id, score, hops, CASE WHEN equipment THEN 'equipment' ELSE 'terminal' END AS kind, CASE WHEN score >= 6 THEN 'strong' WHEN score >= 4 THEN 'moderate' ELSE 'weak' END AS strength FROM w WHERE equipment OR NOT has_any"""
+
+
+@query(_SERVING)
+def serving_candidates(s, d):
+    spaces = v.table(s, d, "nation").select(v.key("N", "n_nationkey").alias("id"))
+    holds = v.table(s, d, "supplier").select(v.key("N", "s_nationkey").alias("src"), v.key("S", "s_suppkey").alias("dst"), F.lit("contains").alias("relation"))
+    return graph.serving(v.nodes(s, d), v.connections(s, d).unionByName(holds), spaces, 1)
+
+
+# Space
+
+_NEAREST = f"WITH s AS {v.SHAPES}, n AS (SELECT a.id, min(sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))) AS m FROM s a, s b WHERE a.id <> b.id GROUP BY 1), t AS (SELECT greatest(0.5, 1.5 * median(m)) AS t FROM n)"
+
+
+@query(f"{_NEAREST} SELECT round(t, 6) AS threshold FROM t")
+def adjacency_threshold(s, d):
+    return spatial.adjacency_threshold(v.shapes(s, d)).select(F.round("threshold", 6).alias("threshold"))
+
+
+@query(f"{_NEAREST}, p AS (SELECT a.id AS a, b.id AS b, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS m FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(m, 6) AS distance FROM p, t WHERE m <= t")
+def radius_join(s, d):
+    shapes = v.shapes(s, d)
+    return spatial.within(shapes, spatial.adjacency_threshold(shapes).first().threshold).withColumn("distance", F.round("distance", 6))
+
+
+_GAP = "sqrt(power(greatest(a.x0-b.x1, b.x0-a.x1, 0), 2) + power(greatest(a.y0-b.y1, b.y0-a.y1, 0), 2) + power(greatest(a.z0-b.z1, b.z0-a.z1, 0), 2))"
+
+
+@query(f"WITH s AS {v.SHAPES}, p AS (SELECT a.id AS a, b.id AS b, {_GAP} AS m FROM s a JOIN s b ON a.id < b.id) SELECT a, b, round(m, 6) AS distance, CASE WHEN m <= 1e-9 THEN 'connected_to' ELSE 'adjacent_to' END AS relation FROM p WHERE m <= 0.75")
+def box_adjacency(s, d):
+    return spatial.adjacency(v.shapes(s, d), 0.75).withColumn("distance", F.round("distance", 6))
+
+
+_MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
+_DEEP = f"{_MEET} AND a.z0 <= b.z1 AND b.z0 <= a.z1"
+_AREA = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+_OVER = f"WITH s AS {v.SHAPES}, o AS (SELECT a.id AS a, b.id AS b, {_AREA} AS area, {_AREA} / least((a.x1-a.x0)*(a.y1-a.y0), (b.x1-b.x0)*(b.y1-b.y0)) AS ratio, a.z0 - b.z1 AS up, b.z0 - a.z1 AS down FROM s a JOIN s b ON a.id < b.id AND {_MEET})"
+
+
+@query(f"WITH s AS {v.SHAPES} SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.id < b.id AND {_DEEP}")
+def bbox_pairs(s, d):
+    return spatial.intersections(v.shapes(s, d))
+
+
+@query(f"{_OVER}, u AS (SELECT CASE WHEN up > 0 THEN a ELSE b END AS hi, CASE WHEN up > 0 THEN b ELSE a END AS lo, greatest(up, down) AS gap FROM o WHERE area > 0 AND greatest(up, down) > 0) SELECT hi AS src, lo AS dst, 'above' AS relation, round(gap, 6) AS gap FROM u UNION ALL SELECT lo, hi, 'below', round(gap, 6) FROM u")
+def above_below(s, d):
+    return spatial.above_below(spatial.plan_overlaps(v.shapes(s, d))).select("src", "dst", "relation", F.round("gap", 6).alias("gap"))
+
+
+@query(f"{_OVER} SELECT a, b, round(area, 6) AS area FROM o WHERE area > 0 AND ratio >= 0.2")
+def overlap_threshold(s, d):
+    return spatial.overlap_edges(spatial.plan_overlaps(v.shapes(s, d)), "threshold").withColumn("area", F.round("area", 6))
+
+
+@query(f"{_OVER}, e AS (SELECT a, b, area, a AS own, b AS other FROM o WHERE area > 0 UNION ALL SELECT a, b, area, b, a FROM o WHERE area > 0) SELECT DISTINCT a, b, round(area, 6) AS area FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY own ORDER BY area DESC, other) <= 5)")
+def overlap_topk(s, d):
+    return spatial.overlap_edges(spatial.plan_overlaps(v.shapes(s, d)), "top_k").withColumn("area", F.round("area", 6))
+
+
+@query(f"{_OVER} SELECT count(*) AS candidates, count(*) FILTER (ratio >= 0.2) AS emitted, count(*) FILTER (ratio < 0.2) AS rejected FROM o WHERE area > 0")
+def overlap_statistics(s, d):
+    return spatial.overlap_statistics(spatial.plan_overlaps(v.shapes(s, d)))
+
+
+@query(f"WITH s AS {v.SHAPES} SELECT a.id AS area, b.id AS id FROM s a JOIN s b ON a.id <> b.id AND b.x BETWEEN a.x0 - 1e-9 AND a.x1 + 1e-9 AND b.y BETWEEN a.y0 - 1e-9 AND a.y1 + 1e-9")
+def point_in_footprint(s, d):
+    from ..functions import geometry as g
+
+    shapes = v.shapes(s, d)
+    points = shapes.select("id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
+    return spatial.inside_footprint(points, shapes.select("id", "lo", "hi", g.rectangle(F.col("lo"), F.col("hi")).alias("points")))
+
+
+@query("""WITH e AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS v, 0.2::DOUBLE + 0.04::DOUBLE * label AS w FROM embeddings),
+ n AS (SELECT id, x, y, u / sqrt(u*u + v*v) AS u, v / sqrt(u*u + v*v) AS v, w FROM e WHERE u*u + v*v > 0),
+ p AS (SELECT a.id AS a, b.id AS b, abs(a.u*b.u + a.v*b.v) AS dot, a.u + s * b.u AS mu, a.v + s * b.v AS mv, b.x - a.x AS dx, b.y - a.y AS dy, least(a.w, b.w) AS w
+  FROM (SELECT a, b, CASE WHEN a.u*b.u + a.v*b.v < 0 THEN -1 ELSE 1 END AS s FROM n a JOIN n b ON a.id < b.id AND abs(floor(a.x / 5) - floor(b.x / 5)) <= 1 AND abs(floor(a.y / 5) - floor(b.y / 5)) <= 1))
+ SELECT a, b, round(degrees(acos(least(1, dot))), 5) AS angle, round(abs(dx*mv - dy*mu) / sqrt(mu*mu + mv*mv), 6) AS "offset" FROM p WHERE degrees(acos(least(1, dot))) <= 10 AND abs(dx*mv - dy*mu) / sqrt(mu*mu + mv*mv) <= greatest(0.25, w)""")
+def aligned_pairs(s, d):
+    return spatial.aligned(v.axes(s, d), 5.0).select("a", "b", F.round("angle", 5).alias("angle"), F.round("offset", 6).alias("offset"))
+
+
+@query(f"{_OVER} SELECT a, b, round(area, 6) AS area FROM o WHERE area > 1e-6")
+def polygon_overlap_area(s, d):
+    from ..functions import geometry as g
+
+    shapes = v.shapes(s, d).select("id", g.rectangle(F.col("lo"), F.col("hi")).alias("poly"))
+    pairs = spatial.plan_overlaps(v.shapes(s, d)).where("area > 1e-6").select("a", "b")
+    both = pairs.join(shapes.select(F.col("id").alias("a"), F.col("poly").alias("p")), "a").join(shapes.select(F.col("id").alias("b"), F.col("poly").alias("q")), "b")
+    return both.select("a", "b", F.round(spatial.common_area("p", "q"), 6).alias("area"))
+
+
+# Search
+
+_TOK = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+
+
+@query(f"""WITH t AS (SELECT 'P' || p_partkey AS id, p_name AS label, list_distinct({_TOK.format("p_name")}) AS a, list_distinct({_TOK.format("p_brand")}) AS b FROM part)
+ SELECT id, label, (len(a) = 2)::INT AS exact_fields, 1 AS matched_fields, len(list_distinct(list_concat(a, b))) - 2 AS extra_terms FROM t WHERE list_has_all(a, ['red', 'bolt'])""")
+def element_set_rank(s, d):
+    n = v.table(s, d, "part").select(v.key("P", "p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("type_name"))
+    return search.element_set(n, "Bolt, red", ("label", "type_name"))
+
+
+_HITS = f"SELECT id, label, class_, CASE WHEN lower(id) LIKE '%fan%' THEN 100 WHEN lower(label) LIKE '%fan%' THEN 96 ELSE 92 END AS score FROM {v.NODES} WHERE lower(id) LIKE '%fan%' OR lower(label) LIKE '%fan%' OR lower(class_) LIKE '%fan%'"
+
+
+@query(f"WITH h AS ({_HITS}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, label, id) AS k, least(2, ceil(count(*) OVER () / 25.0)) AS p FROM h) SELECT id, label, class_, score FROM r WHERE k > (p - 1) * 25 AND k <= p * 25")
+def search_page(s, d):
+    return search.page(search.substring_search(v.nodes(s, d), "Fan"), 2, 25).select("id", "label", "class_", "score")
+
+
+@query(f"SELECT class_, count(*) AS n FROM {v.NODES} GROUP BY 1")
+def class_histogram(s, d):
+    return search.class_histogram(v.nodes(s, d))
+
+
+@query()
+def fuzzy_rank(s, d):
+    hits = search.fuzzy_nodes(v.nodes(s, d).where("class_ <> 'IfcBuildingStorey'"), "red blt")
+    return hits.orderBy(F.desc("score"), "label", "id").limit(25)
+
+
+# Evaluation
+
+_ROLL = """count(*) AS runs, round(avg(answer_correct::INT), 6) AS answer_correct_rate, round(avg(route_correct::INT), 6) AS route_correct_rate, round(avg(no_error::INT), 6) AS no_error_rate, round(avg(duration_ms), 6) AS avg_duration_ms,
+ quantile_disc(duration_ms, 0.95) AS p95_duration_ms, round(avg(tokens), 6) AS avg_tokens, sum(tokens)::BIGINT AS sum_tokens, round(avg((tokens IS NOT NULL)::INT), 6) AS token_coverage_rate"""
+
+
+@query(f"SELECT profile, {_ROLL} FROM {v.RUNS} GROUP BY 1 ORDER BY answer_correct_rate DESC NULLS LAST, route_correct_rate DESC NULLS LAST, avg_tokens NULLS LAST, avg_duration_ms NULLS LAST, profile LIMIT 10")
+def leaderboard(s, d):
+    return evals.leaderboard(v.runs(s, d), "profile", 10)
+
+
+@query(f"SELECT case_id, {_ROLL} FROM {v.RUNS} GROUP BY 1")
+def case_groups(s, d):
+    return evals.roll_up(v.runs(s, d), "case_id")
+
+
+@query(f"SELECT profile, quantile_disc(duration_ms, 0.95) AS p95 FROM {v.RUNS} GROUP BY 1")
+def p95_by_profile(s, d):
+    return v.runs(s, d).groupBy("profile").agg(evals.p95("duration_ms").alias("p95"))
+
+
+@query(f"SELECT count(*) AS runs, count(tokens) AS covered, sum(tokens)::BIGINT AS sum_tokens, round(avg(tokens), 6) AS avg_tokens FROM {v.RUNS}")
+def token_coverage(s, d):
+    return v.runs(s, d).agg(F.count("*").alias("runs"), F.count("tokens").alias("covered"), F.sum("tokens").alias("sum_tokens"), evals.mean(F.col("tokens")).alias("avg_tokens"))
+
+
+def _cues() -> str:
+    has = lambda cues: f"regexp_matches(q, '{router.cue_pattern(cues)}')"
+    graph_ = f"CASE WHEN regexp_matches(q, '{router.ROOM}') THEN 'containment' " + " ".join(f"WHEN {has(c)} THEN '{n}'" for n, c in router.GRAPH_CUES.items()) + " END"
+    op = f"CASE WHEN {has(router.AVG)} THEN 'avg' WHEN {has(router.MIN)} THEN 'min' WHEN {has(router.MAX)} THEN 'max' WHEN {has(router.SUM)} THEN 'sum' END"
+    intent = f"CASE WHEN regexp_matches(q, '{router.GROUP}') THEN 'group' WHEN {has(router.AVG + router.MIN + router.MAX)} THEN 'aggregate' WHEN {has(router.COUNT + router.EXISTENCE)} THEN 'count' WHEN {has(router.LIST)} THEN 'list' END"
+    return f"SELECT kind, graph, intent, aggregate_op, count(*) AS n FROM (SELECT kind, {graph_} AS graph, {intent} AS intent, {op} AS aggregate_op FROM (SELECT 'turn' AS kind, lower(text) AS q FROM conversations UNION ALL SELECT 'asked', 'how many ' || lower(p_name) || 's are there on level ' || p_size FROM part)) GROUP BY ALL"
+
+
+@query(_cues())
+def route_cues(s, d):
+    asked = v.table(s, d, "part").select(F.lit("asked").alias("kind"), F.concat(F.lit("How many "), F.col("p_name"), F.lit("s are there on level "), F.col("p_size").cast("string")).alias("text"))
+    q = v.table(s, d, "conversations").select(F.lit("turn").alias("kind"), "text").unionByName(asked)
+    return router.routed(q).groupBy("kind", "graph", "intent", "aggregate_op").agg(F.count("*").alias("n"))
+
+
+# Extension
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(s, d):
+    return windows.counts(v.table(s, d, "events")).withColumn("total", F.round("total", 4))
