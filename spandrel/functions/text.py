@@ -85,6 +85,11 @@ def plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def plain_of(text: str) -> str:
+    """The same for one text on the driver."""
+    return " ".join(re.findall("[a-z0-9]+", text.lower()))
+
+
 def numeric_prefix(c: Column) -> Column:
     """The longest numeric prefix as double, 0.0 without one, null for null."""
     digits = F.regexp_extract(F.ltrim(c.cast("string")), r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", 0)

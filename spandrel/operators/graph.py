@@ -198,7 +198,7 @@ def shortest_path(edges: DataFrame, start, end, longest: int = 8, relations=None
 def match_score(label: Column, query: str) -> Column:
     """3 for the same text without case, 2 for the same words, 1 if one holds the other, else null."""
     raw, words = F.lower(F.trim(label)), tx.plain(label)
-    q, qw = query.strip().lower(), " ".join(tx.terms(query))
+    q, qw = query.strip().lower(), tx.plain_of(query)
     return F.when(raw == q, 3).when((words != "") & F.lit(qw != "") & (words == qw), 2).when((words != "") & F.lit(qw != "") & (words.contains(qw) | F.lit(qw).contains(words)), 1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as g
 from .graph import top_per_node
@@ -162,7 +163,7 @@ def aligned(axes: DataFrame, cell: float, degrees: float = 10.0, least_offset: f
     return pairs.where((F.col("angle") <= degrees) & (F.col("offset") <= F.greatest(F.lit(least_offset), F.least("sa", "sb")))).select("a", "b", "angle", "offset")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def common_area(p: pd.Series, q: pd.Series) -> pd.Series:
     """Common area of two convex counter-clockwise polygons, arrays of (x, y)."""
     corners = lambda poly: [(c["x"], c["y"]) for c in poly]

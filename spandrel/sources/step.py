@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as tx
 
@@ -34,7 +35,7 @@ def arguments(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def split_arguments(texts: pd.Series) -> pd.Series:
     return texts.map(arguments)
 
@@ -58,8 +59,8 @@ def elements(all_: DataFrame) -> DataFrame:
 
 def contained(all_: DataFrame) -> DataFrame:
     """(id, parent) by express id, from containment and aggregation relations."""
-    refs = lambda k: F.regexp_extract_all(F.element_at("args", k), F.lit(r"#(\d+)"), F.lit(1))
+    refs = lambda k: F.regexp_extract_all(F.element_at("args", k), F.lit(r"#(\d+)"), F.lit(1)).cast("array<long>")
     ref = lambda k: F.regexp_extract(F.element_at("args", k), r"#(\d+)", 1).cast("long")
-    inside = all_.where("entity = 'IFCRELCONTAINEDINSPATIALSTRUCTURE'").select(F.explode(refs(5)).cast("long").alias("id"), ref(6).alias("parent"))
-    parts = all_.where("entity = 'IFCRELAGGREGATES'").select(F.explode(refs(6)).cast("long").alias("id"), ref(5).alias("parent"))
+    inside = all_.where("entity = 'IFCRELCONTAINEDINSPATIALSTRUCTURE'").select(F.explode(refs(5)).alias("id"), ref(6).alias("parent"))
+    parts = all_.where("entity = 'IFCRELAGGREGATES'").select(F.explode(refs(6)).alias("id"), ref(5).alias("parent"))
     return inside.unionByName(parts).distinct()
