@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public tokenizer, made once per distinct word.
 
 The tokenizer used here splits a normalised text into words that it encodes one by one, so the ids of a text are those of its words in a row. Texts of
-Latin letters (no character beyond U+017F) are split here by an expression equal to the tokenizer's own, and a word's ids are looked up; other texts, and words
-not seen yet, go through the tokenizer itself.
+Latin letters (no character beyond U+017F) are split here by an expression equal to the tokenizer's own, and a word's ids are looked up; a word not seen yet goes through the
+tokenizer's model. Other texts go through the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from ._common import vocabulary
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: A worker's table of words is emptied when it has so many.
-WORDS = 400_000
+#: A worker's table of words is renewed when it has so many; those of the one before are kept until then.
+WORDS = 300_000
 _LETTER = "a-zªµºß-öø-ſ"
 _DIGIT = "0-9²³¹¼-¾"
-_OTHER_TEXT = re.compile("[^\t\n\r -~¡-įı-ſ]|<\\|")
+_OTHER_TEXT = re.compile("[^\t\n\r -~¡-įı-ſ]")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\\s{_DIGIT}{_LETTER}]+")
 
 
@@ -39,14 +40,22 @@ class _Table(dict):
         self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.simple = _splits_words(path)
+        # ASCII words are their own bytes in the model's alphabet
+        self.model = self.tokenizer.model
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
+            # frequent words come back from here at their next use
+            self.before = dict(self)
             self.clear()
-        self[word] = ids = self.encode(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes() if word.isascii() else self.encode(word)
+        self[word] = ids
         return ids
 
 
@@ -70,15 +79,11 @@ def table(path: str) -> _Table:
 def encode(text: str | None, words: _Table) -> bytes:
     if not text:
         return b""
-    if not words.simple or _OTHER_TEXT.search(text):
+    if not words.simple or "<|" in text or not (text.isascii() and not _CONTROL.search(text) or not _OTHER_TEXT.search(text)):
         return words.encode(text)
     return b"".join(map(words.__getitem__, _WORD.findall(text.lower())))
 
 
-def packed(ids: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids)
-
-
 def unpacked(ids: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(ids)
 
@@ -92,13 +97,14 @@ def tokenized(docs: DataFrame, text: str, end_id: int = END_ID, tokenizer: str =
     def run(batches):
         words = table(path)
         end = np.array([end_id], words.kind).tobytes()
+        codec = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = batch.column(text)
             n, ids = [], []
             for k in range(len(texts)):
                 got = encode(texts[k].as_py(), words) + end
                 n.append(len(got) // words.kind.itemsize)
-                ids.append(packed(got))
+                ids.append(codec.compress(got))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in rest), pa.array(n, pa.int64()), pa.array(ids, pa.large_binary()).cast(pa.binary())],
                 names=[*(f.name for f in rest), "n_tokens", "ids"],
