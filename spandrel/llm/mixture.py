@@ -23,7 +23,7 @@ from . import tokens
 from ._common import kept
 
 WINDOW, PIECE = 2048, 256
-BUCKET_DOCS, BLOCK_ROUNDS = 8192, 2048
+BUCKET_DOCS, BLOCK_ROUNDS = 1024, 2048
 
 _OUT = T.StructType(
     [T.StructField("doc_tokens", T.LongType())]
