@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, decontaminate, embeddings, language, minhash, mixture, quality, shards, urls, warc
+from . import bestfit, decontaminate, embeddings, language, minhash, mixture, oracles, quality, shards, urls, warc
 from ._common import table
 
 
@@ -65,4 +65,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_warc_bundles, op2_quality, op3_language, op4_near_vectors, op5_best_fit, op6_url_filter, op7_shards, op8_near_duplicates, op9_mixture_packing, op10_decontamination)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others train models or tokenise.
+ORACLE_SQL = {"op1_warc_bundles": oracles.OP1, "op4_near_vectors": oracles.OP4, "op7_shards": oracles.OP7, "op8_near_duplicates": oracles.OP8, "op10_decontamination": oracles.OP10}
