@@ -214,4 +214,4 @@ def bounded(rows: DataFrame, order: list[Column], limit: int, cap: int = 100) ->
     """The first rows in an order, with total_found, returned_count and truncated; the total is an aggregate of its own, so the rows are only ever a top-k."""
     limit = max(1, min(limit, cap))
     total = rows.agg(F.count("*").alias("total_found"))
-    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumns({"returned_count": F.least("total_found", F.lit(limit).cast("long")), "truncated": F.col("total_found") > limit})
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(total)).withColumns({"returned_count": F.least("total_found", F.lit(limit).cast("long")), "truncated": F.col("total_found") > limit}).orderBy(*order)

@@ -64,3 +64,37 @@ def contained(all_: DataFrame) -> DataFrame:
     inside = all_.where("entity = 'IFCRELCONTAINEDINSPATIALSTRUCTURE'").select(F.explode(refs(5)).alias("id"), ref(6).alias("parent"))
     parts = all_.where("entity = 'IFCRELAGGREGATES'").select(F.explode(refs(6)).alias("id"), ref(5).alias("parent"))
     return inside.unionByName(parts).distinct()
+
+
+# Relation entities with the positions of their two sides, and the relation from the first to the second.
+RELATIONS = {
+    "IFCRELDEFINESBYTYPE": (5, 6, "typed_by"),
+    "IFCRELASSOCIATESCLASSIFICATION": (5, 6, "classified_as"),
+    "IFCRELCONNECTSELEMENTS": (6, 7, "ifc_connected_to"),
+    "IFCRELCONNECTSPATHELEMENTS": (6, 7, "path_connected_to"),
+    "IFCRELSPACEBOUNDARY": (5, 6, "space_bounded_by"),
+    "IFCRELVOIDSELEMENT": (5, 6, "voids"),
+    "IFCRELFILLSELEMENT": (5, 6, "fills"),
+    "IFCRELASSIGNSTOGROUP": (5, 7, "belongs_to_system"),
+}
+
+
+def relations(all_: DataFrame) -> DataFrame:
+    """(src, dst, relation) by express id. An element that fills an opening is hosted by what the opening voids; groups are zones or systems by their entity."""
+    refs = lambda k: F.regexp_extract_all(F.element_at("args", k), F.lit(r"#(\d+)"), F.lit(1)).cast("array<long>")
+    parts = []
+    for entity, (a, b, name) in RELATIONS.items():
+        rows = all_.where(F.col("entity").isin(entity, entity + "1STLEVEL", entity + "2NDLEVEL")).where(F.size("args") >= max(a, b))
+        parts.append(rows.select(F.explode(refs(a)).alias("src"), refs(b).alias("to")).select("src", F.explode("to").alias("dst"), F.lit(name).alias("relation")))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    voids, fills = found.where("relation = 'voids'"), found.where("relation = 'fills'")
+    held = voids.select(F.col("src").alias("host"), F.col("dst").alias("opening")).join(fills.select(F.col("src").alias("opening"), F.col("dst").alias("guest")), "opening")
+    groups = all_.where("entity = 'IFCZONE'").select(F.col("id").alias("dst"), F.lit(True).alias("zone"))
+    plain_ = found.where("relation NOT IN ('voids', 'fills')").join(groups, "dst", "left")
+    plain_ = plain_.select("src", "dst", F.when((F.col("relation") == "belongs_to_system") & F.col("zone"), "in_zone").otherwise(F.col("relation")).alias("relation"))
+    bounded = plain_.where("relation = 'space_bounded_by'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("bounds_space").alias("relation"))
+    hosts = held.select(F.col("host").alias("src"), F.col("guest").alias("dst"), F.lit("hosts").alias("relation"))
+    hosted = held.select(F.col("guest").alias("src"), F.col("host").alias("dst"), F.lit("hosted_by").alias("relation"))
+    return plain_.unionByName(bounded).unionByName(hosts).unionByName(hosted).where("src <> dst").distinct()
