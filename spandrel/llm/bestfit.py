@@ -24,8 +24,8 @@ from . import _files, tokens
 from ._common import new_folder
 
 WINDOW = 2048
-#: Bytes of text of a group, on average.
-GROUP_BYTES = 8 << 20
+#: Bytes of text of a group, on average: at least and at most. In between there is a group per shuffle partition.
+GROUP_BYTES = (1 << 20, 32 << 20)
 
 
 class Capacities:
@@ -104,7 +104,7 @@ def _write(uri: str, window: int, kind: np.dtype, sizes: list[int], ids: list[by
     return [pieces[p] for p in order], bins
 
 
-def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = tokens.END_ID, pad_id: int = 0, tokenizer: str = tokens.TOKENIZER, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = tokens.END_ID, pad_id: int = 0, tokenizer: str = tokens.TOKENIZER, group_bytes: int | None = None) -> DataFrame:
     """Writes the packed groups below folder and returns the index of pieces: key, doc_tokens, start, length, group, bin, offset, bins (of the group), file.
 
     Null and empty texts are one token, end_id. Repeated rows are packed as often as they come; no rows write nothing. A file's name is new for every attempt of a
@@ -112,6 +112,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     total = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    group_bytes = group_bytes or min(max(total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), GROUP_BYTES[0]), GROUP_BYTES[1])
     groups = int(total // group_bytes) + 1
     dealt = plain.withColumn("group", F.pmod(F.xxhash64(F.col("key").cast("string"), "text"), F.lit(groups)))
     kind = np.dtype(f"<u{tokens.id_bytes(tokenizer)}")
