@@ -82,6 +82,33 @@ def rectangle(lo: Column, hi: Column) -> Column:
     return F.array(corner(lo[0], lo[1]), corner(hi[0], lo[1]), corner(hi[0], hi[1]), corner(lo[0], hi[1]))
 
 
+def vertex_distance(a: Column, b: Column, most: int = 256) -> Column:
+    """Least distance between two sets of points (arrays of arrays of three), each thinned evenly to `most` of them."""
+    thin = lambda p: F.when(F.size(p) <= most, p).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: p[F.floor(k * (F.size(p) - 1) / (most - 1)).cast("int")]))
+    return F.array_min(F.transform(thin(a), lambda x: F.array_min(F.transform(thin(b), lambda y: point_distance(x, y)))))
+
+
+def centroid(points: Column) -> Column:
+    """Mean of an array of points."""
+    n = F.size(points)
+    mean = lambda k: F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k]) / n
+    return F.when(n > 0, F.array(*map(mean, range(3))))
+
+
+def bounds(points: Column) -> tuple[Column, Column]:
+    """Least and greatest coordinates of an array of points."""
+    axis = lambda k: F.transform(points, lambda p: p[k])
+    return F.array(*[F.array_min(axis(k)) for k in range(3)]), F.array(*[F.array_max(axis(k)) for k in range(3)])
+
+
+def plan_axis(points: Column) -> Column:
+    """Direction (x, y) of the widest spread of points in plan, from the closed form of a 2 x 2 covariance."""
+    c, n = centroid(points), F.size(points)
+    moment = lambda i, j: F.aggregate(points, F.lit(0.0), lambda s, p: s + (p[i] - c[i]) * (p[j] - c[j])) / n
+    angle = F.atan2(2 * moment(0, 1), moment(0, 0) - moment(1, 1)) / 2
+    return F.struct(F.cos(angle).alias("x"), F.sin(angle).alias("y"))
+
+
 def clip_area(p: list, q: list) -> float:
     """Common area of two convex counter-clockwise polygons, lists of (x, y): p is cut by each edge of q in turn."""
     for k in range(len(q)):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry, values
 from ..functions import text as tx
-from ..operators import evals, graph, relational, search, spatial
+from ..operators import evals, graph, lookups, relational, search, spatial
 from ..operators.request import Field, Filter, Request
 from ..streaming import windows
 from . import router
@@ -174,6 +175,67 @@ def find_nodes_bounded(s, d):
     return relational.bounded(hits, [F.asc("name"), F.asc("express_id")], 25).select("express_id", "name", "size", "total_found")
 
 
+@query("SELECT 'P' || p_partkey AS wanted, p_partkey AS express_id FROM part WHERE p_size = 7 UNION ALL SELECT p_partkey::VARCHAR, p_partkey FROM part WHERE p_size = 8")
+def id_lookup(s, d):
+    part = v.table(s, d, "part")
+    wanted = part.where("p_size = 7").select(v.key("P", "p_partkey").alias("wanted")).unionByName(part.where("p_size = 8").select(F.col("p_partkey").cast("string").alias("wanted")))
+    return lookups.by_identifiers(v.elements(s, d).where("dataset = 'part'"), wanted).select("wanted", "express_id")
+
+
+@query("SELECT p_partkey AS express_id, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'stored ' || p_type END AS value FROM part")
+def fill_missing(s, d):
+    part = v.table(s, d, "part").select(F.col("p_partkey").alias("express_id"), "p_brand", "p_type")
+    stated = part.select("express_id", F.lit("Mark").alias("name"), F.when(F.col("express_id") % 2 == 0, F.col("p_brand")).alias("value"))
+    stored = part.select("express_id", F.lit("Mark").alias("name"), F.concat(F.lit("stored "), F.col("p_type")).alias("value"))
+    return lookups.filled(stated, stored, ["express_id"]).select("express_id", "value")
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2")
+def nested_values(s, d):
+    e = v.table(s, d, "events").select("event_type", values.at_path(F.concat(F.lit('json:{"a": '), "props", F.lit("}")), "a.k").cast("long").alias("k"))
+    return e.groupBy("event_type", "k").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[REDACTED_COMPLEX]' WHEN length(source || lang) > 160 THEN NULL ELSE source || '/' || lang END AS shown FROM documents")
+def shown_payload(s, d):
+    text = F.concat("source", F.lit("/"), "lang")
+    stored = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('json:{"b": 1, "a": ["'), text, F.lit('"]}'))).otherwise(values.encoded(text))
+    return v.table(s, d, "documents").select("doc_id", values.shown(stored).alias("shown"))
+
+
+@query("SELECT 'N' || n_nationkey AS id, 'R' || n_regionkey AS ancestor, 1 AS distance FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey, 1 FROM customer UNION ALL SELECT 'C' || c_custkey, 'R' || n_regionkey, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def class_ancestors(s, d):
+    nation = v.table(s, d, "nation").select(v.key("N", "n_nationkey").alias("child"), v.key("R", "n_regionkey").alias("parent"))
+    customer = v.table(s, d, "customer").select(v.key("C", "c_custkey").alias("child"), v.key("N", "c_nationkey").alias("parent"))
+    return lookups.class_ancestors(nation.unionByName(customer))
+
+
+@query(f"SELECT class_, count(*) AS n, CASE WHEN class_ IN ('IfcWall', 'IfcDoor') THEN count(*) ELSE 0 END AS skipped FROM {v.NODES} GROUP BY 1")
+def pruning_statistics(s, d):
+    return lookups.pruning(v.nodes(s, d), ("IfcWall", "IfcDoor"))
+
+
+@query("SELECT p_type AS class_, p_name AS name, p_partkey AS express_id, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey)::INT AS ordinal FROM part QUALIFY ordinal <= 3")
+def evidence_samples(s, d):
+    part = v.table(s, d, "part").select(F.col("p_type").alias("class_"), F.col("p_name").alias("name"), F.col("p_partkey").alias("express_id"))
+    return lookups.samples(part, "class_", ["name", "express_id"])
+
+
+@query("SELECT row_number() OVER (ORDER BY s_name, s_suppkey)::INT AS rank, s_name || ' | ' || s_nationkey AS line, greatest((SELECT count(*) FROM supplier) - 10, 0) AS more_count FROM supplier QUALIFY rank <= 10")
+def presentation_lines(s, d):
+    return lookups.lines(v.table(s, d, "supplier"), ["s_name", "s_nationkey"], ["s_name", "s_suppkey"])
+
+
+@query("""SELECT vec_id AS id, round((embedding[1]::DOUBLE + embedding[4] + embedding[7]) / 3, 6) AS cx, round(least(embedding[1]::DOUBLE, embedding[4], embedding[7]), 6) AS x0,
+ round(least(sqrt((embedding[1]::DOUBLE - embedding[10])^2 + (embedding[2]::DOUBLE - embedding[11])^2 + (embedding[3]::DOUBLE - embedding[12])^2), sqrt((embedding[4]::DOUBLE - embedding[10])^2 + (embedding[5]::DOUBLE - embedding[11])^2 + (embedding[6]::DOUBLE - embedding[12])^2),
+  sqrt((embedding[7]::DOUBLE - embedding[10])^2 + (embedding[8]::DOUBLE - embedding[11])^2 + (embedding[9]::DOUBLE - embedding[12])^2)), 6) AS distance FROM embeddings""")
+def mesh_figures(s, d):
+    at = lambda k: F.array(*[F.col("embedding")[k + j].cast("double") for j in range(3)])
+    e = v.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(at(0), at(3), at(6)).alias("mesh"), F.array(at(9)).alias("other"))
+    low, _ = geometry.bounds(F.col("mesh"))
+    return e.select("id", F.round(geometry.centroid(F.col("mesh"))[0], 6).alias("cx"), F.round(low[0], 6).alias("x0"), F.round(geometry.vertex_distance(F.col("mesh"), F.col("other")), 6).alias("distance"))
+
+
 # Graph
 
 
@@ -342,11 +404,9 @@ def overlap_statistics(s, d):
 
 @query(f"WITH s AS {v.SHAPES} SELECT a.id AS area, b.id AS id FROM s a JOIN s b ON a.id <> b.id AND b.x BETWEEN a.x0 - 1e-9 AND a.x1 + 1e-9 AND b.y BETWEEN a.y0 - 1e-9 AND a.y1 + 1e-9")
 def point_in_footprint(s, d):
-    from ..functions import geometry as g
-
     shapes = v.shapes(s, d)
     points = shapes.select("id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
-    return spatial.inside_footprint(points, shapes.select("id", "lo", "hi", g.rectangle(F.col("lo"), F.col("hi")).alias("points")))
+    return spatial.inside_footprint(points, shapes.select("id", "lo", "hi", geometry.rectangle(F.col("lo"), F.col("hi")).alias("points")))
 
 
 @query("""WITH e AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS v, 0.2::DOUBLE + 0.04::DOUBLE * label AS w FROM embeddings),
@@ -360,9 +420,7 @@ def aligned_pairs(s, d):
 
 @query(f"{_OVER} SELECT a, b, round(area, 6) AS area FROM o WHERE area > 1e-6")
 def polygon_overlap_area(s, d):
-    from ..functions import geometry as g
-
-    shapes = v.shapes(s, d).select("id", g.rectangle(F.col("lo"), F.col("hi")).alias("poly"))
+    shapes = v.shapes(s, d).select("id", geometry.rectangle(F.col("lo"), F.col("hi")).alias("poly"))
     pairs = spatial.plan_overlaps(v.shapes(s, d)).where("area > 1e-6").select("a", "b")
     both = pairs.join(shapes.select(F.col("id").alias("a"), F.col("poly").alias("p")), "a").join(shapes.select(F.col("id").alias("b"), F.col("poly").alias("q")), "b")
     return both.select("a", "b", F.round(spatial.common_area("p", "q"), 6).alias("area"))
