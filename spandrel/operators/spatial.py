@@ -155,14 +155,35 @@ def aligned(axes: DataFrame, cell: float, degrees: float = 10.0, least_offset: f
     left = axes.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("dx").alias("ua"), F.col("dy").alias("va"), F.col("short").alias("sa"), F.floor(F.col("x") / cell).alias("c0"), F.floor(F.col("y") / cell).alias("c1"))
     right = axes.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("dx").alias("ub"), F.col("dy").alias("vb"), F.col("short").alias("sb"), F.floor(F.col("x") / cell).alias("d0"), F.floor(F.col("y") / cell).alias("d1"))
     right = right.withColumn("c0", F.explode(F.sequence(F.col("d0") - 1, F.col("d0") + 1))).withColumn("c1", F.explode(F.sequence(F.col("d1") - 1, F.col("d1") + 1)))
+    pairs = left.join(right, ["c0", "c1"]).where("a < b")
+    return _in_line(pairs, degrees, least_offset)
+
+
+def _in_line(pairs: DataFrame, degrees: float, least_offset: float) -> DataFrame:
     dot = F.col("ua") * F.col("ub") + F.col("va") * F.col("vb")
     sign = F.when(dot < 0, -1.0).otherwise(1.0)
     u, v = F.col("ua") + sign * F.col("ub"), F.col("va") + sign * F.col("vb")
     offset = F.abs((F.col("xb") - F.col("xa")) * v - (F.col("yb") - F.col("ya")) * u) / F.sqrt(u * u + v * v)
-    pairs = left.join(right, ["c0", "c1"]).where("a < b").withColumns({"angle": F.degrees(F.acos(F.least(F.lit(1.0), F.abs(dot)))), "offset": offset})
+    pairs = pairs.withColumns({"angle": F.degrees(F.acos(F.least(F.lit(1.0), F.abs(dot)))), "offset": offset})
     return pairs.where((F.col("angle") <= degrees) & (F.col("offset") <= F.greatest(F.lit(least_offset), F.least("sa", "sb")))).select("a", "b", "angle", "offset")
 
 
+def aligned_to(axes: DataFrame, anchor: str, degrees: float = 10.0, least_offset: float = 0.25) -> DataFrame:
+    """(a, b, angle, offset) of all shapes in line with one, however far along its axis; the one row is what is sent around."""
+    names = ("x", "y", "dx", "dy", "short")
+    own = axes.where(F.col("id") == anchor).limit(1).select(F.col("id").alias("a"), *[F.col(n).alias(m) for n, m in zip(names, ("xa", "ya", "ua", "va", "sa"), strict=True)])
+    others = axes.where(F.col("id") != anchor).select(F.col("id").alias("b"), *[F.col(n).alias(m) for n, m in zip(names, ("xb", "yb", "ub", "vb", "sb"), strict=True)])
+    return _in_line(others.crossJoin(F.broadcast(own)), degrees, least_offset)
+
+
+def main_axes(shapes: DataFrame) -> DataFrame:
+    """(id, x, y, dx, dy, short) of boxes of the classes that lie in line: along the longer plan side."""
+    wide, deep = F.col("hi")[0] - F.col("lo")[0], F.col("hi")[1] - F.col("lo")[1]
+    along = wide >= deep
+    rows = shapes.where(F.col("class_").isin(*ALIGNED))
+    return rows.select("id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"), F.when(along, 1.0).otherwise(0.0).alias("dx"), F.when(along, 0.0).otherwise(1.0).alias("dy"), F.least(wide, deep).alias("short"))
+
+
 @F.pandas_udf(DoubleType())
 def common_area(p: pd.Series, q: pd.Series) -> pd.Series:
     """Common area of two convex counter-clockwise polygons, arrays of (x, y)."""

@@ -144,7 +144,14 @@ class Model:
         return self._bounded(self._shown(spatial.inside_footprint(points, area).select("id"), class_), max_results)
 
     def find_same_storey_elements(self, anchor: str, class_: str | None = None, max_results: int = SCAN) -> DataFrame:
-        same = graph.same_container(self.nodes.select("id", "class_"), self.stated, self._one(anchor)).select("id").distinct()
+        """Elements of the storey above an element, or where none is stated those of the same level."""
+        own = self.resolve(anchor)
+        n = self.nodes.select("id", "class_")
+        if graph.container_of(n, self.stated, self._ids([own]), "IfcBuildingStorey").isEmpty():
+            level = self.nodes.where((F.col("id") == own) & F.col("level_key").isNotNull()).select("dataset", "level_key")
+            same = self.nodes.where(~graph.is_container(F.col("class_")) & (F.col("id") != own)).join(F.broadcast(level), ["dataset", "level_key"], "left_semi").select("id")
+        else:
+            same = graph.same_container(n, self.stated, self._ids([own])).select("id").distinct()
         return self._bounded(self._shown(same, class_), max_results)
 
     def resolve_element_set(self, query: str, class_: str | None = None, match_mode: str = "set", max_results: int = NEAR) -> DataFrame:
@@ -176,6 +183,11 @@ class Model:
     def get_topology_neighbors(self, element: str, relation: str, max_results: int = NEAR) -> DataFrame:
         """Outgoing for directional relations: `above` lists what the element is above."""
         (name,) = graph.known_relations(relation)
+        if name == "aligned_with":
+            own = self.resolve(element)
+            home = self.shapes.where(F.col("id") == own).select("dataset")
+            line = spatial.aligned_to(spatial.main_axes(self.shapes.join(F.broadcast(home), "dataset", "left_semi")), own).select(F.col("b").alias("id"), F.bround("angle", 6).alias("angle"), F.bround("offset", 6).alias("offset"))
+            return self._bounded(self._shown(line), max_results, F.asc("angle"), F.asc("offset"))
         rows = self._shown(self._measured(element, (name,), "out" if name in graph.DIRECTIONAL else "any"))
         return self._bounded(rows, max_results, F.asc_nulls_last("gap"), F.desc_nulls_last("area"))
 

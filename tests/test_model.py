@@ -25,6 +25,7 @@ ROWS = [
     element(7, "R", "IfcRoof", "Roof", "S2", ([-1, -1, 3.5], [6, 6, 4])),
     element(8, "SP", "IfcSpace", "Room 101", "S1", ([0.2, 0.2, 0], [4.8, 3.8, 3])),
     element(9, "T", "IfcAirTerminal", "Outlet", "SP", ([2, 2, 2.5], [2.2, 2.2, 2.7]), {"belongs_to_system": ["Supply Air"]}),
+    element(11, "W3", "IfcWall", "Far wall", None, ([30, 0.05, 0], [35, 0.25, 3]), level="Ground Floor"),
     element(10, "A", "IfcUnitaryEquipment", "Air unit", "S2", ([20, 20, 3], [22, 22, 5]), {"belongs_to_system": ["Supply Air"], "classified_as": ["Pr_70_70"]}),
 ]
 
@@ -46,7 +47,7 @@ def gids(df):
 
 def test_questions(model):
     to, plan = model.ask("How many walls are on the ground floor?")
-    assert to.kind == "sql" and plan.first()[0] == 2
+    assert to.kind == "sql" and plan.first()[0] == 3
     assert model.ask("What is adjacent to the door?")[1] is None
     assert model.ask("What is the total net volume of walls?")[1].first().value == 20.0
 
@@ -55,9 +56,9 @@ def test_containment_actions(model):
     assert gids(model.act("get_elements_in_storey", storey="ground floor")) == ["W1", "D1", "T", "W2"]
     assert gids(model.find_same_storey_elements("W1", "wall")) == ["W2"]
     assert gids(model.find_container_elements_excluding("B", ["S1"])) == ["A", "S2", "R"]
-    assert gids(model.find_elements_by_class("wall")) == ["W1", "W2"]
+    assert gids(model.find_elements_by_class("wall")) == ["W1", "W3", "W2"]
     row = model.find_elements_by_class("wall", 1).first()
-    assert (row.total_found, row.returned_count, row.truncated) == (2, 1, True)
+    assert (row.total_found, row.returned_count, row.truncated) == (3, 1, True)
 
 
 def test_space_actions(model):
@@ -68,6 +69,8 @@ def test_space_actions(model):
     assert "D1" in gids(model.get_topology_neighbors("W1", "intersects_bbox"))
     assert gids(model.spatial_query("W2", 0.1)) == ["W1"]
     assert gids(model.get_intersections_3d("W1")) == []
+    assert gids(model.get_topology_neighbors("W1", "aligned_with")) == ["W3"]
+    assert set(gids(model.find_same_storey_elements("W3"))) == {"W1", "W2", "D1"}
 
 
 def test_network_actions(model):
