@@ -109,6 +109,8 @@ def related(edges: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
 def walk(move: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, id, depth, parent) of what seeds(id) reach by moves (a, b) within a number of levels, by shortest ways; of equal ways the least parent's."""
     move = move.select("a", "b").distinct()
+    if depth > 1:
+        move = kept(move)  # every level reads the moves; their own lineage runs once
     front = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["id"].dataType).alias("parent")).distinct()
     seen = front
     for level in range(1, depth + 1):
