@@ -17,6 +17,7 @@ from . import _text as tx
 from ._common import spare
 
 BITS = 16
+LABELS = 10_000
 
 
 def means(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, grams: tuple[int, ...], fold: bool) -> np.ndarray:
@@ -67,10 +68,15 @@ def fold_of(key: str, folds: int):
 def sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """(key, label) of at most per_label rows of each label, those whose keys hash least: the same ones in every run, wherever the rows lie.
 
-    Only the first per_label rows of a label and task are shuffled.
+    Labels are counted first, and rows whose hash lies beyond what twice the sample needs are left before any row moves, so what is sorted is a few thousand rows
+    a label, however many rows or partitions there are. At most LABELS labels, the most frequent ones, are learned.
     """
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    return rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).drop("_n")
+    rows = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
+    counts = rows.groupBy(label).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), label).limit(LABELS)
+    near = rows.withColumn("_p", place).join(F.broadcast(counts), label).where(F.col("_p") * F.col("_c") <= 2 * per_label + 100)
+    w = Window.partitionBy(label).orderBy("_p", key)
+    return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).select(key, label)
 
 
 def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, bits: int = BITS) -> list:
