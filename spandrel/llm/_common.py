@@ -74,12 +74,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _print(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        # written, so that the join reads both sides by exchanges of its own, which Spark can split at a busy node
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")))
         large = (
             both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = kept(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"))
         small = (
             large.join(least, F.col("u") == F.col("k"))
             .where("v <> m")
