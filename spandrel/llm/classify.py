@@ -83,19 +83,23 @@ def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str
     """(label, features, shares) of the chosen documents, ordered by key, made on the executors; chosen is a bounded sample."""
     # the left side is far larger; only the bounded sample is sent to all executors
     picked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).alias("k"), F.col(label).alias("label"))), "k")
-    kind = picked.schema["label"].dataType.simpleString()
+    kind, id_kind = picked.schema["label"].dataType.simpleString(), "<u2" if bits <= 16 else "<u4"
 
     def run(batches):
         for batch in batches:
             got = [sparse(x, grams, fold, bits) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k"), batch.column("label"), pa.array([i.astype("<u4").tobytes() for i, _ in got], pa.binary()), pa.array([s.astype("<f4").tobytes() for _, s in got], pa.binary())],
+                [batch.column("k"), batch.column("label"), pa.array([i.astype(id_kind).tobytes() for i, _ in got], pa.binary()), pa.array([s.astype("<f4").tobytes() for _, s in got], pa.binary())],
                 names=["k", "label", "ids", "shares"],
             )
 
-    got = picked.select("k", "label", "text").mapInArrow(run, f"k {picked.schema['k'].dataType.simpleString()}, label {kind}, ids binary, shares binary").collect()
-    got.sort(key=lambda r: (r.k, str(r.label), bytes(r.ids)))
-    return [(r.label, np.frombuffer(bytes(r.ids), "<u4"), np.frombuffer(bytes(r.shares), "<f4")) for r in got]
+    schema = f"k {picked.schema['k'].dataType.simpleString()}, label {kind}, ids binary, shares binary"
+    # Arrow buffers that the arrays below only point into: a sample is held once
+    got = picked.select("k", "label", "text").mapInArrow(run, schema).toArrow().combine_chunks()
+    keys, labels, ids, shares = (got.column(c) for c in ("k", "label", "ids", "shares"))
+    rows = [(labels[n].as_py(), np.frombuffer(ids[n].as_buffer(), id_kind), np.frombuffer(shares[n].as_buffer(), "<f4")) for n in range(len(got))]
+    order = sorted(range(len(got)), key=lambda n: (keys[n].as_py(), str(rows[n][0]), rows[n][1].tobytes()))
+    return [rows[n] for n in order]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
