@@ -4,8 +4,8 @@ Documents are dealt by hash into groups of bounded size, packed one by one, so n
 sequence is split: all but its last part fill sequences of their own. The rest, longest first, each go to the open sequence with the least sufficient room, found in a
 segment tree over capacities in as many steps as the window has binary digits.
 
-A group is three files: the matrix of ids (one row per sequence, padded), the cumulative lengths of the segments of each sequence
-(ends on the matrix's flat axis), and the positions, which restart at each segment.
+A group is three files: the matrix of ids (one row per sequence, padded), the cumulative lengths of the segments (their ends on the matrix's flat axis), and the
+position resets: the places on that axis where positions start again from 0, from which ``positions`` makes those of all ids.
 """
 
 from __future__ import annotations
@@ -85,20 +85,28 @@ def best_fit(sizes: list[int], window: int) -> tuple[list[tuple[int, int, int, i
     return pieces, bins
 
 
+def positions(resets: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Position of each id in its segment, on the flat axis of a matrix of that size; 0 for padding."""
+    out = np.zeros(size, np.int64)
+    for start, end in zip(resets.tolist(), ends.tolist(), strict=True):
+        out[start:end] = np.arange(end - start)
+    return out
+
+
 _INDEX = [("key", None), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("group", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("bins", pa.int64()), ("file", pa.string())]
 
 
 def _write(uri: str, window: int, kind: np.dtype, sizes: list[int], ids: list[bytes], pad: int):
     pieces, bins = best_fit(sizes, window)
-    matrix, positions = np.full((bins, window), pad, kind), np.zeros((bins, window), "<u4")
-    ends = np.zeros(len(pieces), "<u8")
+    matrix = np.full((bins, window), pad, kind)
+    ends, resets = np.zeros(len(pieces), "<u8"), np.zeros(len(pieces), "<u8")
     order = sorted(range(len(pieces)), key=lambda p: (pieces[p][3], pieces[p][4]))
     for n, p in enumerate(order):
         k, start, length, bin_, offset = pieces[p]
         matrix[bin_, offset : offset + length] = np.frombuffer(ids[k], kind)[start : start + length]
-        positions[bin_, offset : offset + length] = np.arange(length)
-        ends[n] = bin_ * window + offset + length
-    for name, data in (("ids", matrix), ("segments", ends), ("positions", positions.astype("<u2") if window <= 1 << 16 else positions)):
+        resets[n] = bin_ * window + offset
+        ends[n] = resets[n] + length
+    for name, data in (("ids", matrix), ("segments", ends), ("resets", resets)):
         with _files.create(f"{uri}.{name}") as out:
             out.write(data.tobytes())
     return [pieces[p] for p in order], bins
@@ -149,13 +157,13 @@ def read(index: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZ
         rows = table.select(["bin", "offset", "length"]).to_pydict()
         with _files.open_input(f"{uri}.ids") as f:
             flat = np.frombuffer(f.read(), kind)
-        with _files.open_input(f"{uri}.segments") as f:
-            ends = set(np.frombuffer(f.read(), "<u8").tolist())
+        with _files.open_input(f"{uri}.segments") as f, _files.open_input(f"{uri}.resets") as g:
+            runs = set(zip(np.frombuffer(g.read(), "<u8").tolist(), np.frombuffer(f.read(), "<u8").tolist(), strict=True))
         crc = []
         for bin_, offset, length in zip(rows["bin"], rows["offset"], rows["length"], strict=True):
             at = bin_ * window + offset
-            if at + length not in ends:
-                raise ValueError(f"{uri}: no segment ends at {at + length}")
+            if (at, at + length) not in runs:
+                raise ValueError(f"{uri}: no segment lies at {at}")
             crc.append(zlib.crc32(flat[at : at + length].astype("<u4").tobytes()))
         sequence = pa.array(np.array(rows["bin"], np.int64) + first)
         return pa.table([*(table.column(c) for c in ("key", "start", "length")), pa.array(crc, pa.int64()), table.column("doc_tokens"), sequence, table.column("offset")], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

@@ -87,6 +87,10 @@ def test_best_fit(spark, plain):
     check_pieces(bestfit.round_trip(cases.docs(spark)).collect(), docs, plain, bestfit.WINDOW)
 
 
+def test_positions_restart():
+    assert bestfit.positions(np.array([0, 3, 8]), np.array([3, 5, 10]), 12).tolist() == [0, 1, 2, 0, 1, 0, 0, 0, 0, 1, 0, 0]
+
+
 def test_no_rows(spark):
     assert mixture.pack(cases.empty(spark)).count() == 0
     assert bestfit.round_trip(cases.empty(spark)).count() == 0
