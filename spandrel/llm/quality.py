@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import classify
+from ._common import kept
 
 GRAMS, FOLD_CASE = (3, 4), False
 #: At most so many labelled documents of each label are learned from.
@@ -20,18 +23,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Weights per feature and bias of the odds that the label is 1.
 
     Learns from rows of labels outside fold 0 (crc32 of the key as text, modulo folds) with label 0 or 1, at most per_label each; a key with both labels counts as
-    both. Without rows of both labels every text gets the same score: the share of ones, or one half without any.
+    both. The bias is set to the shares of both labels in all these rows, so that a score means the same whatever the sample takes of each.
+    Without rows of both labels every text gets the same score: the share of ones, or one half without any.
     """
     known = labels.where(F.col(label).isin(0, 1) & (classify.fold_of(key, folds) != 0)).select(key, F.col(label).cast("int").alias("y"))
     # only labels of documents that are here; keys alone are compared
-    known = known.distinct().join(docs.select(key), key, "left_semi")
+    known = kept(known.distinct().join(docs.select(key), key, "left_semi"))
     rows = classify.features(docs, key, text, classify.sample(known, key, "y", per_label), "y", GRAMS, FOLD_CASE)
-    classes = {y for y, _, _ in rows}
+    taken = Counter(y for y, _, _ in rows)
+    classes = set(taken)
     if len(classes) < 2:
         return np.zeros((1 << classify.BITS, 1)), {frozenset(): 0.0, frozenset([0]): -3.0, frozenset([1]): 3.0}[frozenset(classes)]
     weights, bias = classify.train_embeddings(rows, 2)
-    # the sample takes as many of each label as there are; scores are odds for labels as common as in the sample
-    return (weights[:, 1] - weights[:, 0])[:, None], float(bias[1] - bias[0])
+    # learned are odds for labels as common as in the sample; what it takes of each label differs, so the odds are set back to those of all rows
+    every = {r.y: r.n for r in known.where(F.col(key).isNotNull()).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    shift = np.log(every[1] / every[0]) - np.log(taken[1] / taken[0])
+    return (weights[:, 1] - weights[:, 0])[:, None], float(bias[1] - bias[0] + shift)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:

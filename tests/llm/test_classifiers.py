@@ -42,6 +42,23 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert a == b
 
 
+def test_scores_mean_the_same_however_small_the_sample(spark):
+    rnd, rows, labels = random.Random(8), [], []
+    for k in range(800):
+        good = rnd.random() < 0.85
+        # one word in twelve tells, and not for certain: scores lie between 0 and 1
+        words = [rnd.choice("fine good".split() if good == (rnd.random() < 0.7) else "junk spam".split()) if rnd.random() < 0.08 else rnd.choice(LANGS["en"].split()) for _ in range(30)]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def mean(per_label):
+        return np.mean([r.score for r in quality.score(docs, quality.fit(docs, labels, per_label=per_label)).collect()])
+
+    assert abs(mean(2000) - 0.85) < 0.06
+    assert abs(mean(90) - mean(2000)) < 0.12
+
+
 def test_languages_on_held_out_rows(spark):
     docs, _, rows, _ = corpus(spark)
     truth = {r[0]: r[2] for r in rows}
