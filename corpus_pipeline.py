@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.llm import decontaminate, language, minhash, mixture, quality
-from spandrel.llm._common import new_folder, table
+from spandrel.llm._common import new_folder, spare, table
 
 #: A language is rejected if it is unknown or less likely than not.
 LEAST_SCORE = 0.5
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of its own for each row; written and read again, so that a row has the same one wherever it is used."""
+    path = new_folder(docs.sparkSession, "numbered")
+    docs.withColumn(name, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group of near copies."""
-    return _only(docs, minhash.near_duplicates(docs).where("kept"))
+    """Keeps one row of each group of near copies: that with the least doc_id, of those that repeat it that whose text hashes least. Rows without a doc_id are in no group and stay.
+
+    Rows are told apart by numbers of their own, so neither repeated rows nor a doc_id with several texts hide one another.
+    """
+    (own,) = spare("row", taken=docs.columns)
+    rows = _numbered(docs, own)
+    known = rows.where("doc_id IS NOT NULL")
+    groups = minhash.near_duplicates(known, own).select(own, "component_id").join(known.select(own, "doc_id", F.xxhash64("text").alias("_hash")), own)
+    # a partial aggregate, so a large group gathers nowhere
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", own)).alias("_first")).select(F.col("_first")[own].alias(own))
+    stay = first.unionByName(rows.where("doc_id IS NULL").select(own))
+    return rows.join(stay, own, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

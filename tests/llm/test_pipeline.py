@@ -29,6 +29,18 @@ def test_stages_take_effect(spark):
     assert all(r[1] == mixture.WINDOW for r in full[:-1])
 
 
+def test_near_dedup_keeps_one_row_of_each_group_and_rows_without_an_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near, other, lone, last = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(words[::-1]), "a row of its own", "another one of its own"
+    # exact repeated rows; a copy of a smaller doc_id beside another text of its doc_id; no doc_id, with a copied text and with one of its own; no text
+    rows = [(1, text), (1, text), (2, near), (3, lone), (3, near), (4, other), (4, other), (4, other), (5, None), (6, ""), (None, text), (None, text), (None, last)]
+    docs = spark.createDataFrame([(k, t, "en", "s", n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, text), (3, lone), (4, other), (5, None), (6, ""), (None, text), (None, text), (None, last)]
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, text string").collect())
+
+
 def test_run_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in p.STAGES:
