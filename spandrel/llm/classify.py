@@ -69,9 +69,9 @@ def sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     """(key, label) of at most per_label rows of each label, those whose keys hash least: the same ones in every run, wherever the rows lie.
 
     Labels are counted first, and rows whose hash lies beyond what twice the sample needs are left before any row moves, so what is sorted is a few thousand rows
-    a label, however many rows or partitions there are. At most LABELS labels, the most frequent ones, are learned.
+    a label, however many rows or partitions there are. At most LABELS labels, the most frequent ones, are learned. A key counts once for each of its labels.
     """
-    rows = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    rows = rows.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct()
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)) / float(1 << 40)
     counts = rows.groupBy(label).agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), label).limit(LABELS)
     near = rows.withColumn("_p", place).join(F.broadcast(counts), label).where(F.col("_p") * F.col("_c") <= 2 * per_label + 100)
@@ -79,10 +79,16 @@ def sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).select(key, label)
 
 
-def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, bits: int = BITS) -> list:
-    """(label, features, shares) of the chosen documents, ordered by key, made on the executors; chosen is a bounded sample."""
+def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, bits: int = BITS, own: bool = False) -> list:
+    """(label, features, shares) of the chosen documents, ordered by key, made on the executors; chosen is a bounded sample.
+
+    Of several rows with a chosen key one is taken, that whose text hashes least; with own, docs have the label and only rows that have the chosen one count.
+    """
+    on = {"k": F.col(key)} | ({"label": F.col(label)} if own else {})
     # the left side is far larger; only the bounded sample is sent to all executors
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).alias("k"), F.col(label).alias("label"))), "k")
+    picked = docs.select(*[c.alias(n) for n, c in on.items()], F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).alias("k"), F.col(label).alias("label"))), list(on))
+    # a partial aggregate: a key on many rows leaves one in each partition
+    picked = picked.groupBy("k", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     kind, id_kind = picked.schema["label"].dataType.simpleString(), "<u2" if bits <= 16 else "<u4"
 
     def run(batches):

@@ -59,6 +59,18 @@ def test_scores_mean_the_same_however_small_the_sample(spark):
     assert abs(mean(90) - mean(2000)) < 0.12
 
 
+def test_a_repeated_key_is_learned_from_once(spark):
+    # key 1 on many rows, with two texts and two languages
+    rows = [(1, f"the and {k % 2}", "en") for k in range(50)] + [(1, "der und", "de")] * 20 + [(2, "that with", "en"), (3, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string").repartition(5)
+    got = classify.features(docs, "doc_id", "text", classify.sample(docs, "doc_id", "y", 10), "y", (), True, own=True)
+    assert sorted(y for y, _, _ in got) == ["de", "en", "en", "en"]
+    german = classify.sparse("der und", (), True)[0].tolist()
+    assert [i.tolist() for y, i, _ in got if y == "de"] == [german] and german not in [i.tolist() for y, i, _ in got if y == "en"]
+    chosen = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, mark int")
+    assert sorted(y for y, _, _ in classify.features(docs, "doc_id", "text", chosen, "mark", (), True)) == [0, 1, 1]
+
+
 def test_languages_on_held_out_rows(spark):
     docs, _, rows, _ = corpus(spark)
     truth = {r[0]: r[2] for r in rows}
