@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 _U = np.uint64
 _POWER = _U(0x9E3779B97F4A7C15)
 
@@ -101,6 +101,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, fo
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets).astype(np.int64)
 
 
+def runs_of_rows(offsets: np.ndarray, size: int = 1 << 20):
+    """(first, last) of runs of texts of some megabytes, one text at least."""
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        last = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1))
+        yield row, last
+        row = last
+
+
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """For each element, the index of its row."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -118,26 +127,47 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-def feature_ids(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int, ...], fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word and byte n-gram features below 2**bits of some texts, and the row of each; for buffers of bounded size.
+def characters(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A random odd number for each character of some UTF-8 texts, and n + 1 offsets that tell which are whose."""
+    table = byte_values(np.zeros(256, bool), fold)
+    if not (data >= 0x80).any():
+        return table[data], offsets
+    start = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[start]
+    values = table[lead]
+    wide = np.flatnonzero(lead >= 0xC0)
+    code = lead[wide].astype(_U)
+    for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+        more = lead[wide] >= least
+        code[more] = code[more] << _U(8) | data[np.minimum(start[wide[more]] + k, len(data) - 1)]
+    values[wide] = mix(code) | _U(1)
+    return values, np.searchsorted(start, offsets).astype(np.int64)
+
+
+def feature_ids(data: np.ndarray, offsets: np.ndarray, bits: int, grams: tuple[int, ...], fold: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of some texts: (ids, n + 1 offsets) of the words, in the lower half of 2**bits, and of the character n-grams for each n, in the upper half.
 
-    A byte n-gram lies inside one text. Rows are in order within each kind of feature, not over all.
+    An n-gram lies inside one text; blanks are characters too.
     """
-    shift = _U(64 - bits)
+    shift, half = _U(65 - bits), 1 << (bits - 1)
     words, at = word_hashes(data, offsets, BLANK, fold)
-    ids, rows = [(words >> shift).astype(np.int32)], [rows_of(at)]
-    values, of = byte_values(np.zeros(256, bool), fold)[data], rows_of(offsets)
+    kinds = [((words >> shift).astype(np.int32), at)]
+    values, of = characters(data, offsets, fold)
     for n in grams:
-        if len(data) < n:
+        if len(values) < n:
             continue
-        total = np.full(len(data) - n + 1, _U(n), _U)
+        total = np.full(len(values) - n + 1, _U(n), _U)
         for k in range(n):
             total *= _POWER
             total += values[k : k + len(total)]
-        inside = of[: len(total)] == of[n - 1 :]
-        ids.append((mix(total[inside]) >> shift).astype(np.int32))
-        rows.append(of[: len(total)][inside])
-    return np.concatenate(ids), np.concatenate(rows)
+        # a text of c characters has c - n + 1; those that begin near its end belong to none
+        inside = np.ones(len(total), bool)
+        for k in range(1, n):
+            last = of[1:] - k
+            inside[last[(last >= of[:-1]) & (last < len(total))]] = False
+        size = np.append(0, np.cumsum(np.maximum(np.diff(of) - n + 1, 0)))
+        kinds.append(((mix(total[inside]) >> shift).astype(np.int32) + half, size))
+    return kinds
 
 
 def pieces_of_texts(data: np.ndarray, offsets: np.ndarray):

@@ -1,6 +1,6 @@
 """Scoring of whole texts by weights over hashed subword features, and bounded training samples.
 
-A document is the average of its features: words and byte n-grams, hashed. Any linear read-out of an average of
+A document is the average of its features: words and character n-grams, hashed into halves of one table. Any linear read-out of an average of
 vectors is the average of a read-out per feature, so that trained models come down to one small table ``weights[feature, output]``, and a document's outputs are
 the means of its features' rows plus a bias. The table's size is fixed by ``BITS``.
 """
@@ -16,21 +16,24 @@ from pyspark.sql import types as T
 from . import _text as tx
 from ._common import spare
 
-BITS = 16
+BITS = 17
 LABELS = 10_000
 
 
 def means(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, grams: tuple[int, ...], fold: bool) -> np.ndarray:
-    """Mean of the features' weights for each text (rows) and output (columns); 0 where there is no feature."""
-    n, outputs = len(offsets) - 1, weights.shape[1]
-    total, count = np.zeros((n, outputs)), np.zeros(n)
-    bits = int(weights.shape[0]).bit_length() - 1
+    """Mean of the features' weights for each text (rows) and output (columns; rows of weights); 0 where there is no feature."""
+    n, outputs = len(offsets) - 1, len(weights)
+    total, count = np.zeros((outputs, n)), np.zeros(n)
+    bits = int(weights.shape[1]).bit_length() - 1
     for low, high, part, at in tx.pieces_of_texts(data, offsets):
-        ids, rows = tx.feature_ids(part, at, bits, grams, fold)
-        count[low:high] += np.bincount(rows, minlength=high - low)
-        for k in range(outputs):
-            total[low:high, k] += np.bincount(rows, weights=weights[ids, k], minlength=high - low)
-    return total / np.maximum(count, 1)[:, None]
+        for ids, of in tx.feature_ids(part, at, bits, grams, fold):
+            size = np.diff(of)
+            count[low:high] += size
+            some = np.flatnonzero(size)
+            if some.size:
+                for k in range(outputs):
+                    total[k, low + some] += np.add.reduceat(weights[k][ids], of[some], dtype=np.float64)
+    return (total / np.maximum(count, 1)).T
 
 
 def sparse(text: str | None, grams: tuple[int, ...], fold: bool, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -38,26 +41,28 @@ def sparse(text: str | None, grams: tuple[int, ...], fold: bool, bits: int = BIT
     data, offsets = tx.flat(pa.array([text], pa.large_string()))
     total = np.zeros(1 << bits)
     for _, _, part, at in tx.pieces_of_texts(data, offsets):
-        total += np.bincount(tx.feature_ids(part, at, bits, grams, fold)[0], minlength=1 << bits)
+        for found, _ in tx.feature_ids(part, at, bits, grams, fold):
+            total += np.bincount(found, minlength=1 << bits)
     ids = np.flatnonzero(total)
     return ids, total[ids] / max(total.sum(), 1)
 
 
-def scored(docs: DataFrame, text: str, finish, outputs: list[T.StructField], weights: np.ndarray, grams: tuple[int, ...], fold: bool) -> DataFrame:
-    """docs with the text replaced by what finish(texts, means) gives for the outputs, streamed through."""
+def scored(docs: DataFrame, text: str, finish, outputs: list[T.StructField], weights: np.ndarray, grams: tuple[int, ...], fold: bool, keep: bool = False) -> DataFrame:
+    """docs, without the text unless keep is set, with what finish(texts, means) gives for the outputs, streamed through. Columns that clash with an output are dropped."""
     names = {f.name.lower() for f in outputs}
     rest = [c for c in docs.columns if c != text and c.lower() not in names]
-    (own,) = spare("text", taken=rest)
+    (own,) = (text,) if keep else spare("text", taken=[*rest, *names])
     plain = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(own))
-    shipped = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shown = plain.columns if keep else rest
+    shipped = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(weights.T, np.float32))
 
     def run(batches):
         for batch in batches:
             column = batch.column(own)
             values = finish(column, means(*tx.flat(column), shipped.value, grams, fold))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *values], names=[*rest, *(f.name for f in outputs)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in shown), *values], names=[*shown, *(f.name for f in outputs)])
 
-    return plain.mapInArrow(run, T.StructType([*(f for f in plain.schema if f.name != own), *outputs]))
+    return plain.mapInArrow(run, T.StructType([*(f for f in plain.schema if f.name in shown), *outputs]))
 
 
 def fold_of(key: str, folds: int):
@@ -141,6 +146,29 @@ def train_embeddings(rows: list, classes: int, dim: int = 16, epochs: int = 12,
     return (vectors @ out).astype(np.float64), bias.astype(np.float64)
 
 
+def calibrated(margins: np.ndarray, labels: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift that make a logistic of slope * margin + shift the chance of label 1, where ones have that share of all rows; from margins of rows not learned from.
+
+    Logistic regression by Newton's steps with Platt's smoothed targets; each label weighs as much as it has of all rows.
+    """
+    ones, zeros = int((labels == 1).sum()), int((labels == 0).sum())
+    target = np.where(labels == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    weight = np.where(labels == 1, share / ones, (1 - share) / zeros)
+    x = np.stack([margins, np.ones(len(margins))], 1)
+    at = np.array([1.0, np.log(share / (1 - share))])
+    loss = lambda c: float(weight @ (np.logaddexp(0, x @ c) - target * (x @ c)))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (weight * (p - target)))
+        size = 1.0
+        while size > 1e-6 and loss(at - size * step) > loss(at):
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-9:
+            break
+    return max(float(at[0]), 0.05), float(at[1])
+
+
 def train_svm(rows: list, epochs: int = 8, decay: float = 1e-4, scale: float = 16.0, seed: int = 7, bits: int = BITS) -> tuple[np.ndarray, float]:
     """Linear support vector machine on average features by subgradient steps on the hinge loss; rows: (+1 or -1, features, shares)."""
     rng = np.random.default_rng(seed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from itertools import combinations
 
 import numpy as np
@@ -107,16 +108,21 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return Model(classify.features(known, "k", "t", classify.sample(known, "k", "y", per_language), "y", GRAMS, FOLD_CASE, own=True))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without the text, with lang_pred and score (0 to 1); `und` and 0 where the text is null or has no letter, or nothing was learned."""
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: bool = False) -> DataFrame:
+    """docs, without the text unless keep is set, with lang_pred and score (0 to 1); `und` and 0 where the text is null or has no letter, or nothing was learned.
+
+    Of equally likely families or languages the first by name wins; texts of any length are read whole, in slices.
+    """
+    light = copy.copy(model)  # the table is broadcast, not sent with each task
+    light.weights = None
 
     def finish(column, mean):
-        lang, score = model.read(mean)
+        lang, score = light.read(mean)
         known = has_letter(column)
         return [pa.array(np.where(known, lang, UNKNOWN), pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())]
 
     out = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return classify.scored(docs, text, finish, out, model.weights, GRAMS, FOLD_CASE)
+    return classify.scored(docs, text, finish, out, model.weights, GRAMS, FOLD_CASE, keep)
 
 
 def languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -109,7 +109,7 @@ def test_three_languages_of_a_family():
     data = [f"{w} 7" for w in ("the and", "der und", "het en")]
     import pyarrow as pa
 
-    mean = classify.means(*tx.flat(pa.array(data)), model.weights, language.GRAMS, True)
+    mean = classify.means(*tx.flat(pa.array(data)), model.weights.T, language.GRAMS, True)
     assert model.read(mean)[0].tolist() == ["en", "de", "nl"]
 
 
@@ -117,7 +117,7 @@ def test_means_of_long_texts_equal_those_in_one_piece(monkeypatch):
     import pyarrow as pa
 
     text = " ".join(f"word{k % 97}" for k in range(5000))
-    weights = np.random.default_rng(0).normal(size=(1 << 16, 2))
+    weights = np.random.default_rng(0).normal(size=(2, 1 << 16))
     whole = classify.means(*tx.flat(pa.array([text, None, "x"])), weights, (), True)
     monkeypatch.setattr(tx, "SLICE", 1000)
     assert np.allclose(classify.means(*tx.flat(pa.array([text, None, "x"])), weights, (), True), whole)
