@@ -79,6 +79,37 @@ def test_large_blocks_are_tiled(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_a_key_with_several_texts_is_one_row_for_each(spark):
+    text, near, other = cases.BASE, cases.BASE + " eleven", " ".join(cases.BASE.split()[::-1])
+    docs = spark.createDataFrame([("b", text), ("a", other), ("b", other), ("c", near), ("b", None)], "doc_id string, text string")
+    got = sorted(map(str, ((r.doc_id, r.component_id, r.n_shingles) for r in m.near_duplicates(docs).collect())))
+    n = len(shingles(text))
+    assert got == sorted(map(str, [("b", "b", n), ("a", "a", n), ("b", "a", n), ("c", "b", n + 1), ("b", "b", 0)]))
+
+
+def test_short_texts_are_found_exactly(spark):
+    rnd, rows = random.Random(9), []
+    for _ in range(60):
+        base = [f"{rnd.randrange(10**6)}" for _ in range(rnd.randrange(4, 25))]
+        for more in ([], ["x"], ["x", "y"]):
+            rows.append((len(rows), " ".join(base + more)))
+    check(spark, rows)
+
+
+def test_mixed_buckets_are_tiled(spark, monkeypatch):
+    # many texts share a passage but for different shares, so buckets hold several classes
+    monkeypatch.setattr(m, "TILE_DOCS", 6)
+    rnd = random.Random(10)
+    passage = [f"{rnd.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for k in range(80):
+        tail = [f"{rnd.randrange(10**6)}" for _ in range(rnd.choice((5, 10, 15, 40)))]
+        rows.append((k, " ".join(passage + tail)))
+        if k % 3 == 0:
+            rows.append((1000 + k, " ".join(passage + tail + ["end"])))
+    check(spark, rows)
+
+
 def test_no_rows(spark):
     assert m.near_duplicates(cases.empty(spark)).count() == 0
 
