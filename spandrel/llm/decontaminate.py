@@ -2,16 +2,19 @@
 
 Each batch of documents is a shard. Its suffixes that share their first two words with a test suffix (others
 cannot match) are sorted into a word-level suffix array, and every test suffix is searched in it by bisection;
-the range found holds all places where its first ten words occur. Runs of neighbouring places are merged to the
-longest verbatim matches. Documents are only streamed through: nothing is shuffled.
+the range found holds all places where its first ten words occur. Order beyond these words is not needed: a longer match is a run of
+successive test suffixes found at successive places, and such runs, extended to both sides as far as they go, are the longest verbatim matches, with their
+places in the document and in the test text. Documents are only streamed through: nothing is shuffled.
 
-Benchmark texts are a stated query set, taken in blocks of at most ``BLOCK`` words: with more words than that, the documents
+Benchmark texts are a stated query set, taken in blocks of at most ``BLOCK`` words, an item in one of them: with more words than that, the documents
 are streamed once for each block and the hits of a document are merged. A shipped block is thus bounded, however
 long the benchmark grows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,12 +26,15 @@ from ._common import kept, spare
 
 WINDOW = 10
 BLOCK = 2_000_000
+#: Bytes of text of a shard, a document at least.
+SHARD = 1 << 22
 
+_MATCH = T.StructType([T.StructField("item", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("doc_word", "item_word", "n_words")])
 _HITS = [
     T.StructField("n_words", T.LongType()),
     T.StructField("n_hit", T.LongType()),
     T.StructField("spans", T.BinaryType()),
-    T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("longest", T.ArrayType(_MATCH)),
 ]
 
 
@@ -57,6 +63,7 @@ class TestSuffixes:
             owners.append(np.full(len(grid), k))
             places.append(np.arange(len(grid)))
         self.names = names
+        self.name_ids = np.unique(np.array(names, object), return_inverse=True)[1] if names else np.zeros(0, np.int64)
         self.keys = np.concatenate([*keys, np.zeros((0, window))]).astype(">u4")
         self.lengths, self.owners, self.places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lengths, owners, places))
         wide = self.lengths > 1
@@ -126,12 +133,37 @@ def _spans(test: np.ndarray, place: np.ndarray, width: np.ndarray) -> np.ndarray
     return np.stack([place[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(place) - 1)]], 1)
 
 
-def _hits(tests: TestSuffixes, batches, text: str):
-    schema = None
+def _runs(tests: TestSuffixes, test: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, row of the test texts, document's word, test text's word, words) of the matches that can't be extended."""
+    doc = np.searchsorted(at, place, "right") - 1
+    owner, spot = tests.owners[test], tests.places[test]
+    order = np.lexsort((place, spot - place, owner, doc))
+    doc, owner, spot, place, width = (x[order] for x in (doc, owner, spot, place, tests.lengths[test]))
+    same = (np.diff(doc) == 0) & (np.diff(owner) == 0) & (np.diff(spot - place) == 0) & (np.diff(place) == 1)
+    first = np.flatnonzero(np.append(True, ~same))
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], owner[first], place[first] - at[doc[first]], spot[first], place[last] - place[first] + width[first]
+
+
+def _longest(tests: TestSuffixes, test: np.ndarray, place: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For each document the longest match with each item it holds, of equal ones the first."""
+    docs, kind = len(at) - 1, pa.struct([("item", pa.string()), *((n, pa.int64()) for n in ("doc_word", "item_word", "n_words"))])
+    if not len(test):
+        return pa.array([[]] * docs, pa.list_(kind))
+    doc, owner, word, spot, size = _runs(tests, test, place, at)
+    item = tests.name_ids[owner]
+    order = np.lexsort((spot, word, -size, item, doc))
+    fresh = np.append(True, (np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0))
+    doc, owner, word, spot, size = (x[order][fresh] for x in (doc, owner, word, spot, size))
+    values = pa.StructArray.from_arrays([pa.array([tests.names[x] for x in owner], pa.string()), *(pa.array(x.astype(np.int64)) for x in (word, spot, size))], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=docs))), pa.int32()), values)
+
+
+def _hits(tests: TestSuffixes, batches, text: str, keep: bool):
     for batch in batches:
         data, offsets = tx.flat(batch.column(text))
-        counts, hit, spans, items = [], [], [], []
-        for low, high in _shards(offsets):
+        counts, hit, spans, longest = [], [], [], []
+        for low, high in tx.runs_of_rows(offsets, SHARD):
             words, at = tx.word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], tx.NOT_ALNUM)
             counts.append(np.diff(at))
             test, place = tests.search(words, at)
@@ -141,113 +173,94 @@ def _hits(tests: TestSuffixes, batches, text: str):
                 ranges = _spans(test[mine], place[mine], tests.lengths) - at[k]
                 hit.append(int((ranges[:, 1] - ranges[:, 0]).sum()))
                 spans.append(ranges.astype("<i8").tobytes())
-                items.append([tests.names[x] for x in np.unique(tests.owners[test[mine]])] if cut[k] < cut[k + 1] else [])
-        rest = [batch.column(c) for c in batch.schema.names if c != text]
-        schema = schema or [c for c in batch.schema.names if c != text]
+            longest.append(_longest(tests, test, place, at))
+        shown = [c for c in batch.schema.names if keep or c != text]
+        made = pa.concat_arrays(longest) if longest else pa.array([], pa.list_(pa.struct([("item", pa.string()), *((n, pa.int64()) for n in ("doc_word", "item_word", "n_words"))])))
         yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(np.concatenate(counts or [np.zeros(0, np.int64)]), pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-            names=[*schema, "n_words", "n_hit", "spans", "items"],
+            [*(batch.column(c) for c in shown), pa.array(np.concatenate(counts or [np.zeros(0, np.int64)]), pa.int64()), pa.array(hit, pa.int64()), pa.array(spans, pa.binary()), made],
+            names=[*shown, *(f.name for f in _HITS)],
         )
 
 
-def _shards(offsets: np.ndarray):
-    """Runs of documents of some megabytes, one at least."""
-    row, n = 0, len(offsets) - 1
-    while row < n:
-        last = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + 4 * tx.SLICE, "right")) - 1))
-        yield row, last
-        row = last
-
-
-def _merged(rows) -> tuple[int, bytes, list[str]]:
+def _merged(rows) -> tuple[int, bytes, list]:
     spans = np.concatenate([np.frombuffer(bytes(r.spans), "<i8").reshape(-1, 2) for r in rows])
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     merged = _spans(np.arange(len(spans)), spans[:, 0], spans[:, 1] - spans[:, 0])
-    return int((merged[:, 1] - merged[:, 0]).sum()), merged.astype("<i8").tobytes(), sorted({x for r in rows for x in r.items})
+    best: dict[str, tuple] = {}
+    for m in (tuple(x) for r in rows for x in r.longest):
+        best[m[0]] = min(best.get(m[0], m), m, key=lambda x: (-x[3], x[1], x[2]))
+    return int((merged[:, 1] - merged[:, 0]).sum()), merged.astype("<i8").tobytes(), list(best.values())
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK, keep: bool = False
 ) -> DataFrame:
-    """Each row of docs without its text, with the benchmark passages in it.
+    """Each row of docs, without its text unless keep is set, with the benchmark passages in it.
 
     A-Z are lower-cased; words are runs of ASCII letters and digits and of characters beyond ASCII. A window is `window` successive words of a
     test text; a shorter text is one window. Adds n_words, n_hit (words inside an occurrence of a window), spans (merged ranges of word numbers,
-    begin and end as little-endian 64-bit pairs), items (sorted names of the test texts found) and contaminated (n_hit > 0).
+    begin and end as little-endian 64-bit pairs), longest (for each test text found its longest verbatim match: item, doc_word, item_word, n_words; of equal ones the first),
+    items (their sorted names) and contaminated (n_hit > 0).
 
     Null and empty texts have no words and no hits. Test rows without name or text are left out; rows that repeat a name are windows of
     one item. An empty benchmark hits nothing. Repeated rows each get their result. Columns of docs that clash with an added
     one are dropped.
     """
-    made = {"n_words", "spans", "items", "n_hit", "contaminated"}
+    made = {"n_words", "spans", "longest", "items", "n_hit", "contaminated"}
     rest = [c for c in docs.columns if c.lower() not in made and c != text]
-    plain = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(own := spare("text", taken=rest)[0]))
+    (own,) = (text,) if keep else spare("text", taken=[*rest, *made])
+    plain = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias(own))
     blocks = _blocks(benchmark, item, item_text, window, block)
 
     def run(tests: TestSuffixes, of: DataFrame) -> DataFrame:
         shipped = of.sparkSession.sparkContext.broadcast(tests)
-        fields = [f for f in of.schema if f.name != own]
-        return of.mapInArrow(lambda batches: _hits(shipped.value, batches, own), T.StructType([*fields, *_HITS]))
+        fields = [f for f in of.schema if keep or f.name != own]
+        return of.mapInArrow(lambda batches: _hits(shipped.value, batches, own, keep), T.StructType([*fields, *_HITS]))
 
     first = next(blocks)
     more = next(blocks, None)
     if more is None:
-        out = run(first, plain).withColumn("items", F.array_sort(F.array_distinct("items")))
+        out = run(first, plain)
     else:
         (key,) = spare("row", taken=[*plain.columns, *made])
         plain = kept(plain.withColumn(key, F.monotonically_increasing_id()))
         parts = [run(x, plain) for x in (first, more, *blocks)]
-        hits = parts[0].select(key, "spans", "items")
+        hits = parts[0].select(key, "spans", "longest")
         for p in parts[1:]:
-            hits = hits.unionByName(p.select(key, "spans", "items"))
-        merge = F.udf(_merged, "n_hit long, spans binary, items array<string>")
-        hits = hits.where(F.length("spans") > 0).groupBy(key).agg(merge(F.collect_list(F.struct("spans", "items"))).alias("m"))
-        out = parts[0].drop("n_hit", "spans", "items").join(hits, key, "left").withColumns(
-            {"n_hit": F.coalesce("m.n_hit", F.lit(0).cast("long")), "spans": F.coalesce("m.spans", F.lit(b"")), "items": F.coalesce("m.items", F.array().cast("array<string>"))}
+            hits = hits.unionByName(p.select(key, "spans", "longest"))
+        merge = F.udf(_merged, T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("spans", T.BinaryType()), T.StructField("longest", T.ArrayType(_MATCH))]))
+        hits = hits.where(F.length("spans") > 0).groupBy(key).agg(merge(F.collect_list(F.struct("spans", "longest"))).alias("m"))
+        out = parts[0].drop("n_hit", "spans", "longest").join(hits, key, "left").withColumns(
+            {"n_hit": F.coalesce("m.n_hit", F.lit(0).cast("long")), "spans": F.coalesce("m.spans", F.lit(b"")), "longest": F.coalesce("m.longest", F.array().cast(T.ArrayType(_MATCH)))}
         ).drop("m", key)
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    return out.withColumns({"items": F.array_sort(F.transform("longest", lambda m: m["item"])), "contaminated": F.col("n_hit") > 0})
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Longest verbatim matches of at least a window: (key, item, doc_word, item_word, n_words), whole words counted from 0.
-
-    One row for each run that can't be extended on either side; for a benchmark of at most one block.
-    """
-    blocks = list(_blocks(benchmark, item, item_text, window, BLOCK))
-    if len(blocks) > 1:
-        raise ValueError("the benchmark exceeds one block; call this once for each part of it")
-    shipped = docs.sparkSession.sparkContext.broadcast(blocks[0])
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = plain.schema["key"].dataType.simpleString()
-
-    def found(batches):
-        tests = shipped.value
-        for batch in batches:
-            data, offsets = tx.flat(batch.column("text"))
-            for low, high in _shards(offsets):
-                words, at = tx.word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], tx.NOT_ALNUM)
-                test, place = tests.search(words, at)
-                if not len(test):
-                    continue
-                doc = np.searchsorted(at, place, "right") - 1
-                owner, spot = tests.owners[test], tests.places[test]
-                order = np.lexsort((place, spot - place, owner, doc))
-                doc, owner, spot, place, width = (x[order] for x in (doc, owner, spot, place, tests.lengths[test]))
-                same = (np.diff(doc) == 0) & (np.diff(owner) == 0) & (np.diff(spot - place) == 0) & (np.diff(place) == 1)
-                first = np.flatnonzero(np.append(True, ~same))
-                last = np.append(first[1:], len(doc)) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("key").take(pa.array(doc[first] + low)),
-                        pa.array([tests.names[x] for x in owner[first]], pa.string()),
-                        pa.array(place[first] - at[doc[first]], pa.int64()),
-                        pa.array(spot[first], pa.int64()),
-                        pa.array(place[last] - place[first] + width[first], pa.int64()),
-                    ],
-                    names=["key", "item", "doc_word", "item_word", "n_words"],
-                )
-
-    return plain.mapInArrow(found, f"key {kind}, item string, doc_word long, item_word long, n_words long")
+def longest_matches(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK
+) -> DataFrame:
+    """All verbatim matches of at least a window that can't be extended on either side: (key, item, doc_word, item_word, n_words), words counted from 0."""
+    plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([plain.schema["key"], *_MATCH])
+
+    def run(tests: TestSuffixes) -> DataFrame:
+        shipped = docs.sparkSession.sparkContext.broadcast(tests)
+
+        def found(batches):
+            held = shipped.value
+            for batch in batches:
+                data, offsets = tx.flat(batch.column("text"))
+                for low, high in tx.runs_of_rows(offsets, SHARD):
+                    words, at = tx.word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], tx.NOT_ALNUM)
+                    test, place = held.search(words, at)
+                    if len(test):
+                        doc, owner, word, spot, size = _runs(held, test, place, at)
+                        names = pa.array([held.names[x] for x in owner], pa.string())
+                        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(doc + low)), names, *(pa.array(x.astype(np.int64)) for x in (word, spot, size))], names=schema.names)
+
+        return plain.mapInArrow(found, schema)
+
+    return reduce(DataFrame.unionByName, [run(tests) for tests in _blocks(benchmark, item, item_text, window, block)])
 
 
 def digest(hits: DataFrame) -> DataFrame:

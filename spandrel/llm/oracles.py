@@ -35,7 +35,7 @@ OP8 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x
 _WORDS = f"regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w"
 
 OP10 = f"""WITH b AS (SELECT item_id, {_WORDS} FROM benchmark WHERE item_id IS NOT NULL), d AS (SELECT doc_id, {_WORDS} FROM documents),
- bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM b, range(1, 100000) x(i) WHERE len(w) > 0 AND i <= len(w) - least(10, len(w)) + 1),
+ bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
  ks AS (SELECT DISTINCT k FROM bw), dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), ks WHERE i <= len(w) - k + 1),
  h AS (SELECT doc_id, item_id, i, k FROM dw JOIN bw USING (k, g)), m AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY 1),
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY 1)

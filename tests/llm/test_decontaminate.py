@@ -51,8 +51,19 @@ def test_no_rows(spark):
     assert d.decontaminate(cases.docs(spark), benchmark).where("contaminated").count() == 0
 
 
-def test_longest_matches(spark):
+@pytest.mark.parametrize("block", [d.BLOCK, 20])
+def test_longest_matches(spark, block):
     w = [f"w{k}" for k in range(40)]
     docs = spark.createDataFrame([(1, " ".join(["pre", *w[5:30], "post", *w[0:12]]))], "doc_id long, text string")
-    bench = spark.createDataFrame([(9, " ".join(w))], "item_id long, text string")
-    assert sorted(map(tuple, d.longest_matches(docs, bench).collect())) == [(1, "9", 1, 5, 25), (1, "9", 27, 0, 12)]
+    bench = spark.createDataFrame([(9, " ".join(w)), (8, " ".join(w[20:32])), (8, "post w0")], "item_id long, text string")
+    got = sorted(map(tuple, d.longest_matches(docs, bench, block=block).collect()))
+    assert got == [(1, "8", 16, 0, 10), (1, "8", 26, 0, 2), (1, "9", 1, 5, 25), (1, "9", 27, 0, 12)]
+    (row,) = d.decontaminate(docs, bench, block=block).collect()
+    assert sorted(map(tuple, row.longest)) == [("8", 16, 0, 10), ("9", 1, 5, 25)] and row["items"] == ["8", "9"]
+
+
+def test_columns_that_clash_go_and_the_text_can_stay(spark):
+    docs = spark.createDataFrame([(1, "x y", [1], 7)], "doc_id long, text string, items array<int>, n_words int")
+    bench = spark.createDataFrame([(9, "y")], "item_id long, text string")
+    (row,) = d.decontaminate(docs, bench, keep=True).collect()
+    assert (row.text, row["items"], row.n_words) == ("x y", ["9"], 2)
