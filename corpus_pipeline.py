@@ -1,6 +1,6 @@
 """From raw documents to packed sequences: language, quality, near-duplicates, benchmark passages, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents, extra ones too, whatever their names.
 """
 
 from __future__ import annotations
@@ -9,12 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spandrel.llm import decontaminate, language, minhash, mixture, quality
-from spandrel.llm._common import new_folder, spare, table
+from spandrel.llm._common import new_folder, table
 
 #: A language is rejected if it is unknown or less likely than not.
 LEAST_SCORE = 0.5
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with columns named by their places, so that none clashes with what an operator adds, and the names of doc_id and text."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names."""
+    return rows.select(*[F.col(f"c{k}").alias(name) for k, name in enumerate(docs.columns)])
+
+
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a number of its own for each row; written and read again, so that a row has the same one wherever it is used."""
     path = new_folder(docs.sparkSession, "numbered")
@@ -24,16 +35,16 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is less likely than not."""
-    model = language.fit(docs)
-    judged = language.identify(docs.withColumn("_text", F.col("text")), model, "_text")
-    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows, _, text = _apart(docs)
+    judged = language.identify(rows, language.fit(docs), text, keep=True)
+    return _back(judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is below the threshold."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    judged = quality.score(docs.withColumn("_text", F.col("text")), model, "_text")
-    return judged.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    rows, _, text = _apart(docs)
+    judged = quality.score(rows, quality.fit(docs, table(spark, sf_dir, "labels")), text, keep=True)
+    return _back(judged.where(F.col("score") >= quality.THRESHOLD), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,20 +52,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by numbers of their own, so neither repeated rows nor a doc_id with several texts hide one another.
     """
-    (own,) = spare("row", taken=docs.columns)
-    rows = _numbered(docs, own)
-    known = rows.where("doc_id IS NOT NULL")
-    groups = minhash.near_duplicates(known, own).select(own, "component_id").join(known.select(own, "doc_id", F.xxhash64("text").alias("_hash")), own)
+    rows, key, text = _apart(docs)
+    rows = _numbered(rows, "own")
+    known = rows.where(F.col(key).isNotNull())
+    groups = minhash.near_duplicates(known, "own", text).select("own", "component_id").join(known.select("own", key, F.xxhash64(text).alias("hash")), "own")
     # a partial aggregate, so a large group gathers nowhere
-    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "_hash", own)).alias("_first")).select(F.col("_first")[own].alias(own))
-    stay = first.unionByName(rows.where("doc_id IS NULL").select(own))
-    return rows.join(stay, own, "left_semi").select(*docs.columns)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(key, "hash", "own")).alias("first")).select(F.col("first.own").alias("own"))
+    stay = first.unionByName(rows.where(F.col(key).isNull()).select("own"))
+    return _back(rows.join(stay, "own", "left_semi"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    judged = decontaminate.decontaminate(docs.withColumn("_text", F.col("text")), table(spark, sf_dir, "benchmark"), text="_text")
-    return judged.where("NOT contaminated").select(*docs.columns)
+    rows, _, text = _apart(docs)
+    judged = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), text=text, keep=True)
+    return _back(judged.where("NOT contaminated"), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +82,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Trained models and tokenizers are beyond SQL; tests hold run() against brute force.
+#: Trained models and tokenizers are beyond SQL; tests hold the stages against brute force on a small fixture, given the models' scores.
 ORACLE_SQL = None
 
 
