@@ -1,11 +1,12 @@
 import hashlib
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
 
 from spandrel.llm import embeddings, urls, warc
-from spandrel.llm._common import components, new_folder
+from spandrel.llm._common import Scratch, components, new_folder
 
 
 def brute(rows):
@@ -26,6 +27,7 @@ def brute(rows):
 
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "BLOCK_BITS", 1)
     rng, rows = np.random.default_rng(3), []
     for c in range(12):
         centre = rng.normal(size=24)
@@ -43,6 +45,24 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(d.limit(0)).count() == 0
 
 
+def test_vectors_with_text_keys_labels_and_clashing_columns(spark):
+    rows = [("a", [1.0, 0.0], "x", 1, "n"), ("b", [2.0, 0.001], "x", 1, "n"), ("c", [2.0, 0.001], "y", 1, "n"), ("d", [0.0, 1.0], "x", 1, "n"), (None, [1.0, 0.0], "x", 1, "n")]
+    d = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label string, n_links int, node string")
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(d).collect()}
+    assert got == {("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True), ("d", 0, "d", True), (None, 0, None, True)}
+
+
+def test_long_vectors_and_leading_axes():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 700)) * np.linspace(2, 0.1, 700)
+    a = np.concatenate([base, base + rng.normal(size=base.shape) * 0.08])
+    u = a / np.linalg.norm(a, axis=1, keepdims=True)
+    rotation = embeddings.axes(a)
+    assert rotation.shape[1] <= embeddings.AXES and np.allclose(rotation.T @ rotation, np.eye(rotation.shape[1]))
+    for t in (0.9, 0.98, 0.99):
+        assert (embeddings.linked(a, a, rotation, t) == (u @ u.T >= t)).all()
+
+
 def test_linked_equals_plain_cosine():
     rng = np.random.default_rng(4)
     a = rng.normal(size=(80, 40)) * np.linspace(3, 0.1, 40)
@@ -54,9 +74,12 @@ def test_linked_equals_plain_cosine():
 
 def test_components(spark):
     rows = [(k, k + 1) for k in range(1, 40)] + [(100, 102), (101, 102), (102, 102), (500, 499)]
-    got = dict(map(tuple, components(spark.createDataFrame(rows, "a long, b long")).collect()))
-    assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100, 499: 499, 500: 499}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with Scratch(spark) as scratch:
+        got = dict(map(tuple, components(spark.createDataFrame(rows, "a long, b long"), scratch).collect()))
+        assert got == {**{k: 1 for k in range(1, 41)}, 100: 100, 101: 100, 102: 100, 499: 499, 500: 499}
+        assert components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+        (path,) = {p.rsplit("/", 1)[0] for _, p in scratch.held.values()}
+    assert not os.path.exists(path.removeprefix("file://"))
 
 
 URLS = [
@@ -124,7 +147,6 @@ def test_warc(spark):
 
 
 def test_seek_table():
-    import os
     import tempfile
 
     import zstandard
