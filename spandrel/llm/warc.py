@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _files
-from ._common import new_folder
+from ._common import kept, new_folder
 
 #: Payloads shorter than this are never revisited.
 LEAST = 1000
@@ -136,18 +136,19 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
     Of equal payloads (SHA-1 and length) of at least `least` bytes the one with the largest key is a response, the others are revisits of it. Rows that
     repeat that key are all responses. A null payload is empty; a null URL is left out; a null key gives an identifier without number, and its record is a response
-    unless a row with a key has its payload. Other columns play no part.
+    unless a row with a key has its payload. Keys must be whole numbers, as record identifiers are made of them. Payloads and URLs of any length are stored whole; other columns play no part,
+    whatever their names.
     """
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).alias("url"), body.alias("body"), F.length(body).cast("long").alias("n"), F.sha1(body).alias("digest"))
+    body = F.coalesce(F.col(f"`{payload}`"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(f"`{key}`").cast("long").alias("page"), F.col(f"`{url}`").alias("url"), body.alias("body"), F.length(body).cast("long").alias("n"), F.sha1(body).alias("digest"))
     first = (
         rows.where(F.col("n") >= least).groupBy(F.col("digest").alias("d"), F.col("n").alias("m")).agg(F.max("page").alias("largest"), F.count("*").alias("c")).where("c > 1").drop("c")
     )
-    # payloads too short to count get keys of their own, so they spread
-    rows = rows.withColumn("k", F.when(F.col("n") >= least, F.col("digest")).otherwise(F.concat_ws(":", F.lit("own"), F.col("page"))))
-    joined = rows.join(first, (F.col("k") == F.col("d")) & (F.col("n") == F.col("m")), "left")
-    refers = F.when(F.col("largest").isNotNull() & ~F.col("page").eqNullSafe(F.col("largest")), F.col("largest"))
-    joined = joined.select("page", "url", "body", "digest", refers.alias("refers"))
+    # only digests and keys are joined on a digest, which may be common; payloads are joined on their own key
+    slim = pages.select(F.col(f"`{key}`").cast("long").alias("page"), F.length(body).cast("long").alias("n"), F.sha1(body).alias("digest")).where(F.col("n") >= least)
+    again = slim.join(first, (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m"))).where(~F.col("page").eqNullSafe(F.col("largest"))).select(F.coalesce("page", F.lit(-1)).alias("p"), F.col("page").isNull().alias("none"), F.col("digest").alias("d"), F.col("largest").alias("refers")).distinct()
+    joined = rows.join(again, (F.coalesce("page", F.lit(-1)) == F.col("p")) & (F.col("page").isNull() == F.col("none")) & (F.col("digest") == F.col("d")), "left")
+    joined = joined.select("page", "url", "body", "digest", "refers")
 
     def run(batches):
         writer = None
@@ -176,7 +177,7 @@ def read(index: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the bundles in an index, bundle by bundle; a revisit's size and digest are those its headers state, a response's are taken from its payload."""
     bundles = index.select("bundle").distinct()
     n = bundles.count()
-    folders = bundles.repartition(max(1, min(n, 10_000)), "bundle")
+    folders = bundles.repartition(max(1, min(n, 10_000)))  # dealt in turn: a few names would fall unevenly by hash
 
     def run(batches):
         for batch in batches:
@@ -214,7 +215,17 @@ def fetch(spark: SparkSession, index: DataFrame, key: int) -> bytes | None:
     return fetch(spark, index, key_of(refers)) if refers else record["payload"]
 
 
+def resolved(records: DataFrame) -> DataFrame:
+    """Records without payloads, a revisit with the size of the response it refers to; fails where that response isn't there, or has another digest or size than the revisit states."""
+    held = kept(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    response = held.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("stored")).distinct()
+    revisit = held.where("record_type = 'revisit'").join(response, ["refers_to", "payload_digest"], "left")
+    wrong = F.raise_error(F.concat(F.lit("no response of page "), F.col("refers_to").cast("string"), F.lit(" has the payload of a revisit"))).cast("long")
+    revisit = revisit.withColumn("payload_bytes", F.when(F.col("stored") == F.col("payload_bytes"), F.col("stored")).otherwise(wrong))
+    return held.where("record_type = 'response'").unionByName(revisit.select(*held.columns))
+
+
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """Writes the pages' archives to the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     index = write(pages, new_folder(pages.sparkSession, "warc"), key, url, payload)
-    return read(index, payloads=False).drop("payload", "url")
+    return resolved(read(index, payloads=False))

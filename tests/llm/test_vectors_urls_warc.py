@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from spandrel.llm import embeddings, urls, warc
 from spandrel.llm._common import Scratch, components, new_folder
@@ -108,12 +109,41 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(d.where("page_id = 8")).collect()} == {"allow"}
 
 
+def plain_witten_bell(texts, symbols):
+    """Log-probability of a symbol (the last) after others, by plain counting."""
+    grams = [tuple(s[k : k + urls.ORDER + 1]) for s in symbols(texts) for k in range(len(s) - urls.ORDER)]
+
+    def p(context, symbol):
+        if context is None:
+            return 1 / urls.SYMBOLS
+        shorter = p(context[1:] if context else None, symbol)
+        after = [g[-1] for g in grams if not context or g[urls.ORDER - len(context) : urls.ORDER] == context]
+        return (after.count(symbol) + len(set(after)) * shorter) / (len(after) + len(set(after))) if after else shorter
+
+    return lambda gram: math.log(p(gram[:-1], gram[-1]))
+
+
 def test_character_models_equal_plain_counts():
-    texts = ["http://a.org/x1", "ab", "ab?c"]
+    table = urls._symbols()
+    symbols = lambda texts: [[0] * urls.ORDER + table[np.frombuffer(t.encode(), np.uint8)].tolist() + [urls._END] for t in texts]
+    texts, asked = ["http://a.org/x1", "ab", "ab?c", "abé", "aba"], ["ab", "abx/1", "é?", ""]
     numbers, row = urls.codes(pa.array([*texts, None]))
-    assert np.bincount(row).tolist() == [len(t) + 1 for t in [*texts, ""]]
-    p = urls.log_probabilities(np.bincount(numbers, minlength=40**4))
-    assert np.allclose(np.exp(p).reshape(-1, 40).sum(axis=1), 1)
+    assert np.bincount(row).tolist() == [len(t.encode()) + 1 for t in [*texts, ""]]
+    model = urls.Markov(*np.unique(urls.codes(pa.array(texts))[0], return_counts=True))
+    want = plain_witten_bell(texts, symbols)
+    for text, s in zip(asked, symbols(asked), strict=True):
+        got = model.log_probability(urls.codes(pa.array([text]))[0])
+        assert np.allclose(got, [want(tuple(s[k : k + urls.ORDER + 1])) for k in range(len(s) - urls.ORDER)])
+    context = urls.codes(pa.array(["abab"]))[0][3] >> urls.BITS << urls.BITS
+    assert abs(np.exp(model.log_probability(context + np.arange(urls.SYMBOLS))).sum() - 1) < 1e-9
+
+
+def test_scores_are_differences_of_both_models():
+    good, bad = (urls.Markov(*np.unique(urls.codes(pa.array(t))[0], return_counts=True)) for t in (["http://good.org/a"], ["http://bad.net/b"]))
+    ratio = urls.Ratio(good, bad)
+    for text in ("http://good.org/b", "", None, "x" * 70_000):
+        numbers = urls.codes(pa.array([text], pa.string()))[0]
+        assert abs(ratio.scores(pa.array([text], pa.string()))[0] - (good.log_probability(numbers) - bad.log_probability(numbers)).mean()) < 1e-9
 
 
 def test_url_models_generalise(spark):
@@ -146,6 +176,16 @@ def test_warc(spark):
     assert warc.round_trip(d.limit(0)).count() == 0
 
 
+def test_round_trip_resolves_revisits(spark):
+    rows = [(1, "u", "x" * 2000, 5, "a"), (2, "v", "x" * 2000, 5, "a"), (2, "v", "x" * 2000, 5, "a"), (3, "w", "short", 5, "a"), (None, "w", "x" * 2000, 5, "a"), (4, "z" * 5000, None, 5, "a")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to int, digest string")
+    got = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(d).collect())
+    assert got == [(0, 2000, "revisit", 2), (1, 2000, "revisit", 2), (2, 2000, "response", 0), (2, 2000, "response", 0), (3, 5, "response", 0), (4, 0, "response", 0)]
+    lost = spark.createDataFrame([(1, 2000, "d", "revisit", 9)], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    with pytest.raises(Exception, match="no response of page 9"):
+        warc.resolved(lost).collect()
+
+
 def test_seek_table():
     import tempfile
 
