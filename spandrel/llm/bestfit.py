@@ -116,9 +116,9 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """Writes the packed groups below folder and returns the index of pieces: key, doc_tokens, start, length, group, bin, offset, bins (of the group), file.
 
     Null and empty texts are one token, end_id. Repeated rows are packed as often as they come; no rows write nothing. A file's name is new for every attempt of a
-    task; only those in the index count. Other columns play no part.
+    task; only those in the index count. Texts of any length are packed whole; other columns play no part, whatever their names.
     """
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    plain = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     total = plain.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     group_bytes = group_bytes or min(max(total // int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), GROUP_BYTES[0]), GROUP_BYTES[1])
     groups = int(total // group_bytes) + 1
@@ -158,12 +158,13 @@ def read(index: DataFrame, window: int = WINDOW, tokenizer: str = tokens.TOKENIZ
         with _files.open_input(f"{uri}.ids") as f:
             flat = np.frombuffer(f.read(), kind)
         with _files.open_input(f"{uri}.segments") as f, _files.open_input(f"{uri}.resets") as g:
-            runs = set(zip(np.frombuffer(g.read(), "<u8").tolist(), np.frombuffer(f.read(), "<u8").tolist(), strict=True))
+            place = positions(np.frombuffer(g.read(), "<u8"), np.frombuffer(f.read(), "<u8"), len(flat))
         crc = []
         for bin_, offset, length in zip(rows["bin"], rows["offset"], rows["length"], strict=True):
             at = bin_ * window + offset
-            if (at, at + length) not in runs:
-                raise ValueError(f"{uri}: no segment lies at {at}")
+            # positions begin anew with the piece and nowhere inside it
+            if place[at] != 0 or place[at + length - 1] != length - 1 or (np.diff(place[at : at + length]) != 1).any():
+                raise ValueError(f"{uri}: no segment of {length} ids lies at {at}")
             crc.append(zlib.crc32(flat[at : at + length].astype("<u4").tobytes()))
         sequence = pa.array(np.array(rows["bin"], np.int64) + first)
         return pa.table([*(table.column(c) for c in ("key", "start", "length")), pa.array(crc, pa.int64()), table.column("doc_tokens"), sequence, table.column("offset")], names=["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
