@@ -1,9 +1,10 @@
 """URL filter: host and path rules first, then the ratio of two character models.
 
-URLs that rules accept or reject are the training data of two variable-order Markov models over a fixed alphabet of 40 symbols:
-contexts of 3, 2, 1 and 0 symbols, each smoothed with the next shorter one in proportion to the number of different followers
-(Witten-Bell). A URL without a rule is judged by its log-likelihood difference per symbol; the threshold is the one that splits
-held-out ruled URLs best. Counts are made over all ruled URLs; both they and the model have at most 40**4 entries a class.
+URLs that rules accept or reject are the training data of two variable-order Markov models over 64 symbols: the letters, each digit, the
+punctuation of URLs one by one, blanks, other ASCII and three kinds of bytes of other characters. Contexts of 3, 2, 1 and 0 symbols are each smoothed with the next shorter one in
+proportion to the number of different followers (Witten-Bell). Only contexts that occur are held, so a model grows with the URLs it is made of, up to 64**4 entries a class.
+A URL without a rule is judged by its log-likelihood difference per symbol; the threshold is the one that splits held-out ruled URLs best. Counts are made over all
+ruled URLs.
 """
 
 from __future__ import annotations
@@ -19,25 +20,28 @@ from ._common import spare
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-ORDER, SYMBOLS = 3, 40
+ORDER, BITS = 3, 6
+SYMBOLS = 1 << BITS
 #: One URL in so many of the ruled ones is for the threshold, not the counts.
 HELD_OUT = 5
 BINS, SPAN = 4001, 4.0
-_END = 39
+_END = SYMBOLS - 1
 
 
 def _symbols() -> np.ndarray:
-    """0 pads the start, 1-26 letters, 27 digits, 28-37 punctuation, 38 any other byte, 39 the end."""
-    table = np.full(256, 38, np.int64)
+    """0 pads the start, 1-26 letters, 27-36 digits, 37-57 punctuation, 58 blanks, 59 other ASCII, 60-62 bytes that go on, begin two-byte and begin longer characters, 63 the end."""
+    table = np.full(256, 59, np.int64)
     table[97:123] = table[65:91] = np.arange(1, 27)
-    table[48:58] = 27
-    for k, c in enumerate(b"/.-_?=&#%:"):
-        table[c] = 28 + k
+    table[48:58] = np.arange(27, 37)
+    for k, c in enumerate(b"/.-_?=&#%:+~,;@!()'*$"):
+        table[c] = 37 + k
+    table[[9, 10, 13, 32]] = 58
+    table[128:192], table[192:224], table[224:] = 60, 61, 62
     return table
 
 
 def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each symbol with its three predecessors, of all URLs in a row (the end included), and the URL of each."""
+    """The number of each symbol with its predecessors, of all URLs in a row (the end included), and the URL of each."""
     data, offsets = tx.flat(column)
     n = len(offsets) - 1
     if not n:
@@ -51,20 +55,37 @@ def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     tape[at[1:] - 1] = _END
     total = np.zeros_like(tape)
     for k in range(ORDER + 1):
-        total[ORDER:] += tape[k : len(tape) - ORDER + k] * SYMBOLS ** (ORDER - k)
+        total[ORDER:] |= tape[k : len(tape) - ORDER + k] << (BITS * (ORDER - k))
     real = place >= ORDER
     return total[real], row[real]
 
 
-def log_probabilities(counts: np.ndarray) -> np.ndarray:
-    """Witten-Bell log-probability of the last symbol of each number, from counts of all numbers."""
-    grid = counts.reshape((SYMBOLS,) * (ORDER + 1)).astype(np.float64)
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for order in range(ORDER + 1):
-        c = grid.sum(axis=tuple(range(ORDER - order)))
-        seen, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        p = np.where(seen > 0, (c + kinds * p) / np.maximum(seen + kinds, 1), np.broadcast_to(p, c.shape))
-    return np.log(p).reshape(-1)
+class Markov:
+    """Witten-Bell probabilities from counts of numbers (contexts of ORDER symbols and what follows), by order: sorted numbers of what occurred, their counts, and sums and kinds of their contexts."""
+
+    def __init__(self, numbers: np.ndarray, counts: np.ndarray):
+        self.orders = []
+        for order in range(ORDER + 1):
+            code, which = np.unique(numbers & ((1 << BITS * (order + 1)) - 1), return_inverse=True)
+            n = np.bincount(which, weights=counts, minlength=len(code))
+            context, of = np.unique(code >> BITS, return_inverse=True)
+            self.orders.append((code, n, context, np.bincount(of, weights=n, minlength=len(context)), np.bincount(of, minlength=len(context))))
+
+    def log_probability(self, numbers: np.ndarray) -> np.ndarray:
+        p = np.full(len(numbers), 1 / SYMBOLS)
+        for order, (code, n, context, total, kinds) in enumerate(self.orders):
+            own = numbers & ((1 << BITS * (order + 1)) - 1)
+            at, there = _find(context, own >> BITS)
+            hit, met = _find(code, own)
+            count = np.where(met, n[hit], 0) if len(n) else 0
+            p = np.where(there, (count + kinds[at] * p) / (total[at] + kinds[at]), p) if len(context) else p
+        return np.log(p)
+
+
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where numbers lie among sorted ones, and whether they do."""
+    at = np.minimum(np.searchsorted(sorted_, wanted), max(len(sorted_) - 1, 0))
+    return at, sorted_[at] == wanted if len(sorted_) else np.zeros(len(wanted), bool)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -85,16 +106,20 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 class Ratio:
-    """Per-symbol differences of the two models, and the threshold."""
+    """The two models, and the threshold of the difference per symbol."""
 
-    def __init__(self, accepted: np.ndarray, rejected: np.ndarray):
-        self.table = (log_probabilities(accepted) - log_probabilities(rejected)).astype(np.float32)
-        self.threshold = 0.0
+    def __init__(self, accepted: Markov, rejected: Markov):
+        self.accepted, self.rejected, self.threshold = accepted, rejected, 0.0
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        numbers, row = codes(column)
-        n = len(column)
-        return np.bincount(row, weights=self.table[numbers], minlength=n) / np.maximum(np.bincount(row, minlength=n), 1)
+        out = np.zeros(len(column))
+        for low, high in tx.runs_of_rows(tx.flat(column)[1]):
+            numbers, row = codes(column.slice(low, high - low))
+            # URLs share most of their symbols' contexts: each is looked up once
+            once, which = np.unique(numbers, return_inverse=True)
+            value = (self.accepted.log_probability(once) - self.rejected.log_probability(once))[which]
+            out[low:high] = np.bincount(row, weights=value, minlength=high - low) / np.maximum(np.bincount(row, minlength=high - low), 1)
+        return out
 
 
 def fit(urls: DataFrame) -> Ratio | None:
@@ -102,23 +127,20 @@ def fit(urls: DataFrame) -> Ratio | None:
     urls = urls.where("url IS NOT NULL AND verdict IS NOT NULL").select("url", (F.col("verdict") == "allow").alias("good"), (F.crc32(F.col("url").cast("binary")) % HELD_OUT == 0).alias("held"))
 
     def count(batches):
-        total = np.zeros((2, SYMBOLS ** (ORDER + 1)), np.int64)
         for batch in batches:
-            numbers, row = codes(batch.column("url"))
-            good = batch.column("good").to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, bool)
-            for k in (0, 1):
-                total[k] += np.bincount(numbers[good == k], minlength=total.shape[1])
-        for k in (0, 1):
-            code = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k), pa.int32()), pa.array(code.astype(np.int32)), pa.array(total[k][code])], names=["good", "code", "n"])
-
-    sums = urls.where("NOT held").select("url", "good").mapInArrow(count, "good int, code int, n long").groupBy("good", "code").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # at most 2 * 40**4 rows
-    table = np.zeros((2, SYMBOLS ** (ORDER + 1)), np.int64)
-    table[got["good"].to_numpy(), got["code"].to_numpy()] = got["n"].to_numpy()
-    if not table.sum(axis=1).all():
+            good = batch.column("good").to_numpy(zero_copy_only=False)
+            for low, high in tx.runs_of_rows(tx.flat(batch.column("url"))[1]):
+                numbers, row = codes(batch.column("url").slice(low, high - low))
+                for k in (0, 1):
+                    code, n = np.unique(numbers[good[low:high][row] == k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k), pa.int32()), pa.array(code), pa.array(n.astype(np.int64))], names=["good", "code", "n"])
+
+    sums = urls.where("NOT held").select("url", "good").mapInArrow(count, "good int, code long, n long").groupBy("good", "code").agg(F.sum("n").alias("n"))
+    got = sums.toArrow()  # what occurs of at most 2 * 64**4
+    kind, code, n = (got[c].to_numpy() for c in ("good", "code", "n"))
+    if not (kind == 0).any() or not (kind == 1).any():
         return None
-    ratio = Ratio(table[1], table[0])
+    ratio = Ratio(*(Markov(code[kind == k], n[kind == k]) for k in (1, 0)))
     shipped = urls.sparkSession.sparkContext.broadcast(ratio)
 
     def histogram(batches):
@@ -144,7 +166,7 @@ def fit(urls: DataFrame) -> Ratio | None:
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """pages with host, path, rule (null where none fits), score and verdict (allow or block).
 
-    score is the difference of log-likelihoods per symbol, higher for URLs like the accepted ones; a null URL has the empty one's. If rules label no URL, or only one way, there is no
+    score is the difference of log-likelihoods per symbol, higher for URLs like the accepted ones; a null URL has the empty one's; URLs of any length are read whole. If rules label no URL, or only one way, there is no
     model: score is 0 and URLs without a rule are allowed. Columns that clash with an added one are dropped; repeated rows each get their verdict.
     """
     made = ("host", "path", "rule", "score", "verdict")
