@@ -1,7 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from spandrel.llm import minhash, mixture
+from spandrel.llm import language, minhash, mixture, quality, tokens
+from spandrel.llm._common import vocabulary
+
+from . import test_decontaminate, test_minhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +45,57 @@ def test_near_dedup_keeps_one_row_of_each_group_and_rows_without_an_id(spark):
     assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, text string").collect())
 
 
+CLASHES = ("_text", "score", "items", "lang_pred", "n_words", "n_hit", "spans", "contaminated", "row", "own", "c0", "C1", "component_id", "kept", "hash", "longest")
+
+
+@pytest.mark.parametrize("name,stage", p.STAGES[:-1])
+def test_columns_that_clash_survive(spark, name, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES)
+
+
+def test_packing_with_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("row", "order", "ids", "pieces", "start", "length", "n_tokens", "key", "offset")
+    a, b = (sorted(map(str, p.packing(spark, d, SF).collect())) for d in (docs, docs.withColumns({c: F.lit(1) for c in names})))
+    assert a == b
+
+
+def test_run_equals_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    # what the two models say is taken as given; all else is done anew
+    told = {r.doc_id: r for r in language.identify(docs.select("doc_id", "text"), language.fit(docs)).collect()}
+    left = {k for k in texts if told[k].lang_pred != "und" and told[k].score >= p.LEAST_SCORE}
+    rows = docs.where(F.col("doc_id").isin(sorted(left)))
+    scores = {r.doc_id: r.score for r in quality.score(rows.select("doc_id", "text"), quality.fit(rows, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    left = {k for k in left if scores[k] >= quality.THRESHOLD}
+    groups = test_minhash.brute([(k, texts[k]) for k in sorted(left)])
+    left = {k for k in left if groups[k][1] == k}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hits = dict(zip(sorted(left), test_decontaminate.brute([texts[k] for k in sorted(left)], items), strict=True))
+    left = {k for k in left if not hits[k][4]}
+    t = Tokenizer.from_file(vocabulary(tokens.TOKENIZER))
+    t.encode_special_tokens = True
+    want = {k: len(t.encode(texts[k] or "", add_special_tokens=False).ids) + 1 for k in left}
+    got = {}
+    for r in p.run(spark, SF).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert set(got) == left and len(left) > 50
+    for k, pieces in got.items():
+        assert {n for _, _, n in pieces} == {want[k]}
+        end = 0
+        for start, length, _ in sorted(pieces):
+            assert start == end
+            end += length
+        assert end == want[k]
+
+
 def test_run_equals_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in p.STAGES:
