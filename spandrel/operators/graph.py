@@ -7,6 +7,7 @@ folder, so that a level's plan never holds those before it.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,12 +73,17 @@ def is_container(c: Column) -> Column:
 
 
 def canonical(edges: DataFrame) -> DataFrame:
-    """Each edge once: symmetric ones with the smaller end first; self-loops go."""
+    """Each edge once: symmetric ones with the smaller end first; of several the first by its other columns; self-loops go."""
     swap = F.col("relation").isin(*SYMMETRIC)
     rest = [c for c in edges.columns if c not in ("src", "dst")]
     a, b = F.when(swap, F.least("src", "dst")).otherwise(F.col("src")), F.when(swap, F.greatest("src", "dst")).otherwise(F.col("dst"))
     key = ["src", "dst", "relation"] + (["source"] if "source" in rest else [])
-    return edges.where("src <> dst").select(a.alias("src"), b.alias("dst"), *rest).dropDuplicates(key)
+    ends = edges.where("src <> dst").select(a.alias("src"), b.alias("dst"), *rest)
+    more = [c for c in rest if c not in key]
+    if not more:
+        return ends.distinct()
+    first = ends.groupBy(*key).agg(F.min(F.struct(*more)).alias("_first"))
+    return first.select(*key, *[F.col("_first")[c].alias(c) for c in more]).select(*ends.columns)
 
 
 def steps(edges: DataFrame, relations=None, mode: str = "walk") -> DataFrame:
@@ -98,6 +104,13 @@ def neighbours(edges: DataFrame, anchors: DataFrame, relations=None, mode: str =
     return anchors.select(F.col("id").alias("a")).join(s, "a").select(F.col("a").alias("anchor"), F.col("b").alias("id"), "relation").distinct()
 
 
+def unmatched(edges: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
+    """(id) of the anchors that have no neighbour by a relation."""
+    inverse = {"above": "below", "below": "above"}.get(relation, relation)
+    found = neighbours(edges, anchors, inverse, "out" if relation in DIRECTIONAL else "any")
+    return anchors.select("id").distinct().join(found.select(F.col("anchor").alias("id")), "id", "left_anti")
+
+
 def related(edges: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
     """Union of the neighbours of several anchors by one relation: id, anchors (how many) and the least anchor. above and below are seen from the anchor: what is above it is what lies in
     an edge `below` from it."""
@@ -106,14 +119,14 @@ def related(edges: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
     return neighbours(edges, anchors, inverse if relation in ("above", "below") else relation, mode).groupBy("id").agg(F.countDistinct("anchor").alias("matched_anchors"), F.min("anchor").alias("first_anchor"))
 
 
-def walk(move: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, id, depth, parent) of what seeds(id) reach by moves (a, b) within a number of levels, by shortest ways; of equal ways the least parent's."""
+def walk(move: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """(seed, id, depth, parent) of what seeds(id) reach by moves (a, b) within a number of levels, or of any number for None, by shortest ways; of equal ways the least parent's."""
     move = move.select("a", "b").distinct()
-    if depth > 1:
+    if depth is None or depth > 1:
         move = kept(move)  # every level reads the moves; their own lineage runs once
     front = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["id"].dataType).alias("parent")).distinct()
     seen = front
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         new = front.join(move, F.col("id") == F.col("a")).groupBy("seed", F.col("b").alias("id")).agg(F.min("a").alias("parent"))
         new = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(level).alias("depth"), "parent")
         front = kept(new)
@@ -123,7 +136,7 @@ def walk(move: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, depth: int = 20, relations=("contains",)) -> DataFrame:
+def descendants(edges: DataFrame, seeds: DataFrame, depth: int | None = None, relations=("contains",)) -> DataFrame:
     """(seed, id, depth) of what lies below seeds, seeds left out."""
     return walk(steps(edges, relations, "out"), seeds, depth).where("depth > 0").select("seed", "id", "depth")
 
@@ -134,7 +147,7 @@ def elements_below(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> Data
     return below.join(nodes.where(~is_container(F.col("class_"))), "id")
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, depth: int = 20) -> DataFrame:
+def ancestors(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(seed, id, depth) of the containers above seeds."""
     return walk(steps(edges, ("contained_in",), "out"), seeds, depth).where("depth > 0").select("seed", "id", "depth")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import values
 from . import relational
 from .graph import walk
 from .relational import Tables
@@ -37,6 +38,23 @@ def field_values(tables: Tables, ids: DataFrame, name: str) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
 
 
+def nested(tables: Tables, name: str) -> DataFrame:
+    """(dataset, express_id, text, number) of a property by name, by set and name, or at a path inside a nested value of either: every reading of the dots counts."""
+    parts = name.split(".")
+    key = tables.key
+    found = None
+    for depth in range(1, len(parts) + 1):
+        head, path = parts[:depth], parts[depth:]
+        for group, own in [("", head)] + ([(head[0], head[1:])] if depth > 1 else []):
+            rows = tables.properties.where(F.col("property_name") == ".".join(own))
+            rows = rows.where(F.col("pset_name") == group) if group else rows
+            value = F.concat(F.lit("json:"), values.at_path(F.col("value"), ".".join(path))) if path else F.col("value")
+            text, number = relational.decoded(value)
+            rows = rows.select(*key, F.col("element_id").alias("express_id"), text.alias("text"), number.alias("number")).where("text IS NOT NULL OR number IS NOT NULL")
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def filled(stated: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """Stated values (key, name, value) with stored ones where a name is missing or null."""
     names = [*key, "name"]
@@ -44,7 +62,7 @@ def filled(stated: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*names, F.coalesce("a", "b").alias("value"))
 
 
-def class_ancestors(pairs: DataFrame, depth: int = 20) -> DataFrame:
+def class_ancestors(pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, ancestor, distance) from (child, parent), nearest first; cycles end."""
     move = pairs.select(F.col("child").alias("a"), F.col("parent").alias("b"))
     seeds = pairs.select(F.col("child").alias("id")).distinct()

@@ -55,7 +55,13 @@ def compare(op: str, wanted, text: Column, number: Column) -> Column:
     if op == "like":
         return tx.like(F.coalesce(text, number.cast("string")), str(wanted))
     if isinstance(wanted, bool):
-        wanted = int(wanted)
+        # a boolean is a number, but reads no text's prefix
+        value, there = F.lit(float(wanted)), text.isNotNull() | number.isNotNull()
+        if op in ("eq", "neq"):
+            same = F.coalesce(number == value, F.lit(False))
+            return same & there if op == "eq" else there & ~same
+        side = {"lt": number < value, "lte": number <= value, "gt": number > value, "gte": number >= value}[op]
+        return F.when(number.isNotNull(), side).when(text.isNotNull(), F.lit(op in ("gt", "gte")))
     if isinstance(wanted, int | float):
         side, value = F.coalesce(number, tx.numeric_prefix(text)), F.lit(float(wanted))
         return {"eq": side == value, "neq": side != value, "lt": side < value, "lte": side <= value, "gt": side > value, "gte": side >= value}[op]
@@ -177,6 +183,12 @@ def checked(result: DataFrame) -> float | None:
     return row.value
 
 
+def guarded(result: DataFrame) -> DataFrame:
+    """An aggregate whose plan fails where values aren't numeric, as a sum of texts means nothing."""
+    stop = F.raise_error(F.lit("the field is not numeric")).cast("double")
+    return result.withColumn("value", F.when(F.col("non_numeric") > 0, stop).otherwise(F.col("value")))
+
+
 def group(tables: Tables, request: Request) -> DataFrame:
     """(value, count) of distinct elements per value of a field, largest first. Numbers and equal-looking texts are different groups."""
     rows = _with_field(tables, request, request.group_by).where("text IS NOT NULL OR number IS NOT NULL")
@@ -191,6 +203,19 @@ def coverage(tables: Tables, request: Request, field: Field) -> DataFrame:
     return _with_field(tables, request, field).agg(F.count(F.when(there, 1)).alias("matched_count"), F.count(F.when(~there, 1)).alias("missing_count"))
 
 
+def evidence(tables: Tables, request: Request, k: int = 3) -> DataFrame:
+    """The first k distinct elements that a request is about, in the order of lists."""
+    names = [*tables.key, *LISTED]
+    return scope(tables, request).select(*names).distinct().orderBy(*[F.asc_nulls_first(c) for c in ELEMENT_ORDER], *tables.key).limit(k)
+
+
+def totals(tables: Tables, request: Request) -> DataFrame:
+    """One row beside a request's answer: for count and list total_count; for aggregate and group also matched_count and missing_count of the field."""
+    total = scope(tables, request).agg(_distinct(tables).alias("total_count"))
+    field = request.group_by if request.intent == "group" else request.aggregate_field
+    return total if field is None or request.intent in ("count", "list") else total.crossJoin(F.broadcast(coverage(tables, request, field)))
+
+
 def execute(tables: Tables, request: Request) -> DataFrame:
     """The plan of any request."""
     return {"count": count, "list": listing, "aggregate": aggregate, "group": group}[request.intent](tables, request)
@@ -201,11 +226,11 @@ def attribute_keys(tables: Tables, samples: int = 3) -> DataFrame:
     rows = []
     for frame, a, b in ((tables.properties, "pset_name", "property_name"), (tables.quantities, "qto_name", "quantity_name")):
         for key in (F.col(b), F.concat_ws(".", a, b)):
-            rows.append(frame.select(key.alias("key"), F.col("element_id"), F.col("value").cast("string").alias("value")))
+            rows.append(frame.select(key.alias("key"), *tables.key, F.col("element_id"), F.col("value").cast("string").alias("value")))
     both = rows[0]
     for r in rows[1:]:
         both = both.unionByName(r)
-    n = both.groupBy("key").agg(F.countDistinct("element_id").alias("n_elements"))
+    n = both.groupBy("key").agg(F.countDistinct(*tables.key, "element_id").alias("n_elements"))
     ranked = both.select("key", "value").distinct().withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("value"))).where(F.col("k") <= samples)
     return n.join(ranked.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("samples")), "key", "left")
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.fuzzy import weighted_ratio
+from .graph import is_container
 
 # Scores and least scores.
 ID, LABEL, CLASS, LEAST_SEARCH, LEAST_FUZZY, TYPE_BIAS = 100, 96, 92, 55.0, 50.0, 8.0
 TYPE_TERMS = ("type", "family", "template", "style", "kind")
+# Words that name a container class, words that say nothing, and what is added and taken for a query of such words only.
+CONTAINER_WORDS = {"building": "IfcBuilding", "site": "IfcSite", "floor": "IfcBuildingStorey", "level": "IfcBuildingStorey", "storey": "IfcBuildingStorey", "room": "IfcSpace", "space": "IfcSpace", "project": "IfcProject"}
+FILLERS = ("a", "an", "any", "at", "by", "for", "in", "inside", "is", "near", "of", "on", "outside", "that", "the", "this", "to")
+CANONICAL, SECONDARY, PROXY = 60.0, 4.0, 18.0
 
 
 def element_set(nodes: DataFrame, query: str, fields: tuple[str, ...], label: str = "label") -> DataFrame:
@@ -30,9 +35,6 @@ def element_set(nodes: DataFrame, query: str, fields: tuple[str, ...], label: st
     return hits.select("id", F.col(label).alias("label"), exact.alias("exact_fields"), some.alias("matched_fields"), extra.alias("extra_terms"))
 
 
-ELEMENT_SET_ORDER = (F.desc, "exact_fields"), (F.desc, "matched_fields"), (F.asc, "extra_terms"), (F.asc, "label"), (F.asc, "id")
-
-
 def substring_search(nodes: DataFrame, query: str) -> DataFrame:
     """(id, label, class_, score) of nodes whose id, label or class holds the query."""
     q = query.strip().lower()
@@ -50,28 +52,39 @@ def search(nodes: DataFrame, query: str) -> DataFrame:
 
 def fuzzy_nodes(nodes: DataFrame, query: str, fields: tuple[str, ...] = ("label", "class_"), least: float = LEAST_FUZZY) -> DataFrame:
     """(id, label, class_, score) of nodes by the best fuzzy ratio of their fields; types rank higher only if the query asks for types."""
-    bias = TYPE_BIAS if set(tx.terms(query)) & set(TYPE_TERMS) else -TYPE_BIAS
+    words = set(tx.terms(query))
+    bias = TYPE_BIAS if words & set(TYPE_TERMS) else -TYPE_BIAS
     typed = F.when(F.col("class_").endswith("Type") | (F.col("class_") == "IfcTypeObject"), bias).otherwise(0.0)
-    score = F.round(weighted_ratio(query, *map(F.col, fields)) + typed, 1)
+    score = F.round(weighted_ratio(query, *map(F.col, fields)) + typed + container_bias(words), 1)
     return nodes.select("id", "label", "class_", score.alias("score")).where(F.col("score") >= least)
 
 
+def container_target(words: set[str]) -> str | None:
+    """The container class that a query means if it holds nothing but words for one, like "the floor"."""
+    named = {CONTAINER_WORDS.get(w) for w in words - set(FILLERS)}
+    return named.pop() if len(named) == 1 else None
+
+
+def container_bias(words: set[str]) -> Column:
+    """What a query for a container adds: most to its class, a little to other containers; proxies lose."""
+    target = container_target(words)
+    if target is None:
+        return F.lit(0.0)
+    return F.when(F.col("class_") == target, CANONICAL).when(F.col("class_").isin(*set(CONTAINER_WORDS.values())), SECONDARY).when(F.col("class_") == "IfcBuildingElementProxy", -PROXY).otherwise(0.0)
+
+
 def page(rows: DataFrame, number: int, size: int) -> DataFrame:
-    """One page of ranked rows (score, label, id), with the page count; a number beyond the last page gives the last."""
-    total = rows.agg(F.count("*").alias("total"))
-    pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int")
-    # a page is read from the top rows up to its end; all of the rows are never numbered
-    top = rows.orderBy(F.desc("score"), "label", "id").limit(number * size)
-    w = Window.orderBy(F.desc("score"), "label", "id")
-    numbered = top.withColumn("rank", F.row_number().over(w)).crossJoin(F.broadcast(total)).withColumn("pages", pages)
-    chosen = F.least(F.lit(number), F.col("pages"))
-    return numbered.where((F.col("rank") > (chosen - 1) * size) & (F.col("rank") <= chosen * size))
-
-
-def by_identifier(nodes: DataFrame, wanted: str) -> DataFrame:
-    """(id, score) of nodes that an identifier means: 100 global id, 96 express id, 88 end of the node's id."""
-    score = F.when(F.col("global_id") == wanted, 100).when(F.col("express_id").cast("string") == wanted, 96).when(F.col("id").endswith("::" + wanted), 88)
-    return nodes.select("id", score.alias("score")).where("score IS NOT NULL")
+    """One page of ranked rows (score, label, id), with the page count; a number beyond the last page gives the last.
+
+    The rows are counted first, so that a number too large sorts no more than there is, and only a page's rows are numbered.
+    """
+    total = rows.count()
+    pages = max(1, -(-total // size))
+    before = (min(number, pages) - 1) * size
+    order = (F.desc("score"), "label", "id")
+    top = rows.orderBy(*order).offset(before).limit(size)
+    rank = F.row_number().over(Window.orderBy(*order)) + before
+    return top.withColumns({"rank": rank, "total": F.lit(total).cast("long"), "pages": F.lit(pages)})
 
 
 def class_histogram(nodes: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -18,6 +20,11 @@ MIN_RATIO, TOP_K = 0.2, 5
 ALIGNED = ("IfcWall", "IfcBeam", "IfcMember", "IfcCurtainWall", "IfcRailing")
 
 
+def _key(shapes: DataFrame) -> list[str]:
+    """Shapes of different datasets never meet."""
+    return [c for c in ("dataset",) if c in shapes.columns]
+
+
 def _cells(points: DataFrame, size: float, axes: int, spread: bool) -> DataFrame:
     """Points with the cell they lie in, or with all cells around it."""
     out = points
@@ -29,67 +36,88 @@ def _cells(points: DataFrame, size: float, axes: int, spread: bool) -> DataFrame
 
 def within(shapes: DataFrame, radius: float) -> DataFrame:
     """(a, b, distance) of pairs a < b whose centres are at most radius apart. Each point is copied to the 27 cells around it on one side only."""
-    names = ["c0", "c1", "c2"]
+    names = [*_key(shapes), "c0", "c1", "c2"]
     a = _cells(shapes, radius, 3, False).select(F.col("id").alias("a"), F.col("centre").alias("pa"), *names)
     b = _cells(shapes, radius, 3, True).select(F.col("id").alias("b"), F.col("centre").alias("pb"), *names)
     return a.join(b, names).where("a < b").withColumn("distance", g.point_distance(F.col("pa"), F.col("pb"))).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
 def nearest(shapes: DataFrame, start: float = LEAST_THRESHOLD) -> DataFrame:
-    """(id, nearest): distance of each point to its nearest other one. Cells double until every point has found one within a cell's width; each round works on what is left only."""
-    left = kept(shapes.select("id", "centre"))
-    everyone, done, size = left, None, start
-    if left.limit(2).count() < 2:
-        return left.select("id", F.lit(None).cast("double").alias("nearest"))
-    names = ["c0", "c1", "c2"]
-    while True:
+    """(id, nearest), with dataset if there is one: distance of each point to its nearest other one of the dataset. Cells double until every point has found one within a cell's width; each round
+    works on what is left only. A point alone in its dataset has none."""
+    key = _key(shapes)
+    everyone = kept(shapes.select(*key, "id", "centre"))
+    # a point without another one would look for ever
+    crowd = everyone.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    left = everyone.join(crowd, key, "left_semi") if key else everyone if everyone.limit(2).count() == 2 else everyone.limit(0)
+    alone = everyone.join(left.select("id"), "id", "left_anti").select(*key, "id", F.lit(None).cast("double").alias("nearest"))
+    done, size = alone, start
+    names = [*key, "c0", "c1", "c2"]
+    while not left.isEmpty():
         a = _cells(left, size, 3, True).select(F.col("id").alias("a"), F.col("centre").alias("pa"), *names)
         b = _cells(everyone, size, 3, False).select(F.col("id").alias("b"), F.col("centre").alias("pb"), *names)
-        best = a.join(b, names).where("a <> b").groupBy(F.col("a").alias("id")).agg(F.min(g.point_distance(F.col("pa"), F.col("pb"))).alias("nearest"))
+        best = a.join(b, names).where("a <> b").groupBy(*key, F.col("a").alias("id")).agg(F.min(g.point_distance(F.col("pa"), F.col("pb"))).alias("nearest"))
         best = kept(best.where(F.col("nearest") <= size))
-        done = best if done is None else done.unionByName(best)
+        done = done.unionByName(best)
         left = kept(left.join(best, "id", "left_anti"))
-        if left.isEmpty():
-            return done
         size *= 2
+    return done
 
 
 def adjacency_threshold(shapes: DataFrame) -> DataFrame:
-    """One row: 1.5 times the median distance to the nearest other point, at least 0.5; 1.0 for fewer than two points."""
-    return nearest(shapes).agg(F.when(F.count("nearest") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(LEAST_THRESHOLD), 1.5 * F.median("nearest"))).alias("threshold"))
+    """One row, or one for each dataset: 1.5 times the median distance to the nearest other point, at least 0.5; 1.0 for fewer than two points."""
+    threshold = F.when(F.count("nearest") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(LEAST_THRESHOLD), 1.5 * F.median("nearest"))).alias("threshold")
+    return nearest(shapes).groupBy(*_key(shapes)).agg(threshold)
 
 
 def adjacency(shapes: DataFrame, threshold: float | None = None, excluded=EXCLUDED) -> DataFrame:
-    """(a, b, distance, relation): boxes at most threshold apart, connected_to where they touch, else adjacent_to. The threshold is taken over all shapes, pairs over those whose class isn't excluded.
+    """(a, b, distance, relation): boxes at most threshold apart, connected_to where they touch, else adjacent_to. The threshold is taken over all shapes of a dataset, pairs over those whose class
+    isn't excluded.
 
     A box lies in all cells it spans, widened by the threshold on one side.
     """
-    if threshold is None:
-        threshold = adjacency_threshold(shapes).first().threshold
+    key = _key(shapes)
     rows = shapes.where(~F.col("class_").isin(*excluded)) if "class_" in shapes.columns else shapes
-    return _box_pairs(rows, threshold, 3).withColumn("distance", g.box_distance(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb"))).where(F.col("distance") <= threshold).select(
-        "a", "b", "distance", F.when(F.col("distance") <= TOUCHING, "connected_to").otherwise("adjacent_to").alias("relation")
-    )
+    if threshold is not None:
+        limits, widest = None, threshold
+    else:
+        limits = kept(adjacency_threshold(shapes))
+        widest = limits.agg(F.max("threshold")).first()[0] or 1.0
+    pairs = _box_pairs(rows, widest, 3).withColumn("distance", g.box_distance(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb")))
+    if limits is None or not key:
+        pairs = pairs.where(F.col("distance") <= widest)
+    else:  # one row a dataset
+        pairs = pairs.join(limits, key).where("distance <= threshold")
+    return pairs.select("a", "b", "distance", F.when(F.col("distance") <= TOUCHING, "connected_to").otherwise("adjacent_to").alias("relation"))
 
 
 def _box_pairs(rows: DataFrame, margin: float, axes: int) -> DataFrame:
-    """Pairs a < b of boxes that share a cell, each once: in the first cell that both lie in."""
-    size = rows.agg(F.max(F.greatest(*[F.col("hi")[k] - F.col("lo")[k] for k in range(axes)]))).first()[0]
-    size = max(float(size or 0.0) + margin, 1e-6)
-    names = [f"c{k}" for k in range(axes)]
+    """Pairs a < b of boxes of a dataset that share a cell, each once: in the first cell that both lie in.
+
+    Boxes are of size classes, powers of two; a pair meets in cells of the larger one's class, where either lies in a few cells. So a huge box among small ones
+    meets all that lie in its cells, but doesn't make those meet one another.
+    """
+    key = _key(rows)
+    extent = F.greatest(*[F.col("hi")[k] - F.col("lo")[k] for k in range(axes)], F.lit(0.0)) + F.lit(max(margin, 1e-6))
+    rows = rows.select(*key, "id", "lo", "hi", F.ceil(F.log2(extent)).cast("int").alias("own"))
+    classes = F.lit(sorted(r.own for r in rows.select("own").distinct().collect())).cast("array<int>")  # at most some dozens
+    names = [*key, "class", *[f"c{k}" for k in range(axes)]]
 
     def spanned(frame: DataFrame, by: float) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col("class"))
         for k in range(axes):
             first, last = F.floor((F.col("lo")[k] - by) / size), F.floor((F.col("hi")[k] + by) / size)
             frame = frame.withColumn(f"f{k}", first).withColumn(f"c{k}", F.explode(F.sequence(first, last)))
         return frame
 
-    a = spanned(rows, 0.0).select(F.col("id").alias("a"), F.col("lo").alias("la"), F.col("hi").alias("ha"), *names, *[F.col(f"f{k}").alias(f"fa{k}") for k in range(axes)])
-    b = spanned(rows, margin).select(F.col("id").alias("b"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), *names, *[F.col(f"f{k}").alias(f"fb{k}") for k in range(axes)])
-    once = F.lit(True)
+    side = lambda frame, s: frame.select(*names, *[F.col(c).alias(c + s) for c in ("id", "lo", "hi", "own")], *[F.col(f"f{k}").alias(f"f{k}{s}") for k in range(axes)])
+    small = side(spanned(rows.withColumn("class", F.explode(F.filter(classes, lambda c: c >= F.col("own")))), 0.0), "s")
+    large = side(spanned(rows.withColumn("class", F.col("own")), margin), "l")
+    once = (F.col("owns") < F.col("ownl")) | ((F.col("owns") == F.col("ownl")) & (F.col("ids") < F.col("idl")))
     for k in range(axes):
-        once = once & (F.col(f"c{k}") == F.greatest(f"fa{k}", f"fb{k}"))
-    return a.join(b, names).where((F.col("a") < F.col("b")) & once).drop(*names)
+        once = once & (F.col(f"c{k}") == F.greatest(f"f{k}s", f"f{k}l"))
+    ends = lambda first, second: F.struct(F.col("id" + first).alias("a"), F.col("lo" + first).alias("la"), F.col("hi" + first).alias("ha"), F.col("id" + second).alias("b"), F.col("lo" + second).alias("lb"), F.col("hi" + second).alias("hb"))
+    return small.join(large, names).where(once).select(*key, F.when(F.col("ids") < F.col("idl"), ends("s", "l")).otherwise(ends("l", "s")).alias("p")).select(*key, "p.*")
 
 
 def plan_overlaps(shapes: DataFrame) -> DataFrame:
@@ -99,7 +127,7 @@ def plan_overlaps(shapes: DataFrame) -> DataFrame:
     pairs = _box_pairs(shapes, 0.0, 2).withColumn("area", area).where("area > 0")
     gap = F.greatest(F.col("la")[2] - F.col("hb")[2], F.col("lb")[2] - F.col("ha")[2])
     return pairs.select(
-        "a", "b", "area", (F.col("area") / F.least(plan("la", "ha"), plan("lb", "hb"))).alias("ratio"),
+        *_key(shapes), "a", "b", "area", (F.col("area") / F.least(plan("la", "ha"), plan("lb", "hb"))).alias("ratio"),
         g.boxes_touch(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb")).alias("touching"), F.greatest(gap, F.lit(0.0)).alias("gap"),
         F.when(F.col("la")[2] > F.col("hb")[2], F.col("a")).when(F.col("lb")[2] > F.col("ha")[2], F.col("b")).alias("upper"),
     )
@@ -130,33 +158,62 @@ def overlap_edges(overlaps: DataFrame, mode: str = "none", min_ratio: float = MI
     return overlaps.select("a", "b", "area").where(F.lit(False))
 
 
-def overlap_statistics(overlaps: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """One row: candidates, emitted and rejected of the threshold policy."""
-    good = F.count_if(F.col("ratio") >= min_ratio)
-    return overlaps.agg(F.count("*").alias("candidates"), good.alias("emitted"), (F.count("*") - good).alias("rejected"))
+def overlap_statistics(overlaps: DataFrame, min_ratio: float = MIN_RATIO, mode: str = "threshold", top_k: int = TOP_K) -> DataFrame:
+    """One row: candidates, emitted and rejected of a policy."""
+    if mode == "threshold":
+        good = F.count_if(F.col("ratio") >= min_ratio)
+        return overlaps.agg(F.count("*").alias("candidates"), good.alias("emitted"), (F.count("*") - good).alias("rejected"))
+    emitted = overlap_edges(overlaps, mode, min_ratio, top_k).agg(F.count("*").alias("emitted"))
+    return overlaps.agg(F.count("*").alias("candidates")).crossJoin(F.broadcast(emitted)).withColumn("rejected", F.col("candidates") - F.col("emitted"))
+
+
+def top_aligned(pairs: DataFrame, k: int = 8) -> DataFrame:
+    """(own, other, angle, offset, rank): each shape's k best aligned others, by angle, offset and id."""
+    ends = pairs.select(F.col("a").alias("own"), F.col("b").alias("other"), "angle", "offset").unionByName(pairs.select(F.col("b").alias("own"), F.col("a").alias("other"), "angle", "offset"))
+    w = Window.partitionBy("own").orderBy("angle", "offset", "other")
+    return ends.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def inside_footprint(points: DataFrame, areas: DataFrame) -> DataFrame:
-    """(area, id): points (id, x, y) in areas (id, lo, hi, points): in the polygon of at least three corners, else in the box. Cells of the largest area's size."""
+    """(area, id): points (id, x, y) in areas (id, lo, hi, points) of the same dataset, if both have one: in the polygon of at least three corners, else in the box. Cells of the largest area's size."""
     size = max(float(areas.agg(F.max(F.greatest(F.col("hi")[0] - F.col("lo")[0], F.col("hi")[1] - F.col("lo")[1]))).first()[0] or 0.0), 1e-6)
-    a = areas.select(F.col("id").alias("area"), "lo", "hi", "points")
+    key = [c for c in _key(points) if c in areas.columns]
+    a = areas.select(*key, F.col("id").alias("area"), "lo", "hi", "points")
     for k in range(2):
         a = a.withColumn(f"c{k}", F.explode(F.sequence(F.floor((F.col("lo")[k] - g.EPSILON) / size), F.floor((F.col("hi")[k] + g.EPSILON) / size))))
-    p = points.select("id", "x", "y", F.floor(F.col("x") / size).alias("c0"), F.floor(F.col("y") / size).alias("c1"))
+    p = points.select(*key, "id", "x", "y", F.floor(F.col("x") / size).alias("c0"), F.floor(F.col("y") / size).alias("c1"))
     inside = F.when(F.size("points") >= 3, g.in_polygon(F.col("x"), F.col("y"), F.col("points"))).otherwise(g.in_box_xy(F.col("x"), F.col("y"), F.col("lo"), F.col("hi")))
-    return p.join(a, ["c0", "c1"]).where((F.col("id") != F.col("area")) & g.in_box_xy(F.col("x"), F.col("y"), F.col("lo"), F.col("hi")) & inside).select("area", "id")
+    return p.join(a, [*key, "c0", "c1"]).where((F.col("id") != F.col("area")) & g.in_box_xy(F.col("x"), F.col("y"), F.col("lo"), F.col("hi")) & inside).select("area", "id")
 
 
-def aligned(axes: DataFrame, cell: float, degrees: float = 10.0, least_offset: float = 0.25) -> DataFrame:
-    """(a, b, angle, offset): pairs (id, x, y, dx, dy, short) with almost parallel unit axes, whose centre of one lies beside the other's axis by max(0.25, the smaller short extent) at most.
+def aligned(axes: DataFrame, degrees: float = 10.0, least_offset: float = 0.25) -> DataFrame:
+    """(a, b, angle, offset): pairs (id, x, y, dx, dy, short) of a dataset with almost parallel unit axes, whose centre of one lies beside the other's axis by max(0.25, the smaller short extent)
+    at most, however far apart along it.
 
-    Pairs are sought in plan cells of the given size and the eight around each.
+    Directions are cut into bins so narrow that across the whole plan a line of a bin leaves its middle direction by no more than the widest offset allowed. A shape lies in all bins that hold the bisector of
+    its axis and another one, and there in a strip along the direction; a pair is tested in its bisector's bin and in strips side by side.
     """
-    left = axes.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("dx").alias("ua"), F.col("dy").alias("va"), F.col("short").alias("sa"), F.floor(F.col("x") / cell).alias("c0"), F.floor(F.col("y") / cell).alias("c1"))
-    right = axes.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("dx").alias("ub"), F.col("dy").alias("vb"), F.col("short").alias("sb"), F.floor(F.col("x") / cell).alias("d0"), F.floor(F.col("y") / cell).alias("d1"))
-    right = right.withColumn("c0", F.explode(F.sequence(F.col("d0") - 1, F.col("d0") + 1))).withColumn("c1", F.explode(F.sequence(F.col("d1") - 1, F.col("d1") + 1)))
-    pairs = left.join(right, ["c0", "c1"]).where("a < b")
-    return _in_line(pairs, degrees, least_offset)
+    key = _key(axes)
+    x, y, wide = (F.max(c) - F.min(c) if c in ("x", "y") else F.max(c) for c in ("x", "y", "short"))
+    spread = axes.agg(F.sqrt(x * x + y * y), F.greatest(F.lit(least_offset), F.coalesce(wide, F.lit(0.0)))).first()
+    across, limit = float(spread[0] or 0.0), float(spread[1])
+    bins = max(18, min(100_000, math.ceil(math.pi * max(across, limit) / limit)))
+    step = 180.0 / bins
+    strip = limit + across * math.sin(math.radians(step) / 2) + 1e-9
+    own = F.pmod(F.degrees(F.atan2("dy", "dx")), F.lit(180.0))
+    near = degrees / 2 / step
+    rows = axes.withColumn("turn", own).withColumn("k", F.explode(F.sequence(F.floor(own / step - near).cast("int") - 1, F.floor(own / step + near).cast("int") + 1)))
+    rows = rows.withColumn("k", F.pmod("k", F.lit(bins))).distinct()
+    middle = F.radians((F.col("k") + 0.5) * step)
+    rows = rows.withColumn("s", F.floor((F.col("y") * F.cos(middle) - F.col("x") * F.sin(middle)) / strip))
+    names = (("x", "x"), ("y", "y"), ("dx", "u"), ("dy", "v"), ("short", "s"), ("turn", "t"))
+    left = rows.select(*key, "k", F.col("s").alias("strip"), F.col("id").alias("a"), *[F.col(n).alias(m + "a") for n, m in names])
+    right = rows.withColumn("strip", F.explode(F.sequence(F.col("s") - 1, F.col("s") + 1))).select(*key, "k", "strip", F.col("id").alias("b"), *[F.col(n).alias(m + "b") for n, m in names])
+    pairs = left.join(right, [*key, "k", "strip"]).where("a < b")
+    # the bisector of two directions up to a half turn apart
+    turn = F.pmod(F.col("tb") - F.col("ta") + 90.0, F.lit(180.0)) - 90.0
+    bisector = F.pmod(F.floor(F.pmod(F.col("ta") + turn / 2, F.lit(180.0)) / step), F.lit(bins))
+    return _in_line(pairs.where(bisector == F.col("k")), degrees, least_offset)
 
 
 def _in_line(pairs: DataFrame, degrees: float, least_offset: float) -> DataFrame:
@@ -181,7 +238,7 @@ def main_axes(shapes: DataFrame) -> DataFrame:
     wide, deep = F.col("hi")[0] - F.col("lo")[0], F.col("hi")[1] - F.col("lo")[1]
     along = wide >= deep
     rows = shapes.where(F.col("class_").isin(*ALIGNED))
-    return rows.select("id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"), F.when(along, 1.0).otherwise(0.0).alias("dx"), F.when(along, 0.0).otherwise(1.0).alias("dy"), F.least(wide, deep).alias("short"))
+    return rows.select(*_key(shapes), "id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"), F.when(along, 1.0).otherwise(0.0).alias("dx"), F.when(along, 0.0).otherwise(1.0).alias("dy"), F.least(wide, deep).alias("short"))
 
 
 @F.pandas_udf(DoubleType())

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows computed once and written to spark.checkpoint.dir, so that they survive lost executors; where that is unset (tests), to a temporary folder."""
+    """The rows computed once and written to spark.checkpoint.dir, so that they survive lost executors; where that is unset, on one machine (tests), to a temporary folder."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spandrel"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spandrel"))
     return df.checkpoint()

@@ -82,7 +82,7 @@ def test_footprints(spark):
 def test_alignment(spark):
     turned = math.radians(30)
     axes = spark.createDataFrame([("a", 0.0, 0.0, 1.0, 0.0, 0.2), ("b", 5.0, 0.15, -1.0, 0.0, 0.2), ("c", 5.0, 0.0, math.cos(turned), math.sin(turned), 0.2), ("d", 4.0, 0.6, 1.0, 0.0, 0.2)], "id string, x double, y double, dx double, dy double, short double")
-    assert rows(spatial.aligned(axes, 10.0).select("a", "b")) == [("a", "b")]
+    assert rows(spatial.aligned(axes).select("a", "b")) == [("a", "b")]
 
 
 def test_missing_places_are_filled(spark):
