@@ -12,7 +12,8 @@ from ..operators.relational import Tables
 _ATTRIBUTES = "MAP<STRING, MAP<STRING, VARIANT>>"
 SCHEMA = f"""GlobalId STRING, ExpressId BIGINT, Name STRING, IfcType STRING, ClassRaw STRING, BaseClasses ARRAY<STRING>, PredefinedType STRING, Description STRING,
 ObjectType STRING, Tag STRING, TypeName STRING, Hierarchy STRUCT<ParentId: STRING, ParentType: STRING, Level: STRING, Path: ARRAY<STRING>>,
-Geometry STRUCT<Centroid: ARRAY<DOUBLE>, BoundingBox: STRUCT<min: ARRAY<DOUBLE>, max: ARRAY<DOUBLE>>, FootprintPolygon2D: ARRAY<ARRAY<DOUBLE>>>,
+Geometry STRUCT<Centroid: ARRAY<DOUBLE>, BoundingBox: STRUCT<min: ARRAY<DOUBLE>, max: ARRAY<DOUBLE>>, FootprintPolygon2D: ARRAY<ARRAY<DOUBLE>>,
+MeshVertices: ARRAY<ARRAY<DOUBLE>>, OrientedBoundingBox: STRUCT<center: ARRAY<DOUBLE>, extents: ARRAY<DOUBLE>, corners_xy: ARRAY<ARRAY<DOUBLE>>>>,
 Materials ARRAY<STRING>, PropertySets STRUCT<Official: {_ATTRIBUTES}, Custom: {_ATTRIBUTES}>, Quantities {_ATTRIBUTES}, Relationships MAP<STRING, ARRAY<STRING>>"""
 # Relation names in records whose targets are elements, and those whose targets are labels with the class of the label's node.
 ELEMENT_RELATIONS = ("hosts", "hosted_by", "ifc_connected_to", "typed_by", "space_bounded_by", "bounds_space", "path_connected_to")
@@ -71,23 +72,49 @@ def tables(records: DataFrame) -> Tables:
     return Tables(own, properties, quantities)
 
 
-def node_id(dataset: Column, kind: str, gid: Column) -> Column:
-    return F.concat_ws("::", F.lit(kind), dataset, gid)
+def write(records: DataFrame, folder: str) -> None:
+    """Records as JSON lines, a folder for each dataset; null fields are left out."""
+    body = [c for c in records.columns if c not in ("dataset", "line")]
+    records.select("dataset", F.to_json(F.struct(*body)).alias("value")).write.mode("overwrite").partitionBy("dataset").text(folder)
+
+
+def node_id(dataset: Column, class_: Column, gid: Column) -> Column:
+    """A dataset has one project and one building, whatever records describe them."""
+    place = F.when(class_ == "IfcBuildingStorey", "Storey").otherwise("Element")
+    single = F.when(class_ == "IfcProject", "Project").when(class_ == "IfcBuilding", "Building")
+    return F.when(single.isNotNull(), F.concat_ws("::", single, dataset)).otherwise(F.concat_ws("::", place, dataset, gid))
+
+
+def ring(points: Column) -> Column:
+    """A polygon of arrays (x, y) as structs, without a last corner that repeats the first; null under three corners."""
+    corners = F.transform(F.filter(points, lambda p: F.size(p) >= 2), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    open_ = F.when((F.size(corners) > 1) & (F.element_at(corners, 1) == F.element_at(corners, -1)), F.slice(corners, 1, F.size(corners) - 1)).otherwise(corners)
+    return F.when(F.size(open_) >= 3, open_)
 
 
 def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): elements and the labels they refer to; the last record of an identifier wins; targets are sought in the same dataset, others and loops go."""
+    """(nodes, edges): elements, the labels they refer to, and a project and a building for each dataset, stated or not; the last record of an identifier wins; targets are sought in the same
+    dataset, others and loops go. The project aggregates the building, the building the storeys; parents contain."""
     rows = records.where("GlobalId IS NOT NULL")
     rows = first_per(rows.withColumn("_back", -F.col("line")), ["dataset", "GlobalId"], "_back").drop("_back")
-    me = node_id(F.col("dataset"), "Element", F.col("GlobalId"))
+    class_ = F.coalesce("IfcType", "ClassRaw", F.lit("IfcProduct"))
+    me = node_id(F.col("dataset"), class_, F.col("GlobalId"))
+    named = rows.select("dataset", F.col("GlobalId").alias("global_id"), me.alias("dst"))
+    rows = first_per(rows.withColumns({"_back": -F.col("line"), "_me": me}), ["_me"], "_back").drop("_back", "_me")
     box = F.col("Geometry.BoundingBox")
     whole = (F.size(box["min"]) == 3) & (F.size(box["max"]) == 3)
     nodes = rows.select(
-        "dataset", me.alias("id"), F.coalesce("Name", "GlobalId").alias("label"), F.col("IfcType").alias("class_"), F.col("GlobalId").alias("global_id"), F.col("ExpressId").alias("express_id"),
+        "dataset", me.alias("id"), F.coalesce("Name", "GlobalId").alias("label"), class_.alias("class_"), F.col("GlobalId").alias("global_id"), F.col("ExpressId").alias("express_id"),
         tx.level_key(F.col("Hierarchy.Level")).alias("level_key"), F.when(F.size("Geometry.Centroid") == 3, F.col("Geometry.Centroid")).alias("centre"),
-        F.when(whole, box["min"]).alias("lo"), F.when(whole, box["max"]).alias("hi"), "Materials",
+        F.when(whole, box["min"]).alias("lo"), F.when(whole, box["max"]).alias("hi"), "Materials", F.coalesce(ring(F.col("Geometry.FootprintPolygon2D")), ring(F.col("Geometry.OrientedBoundingBox.corners_xy"))).alias("footprint"),
+        F.col("Geometry.MeshVertices").alias("mesh"), tx.blank_to_null(F.col("TypeName")).alias("type_name"), tx.blank_to_null(F.col("ObjectType")).alias("object_type"), tx.blank_to_null(F.col("Description")).alias("description"),
     )
-    known = nodes.select("dataset", "global_id", F.col("id").alias("dst"))
+    known = named
+    datasets = records.select("dataset").distinct()
+    single = lambda kind: datasets.select("dataset", F.concat_ws("::", F.lit(kind), "dataset").alias("id"), F.lit(kind).alias("label"), F.lit("Ifc" + kind).alias("class_"))
+    missing = single("Project").unionByName(single("Building")).join(nodes.select("id"), "id", "left_anti")
+    aggregates = datasets.select(F.concat_ws("::", F.lit("Project"), "dataset").alias("src"), F.concat_ws("::", F.lit("Building"), "dataset").alias("dst"), F.lit("aggregates").alias("relation"))
+    storeys = nodes.where("class_ = 'IfcBuildingStorey'").select(F.concat_ws("::", F.lit("Building"), "dataset").alias("src"), F.col("id").alias("dst"), F.lit("aggregates").alias("relation"))
     parents = rows.select("dataset", me.alias("id"), F.col("Hierarchy.ParentId").alias("global_id")).join(known, ["dataset", "global_id"]).select("id", F.col("dst").alias("parent")).where("id <> parent")
     stated = rows.select("dataset", me.alias("src"), F.explode("Relationships").alias("relation", "targets")).select("dataset", "src", "relation", F.explode("targets").alias("target"))
     direct = stated.where(F.col("relation").isin(*ELEMENT_RELATIONS)).join(known.withColumnRenamed("global_id", "target"), ["dataset", "target"]).select("src", "dst", "relation")
@@ -96,5 +123,5 @@ def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.create_map(*[F.lit(x) for kv in CONTEXT_RELATIONS.items() for x in kv])[F.col("relation")]
     context = context.withColumns({"class_": kind, "dst": F.concat_ws("::", kind, "dataset", "label")})
     labels = context.select("dataset", F.col("dst").alias("id"), "label", "class_").distinct()
-    edges = containment(parents).unionByName(canonical(direct.unionByName(context.select("src", "dst", "relation"))))
-    return nodes.unionByName(labels, allowMissingColumns=True), edges
+    edges = containment(parents.distinct()).unionByName(aggregates).unionByName(storeys).unionByName(canonical(direct.unionByName(context.select("src", "dst", "relation"))))
+    return nodes.unionByName(missing, allowMissingColumns=True).unionByName(labels, allowMissingColumns=True), edges

@@ -1,16 +1,19 @@
-"""STEP physical files: instances, and the elements among them.
+"""STEP physical files: instances, the elements among them, their relations, property sets and quantities.
 
-A file is read in parts that end with a semicolon, so large files are split among tasks; texts that hold a semicolon are not supported.
+A file is read in parts that end with a semicolon at the end of a line, so large files are split among tasks; a text never holds a line's end. Parts with several
+instances are split at the semicolons outside of texts.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as tx
+from ..functions import values
+from ..operators.graph import EQUIPMENT, TERMINALS
 
 # Entities that are elements or containers.
 ENTITIES = (
@@ -40,21 +43,77 @@ def split_arguments(texts: pd.Series) -> pd.Series:
     return texts.map(arguments)
 
 
+_QUOTED = "'(?:[^']|'')*'"
+
+
 def instances(spark: SparkSession, path: str) -> DataFrame:
-    """(id, entity, args) of all instances."""
-    parts = spark.read.option("lineSep", ";").text(path).select(F.trim(F.regexp_replace("value", r"\s*[\r\n]\s*", " ")).alias("v"))
+    """(id, entity, args, line) of all instances; line grows along a file."""
+    first = spark.read.text(path).limit(1).first()
+    end = ";\r\n" if first and spark.read.option("lineSep", "\n").text(path).limit(1).first()[0].endswith("\r") else ";\n"
+    parts = spark.read.option("lineSep", end).text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", r"\s*[\r\n]\s*", " ").alias("v"))
+    parts = parts.select("line", F.posexplode(F.regexp_extract_all("v", F.lit(f"((?:{_QUOTED}|[^';])+)"), F.lit(1))).alias("n", "v")).select("line", "n", F.trim("v").alias("v"))
     pattern = r"^#(\d+)\s*=\s*([A-Z0-9_]+)\s*\((.*)\)$"
     found = parts.where(F.col("v").rlike(pattern))
-    return found.select(F.regexp_extract("v", pattern, 1).cast("long").alias("id"), F.regexp_extract("v", pattern, 2).alias("entity"), split_arguments(F.regexp_extract("v", pattern, 3)).alias("args"))
+    return found.select(F.regexp_extract("v", pattern, 1).cast("long").alias("id"), F.regexp_extract("v", pattern, 2).alias("entity"), split_arguments(F.regexp_extract("v", pattern, 3)).alias("args"), F.struct("line", "n").alias("line"))
+
+
+def _text(k: int) -> Column:
+    """A text argument without its quotes; null for anything else."""
+    c = F.element_at("args", k)
+    return F.when(c.startswith("'"), F.regexp_replace(F.regexp_replace(c, "^'|'$", ""), "''", "'"))
+
+
+def class_of(entity: Column) -> Column:
+    """The class of an entity in capitals: as listed, else with Ifc before the rest in title case."""
+    names = {e.upper(): e for e in (*ENTITIES, *EQUIPMENT, *TERMINALS)}
+    listed = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[entity]
+    return F.coalesce(listed, F.concat(F.lit("Ifc"), F.initcap(F.substring(entity, 4, 100))))
 
 
 def elements(all_: DataFrame) -> DataFrame:
-    """(express_id, global_id, ifc_class, name, description, object_type, tag), each express id once."""
-    names = {e.upper(): e for e in ENTITIES}
-    class_ = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("entity")]
-    text = lambda k: F.when(F.element_at("args", k).startswith("'"), F.regexp_replace(F.regexp_replace(F.element_at("args", k), "^'|'$", ""), "''", "'"))
-    rows = all_.where(F.col("entity").isin(*names) & (F.size("args") >= 8)).dropDuplicates(["id"])
-    return rows.select(F.col("id").alias("express_id"), text(1).alias("global_id"), class_.alias("ifc_class"), *[tx.blank_to_null(text(k)).alias(n) for k, n in ((3, "name"), (4, "description"), (5, "object_type"), (8, "tag"))])
+    """(express_id, global_id, ifc_class, name, description, object_type, tag), each express id once, by its first instance.
+
+    Elements are the listed entities, and any other with an identifier, a placement and a shape; relations, types and property sets are none.
+    """
+    names = [e.upper() for e in ENTITIES]
+    other = F.col("entity").rlike("^IFC") & ~F.col("entity").rlike("^IFC(REL|PROPERTY|QUANTITY|ELEMENTQUANTITY)|TYPE$|STYLE$") & F.element_at("args", 1).rlike("^'[0-9A-Za-z_$]{22}'$") & F.element_at("args", 6).rlike(r"^(#\d+|\$)$")
+    rows = all_.where((F.size("args") >= 8) & (F.col("entity").isin(*names) | F.coalesce(F.when(F.size("args") >= 8, other), F.lit(False))))
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("entity", "args"), "line").alias("r")).select("id", "r.*")
+    return rows.select(F.col("id").alias("express_id"), _text(1).alias("global_id"), class_of(F.col("entity")).alias("ifc_class"), *[tx.blank_to_null(_text(k)).alias(n) for k, n in ((3, "name"), (4, "description"), (5, "object_type"), (8, "tag"))])
+
+
+def _value(c: Column) -> Column:
+    """A value as stored JSON: texts, numbers, booleans; null for anything else."""
+    inner = F.regexp_extract(c, r"^[A-Z0-9_]+\((.*)\)$", 1)
+    raw = F.when(inner != "", inner).otherwise(c)
+    text = F.regexp_replace(F.regexp_replace(raw, "^'|'$", ""), "''", "'")
+    number = F.regexp_replace(raw, r"\.(?=$|[eE])", "")
+    return (
+        F.when(raw.startswith("'"), values.encoded(text)).when(raw.isin(".T.", ".F."), F.when(raw == ".T.", "json:true").otherwise("json:false"))
+        .when(number.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.concat(F.lit("json:"), number))
+    )
+
+
+def _sets(all_: DataFrame, set_entity: str, members: int) -> DataFrame:
+    """(element_id, set_name, member) of sets that relations assign to elements."""
+    refs = lambda k: F.regexp_extract_all(F.element_at("args", k), F.lit(r"#(\d+)"), F.lit(1)).cast("array<long>")
+    given = all_.where("entity = 'IFCRELDEFINESBYPROPERTIES'").select(F.explode(refs(5)).alias("element_id"), F.element_at(refs(6), 1).alias("set"))
+    sets = all_.where(F.col("entity") == set_entity).select(F.col("id").alias("set"), _text(3).alias("set_name"), F.explode(refs(members)).alias("member"))
+    return given.join(sets, "set").select("element_id", "set_name", "member")
+
+
+def properties(all_: DataFrame) -> DataFrame:
+    """(element_id, pset_name, property_name, value, is_official) of single values in property sets."""
+    single = all_.where("entity = 'IFCPROPERTYSINGLEVALUE'").select(F.col("id").alias("member"), _text(1).alias("property_name"), _value(F.element_at("args", 3)).alias("value"))
+    rows = _sets(all_, "IFCPROPERTYSET", 5).join(single.where("property_name IS NOT NULL"), "member")
+    return rows.select("element_id", F.col("set_name").alias("pset_name"), "property_name", "value", F.col("set_name").startswith("Pset_").cast("int").alias("is_official"))
+
+
+def quantities(all_: DataFrame) -> DataFrame:
+    """(element_id, qto_name, quantity_name, value, is_official) of simple quantities in element quantities."""
+    simple = all_.where(F.col("entity").rlike("^IFCQUANTITY(LENGTH|AREA|VOLUME|COUNT|WEIGHT|TIME)$")).select(F.col("id").alias("member"), _text(1).alias("quantity_name"), F.regexp_replace(F.element_at("args", 4), r"\.$", "").try_cast("double").alias("value"))
+    rows = _sets(all_, "IFCELEMENTQUANTITY", 6).join(simple.where("quantity_name IS NOT NULL"), "member")
+    return rows.select("element_id", F.col("set_name").alias("qto_name"), "quantity_name", "value", F.col("set_name").startswith("Qto_").cast("int").alias("is_official"))
 
 
 def contained(all_: DataFrame) -> DataFrame:

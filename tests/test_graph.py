@@ -105,7 +105,9 @@ def test_graph_of_two_datasets(spark, tmp_path):
         (tmp_path / f"{name}.jsonl").write_text(json.dumps(record) + "\n" + json.dumps(storey))
     n, e = records.graph(records.read(spark, str(tmp_path)))
     got = rows(e)
-    assert len(got) == 8 and n.count() == 6
+    # of each model: containment both ways, a system, a connection, and a project, a building and its storey, whether records state them or not
+    assert len(got) == 12 and n.count() == 10
+    assert {("Project::model-a", "Building::model-a", "aggregates"), ("Building::model-a", "Storey::model-a::S", "aggregates")} <= set(got)
     assert all(src.split("::")[1] == dst.split("::")[1] for src, dst, _ in got)
     assert ("Element::model-a::W", "System::model-a::Supply Air", "belongs_to_system") in got
     assert n.where(F.col("global_id") == "W").count() == 2
