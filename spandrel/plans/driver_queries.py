@@ -412,10 +412,10 @@ def point_in_footprint(s, d):
 @query("""WITH e AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[4]::DOUBLE AS u, embedding[5]::DOUBLE AS v, 0.2::DOUBLE + 0.04::DOUBLE * label AS w FROM embeddings),
  n AS (SELECT id, x, y, u / sqrt(u*u + v*v) AS u, v / sqrt(u*u + v*v) AS v, w FROM e WHERE u*u + v*v > 0),
  p AS (SELECT a.id AS a, b.id AS b, abs(a.u*b.u + a.v*b.v) AS dot, a.u + s * b.u AS mu, a.v + s * b.v AS mv, b.x - a.x AS dx, b.y - a.y AS dy, least(a.w, b.w) AS w
-  FROM (SELECT a, b, CASE WHEN a.u*b.u + a.v*b.v < 0 THEN -1 ELSE 1 END AS s FROM n a JOIN n b ON a.id < b.id AND abs(floor(a.x / 5) - floor(b.x / 5)) <= 1 AND abs(floor(a.y / 5) - floor(b.y / 5)) <= 1))
+  FROM (SELECT a, b, CASE WHEN a.u*b.u + a.v*b.v < 0 THEN -1 ELSE 1 END AS s FROM n a JOIN n b ON a.id < b.id))
  SELECT a, b, round(degrees(acos(least(1, dot))), 5) AS angle, round(abs(dx*mv - dy*mu) / sqrt(mu*mu + mv*mv), 6) AS "offset" FROM p WHERE degrees(acos(least(1, dot))) <= 10 AND abs(dx*mv - dy*mu) / sqrt(mu*mu + mv*mv) <= greatest(0.25, w)""")
 def aligned_pairs(s, d):
-    return spatial.aligned(v.axes(s, d), 5.0).select("a", "b", F.round("angle", 5).alias("angle"), F.round("offset", 6).alias("offset"))
+    return spatial.aligned(v.axes(s, d)).select("a", "b", F.round("angle", 5).alias("angle"), F.round("offset", 6).alias("offset"))
 
 
 @query(f"{_OVER} SELECT a, b, round(area, 6) AS area FROM o WHERE area > 1e-6")
@@ -483,15 +483,23 @@ def token_coverage(s, d):
     return v.runs(s, d).agg(F.count("*").alias("runs"), F.count("tokens").alias("covered"), F.sum("tokens").alias("sum_tokens"), evals.mean(F.col("tokens")).alias("avg_tokens"))
 
 
-def _cues() -> str:
-    has = lambda cues: f"regexp_matches(q, '{router.cue_pattern(cues)}')"
-    graph_ = f"CASE WHEN regexp_matches(q, '{router.ROOM}') THEN 'containment' " + " ".join(f"WHEN {has(c)} THEN '{n}'" for n, c in router.GRAPH_CUES.items()) + " END"
-    op = f"CASE WHEN {has(router.AVG)} THEN 'avg' WHEN {has(router.MIN)} THEN 'min' WHEN {has(router.MAX)} THEN 'max' WHEN {has(router.SUM)} THEN 'sum' END"
-    intent = f"CASE WHEN regexp_matches(q, '{router.GROUP}') THEN 'group' WHEN {has(router.AVG + router.MIN + router.MAX)} THEN 'aggregate' WHEN {has(router.COUNT + router.EXISTENCE)} THEN 'count' WHEN {has(router.LIST)} THEN 'list' END"
-    return f"SELECT kind, graph, intent, aggregate_op, count(*) AS n FROM (SELECT kind, {graph_} AS graph, {intent} AS intent, {op} AS aggregate_op FROM (SELECT 'turn' AS kind, lower(text) AS q FROM conversations UNION ALL SELECT 'asked', 'how many ' || lower(p_name) || 's are there on level ' || p_size FROM part)) GROUP BY ALL"
+_CUES = """SELECT kind, graph, intent, aggregate_op, count(*) AS n FROM (SELECT kind,
+ CASE WHEN regexp_matches(q, '\\b(in|inside|within)\\s+(the\\s+)?((room|space)\\s+[a-z0-9_.-]+|kitchen|bathroom|bedroom|toilet|washroom|lobby|corridor|hallway|office)\\b') THEN 'containment'
+  WHEN list_has_any([contains(q, c) FOR c IN ['adjacent', 'near', 'distance', 'connected', 'connection', 'route', 'path', 'between', 'neighbor', 'neighbour', 'closest', 'touch', 'intersect', 'next to', 'beside', 'overlap', 'above', 'below', 'in front of', 'behind']], [true]) THEN 'spatial'
+  WHEN list_has_any([contains(q, c) FOR c IN ['classification', 'classified', 'system', 'serves', 'serving', 'served by', 'zone']], [true]) THEN 'system'
+  WHEN list_has_any([contains(q, c) FOR c IN ['material', 'color', 'colour', 'rgb']], [true]) THEN 'material'
+  WHEN list_has_any([contains(q, c) FOR c IN ['geo-reference', 'geo reference', 'georeference', 'fuzzy', 'approximate name', 'similar name', 'closest match']], [true]) THEN 'fuzzy'
+  WHEN list_has_any([contains(q, c) FOR c IN ['compare', 'comparison', 'versus', ' vs ', 'which is larger', 'which is smaller', 'which is higher', 'which is lower', 'larger than', 'smaller than']], [true]) THEN 'comparison' END AS graph,
+ CASE WHEN regexp_matches(q, '\\b(group|break\\s+down)\\b.*\\bby\\b|\\bgrouped\\s+by\\b|\\bwhat\\s+kinds?\\s+of\\b|\\b(what|which)\\s+types\\s+of\\b') THEN 'group'
+  WHEN q LIKE '%avg%' OR q LIKE '%average%' OR q LIKE '%mean%' OR q LIKE '%min%' OR q LIKE '%lowest%' OR q LIKE '%smallest%' OR q LIKE '%max%' OR q LIKE '%highest%' OR q LIKE '%largest%' OR q LIKE '%sum of%' OR q LIKE '%summed%' THEN 'aggregate'
+  WHEN q LIKE '%how many%' OR q LIKE '%count%' OR q LIKE '%number of%' OR q LIKE '%total%' OR q LIKE '%are there%' OR q LIKE '%is there%' OR q LIKE '%do we have%' OR q LIKE '%does the building have%' OR q LIKE '%does the house have%' OR q LIKE '%exist%' THEN 'count'
+  WHEN q LIKE '%list%' OR q LIKE '%find%' OR q LIKE '%show%' OR q LIKE '%which%' OR q LIKE '%what are%' OR q LIKE '%display%' OR q LIKE '%get%' OR q LIKE '%retrieve%' OR q LIKE '%identify%' THEN 'list' END AS intent,
+ CASE WHEN q LIKE '%avg%' OR q LIKE '%average%' OR q LIKE '%mean%' THEN 'avg' WHEN q LIKE '%min%' OR q LIKE '%lowest%' OR q LIKE '%smallest%' THEN 'min' WHEN q LIKE '%max%' OR q LIKE '%highest%' OR q LIKE '%largest%' THEN 'max'
+  WHEN q LIKE '%sum of%' OR q LIKE '%summed%' OR q LIKE '%total%' THEN 'sum' END AS aggregate_op
+ FROM (SELECT 'turn' AS kind, lower(text) AS q FROM conversations UNION ALL SELECT 'asked', 'how many ' || lower(p_name) || 's are there on level ' || p_size FROM part)) GROUP BY ALL"""
 
 
-@query(_cues())
+@query(_CUES)
 def route_cues(s, d):
     asked = v.table(s, d, "part").select(F.lit("asked").alias("kind"), F.concat(F.lit("How many "), F.col("p_name"), F.lit("s are there on level "), F.col("p_size").cast("string")).alias("text"))
     q = v.table(s, d, "conversations").select(F.lit("turn").alias("kind"), "text").unionByName(asked)

@@ -7,17 +7,20 @@ and a parameter out of range raise ValueError.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as tx
-from ..operators import graph, relational, search, spatial
+from ..functions import values
+from ..operators import graph, lookups, relational, search, spatial
 from ..operators.relational import Tables
 from ..operators.request import Field, Request
-from ..sources import records
+from ..operators.staging import kept
+from ..sources import records, store
 from .router import Route, route
 
 # Default limits.
@@ -45,38 +48,85 @@ class Model:
         rows = records.read(spark, *paths)
         return cls(records.tables(rows), *records.graph(rows), policy)
 
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, *datasets: str, policy: Policy | None = None) -> Model:
+        """A saved model, or some datasets of it; edges that were derived when it was saved are not derived again."""
+        f = store.read(spark, folder, *datasets)
+        own = cls(Tables(f["elements"], f["properties"], f["quantities"]), f["nodes"], f["edges"].where(F.col("relation").isin(*graph.HIERARCHY, *graph.EXPLICIT, "space_bounded_by", "bounds_space", "path_connected_to")), policy)
+        own.__dict__["edges"] = f["edges"]
+        return own
+
+    def save(self, folder: str) -> str:
+        """Writes tables, nodes and all edges below a folder, as a new version."""
+        home = self.nodes.select(F.col("id").alias("src"), "dataset").distinct()
+        edges = self.edges.join(home, "src").withColumn("source", self._source())
+        return store.write(folder, {"elements": self.tables.elements, "properties": self.tables.properties, "quantities": self.tables.quantities, "nodes": self.nodes, "edges": edges})
+
+    @staticmethod
+    def _source() -> Column:
+        """Where edges of a relation come from: stated, or derived from boxes."""
+        r = F.col("relation")
+        stated = r.isin(*graph.STATED_TOPOLOGY, *graph.EXPLICIT)
+        return F.when(stated, "ifc").when(r.isin(*graph.SPATIAL), "heuristic").when(r.isin(*graph.TOPOLOGY), "topology")
+
     # Tables
 
+    def answer(self, request: Request) -> dict[str, DataFrame]:
+        """The plans of an answer: rows, totals (how many there are in all, with and without the field) and the first few elements as evidence."""
+        return {"rows": self.run(request), "totals": relational.totals(self.tables, request), "evidence": relational.evidence(self.tables, request)}
+
+    def answer_each(self, request: Request, strict: bool = True) -> tuple[dict[str, DataFrame], dict[str, str]]:
+        """The request for each dataset on its own, and the errors by dataset; strict raises the first one."""
+        done, failed = {}, {}
+        for name in [r[0] for r in self.tables.elements.select("dataset").distinct().orderBy("dataset").collect()]:
+            only = lambda df: df.where(F.col("dataset") == name)  # noqa: B023,E731
+            try:
+                got = relational.execute(Tables(only(self.tables.elements), only(self.tables.properties), only(self.tables.quantities)), request)
+                done[name] = got
+                if request.intent == "aggregate" and request.aggregate_op != "count":
+                    relational.checked(got)
+            except ValueError as error:
+                if strict:
+                    raise
+                done.pop(name, None)
+                failed[name] = str(error)
+        return done, failed
+
     def ask(self, question: str) -> tuple[Route, DataFrame | None]:
         """Where a question goes, and the plan of its answer if the tables can give it."""
         to = route(question)
         return to, self.run(to.request) if to.request else None
 
     def run(self, request: Request) -> DataFrame:
-        return relational.execute(self.tables, request)
+        """The plan of a request; it fails when it runs if a sum, average, minimum or maximum meets values that aren't numeric."""
+        plan = relational.execute(self.tables, request)
+        return relational.guarded(plan) if request.intent == "aggregate" else plan
 
     # Graph
 
     @cached_property
     def shapes(self) -> DataFrame:
-        return self.nodes.where("lo IS NOT NULL AND hi IS NOT NULL").select("dataset", "id", "class_", "lo", "hi", F.coalesce("centre", F.transform(F.arrays_zip("lo", "hi"), lambda z: (z["lo"] + z["hi"]) / 2)).alias("centre"))
+        return self.nodes.where("lo IS NOT NULL AND hi IS NOT NULL").select("dataset", "id", "class_", "lo", "hi", F.coalesce("centre", F.transform(F.arrays_zip("lo", "hi"), lambda z: (z["lo"] + z["hi"]) / 2)).alias("centre"), F.when(F.col("centre").isNull(), "bbox_center_fallback").otherwise("centroid").alias("point_method"), self._footprint().alias("points"))
+
+    def _footprint(self) -> Column:
+        """The stated plan polygon of a node, else its box's plan."""
+        box = g.rectangle(F.col("lo"), F.col("hi"))
+        return F.coalesce(F.col("footprint"), box) if "footprint" in self.nodes.columns else box
 
     @cached_property
     def derived(self) -> DataFrame:
-        """Adjacency and plan topology between shapes of one model: src, dst, relation, distance, gap, area."""
+        """Adjacency and plan topology between shapes of one model: src, dst, relation, distance, gap, area. Written once, as every action on edges reads it."""
         p = self.policy
-        home = self.shapes.select("id", "dataset")
         near = spatial.adjacency(self.shapes, p.threshold, p.excluded).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation", "distance")
         rows = self.shapes.where(~F.col("class_").isin(*p.excluded))
         over = spatial.plan_overlaps(rows)
         up = spatial.above_below(over)
         meet = spatial.intersections(rows).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("intersects_bbox").alias("relation"))
-        kept = spatial.overlap_edges(over, p.overlap, p.min_ratio, p.top_k).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("overlaps_xy").alias("relation"), "area")
+        plan = spatial.overlap_edges(over, p.overlap, p.min_ratio, p.top_k).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("overlaps_xy").alias("relation"), "area")
         out = near
-        for more in (up, meet, kept):
+        for more in (up, meet, plan):
             out = out.unionByName(more, allowMissingColumns=True)
-        out = out.join(home.select(F.col("id").alias("src"), F.col("dataset").alias("d1")), "src").join(home.select(F.col("id").alias("dst"), F.col("dataset").alias("d2")), "dst")
-        return out.where("d1 = d2").drop("d1", "d2")
+        return kept(out)
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -98,6 +148,22 @@ class Model:
     def _one(self, wanted: str, classes=None) -> DataFrame:
         return self._ids([self.resolve(wanted, classes)])
 
+    def resolve_all(self, wanted: list[str]) -> list[str]:
+        """The nodes that identifiers mean, in their order and each once, by one query for all of them."""
+        asked = self.spark.createDataFrame([(w, tx.plain_of(w)) for w in dict.fromkeys(wanted)], "wanted string, words string")
+        n = self.nodes.select("id", "global_id", F.col("express_id").cast("string").alias("express"), F.when(graph.is_container(F.col("class_")), tx.plain(F.col("label"))).alias("words"))
+        parts = [n.select("id", F.col(c).alias("name"), F.lit(k).alias("rank")) for k, c in enumerate(("id", "global_id", "express"))]
+        hits = asked.join(parts[0].unionByName(parts[1]).unionByName(parts[2]), F.col("wanted") == F.col("name")).select("wanted", "id", "rank")
+        hits = hits.unionByName(asked.join(n.select("id", "words"), "words").select("wanted", "id", F.lit(3).alias("rank")))
+        best = hits.groupBy("wanted", "id").agg(F.min("rank").alias("rank")).groupBy("wanted", "rank").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        found = {r.wanted: r.f for r in best.groupBy("wanted").agg(F.min(F.struct("rank", "n", "id")).alias("f")).collect()}
+        for w in wanted:
+            if w not in found:
+                raise ValueError(f"no node is called {w!r}")
+            if found[w].n > 1:
+                raise ValueError(f"several nodes are called {w!r}")
+        return list(dict.fromkeys(found[w].id for w in wanted))
+
     def _ids(self, names: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(n,) for n in names], "id string")
 
@@ -130,18 +196,28 @@ class Model:
         return self._bounded(self._shown(self.nodes.select("id"), class_), max_results)
 
     def find_nodes(self, class_: str | None = None, filters: dict | None = None, max_results: int = SCAN) -> DataFrame:
-        """Nodes of a class whose properties have the values given; a bare name may lie in any set."""
+        """Nodes of a class whose properties have the values given: of the element itself (Name, TypeName, ...), else by name in any set, by set and name, or deeper inside a nested value (Set.Name.Key).
+        A list asks for any of its values."""
         hits = self.nodes.where("express_id IS NOT NULL").select("id", "dataset", "express_id") if filters else self.nodes.select("id")
         for name, wanted in (filters or {}).items():
-            rows = relational._attribute(self.tables, Field("property", name)).where(relational.compare("eq", wanted, F.col("text"), F.col("number")))
+            any_of = wanted if isinstance(wanted, list | tuple | set) else [wanted]
+            match = lambda text, number: reduce(or_, [relational.compare("eq", w, text, number) for w in any_of])  # noqa: B023,E731
+            column = lookups.COLUMNS.get(name.lower().replace("_", ""))
+            if column:
+                own = self.tables.elements
+                text, number = (F.lit(None).cast("string"), F.col(column).cast("double")) if column == "express_id" else (F.col(column), F.lit(None).cast("double"))
+                hits = hits.join(own.where(match(text, number)).select("dataset", "express_id"), ["dataset", "express_id"], "left_semi")
+                continue
+            rows = lookups.nested(self.tables, name).where(match(F.col("text"), F.col("number")))
             hits = hits.join(rows.select("dataset", "express_id"), ["dataset", "express_id"], "left_semi")
         return self._bounded(self._shown(hits.select("id"), class_), max_results)
 
     def find_elements_inside_footprint(self, container: str, class_: str | None = None, max_results: int = SCAN) -> DataFrame:
         own = self.resolve(container)
-        area = self.shapes.where(F.col("id") == own).select("id", "lo", "hi", g.rectangle(F.col("lo"), F.col("hi")).alias("points"))
-        points = self.shapes.where(~graph.is_container(F.col("class_"))).select("id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
-        return self._bounded(self._shown(spatial.inside_footprint(points, area).select("id"), class_), max_results)
+        area = self.shapes.where(F.col("id") == own).select("dataset", "id", "lo", "hi", "points")
+        points = self.shapes.where(~graph.is_container(F.col("class_"))).select("dataset", "id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
+        inside = spatial.inside_footprint(points, area).select("id").join(self.shapes.select("id", "point_method"), "id")
+        return self._bounded(self._shown(inside, class_), max_results)
 
     def find_same_storey_elements(self, anchor: str, class_: str | None = None, max_results: int = SCAN) -> DataFrame:
         """Elements of the storey above an element, or where none is stated those of the same level."""
@@ -156,15 +232,21 @@ class Model:
 
     def resolve_element_set(self, query: str, class_: str | None = None, match_mode: str = "set", max_results: int = NEAR) -> DataFrame:
         n = self.nodes.withColumn("materials", F.array_join("Materials", " "))
-        hits = search.element_set(n, query, ("label", "class_", "materials"))
+        more = [c for c in ("type_name", "object_type", "description") if c in self.nodes.columns]
+        hits = search.element_set(n, query, ("label", "class_", "materials", *more))
         if match_mode == "singular" and hits.limit(2).count() != 1:
             raise ValueError("the query does not name exactly one element")
         return self._bounded(self._shown(hits.drop("label"), class_), max_results, F.desc("exact_fields"), F.desc("matched_fields"), F.asc("extra_terms"))
 
     def relate_element_set(self, anchors: list[str], relation: str, max_results: int = NEAR) -> DataFrame:
-        names = self._ids([self.resolve(a) for a in anchors])
+        names = self._ids(self.resolve_all(anchors))
         return self._bounded(self._shown(graph.related(self.edges, names, graph.known_relations(relation)[0])), max_results)
 
+    def anchors_without(self, anchors: list[str], relation: str) -> DataFrame:
+        """Which of some elements have no neighbour by a relation."""
+        rows = graph.unmatched(self.edges, self._ids(self.resolve_all(anchors)), graph.known_relations(relation)[0])
+        return self._bounded(self._shown(rows), HARD_CAP)
+
     def _measured(self, anchor: str, relations, mode: str) -> DataFrame:
         """Neighbours with what the edges measure, the best of parallel ones."""
         own = self.resolve(anchor)
@@ -187,7 +269,9 @@ class Model:
             own = self.resolve(element)
             home = self.shapes.where(F.col("id") == own).select("dataset")
             line = spatial.aligned_to(spatial.main_axes(self.shapes.join(F.broadcast(home), "dataset", "left_semi")), own).select(F.col("b").alias("id"), F.bround("angle", 6).alias("angle"), F.bround("offset", 6).alias("offset"))
-            return self._bounded(self._shown(line), max_results, F.asc("angle"), F.asc("offset"))
+            level = self.nodes.where(F.col("id") == own).select("level_key").first()
+            away = self.nodes.select("id", (~F.col("level_key").eqNullSafe(F.lit(level.level_key if level else None))).cast("int").alias("other_level"))
+            return self._bounded(self._shown(line.join(away, "id")), max_results, F.asc("other_level"), F.asc("angle"), F.asc("offset"))
         rows = self._shown(self._measured(element, (name,), "out" if name in graph.DIRECTIONAL else "any"))
         return self._bounded(rows, max_results, F.asc_nulls_last("gap"), F.desc_nulls_last("area"))
 
@@ -217,14 +301,14 @@ class Model:
         return relational.attribute_keys(Tables(self.tables.elements, only(self.tables.properties), only(self.tables.quantities))).orderBy("key")
 
     def get_element_properties(self, element: str) -> DataFrame:
-        """(set_name, name, value, is_official) of one element."""
+        """(set_name, name, value, is_official) of one element; names that its node states without a value are filled from the tables, as all values lie there."""
         own = self.nodes.where(F.col("id") == self.resolve(element)).select("dataset", F.col("express_id").alias("element_id"))
         p = self.tables.properties.select("dataset", "element_id", F.col("pset_name").alias("set_name"), F.col("property_name").alias("name"), "value", "is_official")
         q = self.tables.quantities.select("dataset", "element_id", F.col("qto_name").alias("set_name"), F.col("quantity_name").alias("name"), F.col("value").cast("string").alias("value"), "is_official")
         return p.unionByName(q).join(own, ["dataset", "element_id"], "left_semi").drop("dataset", "element_id").orderBy(F.desc("is_official"), "set_name", "name")
 
     def _values(self, elements: list[str], field: Field) -> DataFrame:
-        ids = self.nodes.join(self._ids([self.resolve(e) for e in elements]), "id", "left_semi").select("dataset", "express_id")
+        ids = self.nodes.join(self._ids(self.resolve_all(elements)), "id", "left_semi").select("dataset", "express_id")
         return ids.join(relational.first_values(self.tables, field), ["dataset", "express_id"], "left")
 
     def aggregate_elements(self, elements: list[str], metric: str, field: Field | None = None) -> DataFrame:
@@ -232,7 +316,7 @@ class Model:
         if field is None:
             if metric != "count":
                 raise ValueError("this metric needs a field")
-            return self._ids(list(dict.fromkeys(self.resolve(e) for e in elements))).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("matched_count"), F.lit(0).cast("long").alias("missing_count"), F.lit(0).cast("long").alias("non_numeric"))
+            return self._ids(self.resolve_all(elements)).agg(F.count("*").cast("double").alias("value"), F.count("*").alias("matched_count"), F.lit(0).cast("long").alias("missing_count"), F.lit(0).cast("long").alias("non_numeric"))
         there = F.col("text").isNotNull() | F.col("number").isNotNull()
         how = {"count": lambda c: F.count(F.when(there, 1)).cast("double"), "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
         if metric not in how:
@@ -241,11 +325,15 @@ class Model:
         return self._values(elements, field).agg(how[metric]("number").alias("value"), F.count(F.when(there, 1)).alias("matched_count"), F.count(F.when(~there, 1)).alias("missing_count"), bad.alias("non_numeric"))
 
     def group_elements_by_property(self, elements: list[str], field: Field, max_groups: int = 20) -> DataFrame:
-        rows = self._values(elements, field).where("raw IS NOT NULL")
+        """Groups by canonical JSON, so that equal values of other spellings are one group; stored texts without json: are texts."""
+        rows = self._values(elements, field).where("raw IS NOT NULL").withColumn("raw", F.coalesce(F.concat(F.lit("json:"), values.canonical(F.col("raw"))), F.col("raw")))
         return rows.groupBy(F.col("raw").alias("value")).agg(F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("express_id")), 1, 2).alias("samples")).orderBy(F.desc("count"), "value").limit(min(max_groups, 50))
 
     def trace_distribution_network(self, start: str, max_depth: int = 3, max_results: int = NEAR, relations=graph.NETWORK) -> DataFrame:
+        """What the network reaches, with the hop (parent, relation) that found it."""
         rows = graph.trace(self.edges, self._one(start), max_depth, relations).select("id", "depth", "parent")
+        hop = graph.steps(self.edges, relations, "any").groupBy(F.col("a").alias("parent"), F.col("b").alias("id")).agg(F.min("relation").alias("relation"))
+        rows = rows.join(hop, ["parent", "id"])
         return self._bounded(self._shown(rows), min(max_results, 50), F.asc("depth"))
 
     def find_shortest_path(self, start: str, end: str, max_path_length: int = 8, relations=None) -> DataFrame:
@@ -263,12 +351,14 @@ class Model:
         return self._bounded(search.fuzzy_nodes(n, query), min(top_k, 25), F.desc("score"))
 
     def find_container_elements_excluding(self, container: str, exclude: list[str] = (), depth: int = 4, max_results: int = SCAN) -> DataFrame:
-        rows = graph.excluding(self.stated, self._one(container), self._ids([self.resolve(x) for x in exclude]), depth)
+        rows = graph.excluding(self.stated, self._one(container), self._ids(self.resolve_all(list(exclude))), depth)
         return self._bounded(self._shown(rows), max_results)
 
     def search_nodes(self, query: str = "", class_: str | None = None, page: int = 1, page_size: int = 25) -> DataFrame:
         n = self.nodes if class_ is None else self.nodes.where(F.col("class_") == class_)
         hits = search.search(n, query) if query.strip() else n.select("id", "label", "class_", F.lit(0.0).alias("score"))
+        if page_size < 1:
+            raise ValueError("a page has at least one row")
         return search.page(hits, max(1, page), page_size)
 
     def get_element(self, element: str) -> DataFrame:
@@ -278,4 +368,4 @@ class Model:
         return graph.summary(self.nodes, self.edges)
 
 
-ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "act", "resolve", "read"))
+ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "load", "save"))

@@ -4,8 +4,11 @@ import json
 
 import pytest
 
-from spandrel.operators.request import Field
+from pyspark.sql import functions as F
+
+from spandrel.operators.request import Field, Request
 from spandrel.plans.model import ACTIONS, Model, Policy
+from spandrel.sources import store
 
 
 def element(k, gid, cls, name, parent=None, box=None, relations=None, psets=None, qtos=None, level=None):
@@ -37,7 +40,7 @@ def model(spark, tmp_path_factory):
     m = Model.read(spark, str(path), policy=Policy(threshold=0.6))
     m.nodes.cache()
     m.stated.cache()
-    m.__dict__["edges"] = m.edges.cache()
+    m.edges.cache()
     return m
 
 
@@ -103,6 +106,63 @@ def test_search_actions(model):
     assert model.get_element("4").first().global_id == "W1"
 
 
+def test_answers_come_with_totals_and_evidence(model):
+    got = model.answer(Request("list", "wall", limit=1))
+    assert (got["rows"].count(), got["totals"].first().total_count, got["evidence"].count()) == (1, 3, 3)
+    by = model.answer(Request("group", "wall", group_by=Field("property", "FireRating")))["totals"].first()
+    assert (by.total_count, by.matched_count, by.missing_count) == (3, 2, 1)
+    with pytest.raises(Exception, match="not numeric"):
+        model.run(Request("aggregate", "wall", aggregate_op="sum", aggregate_field=Field("property", "FireRating"))).collect()
+
+
+def test_saved_models_are_read_again(model, spark, tmp_path):
+    folder = str(tmp_path / "store")
+    model.save(folder)
+    again = Model.load(spark, folder)
+    assert store.datasets_of(spark, folder) == ["house"]
+    assert again.nodes.count() == model.nodes.count() and again.edges.count() == model.edges.count()
+    assert gids(again.find_elements_by_class("wall")) == ["W1", "W3", "W2"]
+    assert again.run(Request("count", "wall")).first()[0] == 3
+    with pytest.raises(ValueError):
+        Model.load(spark, folder, "nothing")
+
+
+def test_two_models_never_meet(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, ROWS)))
+    m = Model.read(spark, str(tmp_path), policy=Policy(overlap="top_k", top_k=1))
+    assert m.edges.where(F.split("src", "::")[1] != F.split("dst", "::")[1]).count() == 0
+    one = Model.read(spark, str(tmp_path / "a.jsonl"), policy=Policy(overlap="top_k", top_k=1))
+    assert m.edges.count() == 2 * one.edges.count()
+    with pytest.raises(ValueError):
+        m.resolve("W1")
+    assert [r.id for r in m.find_elements_inside_footprint("Element::a::SP").collect()] == ["Element::a::T", "Element::a::R"]
+    done, failed = m.answer_each(Request("aggregate", "wall", aggregate_op="sum", aggregate_field=Field("property", "FireRating")), strict=False)
+    assert not done and set(failed) == {"a", "b"}
+
+
+def test_stated_polygons_and_hierarchy(spark, tmp_path):
+    space = element(1, "SP", "IfcSpace", "L room", None, ([0, 0, 0], [10, 10, 3]))
+    space["Geometry"]["FootprintPolygon2D"] = [[0, 0], [10, 0], [10, 2], [2, 2], [2, 10], [0, 10], [0, 0]]
+    rows = [space, element(2, "IN", "IfcFurniture", "in", None, ([1, 1, 0], [1.2, 1.2, 1])), element(3, "OUT", "IfcFurniture", "out", None, ([8, 8, 0], [8.2, 8.2, 1])), element(4, "S", "IfcBuildingStorey", "Level 1")]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    m = Model.read(spark, str(tmp_path))
+    found = m.find_elements_inside_footprint("SP").collect()
+    assert [(r.global_id, r.point_method) for r in found] == [("IN", "bbox_center_fallback")]
+    assert [r.id for r in m.find_container_elements_excluding("Building::m").collect()] == ["Storey::m::S"]
+    assert m.anchors_without(["IN", "S"], "hosts").count() == 2
+
+
+def test_nested_filters(spark, tmp_path):
+    rows = [element(1, "W", "IfcWall", "a", psets={"Pset_X": {"Perf": {"U": 0.3, "Ext": True}}}), element(2, "V", "IfcWall", "b", psets={"Pset_X": {"Perf": {"U": 0.4, "Ext": False}}})]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    m = Model.read(spark, str(tmp_path))
+    assert gids(m.find_nodes("wall", {"Pset_X.Perf.U": 0.3})) == ["W"]
+    assert gids(m.find_nodes("wall", {"Perf.Ext": False})) == ["V"]
+    assert gids(m.find_nodes("wall", {"Name": ["a", "b"]})) == ["W", "V"]
+    assert gids(m.find_nodes("wall", {"Perf.None": None})) == []
+
+
 def test_refusals(model):
     assert len(ACTIONS) >= 26
     for bad in (lambda: model.act("drop"), lambda: model.resolve("nobody"), lambda: model.traverse("W1", "likes"), lambda: model.find_elements_by_class("wall", 0), lambda: model.aggregate_elements(["W1"], "sum")):
