@@ -53,6 +53,21 @@ def polygon_area(points: Column) -> Column:
     return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + edge(i))) / 2).otherwise(F.lit(0.0))
 
 
+def footprint_area(points: Column, lo: Column, hi: Column) -> Column:
+    """Area of a plan polygon of at least three corners, else of the box's plan."""
+    box = F.greatest(hi[0] - lo[0], F.lit(0.0)) * F.greatest(hi[1] - lo[1], F.lit(0.0))
+    return F.when(F.size(points) >= 3, polygon_area(points)).otherwise(box)
+
+
+def point_box_distance(p: Column, lo: Column, hi: Column) -> Column:
+    """Distance of a point to a box, 0 inside."""
+    total = F.lit(0.0)
+    for k in range(3):
+        gap = F.greatest(lo[k] - p[k], p[k] - hi[k], F.lit(0.0))
+        total = total + gap * gap
+    return F.sqrt(total)
+
+
 def in_box_xy(x: Column, y: Column, lo: Column, hi: Column) -> Column:
     return x.between(lo[0] - EPSILON, hi[0] + EPSILON) & y.between(lo[1] - EPSILON, hi[1] + EPSILON)
 

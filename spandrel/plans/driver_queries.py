@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry, values
 from ..functions import text as tx
 from ..operators import evals, graph, lookups, relational, search, spatial
 from ..operators.request import Field, Filter, Request
+from ..sources import records as rec
 from ..streaming import windows
 from . import router
 from . import views as v
+from .model import Model
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -506,6 +510,122 @@ def route_cues(s, d):
     return router.routed(q).groupBy("kind", "graph", "intent", "aggregate_op").agg(F.count("*").alias("n"))
 
 
+# Records, and actions on the model made of them
+
+
+@functools.lru_cache(maxsize=1)
+def _model(s, d):
+    records_ = v.records(s, d)
+    return Model(rec.tables(records_), *rec.graph(records_))
+
+
+@query("""SELECT 'elements' AS part, ifc AS name, count(*) AS n, 0.0::DOUBLE AS total FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'IfcWall' WHEN 'O' THEN 'IfcDoor' ELSE 'IfcBeam' END AS ifc FROM orders UNION ALL SELECT 'IfcSpace' FROM customer UNION ALL SELECT 'IfcBuildingStorey' FROM nation) GROUP BY 2
+ UNION ALL SELECT 'properties', x, count(*), count(*)::DOUBLE FROM orders, (VALUES ('Pset_Order.Status'), ('Pset_Order.Price')) t(x) GROUP BY 2 UNION ALL SELECT 'quantities', 'Qto_Order.Total', count(*), round(sum(o_totalprice), 2) FROM orders""")
+def record_tables(s, d):
+    t = rec.tables(v.records(s, d))
+    out = t.elements.groupBy(F.lit("elements").alias("part"), F.col("ifc_class").alias("name")).agg(F.count("*").alias("n"), F.lit(0.0).alias("total"))
+    out = out.unionByName(t.properties.groupBy(F.lit("properties").alias("part"), F.concat_ws(".", "pset_name", "property_name").alias("name")).agg(F.count("*").alias("n"), F.sum("is_official").cast("double").alias("total")))
+    return out.unionByName(t.quantities.groupBy(F.lit("quantities").alias("part"), F.concat_ws(".", "qto_name", "quantity_name").alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")))
+
+
+@query("""SELECT 'aggregates' AS relation, 1 + (SELECT count(*) FROM nation) AS n UNION ALL SELECT r, (SELECT count(*) FROM customer) + (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey) FROM (VALUES ('contains'), ('contained_in')) t(r)
+ UNION ALL SELECT 'classified_as', count(*) FROM orders UNION ALL SELECT 'hosted_by', count(*) FROM orders JOIN customer ON o_custkey = c_custkey""")
+def record_graph(s, d):
+    return rec.graph(v.records(s, d))[1].groupBy("relation").agg(F.count("*").alias("n"))
+
+
+_BOUNDED = "total_found, least(total_found, {k}) AS returned_count, total_found > {k} AS truncated"
+
+
+@query(f"SELECT 'O' || o_orderkey AS global_id, {_BOUNDED.format(k=5)} FROM (SELECT o_orderkey, count(*) OVER () AS total_found FROM orders WHERE o_orderstatus = 'F') ORDER BY 'Order ' || o_orderkey LIMIT 5")
+def action_by_class(s, d):
+    return _model(s, d).act("find_elements_by_class", class_="wall", max_results=5).select("global_id", "total_found", "returned_count", "truncated")
+
+
+@query(f"SELECT 'O' || o_orderkey AS global_id, {_BOUNDED.format(k=7)} FROM (SELECT o_orderkey, count(*) OVER () AS total_found FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3) ORDER BY 'Order ' || o_orderkey LIMIT 7")
+def action_storey(s, d):
+    return _model(s, d).get_elements_in_storey("N3", 7).select("global_id", "total_found", "returned_count", "truncated")
+
+
+@query(f"SELECT 'O' || o_orderkey AS global_id, {_BOUNDED.format(k=9)} FROM (SELECT o_orderkey, count(*) OVER () AS total_found FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority = '1-URGENT') ORDER BY 'Order ' || o_orderkey LIMIT 9")
+def action_find_nodes(s, d):
+    return _model(s, d).find_nodes(filters={"Pset_Order.Status": ["F", "P"], "Price.Priority": "1-URGENT"}, max_results=9).select("global_id", "total_found", "returned_count", "truncated")
+
+
+@query("SELECT round(sum(o_totalprice), 2) AS value, count(*) AS matched_count, 1::BIGINT AS missing_count, 0::BIGINT AS non_numeric FROM orders WHERE o_orderkey <= 40")
+def action_aggregate(s, d):
+    ids = [f"O{r[0]}" for r in v.table(s, d, "orders").where("o_orderkey <= 40").select("o_orderkey").collect()]  # at most 40
+    return _model(s, d).aggregate_elements([*ids, "N1", *ids[:3]], "sum", Field("quantity", "Qto_Order.Total")).withColumn("value", F.round("value", 2))
+
+
+@query("""SELECT 'json:"' || o_orderstatus || '"' AS value, count(*) AS count FROM orders WHERE o_orderkey <= 40 GROUP BY 1""")
+def action_group(s, d):
+    ids = [f"O{r[0]}" for r in v.table(s, d, "orders").where("o_orderkey <= 40").select("o_orderkey").collect()]
+    return _model(s, d).group_elements_by_property(ids, Field("property", "Status")).select("value", "count")
+
+
+@query(f"SELECT 'O' || o_orderkey AS global_id, 2 AS score, {_BOUNDED.format(k=6)} FROM (SELECT o_orderkey, count(*) OVER () AS total_found FROM orders WHERE o_orderpriority = '2-HIGH') ORDER BY 'Order ' || o_orderkey LIMIT 6")
+def action_classification(s, d):
+    return _model(s, d).find_by_classification("2 high", 6).select("global_id", "score", "total_found", "returned_count", "truncated")
+
+
+@query("SELECT count(*) AS total_count, count(*) FILTER (WHERE o_orderstatus = 'F') AS walls, count(*) FILTER (WHERE o_orderstatus <> 'F') AS missing_count FROM orders")
+def answer_totals(s, d):
+    t = _model(s, d).tables
+    walls = relational.totals(t, Request("count", "wall")).select(F.col("total_count").alias("walls"))
+    some = relational.totals(t, Request("group", filters=(Filter("element", "name", "like", "Order %"),), group_by=Field("property", "Status")))
+    return some.crossJoin(walls).select("total_count", "walls", (F.col("matched_count") - F.col("walls")).alias("missing_count"))
+
+
+# Values, boxes and walks of any size
+
+
+@query("SELECT count(*) FILTER (WHERE p_size % 3 = 1) AS is_false, count(*) FILTER (WHERE p_size % 3 <> 1) AS not_false, count(*) FILTER (WHERE p_size % 3 = 0 OR p_size % 3 = 2) AS above_false FROM part")
+def boolean_filters(s, d):
+    t = v.tables(s, d)
+    size = F.substring("value", 6, 9).cast("int") % 3
+    flags = t.properties.where("property_name = 'Size'").withColumns({"property_name": F.lit("Flag"), "value": F.when(size == 0, "json:true").when(size == 1, "json:false").otherwise("0 by text")})
+    own = relational.Tables(t.elements, flags, t.quantities)
+    n = {name: relational.count(own, Request("count", filters=(Filter("property", "Flag", op, False),))).select(F.col("count").alias(name)) for name, op in (("is_false", "eq"), ("not_false", "neq"), ("above_false", "gt"))}
+    return n["is_false"].crossJoin(n["not_false"]).crossJoin(n["above_false"])
+
+
+@query(f"SELECT count(*) AS pairs, count(*) FILTER (WHERE big) AS with_site FROM (SELECT a.id = -1 OR b.id = -1 AS big FROM (SELECT id, x0, x1, y0, y1 FROM {v.SHAPES} UNION ALL SELECT -1, -1000, 1000, -1000, 1000) a JOIN (SELECT id, x0, x1, y0, y1 FROM {v.SHAPES} UNION ALL SELECT -1, -1000, 1000, -1000, 1000) b ON a.id < b.id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)")
+def boxes_of_all_sizes(s, d):
+    site = s.createDataFrame([(-1, [-1000.0] * 3, [1000.0] * 3)], "id long, lo array<double>, hi array<double>")
+    pairs = spatial.plan_overlaps(v.shapes(s, d).select("id", "lo", "hi").unionByName(site))
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if((F.col("a") == -1) | (F.col("b") == -1)).alias("with_site"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 60 <> 0 AND c_custkey < (SELECT max(c_custkey) FROM customer)), r(seed, id, depth) AS (SELECT src, dst, 1 FROM e WHERE src % 60 = 1 UNION ALL SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.id = e.src)
+ SELECT seed, count(*) AS n, max(depth) AS deepest FROM r GROUP BY 1""")
+def deep_containment(s, d):
+    c = v.table(s, d, "customer").select("c_custkey")
+    last = c.agg(F.max("c_custkey")).first()[0]
+    e = c.where((F.col("c_custkey") % 60 != 0) & (F.col("c_custkey") < last)).select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"), F.lit("contains").alias("relation"))
+    seeds = c.where(F.col("c_custkey") % 60 == 1).select(F.col("c_custkey").alias("id"))
+    return graph.descendants(e, seeds).groupBy("seed").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query(f"SELECT id FROM (SELECT 'P' || p_partkey AS id FROM part UNION ALL SELECT 'C' || c_custkey FROM customer) WHERE id NOT IN (SELECT p FROM {v.LINKS})")
+def anchors_without_match(s, d):
+    anchors = v.nodes(s, d).where("id LIKE 'P%' OR id LIKE 'C%'").where("class_ <> 'Classification'").select("id")
+    return graph.unmatched(v.edges(s, d), anchors, "ifc_connected_to")
+
+
+@query(f"SELECT a.id AS id, round(sqrt(greatest(b.x0 - a.x, a.x - b.x1, 0)^2 + greatest(b.y0 - a.y, a.y - b.y1, 0)^2 + greatest(b.z0 - a.z, a.z - b.z1, 0)^2), 6) AS distance, round((a.x1 - a.x0) * (a.y1 - a.y0) / 2, 6) AS area FROM {v.SHAPES} a JOIN {v.SHAPES} b ON b.id = a.id + 1")
+def point_to_box(s, d):
+    a = v.shapes(s, d)
+    b = a.select((F.col("id") - 1).alias("id"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    half = F.slice(geometry.rectangle(F.col("lo"), F.col("hi")), 1, 3)
+    return a.join(b, "id").select("id", F.round(geometry.point_box_distance(F.col("centre"), F.col("lb"), F.col("hb")), 6).alias("distance"), F.round(geometry.footprint_area(half, F.col("lo"), F.col("hi")), 6).alias("area"))
+
+
+@query(f"SELECT a.id AS a, b.id AS b FROM {v.SHAPES} a JOIN {v.SHAPES} b ON a.id < b.id AND a.id % 3 = b.id % 3 WHERE (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2 <= 4")
+def radius_by_dataset(s, d):
+    return spatial.within(v.shapes(s, d).withColumn("dataset", F.concat(F.lit("m"), (F.col("id") % 3).cast("string"))), 2.0).select("a", "b")
+
+
 # Extension
 
 

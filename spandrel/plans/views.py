@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators.graph import containment
 from ..operators.relational import Tables
+from ..sources import records as rec
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +100,23 @@ def axes(spark, d) -> DataFrame:
     return e.where(norm > 0).select(F.col("vec_id").alias("id"), (at(0) * 20).alias("x"), (at(1) * 20).alias("y"), (at(3) / norm).alias("dx"), (at(4) / norm).alias("dy"), (F.lit(0.2) + F.lit(0.04) * F.col("label")).alias("short"))
 
 
+def records(spark, d) -> DataFrame:
+    """Nations as storeys, customers as spaces, orders as elements, written as lines of JSON among lines that aren't records, and read as such."""
+    none = F.lit(None).cast("string")
+    line = lambda name, gid, number, class_, label, parent, *more: table(spark, d, name).select(F.to_json(F.struct(gid.alias("GlobalId"), number.alias("ExpressId"), class_.alias("IfcType"), label.alias("Name"), F.struct(parent.alias("ParentId")).alias("Hierarchy"), *more)).alias("value"))
+    sets = F.create_map(F.lit("Pset_Order"), F.struct(F.col("o_orderstatus").alias("Status"), F.struct(F.col("o_totalprice").alias("Amount"), F.col("o_orderpriority").alias("Priority")).alias("Price")))
+    order = (
+        F.struct(sets.alias("Official")).alias("PropertySets"), F.create_map(F.lit("Qto_Order"), F.struct(F.col("o_totalprice").alias("Total"))).alias("Quantities"),
+        F.create_map(F.lit("classified_as"), F.array("o_orderpriority"), F.lit("hosted_by"), F.array(key("C", "o_custkey"), F.lit("gone"))).alias("Relationships"),
+    )
+    status = F.when(F.col("o_orderstatus") == "F", "IfcWall").when(F.col("o_orderstatus") == "O", "IfcDoor").otherwise("IfcBeam")
+    lines = line("nation", key("N", "n_nationkey"), F.col("n_nationkey") + 1, F.lit("IfcBuildingStorey"), F.col("n_name"), none)
+    lines = lines.unionByName(line("customer", key("C", "c_custkey"), F.col("c_custkey") + 1000, F.lit("IfcSpace"), F.col("c_name"), key("N", "c_nationkey")))
+    lines = lines.unionByName(line("orders", key("O", "o_orderkey"), F.col("o_orderkey") + 100_000_000, status, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), key("C", "o_custkey"), *order))
+    odd = spark.createDataFrame([("",), ("no json",), ("[1]",), ('{"GlobalId": "X"}',)], "value string")
+    return rec.parsed(lines.unionByName(odd).select(F.lit("m").alias("dataset"), F.monotonically_increasing_id().alias("line"), "value"))
+
+
 def runs(spark, d) -> DataFrame:
     """Events as evaluation runs."""
     v = F.col("value")

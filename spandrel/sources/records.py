@@ -25,6 +25,11 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
     lines = spark.read.text(list(paths)).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("dataset"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value")
     )
+    return parsed(lines)
+
+
+def parsed(lines: DataFrame) -> DataFrame:
+    """Records of lines (dataset, line, value)."""
     whole = lines.where("value <> ''").withColumn("r", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))
     return whole.where("r.ExpressId IS NOT NULL").select("dataset", "line", "r.*")
 
