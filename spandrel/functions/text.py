@@ -21,6 +21,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
+def schema_family(c: Column) -> Column:
+    """The family of a schema's identifier, by its start; null for others."""
+    name = F.upper(F.trim(c))
+    return F.when(name.startswith("IFC4X3"), "IFC4X3").when(name.startswith("IFC4"), "IFC4").when(name.startswith("IFC2X3"), "IFC2X3")
+
+
 def blank_to_null(c: Column) -> Column:
     t = F.trim(c.cast("string"))
     return F.when(t != "", t)

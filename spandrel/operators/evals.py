@@ -34,9 +34,29 @@ def roll_up(runs: DataFrame, *by: str) -> DataFrame:
     )
 
 
+TOKEN_KINDS = ("total_tokens", "output_tokens", "input_tokens")
+
+
 def leaderboard(runs: DataFrame, by: str, limit: int) -> DataFrame:
-    """Best profiles first: answers, routes, then fewer tokens and less time; missing figures last."""
-    return roll_up(runs, by).orderBy(F.desc_nulls_last("answer_correct_rate"), F.desc_nulls_last("route_correct_rate"), F.asc_nulls_last("avg_tokens"), F.asc_nulls_last("avg_duration_ms"), by).limit(limit)
+    """Best profiles first: answers, routes, then fewer tokens (of all, output and input ones, as far as runs tell them apart) and less time; missing figures last."""
+    rows, kinds = roll_up(runs, by), [k for k in TOKEN_KINDS if k in runs.columns]
+    if kinds:
+        rows = rows.join(runs.groupBy(by).agg(*[mean(F.col(k)).alias("avg_" + k) for k in kinds]), by)
+    tokens = [F.asc_nulls_last("avg_" + k) for k in kinds] or [F.asc_nulls_last("avg_tokens")]
+    return rows.orderBy(F.desc_nulls_last("answer_correct_rate"), F.desc_nulls_last("route_correct_rate"), *tokens, F.asc_nulls_last("avg_duration_ms"), by).limit(limit)
+
+
+def judged(runs: DataFrame) -> DataFrame:
+    """Runs (expected_route, route, error, limit_ms, duration_ms) with route_correct, no_error and duration_pass (null without a limit)."""
+    return runs.withColumns({"route_correct": F.col("expected_route").eqNullSafe(F.col("route")), "no_error": F.col("error").isNull(), "duration_pass": F.col("duration_ms") <= F.col("limit_ms")})
+
+
+def profile_summary(runs: DataFrame, by: str = "profile") -> DataFrame:
+    """(by, runs, errors, warnings, with_data, avg_duration_ms, max_duration_ms) of runs with error, warnings and rows_returned."""
+    return runs.groupBy(by).agg(
+        F.count("*").alias("runs"), F.count("error").alias("errors"), F.sum(F.coalesce("warnings", F.lit(0))).alias("warnings"), F.count_if(F.col("rows_returned") > 0).alias("with_data"),
+        mean(F.col("duration_ms")).alias("avg_duration_ms"), F.max("duration_ms").alias("max_duration_ms"),
+    )
 
 
 def combinations(spark, axes: dict[str, list]) -> DataFrame:

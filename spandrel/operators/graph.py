@@ -72,6 +72,18 @@ def is_container(c: Column) -> Column:
     return F.coalesce(c.isin(*CONTAINERS), F.lit(False))
 
 
+def is_context(id_: Column, kind: Column | None = None) -> Column:
+    """Whether a node is a label that elements refer to: by its kind, or by the start of its identifier."""
+    named = id_.startswith("System::") | id_.startswith("Zone::") | id_.startswith("Classification::")
+    return named if kind is None else F.coalesce(kind == "context", F.lit(False)) | named
+
+
+def legend(edges: DataFrame) -> DataFrame:
+    """(bucket, relation, n): distinct edges by relation, symmetric ones once, for a legend."""
+    bucket = reduce(lambda c, x: c.when(F.col("relation").isin(*x[1]), x[0]), (("spatial", SPATIAL), ("topology", TOPOLOGY), ("explicit", EXPLICIT)), F.when(F.col("relation").isin(*HIERARCHY), "hierarchy"))
+    return relation_counts(edges).select(bucket.alias("bucket"), "relation", "n")
+
+
 def canonical(edges: DataFrame) -> DataFrame:
     """Each edge once: symmetric ones with the smaller end first; of several the first by its other columns; self-loops go."""
     swap = F.col("relation").isin(*SYMMETRIC)

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+# What a request can ask, of what, and how.
 INTENTS = ("count", "list", "aggregate", "group")
 SOURCES = ("element", "property", "quantity")
 OPERATORS = ("eq", "neq", "lt", "lte", "gt", "gte", "like")
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
 
+def _safe(name: str) -> bool:
+    """A field's name is of letters, digits, blanks and a few signs; quotes, escapes and control characters are refused."""
+    return re.fullmatch(r"[\w .:/()%+&-]+", name) is not None and name.strip() != ""
+
+
 @dataclass(frozen=True)
 class Field:
     source: str
     name: str
 
     def __post_init__(self):
-        if self.source not in SOURCES or not self.name.strip():
+        if self.source not in SOURCES or not _safe(self.name):
             raise ValueError(f"no such field: {self.source} {self.name!r}")
 
 
@@ -28,7 +35,7 @@ class Filter:
     value: object
 
     def __post_init__(self):
-        if self.source not in SOURCES or self.op not in OPERATORS or not self.name.strip():
+        if self.source not in SOURCES or self.op not in OPERATORS or not _safe(self.name):
             raise ValueError(f"no such filter: {self.source} {self.name!r} {self.op}")
 
 
@@ -54,6 +61,10 @@ class Request:
                 raise ValueError(f"aggregate_op must be one of {AGGREGATES}")
             if self.aggregate_op != "count" and self.aggregate_field is None:
                 raise ValueError("an aggregate other than count needs a field")
+        if self.intent != "aggregate" and (self.aggregate_op or self.aggregate_field):
+            raise ValueError("only an aggregate has an operator and a field")
+        if self.intent != "group" and self.group_by is not None:
+            raise ValueError("only group has group_by")
         if self.intent == "group" and self.group_by is None:
             raise ValueError("group needs group_by")
         if self.limit < 0:

@@ -87,5 +87,26 @@ def page(rows: DataFrame, number: int, size: int) -> DataFrame:
     return top.withColumns({"rank": rank, "total": F.lit(total).cast("long"), "pages": F.lit(pages)})
 
 
+def recents(rows: DataFrame, keep: int = 8) -> DataFrame:
+    """The first rows (id, name, pinned, last_used): pinned ones, then those used last; of equals by name and id."""
+    return rows.orderBy(F.desc("pinned"), F.desc_nulls_last("last_used"), "name", "id").limit(keep)
+
+
+def merged_evidence(rows: DataFrame, group: str, key: str, order: str, keep: int = 5) -> DataFrame:
+    """(group, key, ordinal): each group's first few keys, every key once."""
+    once = rows.groupBy(group, key).agg(F.min(order).alias("_at"))
+    w = Window.partitionBy(group).orderBy("_at", key)
+    return once.withColumn("ordinal", F.row_number().over(w)).where(F.col("ordinal") <= keep).select(group, key, "ordinal")
+
+
+def like_class(classes: DataFrame, wanted: str, least: float = 72.0) -> str | None:
+    """The class (class_) that a name means: the same without case and Ifc, else the one most alike, if alike enough."""
+    plain = F.regexp_replace(F.lower("class_"), "^ifc", "")
+    q = wanted.strip().lower().removeprefix("ifc")
+    rank = F.when(plain == q, F.lit(200.0)).otherwise(weighted_ratio(q, plain))
+    best = classes.select("class_").distinct().withColumn("score", rank).where(F.col("score") >= least).orderBy(F.desc("score"), "class_").first()
+    return best.class_ if best else None
+
+
 def class_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("class_").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.lower("class_"), "class_")

@@ -626,6 +626,54 @@ def radius_by_dataset(s, d):
     return spatial.within(v.shapes(s, d).withColumn("dataset", F.concat(F.lit("m"), (F.col("id") % 3).cast("string"))), 2.0).select("a", "b")
 
 
+# Labels, digests, roll-ups and orders
+
+
+@query("""SELECT o_orderstatus || ':' || o_orderpriority AS label, sha256(o_orderstatus || ':' || o_orderpriority) AS digest, CASE WHEN o_orderstatus = 'F' THEN 'IFC4X3' WHEN o_orderstatus = 'O' THEN 'IFC4' END AS family, count(*) AS n FROM orders GROUP BY ALL""")
+def labels_and_digests(s, d):
+    o = v.table(s, d, "orders")
+    label = values.joined_label(F.col("o_orderstatus"), F.lit("  "), F.col("o_orderpriority"))
+    family = tx.schema_family(F.when(F.col("o_orderstatus") == "F", "ifc4x3_add2").when(F.col("o_orderstatus") == "O", "IFC4_TC1").otherwise("STEP"))
+    return o.groupBy(label.alias("label"), values.digest(label).alias("digest"), family.alias("family")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT CASE relation WHEN 'contains' THEN 'hierarchy' WHEN 'contained_in' THEN 'hierarchy' ELSE 'explicit' END AS bucket, relation, count(*) AS n FROM (SELECT DISTINCT CASE WHEN relation = 'ifc_connected_to' THEN least(src, dst) ELSE src END AS a, CASE WHEN relation = 'ifc_connected_to' THEN greatest(src, dst) ELSE dst END AS b, relation FROM {v.EDGES}) GROUP BY 1, 2")
+def relation_legend(s, d):
+    return graph.legend(v.edges(s, d))
+
+
+@query(f"SELECT id LIKE 'Classification::%' AS context, count(*) AS n FROM {v.NODES} GROUP BY 1")
+def context_nodes(s, d):
+    return v.nodes(s, d).groupBy(graph.is_context(F.col("id")).alias("context")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT user_id AS profile, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS errors, sum(event_id % 3)::BIGINT AS warnings, count(*) FILTER (WHERE value >= 5) AS with_data, round(avg(value), 6) AS avg_duration_ms, max(value) AS max_duration_ms FROM events GROUP BY 1""")
+def profile_figures(s, d):
+    runs = v.table(s, d, "events").select(F.col("user_id").alias("profile"), F.when(F.col("event_type") == "error", "failed").alias("error"), (F.col("event_id") % 3).alias("warnings"), F.when(F.col("value") >= 5, 1).otherwise(0).alias("rows_returned"), F.col("value").alias("duration_ms"))
+    return evals.profile_summary(runs)
+
+
+@query("""SELECT route_correct, no_error, duration_pass, count(*) AS n FROM (SELECT CASE WHEN user_id % 2 = 0 THEN 'sql' ELSE 'graph' END = CASE WHEN event_type = 'view' THEN 'sql' ELSE 'graph' END AS route_correct, event_type <> 'error' AS no_error, CASE WHEN user_id % 3 > 0 THEN value <= 5 END AS duration_pass FROM events) GROUP BY ALL""")
+def judged_runs(s, d):
+    e = v.table(s, d, "events").select(
+        F.when(F.col("user_id") % 2 == 0, "sql").otherwise("graph").alias("expected_route"), F.when(F.col("event_type") == "view", "sql").otherwise("graph").alias("route"), F.when(F.col("event_type") == "error", "x").alias("error"),
+        F.when(F.col("user_id") % 3 > 0, 5.0).alias("limit_ms"), F.col("value").alias("duration_ms"),
+    )
+    return evals.judged(e).groupBy("route_correct", "no_error", "duration_pass").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id FROM customer ORDER BY c_mktsegment = 'BUILDING' DESC, c_acctbal DESC, c_name, c_custkey LIMIT 8")
+def recent_models(s, d):
+    c = v.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("pinned"), F.col("c_acctbal").alias("last_used"))
+    return search.recents(c).select("id")
+
+
+@query("SELECT c, p, ordinal FROM (SELECT o_custkey AS c, o_orderpriority AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY min(o_orderkey), o_orderpriority) AS ordinal FROM orders GROUP BY 1, 2) WHERE ordinal <= 3")
+def unique_evidence(s, d):
+    o = v.table(s, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderpriority").alias("p"), "o_orderkey")
+    return search.merged_evidence(o, "c", "p", "o_orderkey", 3)
+
+
 # Extension
 
 

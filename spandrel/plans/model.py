@@ -212,6 +212,24 @@ class Model:
             hits = hits.join(rows.select("dataset", "express_id"), ["dataset", "express_id"], "left_semi")
         return self._bounded(self._shown(hits.select("id"), class_), max_results)
 
+    def find_described(self, class_: str, filters: dict | None = None, max_results: int = SCAN) -> DataFrame:
+        """find_nodes for a class as people write it: several words are looked up by likeness, one word means the class most like it."""
+        if " " in class_.strip():
+            return self.fuzzy_find_nodes(class_, top_k=max_results)
+        return self.find_nodes(search.like_class(self.nodes, class_) or class_, filters, max_results)
+
+    def overlays(self, most: int = 8) -> DataFrame:
+        """(src, dst, relation) for display only: up to so many aligned shapes of each, containers that a point lies in, and elements of the same level."""
+        line = spatial.top_aligned(spatial.aligned(spatial.main_axes(self.shapes)), most).select(F.least("own", "other").alias("src"), F.greatest("own", "other").alias("dst"), F.lit("aligned_with").alias("relation")).distinct()
+        rooms = self.shapes.where(F.col("class_") == "IfcSpace").select("dataset", "id", "lo", "hi", "points")
+        points = self.shapes.where(~graph.is_container(F.col("class_"))).select("dataset", "id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
+        inside = spatial.inside_footprint(points, rooms).select(F.col("id").alias("src"), F.col("area").alias("dst"), F.lit("inside_footprint_of").alias("relation"))
+        # a star on the level's first element, not all pairs
+        level = self.nodes.where("level_key IS NOT NULL").select("dataset", "level_key", "id")
+        first = level.groupBy("dataset", "level_key").agg(F.min("id").alias("dst"))
+        same = level.join(first, ["dataset", "level_key"]).where("id <> dst").select(F.col("id").alias("src"), "dst", F.lit("same_storey_as").alias("relation"))
+        return line.unionByName(inside).unionByName(same)
+
     def find_elements_inside_footprint(self, container: str, class_: str | None = None, max_results: int = SCAN) -> DataFrame:
         own = self.resolve(container)
         area = self.shapes.where(F.col("id") == own).select("dataset", "id", "lo", "hi", "points")
