@@ -110,11 +110,6 @@ def runs_of_rows(offsets: np.ndarray, size: int = 1 << 20):
         row = last
 
 
-def rows_of(offsets: np.ndarray) -> np.ndarray:
-    """For each element, the index of its row."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-
-
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` words of one document; of the whole sequence where it is shorter."""
     if not len(words):

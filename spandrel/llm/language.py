@@ -92,10 +92,15 @@ class Model:
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
+    """Whether each text has a letter; bytes are looked at in runs of bounded size."""
     data, offsets = tx.flat(column)
-    ascii_letter = ~tx.NOT_ALNUM & ~((np.arange(256) >= 48) & (np.arange(256) <= 57)) & (np.arange(256) < 128)
-    seen = np.append(0, np.cumsum(ascii_letter[data]))
-    out = seen[offsets[1:]] > seen[offsets[:-1]]
+    ascii_letter = np.zeros(256, bool)
+    ascii_letter[65:91] = ascii_letter[97:123] = True
+    out = np.zeros(len(column), bool)
+    for low, high in tx.runs_of_rows(offsets):
+        some = low + np.flatnonzero(np.diff(offsets[low : high + 1]))
+        if some.size:
+            out[some] = np.logical_or.reduceat(ascii_letter[data[offsets[low] : offsets[high]]], offsets[some] - offsets[low])
     for k in np.flatnonzero(~out):
         out[k] = any(c.isalpha() for c in column[int(k)].as_py() or "")
     return out
