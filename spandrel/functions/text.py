@@ -127,11 +127,6 @@ def context_label(c: Column) -> Column:
     return blank_to_null(F.regexp_replace(c, r"\s+", " "))
 
 
-def clipped(c: Column, size: int = 160) -> Column:
-    """Texts cut for display."""
-    return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("..."))).otherwise(c)
-
-
 def field_key(text: str) -> str:
     """A field as typed in a question to an attribute name: Net Volume to NetVolume; dotted parts one by one."""
     words = [re.findall("[A-Za-z0-9_]+", p) for p in text.split(".")]

@@ -44,18 +44,6 @@ def shown(c: Column) -> Column:
     return F.when(text.startswith("{") | text.startswith("["), F.lit(REDACTED)).otherwise(cut)
 
 
-def payload_columns(mode: str = "full") -> list[str]:
-    """The fields of a record that a node keeps: all flat ones, or the few that identify it."""
-    flat = ["GlobalId", "ExpressId", "IfcType", "Name", "ClassRaw", "PredefinedType", "Description", "ObjectType", "Tag", "TypeName", "Hierarchy", "Materials"]
-    return {"full": flat, "minimal": ["GlobalId", "ExpressId", "IfcType", "Name", "TypeName"]}[mode]
-
-
-def displayed(c: Column) -> Column:
-    """A plain value as it may be displayed: long texts are cut."""
-    text = c.cast("string")
-    return F.when(F.length(text) > CUT, F.concat(F.substring(text, 1, CUT), F.lit("..."))).otherwise(text)
-
-
 def digest(c: Column) -> Column:
     """SHA-256 of a text or of bytes, in hexadecimal digits."""
     return F.sha2(c.cast("binary"), 256)

@@ -674,6 +674,13 @@ def unique_evidence(s, d):
     return search.merged_evidence(o, "c", "p", "o_orderkey", 3)
 
 
+@query(f"SELECT 'box' AS kind, id::VARCHAR AS name, round((x1 - x0) * (y1 - y0) * (z1 - z0), 6) AS volume FROM {v.SHAPES} UNION ALL SELECT 'stem', regexp_replace(n_name || ' / ' || n_nationkey, '[^A-Za-z0-9._-]+', '_', 'g'), NULL FROM nation")
+def volumes_and_stems(s, d):
+    boxes = v.shapes(s, d).select(F.lit("box").alias("kind"), F.col("id").cast("string").alias("name"), F.round(geometry.box_volume(F.col("lo"), F.col("hi")), 6).alias("volume"))
+    stem = values.file_stem(F.concat(F.col("n_name"), F.lit(" / "), F.col("n_nationkey").cast("string")))
+    return boxes.unionByName(v.table(s, d, "nation").select(F.lit("stem").alias("kind"), stem.alias("name"), F.lit(None).cast("double").alias("volume")))
+
+
 # Extension
 
 
