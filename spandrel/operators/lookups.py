@@ -49,8 +49,10 @@ def nested(tables: Tables, name: str) -> DataFrame:
             rows = tables.properties.where(F.col("property_name") == ".".join(own))
             rows = rows.where(F.col("pset_name") == group) if group else rows
             value = F.concat(F.lit("json:"), values.at_path(F.col("value"), ".".join(path))) if path else F.col("value")
-            text, number = relational.decoded(value)
-            rows = rows.select(*key, F.col("element_id").alias("express_id"), text.alias("text"), number.alias("number")).where("text IS NOT NULL OR number IS NOT NULL")
+            # a generator's output is a column of its own: the long expression isn't repeated in each place that reads it
+            rows = rows.select(*key, F.col("element_id").alias("express_id"), F.explode(F.array(value)).alias("_value"))
+            text, number = relational.decoded(F.col("_value"))
+            rows = rows.select(*key, "express_id", F.explode(F.array(F.struct(text.alias("text"), number.alias("number")))).alias("_v")).select(*key, "express_id", "_v.text", "_v.number").where("text IS NOT NULL OR number IS NOT NULL")
             found = rows if found is None else found.unionByName(rows)
     return found
 

@@ -597,13 +597,13 @@ def boxes_of_all_sizes(s, d):
     return pairs.agg(F.count("*").alias("pairs"), F.count_if((F.col("a") == -1) | (F.col("b") == -1)).alias("with_site"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 60 <> 0 AND c_custkey < (SELECT max(c_custkey) FROM customer)), r(seed, id, depth) AS (SELECT src, dst, 1 FROM e WHERE src % 60 = 1 UNION ALL SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.id = e.src)
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + 1 AS dst FROM customer WHERE c_custkey % 30 <> 0 AND c_custkey < (SELECT max(c_custkey) FROM customer)), r(seed, id, depth) AS (SELECT src, dst, 1 FROM e WHERE src % 30 = 1 UNION ALL SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.id = e.src)
  SELECT seed, count(*) AS n, max(depth) AS deepest FROM r GROUP BY 1""")
 def deep_containment(s, d):
     c = v.table(s, d, "customer").select("c_custkey")
     last = c.agg(F.max("c_custkey")).first()[0]
-    e = c.where((F.col("c_custkey") % 60 != 0) & (F.col("c_custkey") < last)).select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"), F.lit("contains").alias("relation"))
-    seeds = c.where(F.col("c_custkey") % 60 == 1).select(F.col("c_custkey").alias("id"))
+    e = c.where((F.col("c_custkey") % 30 != 0) & (F.col("c_custkey") < last)).select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 1).alias("dst"), F.lit("contains").alias("relation"))
+    seeds = c.where(F.col("c_custkey") % 30 == 1).select(F.col("c_custkey").alias("id"))
     return graph.descendants(e, seeds).groupBy("seed").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
