@@ -41,3 +41,35 @@ OP10 = f"""WITH b AS (SELECT item_id, {_WORDS} FROM benchmark WHERE item_id IS N
  t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY 1)
  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
  FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_CRC_TABLE = """t(n, k, v) AS (SELECT i, 0, i FROM range(256) x(i) UNION ALL SELECT n, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM t WHERE k < 8),
+ crc AS (SELECT list(v ORDER BY n) AS t FROM t WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text, with the table t of crc."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: (16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1)::BIGINT)),
+  lambda c, b: xor(c // 256, t[(xor(c % 256, b) + 1)::INT])))"""
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+
+
+#: Nodes i to i + 2 of each level become one; a fold goes up from a leaf with the others of its run.
+_UP = "list_transform(range(0, len(v), 3), lambda i: sha256(array_to_string(v[i + 1:i + 3], '')))"
+
+OP13 = f"""WITH RECURSIVE {_CRC_TABLE},
+ d AS (SELECT doc_id, source, {" || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))} AS head, text, CASE WHEN {_crc("doc_id::VARCHAR")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents, crc),
+ l AS (SELECT doc_id, source, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("changed")}) AS now FROM d),
+ p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+ s(source, k, v) AS (SELECT source, 0, list(leaf ORDER BY i) FROM p GROUP BY source UNION ALL SELECT source, k + 1, {_UP} FROM s WHERE len(v) > 1),
+ r AS (SELECT source, k AS h, v[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM s WHERE len(v) = 1),
+ z(k, v) AS (SELECT 0, list(subroot ORDER BY i) FROM r UNION ALL SELECT k + 1, {_UP} FROM z WHERE len(v) > 1),
+ w AS (SELECT false AS top, source, k, v FROM s UNION ALL SELECT true, NULL, k, v FROM z),
+ a(doc_id, source, leaf, top, i, k, own, proof) AS (SELECT doc_id, source, leaf, false, i, 0, now, '' FROM p
+  UNION ALL SELECT doc_id, source, leaf, top OR NOT up, CASE WHEN up THEN i // 3 ELSE j END, CASE WHEN up THEN k + 1 ELSE 0 END, CASE WHEN up THEN sha256(x || own || y) ELSE own END, CASE WHEN up THEN proof || x || y ELSE proof END
+  FROM (SELECT a.*, r.i AS j, len(v) > 1 AS up, array_to_string(v[a.i - a.i % 3 + 1:a.i], '') AS x, array_to_string(v[a.i + 2:a.i - a.i % 3 + 3], '') AS y
+   FROM a JOIN r ON r.source IS NOT DISTINCT FROM a.source JOIN w ON w.top = a.top AND w.k = a.k AND (a.top OR w.source IS NOT DISTINCT FROM a.source) WHERE NOT a.top OR len(v) > 1)),
+ g AS (SELECT k, v[1] AS root FROM z WHERE len(v) = 1)
+ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified FROM a JOIN g ON top AND a.k = g.k JOIN r ON r.source IS NOT DISTINCT FROM a.source"""
