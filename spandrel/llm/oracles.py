@@ -73,3 +73,37 @@ OP13 = f"""WITH RECURSIVE {_CRC_TABLE},
    FROM a JOIN r ON r.source IS NOT DISTINCT FROM a.source JOIN w ON w.top = a.top AND w.k = a.k AND (a.top OR w.source IS NOT DISTINCT FROM a.source) WHERE NOT a.top OR len(v) > 1)),
  g AS (SELECT k, v[1] AS root FROM z WHERE len(v) = 1)
  SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, own AS folded_root, own = root AS verified FROM a JOIN g ON top AND a.k = g.k JOIN r ON r.source IS NOT DISTINCT FROM a.source"""
+
+#: The state behind each of start, system, user, assistant (1 to 4) by a forced step, and behind a turn that is kept (0: none).
+_NEXT = "[3, 3, 4, 3]"
+_KEPT = "CASE f.h WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END"
+
+
+def _way(letter: str, state: str, cost: str) -> str:
+    return f"{{'c': b[{state}].c + {cost}, 'a': '{letter}' || b[{state}].a}}"
+
+
+_LEAST = "list_transform([1, 2, 3, 4], lambda q: list_sort([b[q], {'c': b[[3, 3, 4, 3][q]].c + 2, 'a': 'I' || b[[3, 3, 4, 3][q]].a}])[1])"
+
+OP12 = f"""WITH RECURSIVE {_CRC_TABLE},
+ o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS r FROM conversations, crc),
+ d AS (SELECT conv_id, turn, CASE WHEN r = 4 THEN 'user' ELSE role END AS role, CASE r WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM o, range(2) x(k) WHERE r <> 0 AND (k = 0 OR r = 3)),
+ p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) - 1 AS i FROM d),
+ f AS (SELECT *, role[1] AS h, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'k' ELSE 't' END AS c, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS two FROM p),
+ n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (c = 'b') AS blank, count(*) FILTER (c = 'd') AS duplicate, count(*) FILTER (c = 't') AS truncated,
+  count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+ s(conv_id, i, b) AS (SELECT conv_id, n, [{{'c': 0::BIGINT, 'a': ''}}, {{'c': 4::BIGINT, 'a': 'II'}}, {{'c': 2::BIGINT, 'a': 'I'}}, {{'c': 0::BIGINT, 'a': ''}}] FROM n
+  UNION ALL SELECT conv_id, i, {_LEAST} FROM (SELECT conv_id, i, {_LEAST} AS b FROM (
+   SELECT s.conv_id, f.i, list_transform([1, 2, 3, 4], lambda q: list_sort(list_filter([{_way("D", "q", "3")}, CASE WHEN f.c IN ('k', 't') THEN {_way("R", _NEXT + "[q]", "2 + (f.c = 't')::BIGINT")} END,
+    CASE WHEN f.c IN ('k', 't') AND ({_KEPT})[q] > 0 THEN {_way("K", f"({_KEPT})[q]", "(f.c = 't')::BIGINT")} END], lambda x: x IS NOT NULL))[1]) AS b
+   FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i - 1))),
+ a AS (SELECT conv_id, b[1].c AS cost, b[1].a AS audit FROM s WHERE i = 0),
+ w(conv_id, audit, j, i, q, lines) AS (SELECT conv_id, audit, 1, 0, 1, []::VARCHAR[] FROM a
+  UNION ALL SELECT w.conv_id, audit, j + 1, CASE audit[j] WHEN 'I' THEN w.i ELSE w.i + 1 END, CASE audit[j] WHEN 'D' THEN q WHEN 'K' THEN ({_KEPT})[q] ELSE {_NEXT}[q] END,
+   CASE audit[j] WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, f.role || ':' || f.text) ELSE list_append(lines, CASE {_NEXT}[q] WHEN 3 THEN 'user' ELSE 'assistant' END || ':' || CASE audit[j] WHEN 'R' THEN f.text ELSE '' END) END
+   FROM w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i WHERE j <= len(audit)),
+ z AS (SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS sha FROM w WHERE j = len(audit) + 1)
+ SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM x.conv_id"""
