@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, decontaminate, dialogue, embeddings, language, merkle, minhash, mixture, oracles, quality, shards, urls, warc
+from . import bestfit, decontaminate, dialogue, embeddings, language, merkle, minhash, mixture, oracles, quality, shards, toxicity, urls, warc
 from ._common import table
 
 
@@ -63,6 +63,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a factorization machine learned from labels outside fold 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation and the cheapest edits that mend it."""
     turns = table(spark, sf_dir, "conversations")
@@ -75,7 +81,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"), changed, ["doc_id", "source", "lang", "n_chars", "text"], "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_bundles, op2_quality, op3_language, op4_near_vectors, op5_best_fit, op6_url_filter, op7_shards, op8_near_duplicates, op9_mixture_packing, op10_decontamination, op12_conversation_repair, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_warc_bundles, op2_quality, op3_language, op4_near_vectors, op5_best_fit, op6_url_filter, op7_shards, op8_near_duplicates, op9_mixture_packing, op10_decontamination, op11_toxicity, op12_conversation_repair, op13_merkle_manifest)}
 
 #: The others train models or tokenise.
 ORACLE_SQL = {"op1_warc_bundles": oracles.OP1, "op4_near_vectors": oracles.OP4, "op7_shards": oracles.OP7, "op8_near_duplicates": oracles.OP8, "op10_decontamination": oracles.OP10, "op12_conversation_repair": oracles.OP12, "op13_merkle_manifest": oracles.OP13}
