@@ -10,7 +10,9 @@ from ..functions import geometry, values
 from ..functions import text as tx
 from ..operators import evals, graph, lookups, relational, search, spatial
 from ..operators.request import Field, Filter, Request
+from ..operators.staging import kept
 from ..sources import records as rec
+from ..sources import step, step_model
 from ..streaming import windows
 from . import router
 from . import views as v
@@ -681,6 +683,21 @@ def volumes_and_stems(s, d):
     return boxes.unionByName(v.table(s, d, "nation").select(F.lit("stem").alias("kind"), stem.alias("name"), F.lit(None).cast("double").alias("volume")))
 
 
+# STEP files
+
+
+@query("""SELECT c_custkey AS id, c_name AS name, round(x, 6) AS x, round(y, 6) AS y, round(z + 1.5, 6) AS z, round(x - a, 6) AS x0, round(y - b, 6) AS y0, round(z, 6) AS z0, round(x + a, 6) AS x1, round(y + b, 6) AS y1, round(z + 3, 6) AS z1
+ FROM (SELECT c_custkey, c_name, (n_regionkey * 1000 + n_nationkey * 10 + CASE WHEN n_nationkey % 2 = 1 THEN -(c_custkey % 7) ELSE c_custkey % 100 END)::DOUBLE AS x,
+  (n_nationkey * 5 + CASE WHEN n_nationkey % 2 = 1 THEN c_custkey % 100 ELSE c_custkey % 7 END)::DOUBLE AS y, n_nationkey::DOUBLE AS z, CASE WHEN n_nationkey % 2 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS a, CASE WHEN n_nationkey % 2 = 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS b
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+def step_positions(s, d):
+    all_ = kept(step.parsed(v.step_parts(s, d)))
+    shapes = step_model.vertices(all_).select("express_id", step_model.measured("vertices").alias("f")).join(step.elements(all_).select("express_id", "global_id", "name"), "express_id")
+    at = lambda c, k: F.round(F.col(f"f.{c}")[k], 6)
+    name = F.regexp_extract("name", r"^a; \('(.*)'\)$", 1).alias("name")
+    return shapes.select(F.substring("global_id", 2, 20).cast("long").alias("id"), name, *[at(c, k).alias("xyz"[k] + n) for c, n in (("centre", ""), ("lo", "0"), ("hi", "1")) for k in range(3)])
+
+
 # Extension
 
 

@@ -20,7 +20,7 @@ from ..operators import graph, lookups, relational, search, spatial
 from ..operators.relational import Tables
 from ..operators.request import Field, Request
 from ..operators.staging import kept
-from ..sources import records, store
+from ..sources import records, step_model, store
 from .router import Route, route
 
 # Default limits.
@@ -48,6 +48,12 @@ class Model:
         rows = records.read(spark, *paths)
         return cls(records.tables(rows), *records.graph(rows), policy)
 
+    @classmethod
+    def read_step(cls, spark: SparkSession, *paths: str, policy: Policy | None = None) -> Model:
+        """A model of STEP files: elements, types and containers with their attributes, relations and geometry."""
+        rows = kept(step_model.read(spark, *paths))
+        return cls(records.tables(rows), *records.graph(rows), policy)
+
     @classmethod
     def load(cls, spark: SparkSession, folder: str, *datasets: str, policy: Policy | None = None) -> Model:
         """A saved model, or some datasets of it; edges that were derived when it was saved are not derived again."""
@@ -386,4 +392,4 @@ class Model:
         return graph.summary(self.nodes, self.edges)
 
 
-ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "load", "save"))
+ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "read_step", "load", "save"))

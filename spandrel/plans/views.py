@@ -117,6 +117,31 @@ def records(spark, d) -> DataFrame:
     return rec.parsed(lines.unionByName(odd).select(F.lit("m").alias("dataset"), F.monotonically_increasing_id().alias("line"), "value"))
 
 
+def step_parts(spark, d) -> DataFrame:
+    """Customers as walls in STEP lines: their placements are relative to their nations', those to their regions'; every other nation is turned by a right angle."""
+    of = lambda id_, entity, *args: F.concat(F.lit("#"), id_.cast("string"), F.lit(f"={entity}("), F.concat_ws(",", *args), F.lit(")"))
+    to = lambda id_: F.concat(F.lit("#"), id_.cast("string"))
+    at = lambda *xs: F.concat(F.lit("(("), F.concat_ws(".,", *[x.cast("string") for x in xs]), F.lit(".))"))
+    point = lambda id_, *xs: F.concat(F.lit("#"), id_.cast("string"), F.lit("=IFCCARTESIANPOINT"), at(*xs))
+    none, zero = F.lit("$"), F.lit(0)
+    ways = spark.createDataFrame([("#1=IFCDIRECTION((1.,0.,0.))",), ("#2=IFCDIRECTION((0.,1.,0.))",), ("#3=IFCDIRECTION((0.,0.,1.))",)], "value string")
+    r, n, c = F.col("r_regionkey"), F.col("n_nationkey"), F.col("c_custkey")
+    b = c * 10 + 10_000
+    ref = lambda k: F.concat(F.lit("(#"), (b + k).cast("string"), F.lit(")"))
+    regions = F.array(point(r + 100, r * 1000, zero, zero), of(r + 200, "IFCAXIS2PLACEMENT3D", to(r + 100), none, none), of(r + 300, "IFCLOCALPLACEMENT", none, to(r + 200)))
+    nations = F.array(
+        point(n + 1000, n * 10, n * 5, n), of(n + 2000, "IFCAXIS2PLACEMENT3D", to(n + 1000), to(F.lit(3)), F.when(n % 2 == 1, "#2").otherwise("#1")), of(n + 3000, "IFCLOCALPLACEMENT", to(F.col("n_regionkey") + 300), to(n + 2000)),
+    )
+    walls = F.array(
+        point(b, c % 100, c % 7, zero), of(b + 1, "IFCAXIS2PLACEMENT3D", to(b), none, none), of(b + 2, "IFCLOCALPLACEMENT", to(F.col("c_nationkey") + 3000), to(b + 1)), of(b + 3, "IFCRECTANGLEPROFILEDEF", F.lit(".AREA."), none, none, F.lit("2."), F.lit("1.")),
+        of(b + 4, "IFCEXTRUDEDAREASOLID", to(b + 3), none, to(F.lit(3)), F.lit("3.")), of(b + 5, "IFCSHAPEREPRESENTATION", none, F.lit("'Body'"), F.lit("'SweptSolid'"), ref(4)), of(b + 6, "IFCPRODUCTDEFINITIONSHAPE", none, none, ref(5)),
+        of(b + 7, "IFCWALL", F.concat(F.lit("'C"), c.cast("string"), F.lit("'")), none, F.concat(F.lit("'a; (''"), F.col("c_name"), F.lit("'')'")), none, none, to(b + 2), to(b + 6), none, none),
+    )
+    many = [table(spark, d, t).select(F.explode(v).alias("value")) for t, v in (("region", regions), ("nation", nations), ("customer", walls))]
+    lines = ways.unionByName(many[0]).unionByName(many[1]).unionByName(many[2])
+    return lines.select(F.lit("m").alias("dataset"), F.monotonically_increasing_id().alias("line"), "value")
+
+
 def runs(spark, d) -> DataFrame:
     """Events as evaluation runs."""
     v = F.col("value")
