@@ -97,10 +97,14 @@ def rectangle(lo: Column, hi: Column) -> Column:
     return F.array(corner(lo[0], lo[1]), corner(hi[0], lo[1]), corner(hi[0], hi[1]), corner(lo[0], hi[1]))
 
 
+def thinned(points: Column, most: int = 256) -> Column:
+    """At most so many points, evenly chosen in their order, first and last included."""
+    return F.when(F.size(points) > most, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: points[F.floor(k * (F.size(points) - 1) / (most - 1)).cast("int")])).otherwise(points)
+
+
 def vertex_distance(a: Column, b: Column, most: int = 256) -> Column:
     """Least distance between two sets of points (arrays of arrays of three), each thinned evenly to `most` of them."""
-    thin = lambda p: F.when(F.size(p) <= most, p).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: p[F.floor(k * (F.size(p) - 1) / (most - 1)).cast("int")]))
-    return F.array_min(F.transform(thin(a), lambda x: F.array_min(F.transform(thin(b), lambda y: point_distance(x, y)))))
+    return F.array_min(F.transform(thinned(a, most), lambda x: F.array_min(F.transform(thinned(b, most), lambda y: point_distance(x, y)))))
 
 
 def centroid(points: Column) -> Column:

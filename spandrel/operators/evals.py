@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 
 def rate(c: Column) -> Column:
     """Share of true among not null, to six digits."""
@@ -15,23 +20,25 @@ def mean(c: Column) -> Column:
     return F.round(F.avg(c.cast("double")), 6)
 
 
-def p95(name: str) -> Column:
-    """Nearest rank: the smallest value that at least 95 % of the values don't exceed."""
-    return F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY `{name}`)")
+def p95(runs: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(by, p95): nearest rank, the smallest value that at least 95 % of the values don't exceed; no row for a group without values."""
+    return quantiles.nearest_rank(runs, by, name, 0.95).withColumnRenamed("value", "p95")
 
 
 def roll_up(runs: DataFrame, *by: str) -> DataFrame:
-    return runs.groupBy(*by).agg(
+    rows = runs.groupBy(*by).agg(
         F.count("*").alias("runs"),
         rate(F.col("answer_correct")).alias("answer_correct_rate"),
         rate(F.col("route_correct")).alias("route_correct_rate"),
         rate(F.col("no_error")).alias("no_error_rate"),
         mean(F.col("duration_ms")).alias("avg_duration_ms"),
-        p95("duration_ms").alias("p95_duration_ms"),
         mean(F.col("tokens")).alias("avg_tokens"),
         F.sum("tokens").alias("sum_tokens"),
         rate(F.col("tokens").isNotNull()).alias("token_coverage_rate"),
     )
+    late = p95(runs, list(by), "duration_ms").select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(by)], F.col("p95").alias("p95_duration_ms"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(by)])
+    return rows.join(late, same, "left").drop(*[f"_{k}" for k in range(len(by))])
 
 
 TOKEN_KINDS = ("total_tokens", "output_tokens", "input_tokens")

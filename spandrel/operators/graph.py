@@ -256,9 +256,13 @@ def serving(nodes: DataFrame, edges: DataFrame, spaces: DataFrame, depth: int =
     return best.select("space", "id", "score", "hops", F.when(F.col("equipment"), "equipment").otherwise("terminal").alias("kind"), F.when(F.col("score") >= 6, "strong").when(F.col("score") >= 4, "moderate").otherwise("weak").alias("strength"))
 
 
-def shared_boundaries(edges: DataFrame) -> DataFrame:
-    """(src, dst, shared) of spaces that a common element bounds."""
-    of = edges.where(F.col("relation") == "bounds_space").select(F.col("src").alias("element"), F.col("dst").alias("space")).distinct()
+def shared_boundaries(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(src, dst, shared) of spaces that a common element bounds, whichever of the two relations says so; with nodes only spaces count, and openings bound nothing."""
+    ends = lambda relation, element, space: edges.where(F.col("relation") == relation).select(F.col(element).alias("element"), F.col(space).alias("space"))
+    of = ends("bounds_space", "src", "dst").unionByName(ends("space_bounded_by", "dst", "src")).where("element <> space").distinct()
+    if nodes is not None:
+        of = of.join(nodes.where(F.col("class_") == "IfcSpace").select(F.col("id").alias("space")), "space", "left_semi")
+        of = of.join(nodes.where(F.col("class_") == "IfcOpeningElement").select(F.col("id").alias("element")), "element", "left_anti")
     a, b = of.select("element", F.col("space").alias("src")), of.select("element", F.col("space").alias("dst"))
     return a.join(b, "element").where("src < dst").groupBy("src", "dst").agg(F.array_sort(F.collect_set("element")).alias("shared"))
 

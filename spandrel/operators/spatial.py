@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import geometry as g
+from . import quantiles
 from .graph import top_per_node
 from .staging import kept
 
@@ -42,16 +45,22 @@ def within(shapes: DataFrame, radius: float) -> DataFrame:
     return a.join(b, names).where("a < b").withColumn("distance", g.point_distance(F.col("pa"), F.col("pb"))).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
+def finite(point: Column) -> Column:
+    """Whether an array has three numbers, none of them missing, infinite or NaN."""
+    return F.coalesce((F.size(point) == 3) & F.forall(point, lambda x: F.coalesce(F.abs(x) < F.lit(math.inf), F.lit(False))), F.lit(False))
+
+
 def nearest(shapes: DataFrame, start: float = LEAST_THRESHOLD) -> DataFrame:
     """(id, nearest), with dataset if there is one: distance of each point to its nearest other one of the dataset. Cells double until every point has found one within a cell's width; each round
-    works on what is left only. A point alone in its dataset has none."""
+    works on what is left only. A point alone in its dataset has none, nor has one whose place is missing or not finite: it is no one's neighbour either."""
     key = _key(shapes)
-    everyone = kept(shapes.select(*key, "id", "centre"))
+    lost = shapes.where(~finite(F.col("centre"))).select(*key, "id", F.lit(None).cast("double").alias("nearest"))
+    everyone = kept(shapes.where(finite(F.col("centre"))).select(*key, "id", "centre"))
     # a point without another one would look for ever
     crowd = everyone.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     left = everyone.join(crowd, key, "left_semi") if key else everyone if everyone.limit(2).count() == 2 else everyone.limit(0)
     alone = everyone.join(left.select("id"), "id", "left_anti").select(*key, "id", F.lit(None).cast("double").alias("nearest"))
-    done, size = alone, start
+    done, size = alone.unionByName(lost), start
     names = [*key, "c0", "c1", "c2"]
     while not left.isEmpty():
         a = _cells(left, size, 3, True).select(F.col("id").alias("a"), F.col("centre").alias("pa"), *names)
@@ -66,15 +75,56 @@ def nearest(shapes: DataFrame, start: float = LEAST_THRESHOLD) -> DataFrame:
 
 def adjacency_threshold(shapes: DataFrame) -> DataFrame:
     """One row, or one for each dataset: 1.5 times the median distance to the nearest other point, at least 0.5; 1.0 for fewer than two points."""
-    threshold = F.when(F.count("nearest") == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(LEAST_THRESHOLD), 1.5 * F.median("nearest"))).alias("threshold")
-    return nearest(shapes).groupBy(*_key(shapes)).agg(threshold)
+    key = _key(shapes)
+    # read twice: by the median, and for datasets without one
+    found = kept(nearest(shapes))
+    middle = quantiles.median(found, key, "nearest")
+    threshold = F.when(F.col("value").isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(LEAST_THRESHOLD), 1.5 * F.col("value"))).alias("threshold")
+    if key:
+        return found.select(*key).distinct().join(middle, key, "left").select(*key, threshold)
+    return found.sparkSession.range(1).crossJoin(F.broadcast(middle.agg(F.min("value").alias("value")))).select(threshold)
+
+
+#: Vertices of a mesh that distances are taken from, evenly chosen, and how many lie in one tile.
+VERTICES, TILE = 256, 16
+
+
+def _tiles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points in order of their longest axis, where tiles of them begin, and the tiles' bounds."""
+    points = points[np.argsort(points[:, np.argmax(np.ptp(points, axis=0))], kind="stable")]
+    first = np.arange(0, len(points), TILE)
+    return points, first, np.minimum.reduceat(points, first), np.maximum.reduceat(points, first)
+
+
+def least_distance(a: np.ndarray, b: np.ndarray) -> float:
+    """Distance of the nearest two points: pairs of tiles in order of the distance of their boxes, until no box can hold nearer ones."""
+    (p, f, lp, hp), (q, g_, lq, hq) = _tiles(a), _tiles(b)
+    gap = np.maximum(np.maximum(lp[:, None] - hq[None], lq[None] - hp[:, None]), 0)
+    bound = (gap * gap).sum(axis=2)
+    best = np.inf
+    for k in np.argsort(bound, axis=None, kind="stable"):
+        i, j = divmod(int(k), len(g_))
+        if bound[i, j] >= best:
+            break
+        d = p[f[i] : f[i] + TILE, None] - q[None, g_[j] : g_[j] + TILE]
+        best = min(best, float((d * d).sum(axis=2).min()))
+    return float(np.sqrt(best))
+
+
+@F.arrow_udf(DoubleType())
+def mesh_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Least distance between the vertices of two meshes; null where one has none."""
+    read = lambda x: np.array(x.as_py() or [], float).reshape(-1, 3)
+    out = [None if len(p) == 0 or len(q) == 0 else least_distance(p, q) for p, q in ((read(x), read(y)) for x, y in zip(a, b, strict=True))]
+    return pa.array(out, pa.float64())
 
 
 def adjacency(shapes: DataFrame, threshold: float | None = None, excluded=EXCLUDED) -> DataFrame:
-    """(a, b, distance, relation): boxes at most threshold apart, connected_to where they touch, else adjacent_to. The threshold is taken over all shapes of a dataset, pairs over those whose class
-    isn't excluded.
+    """(a, b, distance, relation, distance_method): shapes at most threshold apart, connected_to where they touch, else adjacent_to. The threshold is taken over all shapes of a dataset, pairs over those whose
+    class isn't excluded.
 
-    A box lies in all cells it spans, widened by the threshold on one side.
+    Distances are those of vertices (mesh_vertices) where both have a mesh (a column of shapes, if it is there), else of boxes (bbox), else, where one is marked as not boxed, of centres (centroid). Boxes choose the
+    pairs that are looked at: no vertices are nearer than the boxes around them. A box lies in all cells it spans, widened by the threshold on one side.
     """
     key = _key(shapes)
     rows = shapes.where(~F.col("class_").isin(*excluded)) if "class_" in shapes.columns else shapes
@@ -83,12 +133,37 @@ def adjacency(shapes: DataFrame, threshold: float | None = None, excluded=EXCLUD
     else:
         limits = kept(adjacency_threshold(shapes))
         widest = limits.agg(F.max("threshold")).first()[0] or 1.0
+    more = [c for c in ("mesh", "boxed", "centre") if c in shapes.columns]
     pairs = _box_pairs(rows, widest, 3).withColumn("distance", g.box_distance(F.col("la"), F.col("ha"), F.col("lb"), F.col("hb")))
     if limits is None or not key:
-        pairs = pairs.where(F.col("distance") <= widest)
+        pairs = pairs.withColumn("threshold", F.lit(float(widest)))
     else:  # one row a dataset
-        pairs = pairs.join(limits, key).where("distance <= threshold")
-    return pairs.select("a", "b", "distance", F.when(F.col("distance") <= TOUCHING, "connected_to").otherwise("adjacent_to").alias("relation"))
+        pairs = pairs.join(limits, key)
+    pairs = pairs.where("distance <= threshold").withColumn("distance_method", F.lit("bbox"))
+    if "mesh" in more or "boxed" in more:
+        pairs = _refined(pairs, rows, key, more)
+    relation = F.when(F.col("distance") <= TOUCHING, "connected_to").otherwise("adjacent_to").alias("relation")
+    return pairs.where("distance <= threshold").select("a", "b", "distance", relation, "distance_method")
+
+
+def _refined(pairs: DataFrame, rows: DataFrame, key: list[str], more: list[str]) -> DataFrame:
+    """Pairs with the distances of vertices, or of centres where there is no box; thinned meshes go to the pairs that have two of them only."""
+    places = rows.select(*key, "id", *[F.col(c) for c in more if c != "mesh"], *([g.thinned(F.col("mesh"), VERTICES).alias("mesh")] if "mesh" in more else []))
+    marks = places.select(*key, "id", *[F.col(c) for c in more if c != "mesh"], *([(F.size("mesh") > 0).alias("has")] if "mesh" in more else []))
+    for s in ("a", "b"):
+        pairs = pairs.join(marks.select(*key, F.col("id").alias(s), *[F.col(c).alias(c + s) for c in marks.columns if c not in (*key, "id")]), [*key, s])
+    if "boxed" in more:
+        bare = ~(F.col("boxeda") & F.col("boxedb"))
+        pairs = pairs.withColumn("distance", F.when(bare, g.point_distance(F.col("centrea"), F.col("centreb"))).otherwise(F.col("distance")))
+        pairs = pairs.withColumn("distance_method", F.when(bare, "centroid").otherwise("bbox"))
+    if "mesh" not in more:
+        return pairs
+    pairs = pairs.select(*key, "a", "b", "threshold", "distance", "distance_method", (F.coalesce("hasa", F.lit(False)) & F.coalesce("hasb", F.lit(False))).alias("meshes"))
+    fine = pairs.where("meshes")
+    for s in ("a", "b"):
+        fine = fine.join(places.where(F.size("mesh") > 0).select(*key, F.col("id").alias(s), F.col("mesh").alias("mesh" + s)), [*key, s])
+    fine = fine.withColumns({"distance": mesh_distance("mesha", "meshb"), "distance_method": F.lit("mesh_vertices")})
+    return pairs.where("NOT meshes").unionByName(fine.select(*pairs.columns))
 
 
 def _box_pairs(rows: DataFrame, margin: float, axes: int) -> DataFrame:
@@ -99,7 +174,7 @@ def _box_pairs(rows: DataFrame, margin: float, axes: int) -> DataFrame:
     """
     key = _key(rows)
     extent = F.greatest(*[F.col("hi")[k] - F.col("lo")[k] for k in range(axes)], F.lit(0.0)) + F.lit(max(margin, 1e-6))
-    rows = rows.select(*key, "id", "lo", "hi", F.ceil(F.log2(extent)).cast("int").alias("own"))
+    rows = rows.where(finite(F.col("lo")) & finite(F.col("hi"))).select(*key, "id", "lo", "hi", F.ceil(F.log2(extent)).cast("int").alias("own"))
     classes = F.lit(sorted(r.own for r in rows.select("own").distinct().collect())).cast("array<int>")  # at most some dozens
     names = [*key, "class", *[f"c{k}" for k in range(axes)]]
 

@@ -114,6 +114,13 @@ class Model:
     def shapes(self) -> DataFrame:
         return self.nodes.where("lo IS NOT NULL AND hi IS NOT NULL").select("dataset", "id", "class_", "lo", "hi", F.coalesce("centre", F.transform(F.arrays_zip("lo", "hi"), lambda z: (z["lo"] + z["hi"]) / 2)).alias("centre"), F.when(F.col("centre").isNull(), "bbox_center_fallback").otherwise("centroid").alias("point_method"), self._footprint().alias("points"))
 
+    def _places(self) -> DataFrame:
+        """Shapes with their meshes, and nodes that have a centre alone."""
+        mesh = F.col("mesh") if "mesh" in self.nodes.columns else F.lit(None).cast("array<array<double>>")
+        boxed = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+        rows = self.nodes.where(boxed | F.col("centre").isNotNull()).select("dataset", "id", "class_", *[F.when(boxed, F.col(c)).otherwise(F.col("centre")).alias(c) for c in ("lo", "hi")], F.col("centre").alias("c"), boxed.alias("boxed"), mesh.alias("mesh"))
+        return rows.withColumn("centre", F.coalesce("c", F.transform(F.arrays_zip("lo", "hi"), lambda z: (z["lo"] + z["hi"]) / 2))).drop("c")
+
     def _footprint(self) -> Column:
         """The stated plan polygon of a node, else its box's plan."""
         box = g.rectangle(F.col("lo"), F.col("hi"))
@@ -123,7 +130,7 @@ class Model:
     def derived(self) -> DataFrame:
         """Adjacency and plan topology between shapes of one model: src, dst, relation, distance, gap, area. Written once, as every action on edges reads it."""
         p = self.policy
-        near = spatial.adjacency(self.shapes, p.threshold, p.excluded).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation", "distance")
+        near = spatial.adjacency(self._places(), p.threshold, p.excluded).select(F.col("a").alias("src"), F.col("b").alias("dst"), "relation", "distance", "distance_method")
         rows = self.shapes.where(~F.col("class_").isin(*p.excluded))
         over = spatial.plan_overlaps(rows)
         up = spatial.above_below(over)
@@ -136,7 +143,7 @@ class Model:
 
     @cached_property
     def edges(self) -> DataFrame:
-        bounds = graph.shared_boundaries(self.stated).select("src", "dst", F.lit("shares_boundary_with").alias("relation"))
+        bounds = graph.shared_boundaries(self.stated, self.nodes).select("src", "dst", F.lit("shares_boundary_with").alias("relation"))
         return self.stated.unionByName(bounds).unionByName(self.derived, allowMissingColumns=True)
 
     def resolve(self, wanted: str, classes: tuple[str, ...] | None = None) -> str:

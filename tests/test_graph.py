@@ -111,3 +111,10 @@ def test_graph_of_two_datasets(spark, tmp_path):
     assert all(src.split("::")[1] == dst.split("::")[1] for src, dst, _ in got)
     assert ("Element::model-a::W", "System::model-a::Supply Air", "belongs_to_system") in got
     assert n.where(F.col("global_id") == "W").count() == 2
+
+
+def test_boundaries_from_either_side_of_spaces_alone(spark):
+    e = edges(spark, ("wall", "s1", "bounds_space"), ("s2", "wall", "space_bounded_by"), ("s1", "wall", "space_bounded_by"), ("hole", "s1", "bounds_space"), ("hole", "s3", "bounds_space"), ("wall", "zone", "bounds_space"), ("s1", "s1", "bounds_space"))
+    assert rows(g.shared_boundaries(e)) == [("s1", "s2", ["wall"]), ("s1", "s3", ["hole"]), ("s1", "zone", ["wall"]), ("s2", "zone", ["wall"])]
+    n = spark.createDataFrame([("s1", "IfcSpace"), ("s2", "IfcSpace"), ("s3", "IfcSpace"), ("hole", "IfcOpeningElement"), ("wall", "IfcWall"), ("zone", "IfcZone")], "id string, class_ string")
+    assert rows(g.shared_boundaries(e, n)) == [("s1", "s2", ["wall"])]

@@ -89,3 +89,43 @@ def test_missing_places_are_filled(spark):
     n = spark.createDataFrame([("a", None), ("b", [1.0, 2.0, 3.0]), ("c", [3.0, 2.0, 1.0]), ("z", None)], "id string, centre array<double>")
     e = spark.createDataFrame([("a", "b"), ("a", "c")], "src string, dst string")
     assert dict(rows(spatial.centroid_fill(n, e)))["a"] == [2.0, 2.0, 2.0]
+
+
+def test_nearest_ends_where_places_are_missing(spark):
+    nan = float("nan")
+    rows = [("a", [0.0, 0.0, 0.0]), ("b", [0.0, 0.0, 9.0]), ("c", [nan, 0.0, 0.0]), ("d", None), ("e", [0.0, float("inf"), 1.0]), ("f", [None, 1.0, 1.0]), ("g", [1.0])]
+    df = spark.createDataFrame(rows, "id string, centre array<double>")
+    assert {r.id: r.nearest for r in spatial.nearest(df).collect()} == {"a": 9.0, "b": 9.0} | dict.fromkeys("cdefg")
+    assert spatial.adjacency_threshold(df).first()[0] == 13.5
+    assert spatial.adjacency_threshold(df.where("id > 'b'")).first()[0] == 1.0
+    boxes_ = spark.createDataFrame([("a", [0.0] * 3, [1.0] * 3), ("b", [1.0] * 3, [2.0] * 3), ("c", [nan] * 3, [1.0] * 3)], "id string, lo array<double>, hi array<double>")
+    assert rows_of(spatial.adjacency(boxes_, 0.5)) == [("a", "b", 0.0, "connected_to", "bbox")]
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_distances_of_vertices_boxes_and_centres(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    clouds = {f"m{k}": rng.normal(size=(n, 3)) + [3 * k, 0, 0] for k, n in enumerate((1, 16, 17, 700))}
+    rows = [(k, c.min(axis=0).tolist(), c.max(axis=0).tolist(), c.mean(axis=0).tolist(), c.tolist(), True) for k, c in clouds.items()]
+    rows += [("box", [1.0, 1.0, 1.0], [2.0, 2.0, 2.0], [1.5, 1.5, 1.5], None, True), ("empty", [1.5, 1.5, 1.5], [2.5, 2.5, 2.5], [2.0, 2.0, 2.0], [], True), ("bare", [0.0, 1.0, 1.0], [0.0, 1.0, 1.0], [0.0, 1.0, 1.0], None, False)]
+    df = spark.createDataFrame(rows, "id string, lo array<double>, hi array<double>, centre array<double>, mesh array<array<double>>, boxed boolean")
+    got = {(r.a, r.b): (r.distance, r.distance_method) for r in spatial.adjacency(df, 6.0).collect()}
+    want = {}
+    for i, a in enumerate(sorted(rows)):
+        for b in sorted(rows)[i + 1 :]:
+            if a[0] in clouds and b[0] in clouds:
+                p, q = (c if len(c) <= 256 else c[np.linspace(0, len(c) - 1, 256, dtype=int)] for c in (clouds[a[0]], clouds[b[0]]))
+                d = (np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2)).min(), "mesh_vertices")
+            elif a[5] and b[5]:
+                d = (np.sqrt(sum(max(a[1][k] - b[2][k], b[1][k] - a[2][k], 0) ** 2 for k in range(3))), "bbox")
+            else:
+                d = (np.sqrt(sum((x - y) ** 2 for x, y in zip(a[3], b[3]))), "centroid")
+            if d[0] <= 6:
+                want[a[0], b[0]] = d
+    assert set(got) == set(want) and {m for _, m in want.values()} == {"mesh_vertices", "bbox", "centroid"}
+    assert all(np.isclose(got[k][0], want[k][0]) and got[k][1] == want[k][1] for k in want)
