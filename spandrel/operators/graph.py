@@ -198,28 +198,16 @@ def trace(edges: DataFrame, seeds: DataFrame, depth: int = 3, relations=NETWORK)
 
 
 def shortest_path(edges: DataFrame, start, end, longest: int = 8, relations=None) -> DataFrame:
-    """(hop, from_id, to_id, relation) of one shortest way between two nodes; no rows if there is none within the bound.
+    """(hop, from_id, to_id, relation) of one shortest way between two nodes; no rows if there is none within the bound."""
+    from . import paths
 
-    Among parallel edges a forward one is preferred, then explicit, topology, spatial and hierarchy ones.
-    """
+    try:
+        way = paths.between(edges, start, end, relations, min(longest, 20))
+    except paths.NoPath:
+        way = [start]
     spark = edges.sparkSession
-    seeds = spark.createDataFrame([(start,)], "id string" if isinstance(start, str) else "id long")
-    e = edges if relations is None else edges.where(F.col("relation").isin(known_relations(relations)))
-    reach = walk(steps(e, None, "any"), seeds, min(longest, 20))
-    # back from the end, a hop at a time: at most 20 rows
-    path, at = [], end
-    while at != start:
-        row = reach.where(F.col("id") == F.lit(at)).select("parent", "depth").first()
-        if row is None:
-            return spark.createDataFrame([], "hop int, from_id string, to_id string, relation string")
-        path.append((int(row.depth), row.parent, at))
-        at = row.parent
-    kind = "string" if isinstance(start, str) else "long"
-    hops = spark.createDataFrame(path or [], f"hop int, from_id {kind}, to_id {kind}")
-    rank = reduce(lambda c, x: c.when(F.col("relation").isin(*x[1]), x[0]), list(enumerate((TOPOLOGY, SPATIAL, HIERARCHY), 1)), F.when(F.col("relation").isin(*EXPLICIT), 0))
-    both = e.select("src", "dst", "relation", F.lit(0).alias("back")).unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", F.lit(1).alias("back")))
-    found = F.broadcast(hops).join(both, (F.col("from_id") == F.col("src")) & (F.col("to_id") == F.col("dst")))
-    return found.groupBy("hop", "from_id", "to_id").agg(F.min_by("relation", F.struct("back", rank.alias("r"), "relation")).alias("relation"))
+    rows = spark.createDataFrame([(0, way)], "n int, path array<string>" if isinstance(start, str) else "n int, path array<long>")
+    return paths.grounded(rows, edges, ["n"], relations).select(F.explode("steps").alias("s")).select("s.hop", "s.from_id", "s.to_id", "s.relation")
 
 
 def match_score(label: Column, query: str) -> Column:
@@ -236,10 +224,10 @@ def by_classification(nodes: DataFrame, edges: DataFrame, query: str) -> DataFra
     return of.join(hits, "dst").groupBy(F.col("src").alias("id")).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("label")).alias("labels"))
 
 
-def serving(nodes: DataFrame, edges: DataFrame, spaces: DataFrame, depth: int = 4) -> DataFrame:
+def serving(nodes: DataFrame, edges: DataFrame, spaces: DataFrame, depth: int = 4, seed: bool = False) -> DataFrame:
     """(space, id, score, hops, kind, strength): equipment that may serve spaces, terminals only where there is no equipment.
 
-    Seeds are what a space contains (6 or 5 for equipment or terminals), is bounded by (5, 4) or adjoins (4, 3); from them the network is walked, and hops lower the score.
+    Seeds are what a space contains (6 or 5 for equipment or terminals), is bounded by (5, 4) or adjoins (4, 3); from them the network is walked, and hops lower the score. With seed, also the one where the best way begins.
     """
     kinds = nodes.select("id", is_equipment(F.col("class_")).alias("equipment"), is_terminal(F.col("class_")).alias("terminal")).where("equipment OR terminal")
     parts = []
@@ -247,13 +235,18 @@ def serving(nodes: DataFrame, edges: DataFrame, spaces: DataFrame, depth: int =
         parts.append(neighbours(edges, spaces, relations, mode).select("anchor", "id", F.lit(base).alias("base")))
     seeds = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(kinds, "id").select("anchor", "id", (F.col("base") - (~F.col("equipment")).cast("int")).alias("base"))
     seeds = kept(seeds.groupBy("anchor", "id").agg(F.max("base").alias("base")))
-    reach = walk(steps(edges, SERVING, "any"), seeds.select("id").distinct(), min(depth, 6))
+    reach = serving_walk(edges, seeds, depth)
     reach = seeds.select("anchor", "base", F.col("id").alias("seed")).join(reach.select("seed", "id", "depth"), "seed").join(kinds, "id")
     score = F.when(F.col("depth") == 0, F.col("base")).otherwise(F.col("base") + F.greatest(F.lit(0), 2 - F.col("depth")) + F.col("equipment").cast("int"))
-    best = reach.where("id <> anchor").withColumn("score", score).groupBy(F.col("anchor").alias("space"), "id").agg(F.max("score").alias("score"), F.min("depth").alias("hops"), F.max("equipment").alias("equipment"))
+    best = reach.where("id <> anchor").withColumn("score", score).groupBy(F.col("anchor").alias("space"), "id").agg(F.max("score").alias("score"), F.min("depth").alias("hops"), F.max("equipment").alias("equipment"), F.min_by("seed", F.struct(-F.col("score"), "depth", "seed")).alias("seed"))
     any_equipment = best.groupBy("space").agg(F.max("equipment").alias("some"))
     best = best.join(any_equipment, "space").where("equipment OR NOT some")
-    return best.select("space", "id", "score", "hops", F.when(F.col("equipment"), "equipment").otherwise("terminal").alias("kind"), F.when(F.col("score") >= 6, "strong").when(F.col("score") >= 4, "moderate").otherwise("weak").alias("strength"))
+    return best.select("space", "id", "score", "hops", F.when(F.col("equipment"), "equipment").otherwise("terminal").alias("kind"), F.when(F.col("score") >= 6, "strong").when(F.col("score") >= 4, "moderate").otherwise("weak").alias("strength"), *(["seed"] if seed else []))
+
+
+def serving_walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, id, depth, parent) of the network around equipment and terminals (id) of spaces."""
+    return walk(steps(edges, SERVING, "any"), seeds.select("id").distinct(), min(depth, 6))
 
 
 def shared_boundaries(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

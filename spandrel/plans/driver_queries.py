@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, values
 from ..functions import text as tx
-from ..operators import evals, graph, lookups, relational, search, spatial
+from ..operators import evals, graph, lookups, paths, relational, search, spatial
 from ..operators.request import Field, Filter, Request
 from ..operators.staging import kept
 from ..sources import records as rec
@@ -279,9 +279,21 @@ def network_trace(s, d):
     return graph.trace(v.connections(s, d), s.createDataFrame([("S0",)], "id string"), 3).select("id", "depth")
 
 
-@query(f"WITH l AS {v.LINKS} SELECT CASE WHEN EXISTS (SELECT 1 FROM l x JOIN l y USING (p) WHERE x.s = 'S0' AND y.s = 'S1') THEN 2 ELSE 4 END::BIGINT AS hops")
+@query(f"""WITH RECURSIVE l AS MATERIALIZED {v.LINKS}, e AS MATERIALIZED (SELECT p AS a, s AS b FROM l UNION ALL SELECT s, p FROM l), r(n, d) AS (SELECT 'S0', 0 UNION SELECT b, d + 1 FROM r JOIN e ON n = a WHERE d < 8)
+ SELECT min(d)::BIGINT AS hops FROM r WHERE n = 'S1'""")
 def shortest_hops(s, d):
-    return graph.shortest_path(v.connections(s, d), "S0", "S1").agg(F.count("*").alias("hops"))
+    way = paths.between(v.connections(s, d), "S0", "S1", longest=8)
+    return paths.grounded(s.createDataFrame([(0, way)], "n int, path array<string>"), v.connections(s, d), ["n"]).select(F.explode("steps").alias("s")).where("s.relation = 'ifc_connected_to'").agg(F.count("*").alias("hops"))
+
+
+@query(f"""WITH l AS {v.LINKS}, a AS (SELECT DISTINCT p FROM l WHERE s = 'S0'), b AS (SELECT s, min(p) AS p FROM l JOIN a USING (p) WHERE s <> 'S0' GROUP BY 1), c AS (SELECT l.p, min(s) AS s FROM l JOIN b USING (s) WHERE l.p NOT IN (SELECT p FROM a) GROUP BY 1)
+ SELECT p AS id, 'S0>' || p AS way, 'backward' AS turns FROM a UNION ALL SELECT s, 'S0>' || p || '>' || s, 'backward>forward' FROM b
+ UNION ALL SELECT c.p, 'S0>' || b.p || '>' || s || '>' || c.p, 'backward>forward>backward' FROM c JOIN b USING (s)""")
+def network_paths(s, d):
+    e = kept(v.connections(s, d))
+    reach = kept(graph.walk(graph.steps(e, graph.NETWORK, "any"), s.createDataFrame([("S0",)], "id string"), 3))
+    rows = paths.grounded(paths.paths(reach, 3).where("depth > 0"), e, ["id"], graph.NETWORK)
+    return rows.select("id", F.array_join("path", ">").alias("way"), F.array_join(F.transform("steps", lambda x: x["direction"]), ">").alias("turns"))
 
 
 @query("SELECT 'N' || n_nationkey AS id FROM nation WHERE n_nationkey % 10 <> 1 UNION ALL SELECT 'C' || c_custkey FROM customer WHERE c_nationkey % 10 <> 1 UNION ALL SELECT 'O' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 10 <> 1")

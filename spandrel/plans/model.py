@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..functions import values
-from ..operators import graph, lookups, relational, search, spatial
+from ..operators import graph, lookups, paths, relational, search, spatial
 from ..operators.relational import Tables
 from ..operators.request import Field, Request
 from ..operators.staging import kept
@@ -65,16 +65,9 @@ class Model:
     def save(self, folder: str) -> str:
         """Writes tables, nodes and all edges below a folder, as a new version."""
         home = self.nodes.select(F.col("id").alias("src"), "dataset").distinct()
-        edges = self.edges.join(home, "src").withColumn("source", self._source())
+        edges = self.edges.join(home, "src").withColumn("source", paths.source_of(F.col("relation")))
         return store.write(folder, {"elements": self.tables.elements, "properties": self.tables.properties, "quantities": self.tables.quantities, "nodes": self.nodes, "edges": edges})
 
-    @staticmethod
-    def _source() -> Column:
-        """Where edges of a relation come from: stated, or derived from boxes."""
-        r = F.col("relation")
-        stated = r.isin(*graph.STATED_TOPOLOGY, *graph.EXPLICIT)
-        return F.when(stated, "ifc").when(r.isin(*graph.SPATIAL), "heuristic").when(r.isin(*graph.TOPOLOGY), "topology")
-
     # Tables
 
     def answer(self, request: Request) -> dict[str, DataFrame]:
@@ -143,8 +136,9 @@ class Model:
 
     @cached_property
     def edges(self) -> DataFrame:
+        """Stated and derived edges, written once: walks and paths read them many times."""
         bounds = graph.shared_boundaries(self.stated, self.nodes).select("src", "dst", F.lit("shares_boundary_with").alias("relation"))
-        return self.stated.unionByName(bounds).unionByName(self.derived, allowMissingColumns=True)
+        return kept(self.stated.unionByName(bounds).unionByName(self.derived, allowMissingColumns=True))
 
     def resolve(self, wanted: str, classes: tuple[str, ...] | None = None) -> str:
         """The one node that an identifier means: its id, its global or express id, or a container's label."""
@@ -361,21 +355,33 @@ class Model:
         return rows.groupBy(F.col("raw").alias("value")).agg(F.count("*").alias("count"), F.slice(F.array_sort(F.collect_list("express_id")), 1, 2).alias("samples")).orderBy(F.desc("count"), "value").limit(min(max_groups, 50))
 
     def trace_distribution_network(self, start: str, max_depth: int = 3, max_results: int = NEAR, relations=graph.NETWORK) -> DataFrame:
-        """What the network reaches, with the hop (parent, relation) that found it."""
-        rows = graph.trace(self.edges, self._one(start), max_depth, relations).select("id", "depth", "parent")
-        hop = graph.steps(self.edges, relations, "any").groupBy(F.col("a").alias("parent"), F.col("b").alias("id")).agg(F.min("relation").alias("relation"))
-        rows = rows.join(hop, ["parent", "id"])
-        return self._bounded(self._shown(rows), min(max_results, 50), F.asc("depth"))
+        """What the network reaches, with the way to it: path, its steps with relation and source, and the last step's parent and relation."""
+        depth = min(max_depth, 6)
+        rows = paths.paths(kept(graph.walk(graph.steps(self.edges, relations, "any"), self._one(start), depth)), depth).where("depth > 0").select("id", "depth", "path")
+        shown = paths.grounded(self._bounded(self._shown(rows), min(max_results, 50), F.asc("depth")), self.edges, ["id"], relations)
+        last = F.element_at("steps", -1)
+        return shown.withColumns({"parent": last["from_id"], "relation": last["relation"], "source": last["source"]}).orderBy("depth", F.coalesce("label", F.lit("")), "id")
 
     def find_shortest_path(self, start: str, end: str, max_path_length: int = 8, relations=None) -> DataFrame:
-        return graph.shortest_path(self.edges, self.resolve(start), self.resolve(end), max_path_length, relations).orderBy("hop")
+        """(hop, from_id, to_id, relation, source, direction) of a shortest way; NoPath, with its code, if there is none or it is longer than asked for (20 at most)."""
+        if max_path_length < 1:
+            raise ValueError("a path has at least one step")
+        own = paths.between(self.edges, self.resolve(start), self.resolve(end), relations, min(max_path_length, 20))
+        way = self.spark.createDataFrame([(0, own)], "n int, path array<string>")
+        return paths.grounded(way, self.edges, ["n"], relations).select(F.explode("steps").alias("s")).select("s.*").orderBy("hop")
 
     def find_by_classification(self, classification: str, max_results: int = NEAR) -> DataFrame:
         return self._bounded(self._shown(graph.by_classification(self.nodes, self.stated, classification)), min(max_results, 50), F.desc("score"))
 
     def find_equipment_serving_space(self, space: str, max_depth: int = 4, max_results: int = 10) -> DataFrame:
-        rows = graph.serving(self.nodes.select("id", "class_"), self.edges, self._one(space), max_depth)
-        return self._bounded(self._shown(rows), min(max_results, 20), F.asc("kind"), F.desc("score"), F.asc("hops"))
+        own = self._one(space)
+        rows = kept(graph.serving(self.nodes.select("id", "class_"), self.edges, own, max_depth, seed=True))
+        shown = self._bounded(self._shown(rows), min(max_results, 20), F.asc("kind"), F.desc("score"), F.asc("hops"))
+        # the best way: from the space to its seed, and on over the network
+        walk = kept(graph.serving_walk(self.edges, rows.select(F.col("seed").alias("id")), max_depth))
+        ways = paths.paths(walk, min(max_depth, 6)).select("seed", "id", "path")
+        shown = shown.join(ways, ["seed", "id"]).withColumn("path", F.concat(F.array("space"), F.col("path")))
+        return paths.grounded(shown, self.edges, ["id"]).orderBy("kind", F.desc("score"), "hops", F.coalesce("label", F.lit("")), "id")
 
     def fuzzy_find_nodes(self, query: str, class_filter: str | None = None, top_k: int = 10) -> DataFrame:
         n = self.nodes if class_filter is None else self.nodes.where(F.lower("class_") == class_filter.lower())

@@ -4,6 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from spandrel.operators import graph as g
 from spandrel.sources import records
 
@@ -118,3 +120,53 @@ def test_boundaries_from_either_side_of_spaces_alone(spark):
     assert rows(g.shared_boundaries(e)) == [("s1", "s2", ["wall"]), ("s1", "s3", ["hole"]), ("s1", "zone", ["wall"]), ("s2", "zone", ["wall"])]
     n = spark.createDataFrame([("s1", "IfcSpace"), ("s2", "IfcSpace"), ("s3", "IfcSpace"), ("hole", "IfcOpeningElement"), ("wall", "IfcWall"), ("zone", "IfcZone")], "id string, class_ string")
     assert rows(g.shared_boundaries(e, n)) == [("s1", "s2", ["wall"])]
+
+
+def test_ways_meet_in_the_middle(spark):
+    import random
+
+    from spandrel.operators import paths
+
+    rnd = random.Random(3)
+    links = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)} | {(k, k + 1) for k in range(100, 117)} | {(200, 201)}
+    links = {(a, b) for a, b in links if a != b}
+    e = edges(spark, *[(f"n{a}", f"n{b}", rnd.choice(("hosts", "contains"))) for a, b in sorted(links)])
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def hops(start):
+        seen, front = {start: 0}, [start]
+        while front:
+            front = [n for m in front for n in near[m] if n not in seen and not seen.update({n: seen[m] + 1})]
+        return seen
+
+    for start, end in ((0, 31), (100, 117), (5, 59), (103, 104), (7, 7), (0, 200), (200, 117)):
+        want = hops(start).get(end) if start in near else None
+        if want is None:
+            with pytest.raises(paths.NoPath) as error:
+                paths.between(e, f"n{start}", f"n{end}")
+            assert error.value.code == "no_path"
+            continue
+        way = paths.between(e, f"n{start}", f"n{end}")
+        assert (way[0], way[-1], len(way)) == (f"n{start}", f"n{end}", want + 1)
+        assert all(int(b[1:]) in near[int(a[1:])] for a, b in zip(way, way[1:]))
+    with pytest.raises(paths.NoPath) as error:
+        paths.between(e, "n100", "n117", longest=16)
+    assert error.value.code == "path_too_long"
+    with pytest.raises(paths.NoPath):
+        paths.between(e, "n100", "n117", relations=("typed_by",))
+
+
+def test_all_ways_at_once_with_their_evidence(spark):
+    from spandrel.operators import paths
+
+    e = edges(spark, *[(f"{k:02}", f"{k + 1:02}", "ifc_connected_to") for k in range(6)], ("03", "02", "hosts"), ("02", "03", "above"), ("00", "x", "adjacent_to"))
+    walk = g.walk(g.steps(e, None, "any"), ids(spark, "00"), 6)
+    got = {r.id: r for r in paths.grounded(paths.paths(walk, 6), e, ["id"]).collect()}
+    assert {k: r.path for k, r in got.items()} == {f"{k:02}": [f"{j:02}" for j in range(k + 1)] for k in range(7)} | {"x": ["00", "x"]}
+    assert [(s.relation, s.source, s.direction) for s in got["04"].steps] == [("ifc_connected_to", "ifc", "forward")] * 4
+    assert [(s.relation, s.source) for s in got["x"].steps] == [("adjacent_to", "heuristic")] and got["00"].steps == []
+    back = paths.grounded(spark.createDataFrame([(1, ["03", "02"]), (2, ["05", "04"]), (3, ["00", "gone"])], "id int, path array<string>"), e, ["id"])
+    assert {r.id: [(s.relation, s.direction) for s in r.steps] for r in back.collect()} == {1: [("hosts", "forward")], 2: [("ifc_connected_to", "backward")], 3: [(None, "backward")]}

@@ -81,6 +81,11 @@ def test_network_actions(model):
     assert gids(model.find_by_classification("pr 70 70")) == ["A"]
     path = model.find_shortest_path("T", "A", relations=["belongs_to_system"]).collect()
     assert [p.hop for p in path] == [1, 2]
+    assert {(p.relation, p.source) for p in path} == {("belongs_to_system", "ifc")}
+    served = model.find_equipment_serving_space("SP").first()
+    assert served.path[0].endswith("SP") and served.path[-1].endswith("A") and len(served.steps) == len(served.path) - 1
+    with pytest.raises(ValueError, match="no way"):
+        model.find_shortest_path("T", "A", relations=["typed_by"])
     assert gids(model.traverse("W1", "hosts")) == ["D1"]
     assert gids(model.relate_element_set(["W1", "W2"], "hosts")) == ["D1"]
     assert [r.label for r in model.trace_distribution_network("T", 2, relations=("belongs_to_system",)).collect()] == ["Supply Air", "Air unit"]
