@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import classes
 from .request import Field, Filter, Request
 
 LISTED = ("express_id", "global_id", "ifc_class", "predefined_type", "name", "level")
@@ -29,6 +30,8 @@ class Tables:
     elements: DataFrame
     properties: DataFrame
     quantities: DataFrame
+    #: Intervals of a class hierarchy (classes.intervals); without it a class has the subtypes that are listed.
+    classes: DataFrame | None = None
 
     @property
     def key(self) -> list[str]:
@@ -98,10 +101,10 @@ def first_values(tables: Tables, field: Field) -> DataFrame:
     return _attribute(tables, field).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "id", "is_official")
 
 
-def element_predicates(request: Request) -> list[Column]:
-    """The request's conditions on the elements' own columns."""
+def element_predicates(request: Request, by_class: bool = True) -> list[Column]:
+    """The request's conditions on the elements' own columns, that on their class left out if it is met elsewhere."""
     out = []
-    if request.ifc_class:
+    if request.ifc_class and by_class:
         out.append(F.col("ifc_class").isin(tx.with_subtypes(request.ifc_class)))
     if request.level:
         out.append(F.col("level_key") == tx.level_key_of(request.level))
@@ -126,7 +129,12 @@ def element_predicates(request: Request) -> list[Column]:
 def scope(tables: Tables, request: Request) -> DataFrame:
     """The elements a request is about: plain predicates on the scan, one semi-join per attribute filter."""
     rows = tables.elements
-    for p in element_predicates(request):
+    if request.ifc_class and tables.classes is not None:
+        asked = tables.elements.sparkSession.createDataFrame([(c,) for c in tx.with_subtypes(request.ifc_class)], "class_ string")
+        # as many rows as a schema has classes
+        hits = classes.subtypes(tables.classes, asked).select(F.col("subtype").alias("ifc_class")).distinct()
+        rows = rows.join(hits, "ifc_class", "left_semi")
+    for p in element_predicates(request, tables.classes is None):
         rows = rows.where(p)
     for f in request.filters:
         if f.source != "element":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, values
 from ..functions import text as tx
-from ..operators import evals, graph, lookups, paths, relational, search, spatial
+from ..operators import classes, evals, graph, lookups, paths, relational, search, spatial
 from ..operators.request import Field, Filter, Request
 from ..operators.staging import kept
 from ..sources import records as rec
@@ -712,6 +712,35 @@ def volumes_and_stems(s, d):
     return boxes.unionByName(v.table(s, d, "nation").select(F.lit("stem").alias("kind"), stem.alias("name"), F.lit(None).cast("double").alias("volume")))
 
 
+# Class hierarchies
+
+_TREE = "(SELECT DISTINCT ifc_class AS child, 'IfcKind' || substr(ifc_class, 4, 1) AS parent FROM e UNION SELECT DISTINCT 'IfcKind' || substr(ifc_class, 4, 1), 'IfcThing' FROM e UNION SELECT DISTINCT ifc_class, 'IfcEven' FROM e WHERE length(ifc_class) % 2 = 0 UNION SELECT 'IfcEven', 'IfcThing')"
+
+
+def _tree(s, d):
+    """Classes of the elements, their kinds by initial, one thing above all, and a second parent for some."""
+    e = v.elements(s, d).select("ifc_class").distinct()
+    kind = F.concat(F.lit("IfcKind"), F.substring("ifc_class", 4, 1))
+    even = s.createDataFrame([("IfcEven", "IfcThing")], "child string, parent string")
+    rows = e.select(F.col("ifc_class").alias("child"), kind.alias("parent")).unionByName(e.select(kind.alias("child"), F.lit("IfcThing").alias("parent")))
+    return rows.unionByName(e.where(F.length("ifc_class") % 2 == 0).select(F.col("ifc_class").alias("child"), F.lit("IfcEven").alias("parent"))).unionByName(even).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS {v.ELEMENTS}, t AS MATERIALIZED {_TREE}, r(class_, sub) AS (SELECT child, child FROM t UNION SELECT parent, parent FROM t UNION SELECT t.parent, r.sub FROM r JOIN t ON r.class_ = t.child)
+ SELECT class_, count(ifc_class) AS n FROM r LEFT JOIN e ON ifc_class = sub GROUP BY 1""")
+def class_rollup(s, d):
+    spans = kept(classes.intervals(_tree(s, d)))
+    own = v.elements(s, d).groupBy(F.col("ifc_class").alias("subtype")).agg(F.count("*").alias("n"))
+    return classes.subtypes(spans, spans.select("class_")).join(own, "subtype", "left").groupBy("class_").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+@query(f"WITH RECURSIVE e AS {v.ELEMENTS}, t AS MATERIALIZED {_TREE}, r(c) AS (SELECT 'IfcEven' UNION SELECT child FROM r JOIN t ON parent = c) SELECT level AS value, count(DISTINCT (dataset, express_id)) AS count FROM e WHERE ifc_class IN (SELECT c FROM r) GROUP BY 1")
+def group_with_subtypes(s, d):
+    t = v.tables(s, d)
+    own = relational.Tables(t.elements, t.properties, t.quantities, kept(classes.intervals(_tree(s, d))))
+    return relational.group(own, Request("group", "IfcEven", group_by=Field("element", "level")))
+
+
 # STEP files
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as tx
 from ..functions import values
-from ..operators import graph, lookups, paths, relational, search, spatial
+from ..operators import classes, graph, lookups, paths, relational, search, spatial
 from ..operators.relational import Tables
 from ..operators.request import Field, Request
 from ..operators.staging import kept
@@ -62,6 +62,13 @@ class Model:
         own.__dict__["edges"] = f["edges"]
         return own
 
+    def with_classes(self, pairs: DataFrame) -> Model:
+        """The same model with a class hierarchy (child, parent), as ontologies give it: requests for a class then take in all its subtypes."""
+        t = self.tables
+        own = Model(Tables(t.elements, t.properties, t.quantities, kept(classes.intervals(pairs))), self.nodes, self.stated, self.policy)
+        own.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("shapes", "derived", "edges")})
+        return own
+
     def save(self, folder: str) -> str:
         """Writes tables, nodes and all edges below a folder, as a new version."""
         home = self.nodes.select(F.col("id").alias("src"), "dataset").distinct()
@@ -80,7 +87,7 @@ class Model:
         for name in [r[0] for r in self.tables.elements.select("dataset").distinct().orderBy("dataset").collect()]:
             only = lambda df: df.where(F.col("dataset") == name)  # noqa: B023,E731
             try:
-                got = relational.execute(Tables(only(self.tables.elements), only(self.tables.properties), only(self.tables.quantities)), request)
+                got = relational.execute(Tables(only(self.tables.elements), only(self.tables.properties), only(self.tables.quantities), self.tables.classes), request)
                 done[name] = got
                 if request.intent == "aggregate" and request.aggregate_op != "count":
                     relational.checked(got)
@@ -405,4 +412,4 @@ class Model:
         return graph.summary(self.nodes, self.edges)
 
 
-ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "read_step", "load", "save"))
+ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "read_step", "load", "save", "with_classes"))
