@@ -90,7 +90,7 @@ def triples(spark: SparkSession, *paths: str) -> DataFrame:
                 rows = list(triples_of(text))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.bool_() if k == 3 else pa.string()) for k in range(4)], names=["subject", "predicate", "object", "is_text"])
 
-    files = spark.read.option("wholetext", True).text(list(paths))
+    files = spark.read.text(list(paths), wholetext=True)
     return files.mapInArrow(run, "subject string, predicate string, object string, is_text boolean")
 
 

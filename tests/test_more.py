@@ -15,7 +15,7 @@ from .test_model import element
 
 def test_ontology(spark, tmp_path):
     (tmp_path / "many.json").write_text(json.dumps({"IfcWall": ["IfcBuiltElement", "IfcElement"], "IfcDoor": ["IfcBuiltElement"]}))
-    (tmp_path / "one.json").write_text(json.dumps({"IfcPump": "IfcFlowMovingDevice"}))
+    (tmp_path / "one.json").write_text(json.dumps({"IfcPump": "IfcFlowMovingDevice"}, indent=2))
     (tmp_path / "none.json").write_text("no json")
     got = {tuple(r) for r in ontology.read(spark, str(tmp_path)).collect()}
     assert got == {("IfcWall", "IfcBuiltElement"), ("IfcBuiltElement", "IfcElement"), ("IfcDoor", "IfcBuiltElement"), ("IfcPump", "IfcFlowMovingDevice")}
