@@ -50,3 +50,18 @@ def test_described_classes_and_overlays(spark, tmp_path):
     assert m.find_described("north wall").first().label == "north wall"
     got = {(r.src.split("::")[-1], r.dst.split("::")[-1], r.relation) for r in m.overlays().collect()}
     assert got == {("A", "B", "aligned_with"), ("A", "SP", "inside_footprint_of"), ("B", "A", "same_storey_as")}
+
+
+def test_groups_and_rooms_by_words(spark):
+    from pyspark.sql import functions as F
+
+    from spandrel.plans import router
+
+    asked = {
+        "Group walls by level": (True, False), "break  down\ndoors by type": (True, False), "breakdown by type": (False, False), "Grouped by level?": (True, False), "what kinds of doors": (True, False), "which kinds of doors": (False, False),
+        "Which types of walls": (True, False), "by group": (False, False), "group, then by": (True, False), "What is in the kitchen?": (False, True), "inside room 12": (False, True), "within the space -x": (False, True), "in the room?": (False, False),
+        "in, the kitchen": (False, False), "begin the office": (False, False), "in office": (False, True), "in the": (False, False), "": (False, False),
+    }
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = {r.q: (r.intent == "group", r.graph == "containment") for r in df.select("q", *[c.alias(n) for n, c in router.intent_columns(F.col("q")).items()]).collect()}
+    assert got == asked == {q: (router.asks_for_groups(q), router.names_a_room(q)) for q in asked}

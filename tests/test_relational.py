@@ -102,7 +102,7 @@ def test_attribute_keys(tables):
     assert keys["Qto_WallBaseQuantities.NetArea"][0] == 3
 
 
-@pytest.mark.parametrize("raw,key", [("Level 02", "level 2"), ("floor 2", "level 2"), ("Ground Level", "ground floor"), ("GROUND-FLOOR", "ground floor"), ("Basement_01", "basement 1"), ("basement", "basement"), ("Roof!", "roof"), ("  ", None), (None, None)])
+@pytest.mark.parametrize("raw,key", [("Level 02", "level 2"), ("floor 2", "level 2"), ("Ground Level", "ground floor"), ("GROUND-FLOOR", "ground floor"), ("Basement_01", "basement 1"), ("basement", "basement"), ("Roof!", "roof"), ("  ", None), (None, None), ("level2a 3", "level2a 3"), ("x Level02", "level 2"), ("storey 00", "level 0"), ("00 groundfloor", "ground floor"), ("sublevel 3 floor 7", "level 7"), ("basement 3b", "basement"), ("Floor", "floor"), ("level level 4", "level 4")])
 def test_levels(spark, raw, key):
     assert tx.level_key_of(raw) == key
     from pyspark.sql import functions as F
