@@ -9,6 +9,7 @@ Property values are texts, ``json:`` and compact JSON for typed ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from . import classes
 from .request import Field, Filter, Request
+from .staging import kept
 
 LISTED = ("express_id", "global_id", "ifc_class", "predefined_type", "name", "level")
 # Columns that requests may filter and group by.
@@ -229,15 +231,32 @@ def execute(tables: Tables, request: Request) -> DataFrame:
     return {"count": count, "list": listing, "aggregate": aggregate, "group": group}[request.intent](tables, request)
 
 
+def leaves(properties: DataFrame, key: list[str]) -> DataFrame:
+    """(key, element_id, path, value): the leaves of nested property values, by set, name and the keys down to them; lists and empty objects are leaves. Values that aren't objects are left out.
+
+    Each round takes one layer of objects apart; there are as many as values are deep.
+    """
+    spark = properties.sparkSession
+    inner = properties.where(F.col("value").startswith("json:{")).select(*key, "element_id", F.concat_ws(".", "pset_name", "property_name").alias("path"), F.try_parse_json(F.substring("value", 6, 1 << 30)).alias("v")).where("v IS NOT NULL")
+    done = None
+    filled = F.schema_of_variant("v").startswith("OBJECT<") & (F.schema_of_variant("v") != "OBJECT<>")
+    while True:
+        opened = inner.where(filled).lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("_key"), F.col("value").alias("_value")))
+        inner = kept(opened.select(*key, "element_id", F.concat_ws(".", "path", "_key").alias("path"), F.to_json("_value").alias("j")))
+        inner = inner.select(*key, "element_id", "path", F.parse_json("j").alias("v"), "j")
+        ends = inner.where(~filled).select(*key, "element_id", "path", F.concat(F.lit("json:"), "j").alias("value"))
+        done = ends if done is None else done.unionByName(ends)
+        if inner.where(filled).isEmpty():
+            return done
+
+
 def attribute_keys(tables: Tables, samples: int = 3) -> DataFrame:
-    """(key, n_elements, samples) of all attributes: bare and dotted names, with the first few distinct values."""
-    rows = []
+    """(key, n_elements, samples) of all attributes: bare and dotted names, and the leaves of nested values by the whole way to them, with the first few distinct values."""
+    rows = [leaves(tables.properties, tables.key).select(F.col("path").alias("key"), *tables.key, "element_id", "value")]
     for frame, a, b in ((tables.properties, "pset_name", "property_name"), (tables.quantities, "qto_name", "quantity_name")):
         for key in (F.col(b), F.concat_ws(".", a, b)):
             rows.append(frame.select(key.alias("key"), *tables.key, F.col("element_id"), F.col("value").cast("string").alias("value")))
-    both = rows[0]
-    for r in rows[1:]:
-        both = both.unionByName(r)
+    both = reduce(DataFrame.unionByName, rows)
     n = both.groupBy("key").agg(F.countDistinct(*tables.key, "element_id").alias("n_elements"))
     ranked = both.select("key", "value").distinct().withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("value"))).where(F.col("k") <= samples)
     return n.join(ranked.groupBy("key").agg(F.sort_array(F.collect_list("value")).alias("samples")), "key", "left")

@@ -127,6 +127,12 @@ def attribute_keys(s, d):
     return relational.attribute_keys(v.tables(s, d)).select("key", "n_elements")
 
 
+@query("""SELECT 'Pset_Order.Price.Amount' AS key, count(*) AS n_elements, NULL AS first_sample FROM orders UNION ALL SELECT 'Pset_Order.Price.Priority', count(*), 'json:"' || min(o_orderpriority) || '"' FROM orders""")
+def nested_keys(s, d):
+    rows = relational.attribute_keys(rec.tables(v.records(s, d))).where("key LIKE 'Pset_Order.Price.%'")
+    return rows.select("key", "n_elements", F.when(F.col("key").endswith("Priority"), F.get("samples", F.lit(0))).alias("first_sample"))
+
+
 @query("SELECT 'level ' || p_size AS level_key, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT 'ground floor', count(*) FROM part UNION ALL SELECT 'basement ' || s_nationkey, count(*) FROM supplier GROUP BY 1")
 def canonical_levels(s, d):
     size = F.col("p_size").cast("string")

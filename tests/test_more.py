@@ -65,3 +65,18 @@ def test_groups_and_rooms_by_words(spark):
     df = spark.createDataFrame([(q,) for q in asked], "q string")
     got = {r.q: (r.intent == "group", r.graph == "containment") for r in df.select("q", *[c.alias(n) for n, c in router.intent_columns(F.col("q")).items()]).collect()}
     assert got == asked == {q: (router.asks_for_groups(q), router.names_a_room(q)) for q in asked}
+
+
+def test_leaves_of_nested_values(spark):
+    from spandrel.operators import relational
+
+    rows = [
+        (1, "P", "A", 'json:{"x": {"y": 1, "z": {"w": "deep"}}, "l": [1, {"k": 2}], "n": null, "e": {}}'), (2, "P", "A", 'json:{"x": {"y": 2.5}}'), (3, "P", "A", 'json:"text"'), (4, "P", "B", "json:{broken"), (5, "P", "B", "plain"), (6, "Q", "A.B", 'json:{"y": true}'),
+    ]
+    df = spark.createDataFrame(rows, "element_id long, pset_name string, property_name string, value string")
+    got = {(r.element_id, r.path, r.value) for r in relational.leaves(df, []).collect()}
+    assert got == {(1, "P.A.x.y", "json:1"), (1, "P.A.x.z.w", 'json:"deep"'), (1, "P.A.l", 'json:[1,{"k":2}]'), (1, "P.A.n", "json:null"), (1, "P.A.e", "json:{}"), (2, "P.A.x.y", "json:2.5"), (6, "Q.A.B.y", "json:true")}
+    assert relational.leaves(df.limit(0), []).count() == 0
+    none = spark.createDataFrame([], "element_id long, qto_name string, quantity_name string, value double")
+    keys = {r.key: (r.n_elements, r.samples) for r in relational.attribute_keys(relational.Tables(df, df, none)).collect()}
+    assert keys["P.A.x.y"] == (2, ["json:1", "json:2.5"]) and keys["A"][0] == keys["P.A"][0] == 3
