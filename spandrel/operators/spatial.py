@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -111,12 +112,33 @@ def least_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(best))
 
 
+#: Pairs of meshes with at most so many pairs of vertices are compared whole, many at once.
+WHOLE = 1024
+
+
+def _points(meshes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points of all meshes, where each mesh begins among them, and how many it has."""
+    size = np.asarray(pc.fill_null(pc.list_value_length(meshes), 0)).astype(np.int64)
+    return np.asarray(meshes.flatten().flatten(), float).reshape(-1, 3), np.cumsum(size) - size, size
+
+
 @F.arrow_udf(DoubleType())
 def mesh_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Least distance between the vertices of two meshes; null where one has none."""
-    read = lambda x: np.array(x.as_py() or [], float).reshape(-1, 3)
-    out = [None if len(p) == 0 or len(q) == 0 else least_distance(p, q) for p, q in ((read(x), read(y)) for x, y in zip(a, b, strict=True))]
-    return pa.array(out, pa.float64())
+    """Least distance between the vertices of two meshes; null where one has none. Small meshes of equal sizes are compared together, larger ones tile by tile."""
+    (p, fp, np_), (q, fq, nq) = _points(a), _points(b)
+    out = np.full(len(a), np.nan)
+    both = (np_ > 0) & (nq > 0)
+    small = both & (np_ * nq <= WHOLE)
+    for key in np.unique(np_[small] << 32 | nq[small]):
+        m, n = int(key >> 32), int(key & 0xFFFFFFFF)
+        rows = np.flatnonzero(small & (np_ == m) & (nq == n))
+        for k in range(0, len(rows), max(1, (1 << 18) // (m * n))):
+            part = rows[k : k + max(1, (1 << 18) // (m * n))]
+            d = p[fp[part][:, None] + np.arange(m)][:, :, None] - q[fq[part][:, None] + np.arange(n)][:, None]
+            out[part] = np.sqrt((d * d).sum(axis=3).min(axis=(1, 2)))
+    for k in np.flatnonzero(both & ~small):
+        out[k] = least_distance(p[fp[k] : fp[k] + np_[k]], q[fq[k] : fq[k] + nq[k]])
+    return pa.array(out, mask=~both)
 
 
 def adjacency(shapes: DataFrame, threshold: float | None = None, excluded=EXCLUDED) -> DataFrame:
@@ -148,7 +170,7 @@ def adjacency(shapes: DataFrame, threshold: float | None = None, excluded=EXCLUD
 
 def _refined(pairs: DataFrame, rows: DataFrame, key: list[str], more: list[str]) -> DataFrame:
     """Pairs with the distances of vertices, or of centres where there is no box; thinned meshes go to the pairs that have two of them only."""
-    places = rows.select(*key, "id", *[F.col(c) for c in more if c != "mesh"], *([g.thinned(F.col("mesh"), VERTICES).alias("mesh")] if "mesh" in more else []))
+    places = rows.select(*key, "id", *[F.col(c) for c in more if c != "mesh"], *([F.when(F.forall("mesh", lambda p: F.coalesce(F.size(p) == 3, F.lit(False))), g.thinned(F.col("mesh"), VERTICES)).alias("mesh")] if "mesh" in more else []))
     marks = places.select(*key, "id", *[F.col(c) for c in more if c != "mesh"], *([(F.size("mesh") > 0).alias("has")] if "mesh" in more else []))
     for s in ("a", "b"):
         pairs = pairs.join(marks.select(*key, F.col("id").alias(s), *[F.col(c).alias(c + s) for c in marks.columns if c not in (*key, "id")]), [*key, s])
