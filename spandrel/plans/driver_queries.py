@@ -12,7 +12,7 @@ from ..operators import classes, evals, graph, lookups, paths, relational, searc
 from ..operators.request import Field, Filter, Request
 from ..operators.staging import kept
 from ..sources import records as rec
-from ..sources import step, step_model
+from ..sources import step, step_check, step_model
 from ..streaming import windows
 from . import router
 from . import views as v
@@ -762,6 +762,17 @@ def step_positions(s, d):
     return shapes.select(F.substring("global_id", 2, 20).cast("long").alias("id"), name, *[at(c, k).alias("xyz"[k] + n) for c, n in (("centre", ""), ("lo", "0"), ("hi", "1")) for k in range(3)])
 
 
+@query("""SELECT 'dangling' AS rule, c_custkey * 10 + 10002 AS id, 'refers to #' || (c_nationkey + 3000) AS message FROM customer WHERE c_nationkey % 5 = 0 UNION ALL SELECT 'double', r_regionkey + x, 'comes 2 times' FROM region, (VALUES (100), (200), (300)) t(x)
+ UNION ALL SELECT 'arguments', c_custkey * 10 + 10004, 'argument 4 of IFCEXTRUDEDAREASOLID is no number' FROM customer WHERE c_custkey % 10 = 3 UNION ALL SELECT 'project', NULL, '0 projects'""")
+def step_problems(s, d):
+    lines = v.step_parts(s, d)
+    # placements of every fifth nation left out, those of regions twice, every tenth solid without a depth
+    left = lines.where(~F.regexp_extract("value", r"^#(\d+)=IFCLOCALPLACEMENT\(#3\d\d,", 1).isin([str(3000 + n) for n in range(0, 25, 5)]))
+    left = left.withColumn("value", F.when(F.col("value").rlike(r"^#\d*34=IFCEXTRUDEDAREASOLID"), F.regexp_replace("value", r",3\.\)$", ",.T.)")).otherwise(F.col("value")))
+    again = lines.where(F.col("value").rlike(r"^#[123]0\d="))
+    return step_check.problems(kept(step.parsed(left.unionByName(again)))).select("rule", "id", "message")
+
+
 # Extension
 
 

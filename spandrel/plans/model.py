@@ -49,9 +49,9 @@ class Model:
         return cls(records.tables(rows), *records.graph(rows), policy)
 
     @classmethod
-    def read_step(cls, spark: SparkSession, *paths: str, policy: Policy | None = None) -> Model:
-        """A model of STEP files: elements, types and containers with their attributes, relations and geometry."""
-        rows = kept(step_model.read(spark, *paths))
+    def read_step(cls, spark: SparkSession, *paths: str, policy: Policy | None = None, strict: bool = False) -> Model:
+        """A model of STEP files: elements, types and containers with their attributes, relations and geometry. strict refuses files that refer to what isn't there, repeat ids or the like."""
+        rows = kept(step_model.read(spark, *paths, strict=strict))
         return cls(records.tables(rows), *records.graph(rows), policy)
 
     @classmethod

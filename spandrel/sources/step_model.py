@@ -19,7 +19,7 @@ from ..functions import geometry as g
 from ..functions import text as tx
 from ..operators.graph import is_container
 from ..operators.staging import kept
-from . import records, step
+from . import records, step, step_check
 from .step import ref, refs
 
 _NUMBERS, _POINTS = ArrayType(DoubleType()), ArrayType(ArrayType(DoubleType()))
@@ -398,7 +398,10 @@ def records_of(all_: DataFrame) -> DataFrame:
     )
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """The records of STEP files."""
+def read(spark: SparkSession, *paths: str, strict: bool = False) -> DataFrame:
+    """The records of STEP files; strict refuses files with problems (step_check.problems)."""
     # every step below reads the instances: they are parsed once
-    return records_of(kept(step.read(spark, *paths)))
+    all_ = kept(step.read(spark, *paths))
+    if strict:
+        step_check.refuse(all_)
+    return records_of(all_)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from spandrel.plans.model import Model
-from spandrel.sources import step, step_model
+from spandrel.sources import step, step_check, step_model
 
 TEXT = """ISO-10303-21;
 HEADER;
@@ -197,3 +197,26 @@ def test_batches_are_split_as_one_by_one(spark):
 
     got = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(step.split_arguments("t").alias("a")).collect()
     assert [r.a for r in got] == [plain(t) for t in texts]
+
+
+def test_problems_are_listed_or_refused(spark, tmp_path):
+    good = """DATA;
+#1=IFCPROJECT('0000000000000000000001',$,'#99 in a text',$,$,$,$,$,$);
+#2=IFCCARTESIANPOINT((0.,1.E-3,-2.));
+#3=IFCAXIS2PLACEMENT3D(#2,$,$);
+#4=IFCLOCALPLACEMENT($,#3);
+#5=IFCRELAGGREGATES('0000000000000000000005',$,'a (#98)',$,#1,(#6));
+#6=IFCSITE('0000000000000000000006',$,'it''s #97',$,$,#4,$,$,$,$,$,$,$,$);
+ENDSEC;
+"""
+    bad = good.replace("#3,$,$);\n#4", "").replace("IFCAXIS2PLACEMENT3D(#2,$,$)", "IFCAXIS2PLACEMENT3D(#2,$)").replace("(0.,1.E-3,-2.)", "#6").replace("(#6));", "(#6,#50,(#51)));").replace("'0000000000000000000006'", "'0000000000000000000005'").replace("IFCPROJECT", "IFCSITE") + "#2=IFCDIRECTION((1.,0.));\n"
+    (tmp_path / "good.ifc").write_text(good)
+    (tmp_path / "bad.ifc").write_text(bad)
+    assert step_check.problems(step.read(spark, str(tmp_path / "good.ifc"))).count() == 0
+    got = {tuple(r) for r in step_check.problems(step.read(spark, str(tmp_path / "bad.ifc"))).collect()}
+    assert got == {
+        ("bad", "arguments", 3, "IFCAXIS2PLACEMENT3D takes 3 arguments"), ("bad", "arguments", 2, "argument 1 of IFCCARTESIANPOINT is no numbers"), ("bad", "arguments", 5, "argument 6 of IFCRELAGGREGATES is no refs"),
+        ("bad", "dangling", 5, "refers to #50"), ("bad", "dangling", 5, "refers to #51"), ("bad", "double", 2, "comes 2 times"), ("bad", "same_global_id", 6, "has the identifier of #5"), ("bad", "project", None, "0 projects"),
+    }
+    with pytest.raises(ValueError, match="8 problems"):
+        step_model.read(spark, str(tmp_path / "bad.ifc"), strict=True)
