@@ -69,11 +69,21 @@ class Model:
         own.__dict__.update({k: v for k, v in self.__dict__.items() if k in ("shapes", "derived", "edges")})
         return own
 
-    def save(self, folder: str) -> str:
-        """Writes tables, nodes and all edges below a folder, as a new version."""
+    def _frames(self) -> dict[str, DataFrame]:
         home = self.nodes.select(F.col("id").alias("src"), "dataset").distinct()
         edges = self.edges.join(home, "src").withColumn("source", paths.source_of(F.col("relation")))
-        return store.write(folder, {"elements": self.tables.elements, "properties": self.tables.properties, "quantities": self.tables.quantities, "nodes": self.nodes, "edges": edges})
+        return {"elements": self.tables.elements, "properties": self.tables.properties, "quantities": self.tables.quantities, "nodes": self.nodes, "edges": edges}
+
+    def save(self, folder: str) -> str:
+        """Writes tables, nodes and all edges below a folder, as a new version."""
+        return store.write(folder, self._frames())
+
+    @classmethod
+    def update(cls, spark: SparkSession, folder: str, *sources: str, policy: Policy | None = None, step: bool = False) -> dict[str, list[str]]:
+        """Brings a saved model up to date with its source files (records, or with step STEP files): only datasets whose files are new or changed are read, derived and written; the others keep their tables
+        and edges. The names of built, kept and removed datasets. A policy must be the one of before, as kept edges aren't made anew."""
+        build = lambda files: (cls.read_step if step else cls.read)(spark, *files, policy=policy)._frames()
+        return store.update(spark, folder, list(sources), build)
 
     # Tables
 
@@ -412,4 +422,4 @@ class Model:
         return graph.summary(self.nodes, self.edges)
 
 
-ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "read_step", "load", "save", "with_classes"))
+ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "read_step", "load", "save", "update", "with_classes"))

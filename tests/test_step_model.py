@@ -220,3 +220,38 @@ ENDSEC;
     }
     with pytest.raises(ValueError, match="8 problems"):
         step_model.read(spark, str(tmp_path / "bad.ifc"), strict=True)
+
+
+def test_unchanged_datasets_are_kept(spark, tmp_path):
+    import os
+
+    from spandrel.sources import records, store
+
+    source, folder = tmp_path / "in", str(tmp_path / "model")
+    source.mkdir()
+    line = lambda k, name: json.dumps({"GlobalId": f"g{k}", "ExpressId": k, "Name": name, "IfcType": "IfcWall"})
+    (source / "a.jsonl").write_text(line(1, "one"))
+    (source / "b.jsonl").write_text(line(1, "two"))
+    empty = spark.createDataFrame([], "src string, dst string, relation string, source string, dataset string")
+    built = []
+
+    def build(files):
+        built.append(sorted(os.path.basename(f) for f in files))
+        rows = records.read(spark, *files)
+        t = records.tables(rows)
+        return {"elements": t.elements, "properties": t.properties, "quantities": t.quantities, "nodes": records.graph(rows)[0], "edges": empty}
+
+    update = lambda: store.update(spark, folder, [str(source)], build)
+    names = lambda: {(r.dataset, r.name) for r in store.read(spark, folder)["elements"].collect()}
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(folder) for f in fs if "elements" in d and f.endswith(".parquet")}
+    assert update() == {"built": ["a", "b"], "kept": [], "removed": []} and names() == {("a", "one"), ("b", "two")}
+    first = files()
+    assert update() == {"built": [], "kept": ["a", "b"], "removed": []} and files() == first
+    (source / "b.jsonl").write_text(line(1, "changed"))
+    (source / "c.jsonl").write_text(line(1, "new"))
+    assert update() == {"built": ["b", "c"], "kept": ["a"], "removed": []}
+    assert names() == {("a", "one"), ("b", "changed"), ("c", "new")} and all("dataset=a" not in f for f in files() - first)
+    (source / "a.jsonl").unlink()
+    assert update() == {"built": [], "kept": ["b", "c"], "removed": ["a"]} and names() == {("b", "changed"), ("c", "new")}
+    assert built == [["a.jsonl", "b.jsonl"], ["b.jsonl", "c.jsonl"]] and store.datasets_of(spark, folder) == ["b", "c"]
+    assert {r.name for r in store.read(spark, folder, "c")["elements"].collect()} == {"new"}
