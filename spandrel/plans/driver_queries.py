@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from ..functions import geometry, values
@@ -550,7 +548,6 @@ def route_cues(s, d):
 # Records, and actions on the model made of them
 
 
-@functools.lru_cache(maxsize=1)
 def _model(s, d):
     records_ = v.records(s, d)
     return Model(rec.tables(records_), *rec.graph(records_))
