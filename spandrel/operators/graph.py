@@ -123,12 +123,18 @@ def unmatched(edges: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
     return anchors.select("id").distinct().join(found.select(F.col("anchor").alias("id")), "id", "left_anti")
 
 
-def related(edges: DataFrame, anchors: DataFrame, relation: str) -> DataFrame:
-    """Union of the neighbours of several anchors by one relation: id, anchors (how many) and the least anchor. above and below are seen from the anchor: what is above it is what lies in
-    an edge `below` from it."""
-    inverse = {"above": "below", "below": "above"}.get(relation, relation)
-    mode = "out" if relation in DIRECTIONAL else "any"
-    return neighbours(edges, anchors, inverse if relation in ("above", "below") else relation, mode).groupBy("id").agg(F.countDistinct("anchor").alias("matched_anchors"), F.min("anchor").alias("first_anchor"))
+def related(edges: DataFrame, anchors: DataFrame, relation: str, details: bool = False) -> DataFrame:
+    """Union of the neighbours of several anchors by one relation: id, matched_anchors (how many) and the least of them; with details also anchor_ids (all of them, as many as were asked for at most) and the
+    best of what the edges measure: least distance and gap, greatest area. above and below are seen from the anchor: what is above it is what lies in an edge `below` from it."""
+    (name,) = known_relations({"above": "below", "below": "above"}.get(relation, relation))
+    best = {"distance": F.min, "gap": F.min, "area": F.max}
+    measures = [c for c in best if c in edges.columns and details]
+    e = edges.where(F.col("relation") == name)
+    move = e.select(F.col("src").alias("a"), F.col("dst").alias("id"), *measures)
+    if relation not in DIRECTIONAL:
+        move = move.unionByName(e.select(F.col("dst").alias("a"), F.col("src").alias("id"), *measures))
+    met = anchors.select(F.col("id").alias("a")).distinct().join(move, "a")
+    return met.groupBy("id").agg(F.countDistinct("a").alias("matched_anchors"), F.min("a").alias("first_anchor"), *([F.array_sort(F.collect_set("a")).alias("anchor_ids")] if details else []), *[best[c](c).alias(c) for c in measures])
 
 
 def walk(move: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:

@@ -319,6 +319,15 @@ def relation_union(s, d):
     return graph.related(v.connections(s, d), anchors, "ifc_connected_to")
 
 
+@query("""WITH l AS (SELECT DISTINCT 'P' || l_partkey AS p, 'S' || l_suppkey AS s, min(l_quantity)::DOUBLE AS distance, max(l_extendedprice)::DOUBLE AS area FROM lineitem WHERE l_suppkey % 4 = 1 GROUP BY 1, 2)
+ SELECT p AS id, string_agg(s, ',' ORDER BY s) AS anchors, min(distance) AS distance, max(area) AS area FROM l GROUP BY 1""")
+def relation_union_details(s, d):
+    anchors = v.table(s, d, "supplier").where("s_suppkey % 4 = 1").select(v.key("S", "s_suppkey").alias("id"))
+    ends = v.table(s, d, "lineitem").groupBy(v.key("P", "l_partkey").alias("src"), v.key("S", "l_suppkey").alias("dst")).agg(F.min("l_quantity").cast("double").alias("distance"), F.max("l_extendedprice").cast("double").alias("area"))
+    rows = graph.related(ends.withColumn("relation", F.lit("adjacent_to")), anchors, "adjacent_to", details=True)
+    return rows.select("id", F.array_join("anchor_ids", ",").alias("anchors"), "distance", "area")
+
+
 @query("SELECT 'O' || o_orderkey AS id, 1 AS score, o_orderpriority AS label FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%'")
 def classification_match(s, d):
     return graph.by_classification(v.nodes(s, d), v.edges(s, d), "Urgent").select("id", "score", F.col("labels")[0].alias("label"))

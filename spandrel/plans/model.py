@@ -281,8 +281,10 @@ class Model:
         return self._bounded(self._shown(hits.drop("label"), class_), max_results, F.desc("exact_fields"), F.desc("matched_fields"), F.asc("extra_terms"))
 
     def relate_element_set(self, anchors: list[str], relation: str, max_results: int = NEAR) -> DataFrame:
+        """Neighbours of any of some elements, with the anchors that each was matched by and the best of what the edges measure; those nearest first."""
         names = self._ids(self.resolve_all(anchors))
-        return self._bounded(self._shown(graph.related(self.edges, names, graph.known_relations(relation)[0])), max_results)
+        rows = self._shown(graph.related(self.edges, names, graph.known_relations(relation)[0], details=True))
+        return self._bounded(rows, max_results, *[F.asc_nulls_last(c) for c in ("distance", "gap") if c in rows.columns])
 
     def anchors_without(self, anchors: list[str], relation: str) -> DataFrame:
         """Which of some elements have no neighbour by a relation."""

@@ -170,3 +170,10 @@ def test_all_ways_at_once_with_their_evidence(spark):
     assert [(s.relation, s.source) for s in got["x"].steps] == [("adjacent_to", "heuristic")] and got["00"].steps == []
     back = paths.grounded(spark.createDataFrame([(1, ["03", "02"]), (2, ["05", "04"]), (3, ["00", "gone"])], "id int, path array<string>"), e, ["id"])
     assert {r.id: [(s.relation, s.direction) for s in r.steps] for r in back.collect()} == {1: [("hosts", "forward")], 2: [("ifc_connected_to", "backward")], 3: [(None, "backward")]}
+
+
+def test_unions_with_their_anchors_and_best_measures(spark):
+    rows_ = [("a", "x", "adjacent_to", 2.0), ("x", "b", "adjacent_to", 1.0), ("a", "x", "adjacent_to", 5.0), ("a", "y", "above", 3.0), ("y", "a", "below", 3.0), ("c", "z", "adjacent_to", None)]
+    e = spark.createDataFrame(rows_, "src string, dst string, relation string, distance double")
+    assert rows(g.related(e, ids(spark, "a", "b", "c", "a"), "adjacent_to", details=True)) == [("x", 2, "a", ["a", "b"], 1.0), ("z", 1, "c", ["c"], None)]
+    assert rows(g.related(e, ids(spark, "y"), "above", details=True).select("id", "distance")) == [("a", 3.0)]

@@ -64,6 +64,9 @@ def test_groups_and_rooms_by_words(spark):
     }
     df = spark.createDataFrame([(q,) for q in asked], "q string")
     got = {r.q: (r.intent == "group", r.graph == "containment") for r in df.select("q", *[c.alias(n) for n, c in router.intent_columns(F.col("q")).items()]).collect()}
+    both = "Which material is near the kitchen? In the kitchen, compare systems"
+    assert router.route(both).categories == router.categories(both) == ("containment", "spatial", "system", "material", "comparison") and router.route(both).reason == "containment"
+    assert spark.createDataFrame([(both,)], "q string").select(router.intent_columns(F.col("q"))["categories"]).first()[0] == list(router.categories(both))
     assert got == asked == {q: (router.asks_for_groups(q), router.names_a_room(q)) for q in asked}
 
 
