@@ -122,3 +122,45 @@ def test_means_of_long_texts_equal_those_in_one_piece(monkeypatch):
     monkeypatch.setattr(tx, "SLICE", 1000)
     assert np.allclose(classify.means(*tx.flat(pa.array([text, None, "x"])), weights, (), True), whole)
     assert whole[1].tolist() == [0, 0]
+
+
+def plain_features(text, grams, fold, bits=classify.BITS):
+    """Feature ids of a text, occurrence by occurrence, without arrays."""
+    shift, half, top = 65 - bits, 1 << (bits - 1), 2**64
+    power = int(tx._POWER)
+    mixed = lambda x: int(tx.mix(np.array([x % top], np.uint64))[0])
+    words, chars = tx.byte_values(tx.BLANK, fold), tx.byte_values(np.zeros(256, bool), fold)
+    for word in text.replace("\t", " ").replace("\n", " ").split(" "):
+        if word:
+            yield mixed(sum(int(words[b]) * pow(power, k + 1, top) for k, b in enumerate(word.encode()))) >> shift
+    codes = [int(chars[c.encode()[0]]) if ord(c) < 128 else mixed(int.from_bytes(c.encode(), "big")) | 1 for c in text]
+    for n in grams:
+        for k in range(len(codes) - n + 1):
+            total = n
+            for code in codes[k : k + n]:
+                total = (total * power + code) % top
+            yield (mixed(total) >> shift) + half
+
+
+def test_quality_scores_equal_brute_force(spark):
+    docs, labels, rows, _ = corpus(spark, 120)
+    weights, bias = quality.fit(docs, labels)
+    texts = [rows[0][1], rows[1][1][:40], "Überraschung  für\tAlle\nñ 中文字 x", "a", "", None]
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (weights, bias)).collect()
+    table = weights[:, 0].astype(np.float32)
+    for r in got:
+        ids = list(plain_features(texts[r.doc_id] or "", quality.GRAMS, quality.FOLD_CASE))
+        mean = sum(float(table[i]) for i in ids) / max(len(ids), 1)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-(mean + bias))), atol=1e-9)
+
+
+def test_a_training_step_equals_plain_arithmetic():
+    # one document, one epoch: the softmax's error moves read-out and bias by the rate, whatever its size, as steps are divided by it
+    rows = [(1, np.array([3, 9]), np.array([0.25, 0.75], np.float32))]
+    rng = np.random.default_rng(7)
+    vectors = rng.uniform(-1, 1, (1 << 5, 4)).astype(np.float32) / 4
+    x = 0.25 * vectors[3] + 0.75 * vectors[9]
+    out = -0.3 * np.outer(x, [0.5, -0.5]) / np.sqrt(1e-8 + np.outer(x, [0.5, -0.5]) ** 2)
+    got, bias = classify.train_embeddings(rows, 2, dim=4, epochs=1, bits=5)
+    # the read-out was zero, so the vectors stay as they were drawn
+    assert np.allclose(got, vectors @ out, atol=1e-4) and np.allclose(bias, [-0.3, 0.3], atol=1e-4)
