@@ -34,6 +34,14 @@ def brute(lo, hi, axes, test):
     return out
 
 
+def test_plans_of_a_crowd(crowd):
+    df, lo, hi = crowd
+    pairs = spatial.plan_overlaps(df).localCheckpoint()
+    assert tasks(pairs) > 1
+    got = [tuple(r) for r in pairs.select("dataset", "a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(lo, hi, 2, lambda gap: (gap < 0).all(axis=2))
+
+
 def test_meshes_of_a_crowd(crowd):
     df, lo, hi = crowd
     corners = F.array("lo", "hi")
