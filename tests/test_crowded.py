@@ -42,6 +42,14 @@ def test_plans_of_a_crowd(crowd):
     assert len(got) == len(set(got)) and set(got) == brute(lo, hi, 2, lambda gap: (gap < 0).all(axis=2))
 
 
+def test_neighbours_of_a_crowd(crowd):
+    df, lo, hi = crowd
+    pairs = spatial.adjacency(df, 0.05).localCheckpoint()
+    assert tasks(pairs) > 1
+    want = [p[1:] for p in brute(lo, hi, 3, lambda gap: (np.maximum(gap, 0) ** 2).sum(axis=2) <= 0.05**2)]
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want)
+
+
 def test_meshes_of_a_crowd(crowd):
     df, lo, hi = crowd
     corners = F.array("lo", "hi")
