@@ -64,3 +64,10 @@ def test_meshes_of_a_crowd(crowd):
         meshed = np.arange(len(a)) < 700
         want += np.triu(np.where(meshed[:, None] & meshed[None], vertices, np.sqrt((gap * gap).sum(axis=2))) <= 0.1, 1).sum()
     assert pairs.count() == want
+
+
+def test_above_and_below_read_the_overlaps_once(crowd):
+    both = spatial.above_below(spatial.plan_overlaps(crowd[0]))
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    n = {r.relation: r["count"] for r in both.groupBy("relation").count().collect()}
+    assert n["above"] == n["below"] > 0
