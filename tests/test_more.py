@@ -83,3 +83,14 @@ def test_leaves_of_nested_values(spark):
     none = spark.createDataFrame([], "element_id long, qto_name string, quantity_name string, value double")
     keys = {r.key: (r.n_elements, r.samples) for r in relational.attribute_keys(relational.Tables(df, df, none)).collect()}
     assert keys["P.A.x.y"] == (2, ["json:1", "json:2.5"]) and keys["A"][0] == keys["P.A"][0] == 3
+
+
+def test_room_cues_of_long_questions_need_no_list_of_places(spark):
+    from spandrel.plans import router
+
+    plan = spark.createDataFrame([("x",)], "text string").transform(router.routed)
+    assert "exists(sequence" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    words = " ".join(f"word{k}" for k in range(60_000))
+    asked = [f"{words} in the kitchen", f"{words} inside room 4", f"{words} in the the kitchen", f"{words} within space ,", f"in the room .{words}", "in", "in the", ""]
+    got = [r.graph == "containment" for r in router.routed(spark.createDataFrame([(q,) for q in asked], "text string").coalesce(1)).collect()]
+    assert got == [router.names_a_room(q) for q in asked] == [True, True, False, False, True, False, False, False]
