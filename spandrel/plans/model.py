@@ -145,7 +145,7 @@ class Model:
         over = spatial.plan_overlaps(rows)
         up = spatial.above_below(over)
         meet = spatial.intersections(rows).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("intersects_bbox").alias("relation"))
-        plan = spatial.overlap_edges(over, p.overlap, p.min_ratio, p.top_k).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("overlaps_xy").alias("relation"), "area")
+        plan = spatial.overlap_edges(spatial.plan_overlaps(rows, p.top_k) if p.overlap == "top_k" else over, p.overlap, p.min_ratio, p.top_k).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("overlaps_xy").alias("relation"), "area")
         out = near
         for more in (up, meet, plan):
             out = out.unionByName(more, allowMissingColumns=True)

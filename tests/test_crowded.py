@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spandrel.functions import geometry
 from spandrel.operators import spatial
 
 N = 2000
@@ -71,3 +72,28 @@ def test_above_and_below_read_the_overlaps_once(crowd):
     assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     n = {r.relation: r["count"] for r in both.groupBy("relation").count().collect()}
     assert n["above"] == n["below"] > 0
+
+
+def test_polygons_are_clipped_many_at_once():
+    rng = np.random.default_rng(5)
+
+    def polygons(m):
+        turn = np.sort(rng.random((200, m)) * 2 * np.pi, axis=1)
+        return np.stack([np.cos(turn), np.sin(turn)], axis=2) * rng.uniform(0.2, 1.5, (200, 1, 1)) + rng.uniform(-1, 1, (200, 1, 2))
+
+    for m, n in ((3, 3), (4, 6), (7, 5)):
+        p, q = polygons(m), polygons(n)
+        q[:20] = p[:20, [0, 1, 2] + [2] * (n - 3)] if n >= 3 else q[:20]
+        want = [geometry.clip_area([tuple(c) for c in a], [tuple(c) for c in b]) for a, b in zip(p, q, strict=True)]
+        assert spatial.clip_areas(p, q) == pytest.approx(want, abs=1e-12)
+        assert 0 < sum(w > 0 for w in want) < 200
+
+
+def test_polygons_of_a_crowd_go_with_their_boxes(crowd):
+    df, _, _ = crowd
+    one = df.where("dataset = 'm0'").withColumn("poly", geometry.rectangle(F.col("lo"), F.col("hi")))
+    pairs = spatial.polygon_overlaps(one)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    pairs, boxes = pairs.localCheckpoint(), spatial.plan_overlaps(one).where("area > 1e-6").localCheckpoint()
+    both = pairs.join(boxes.select("a", "b", F.col("area").alias("box")), ["a", "b"])
+    assert tasks(pairs) > 1 and both.where("abs(area - box) < 1e-9").count() == pairs.count() == boxes.count()
