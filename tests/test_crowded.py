@@ -74,6 +74,23 @@ def test_above_and_below_read_the_overlaps_once(crowd):
     assert n["above"] == n["below"] > 0
 
 
+def test_the_largest_of_a_crowd_are_found_in_the_tasks(crowd):
+    df, lo, hi = crowd
+    one = df.where("dataset = 'm0'").drop("dataset")
+    every, few = spatial.plan_overlaps(one).localCheckpoint(), spatial.plan_overlaps(one, 3).localCheckpoint()
+    assert few.count() * 5 < every.count()
+    want = sorted(map(tuple, spatial.overlap_edges(every, "top_k", top_k=3).collect()))
+    assert sorted(map(tuple, spatial.overlap_edges(few, "top_k", top_k=3).collect())) == want
+
+
+def test_equal_areas_are_not_all_kept(spark):
+    same = spark.range(900).select("id", F.array(*[F.lit(0.0)] * 3).alias("lo"), F.array(*[F.lit(1.0)] * 3).alias("hi"))
+    few = spatial.plan_overlaps(same, 2).localCheckpoint()
+    assert few.count() < 20_000
+    got = {(r.a, r.b) for r in spatial.overlap_edges(few, "top_k", top_k=2).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2)} | {(a, b) for a in (0, 1) for b in range(2, 900)}
+
+
 def test_polygons_are_clipped_many_at_once():
     rng = np.random.default_rng(5)
 
