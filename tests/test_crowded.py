@@ -91,6 +91,18 @@ def test_equal_areas_are_not_all_kept(spark):
     assert got == {(0, 1), (0, 2), (1, 2)} | {(a, b) for a in (0, 1) for b in range(2, 900)}
 
 
+def test_points_in_crowded_areas(crowd):
+    df, lo, hi = crowd
+    areas = df.select("dataset", "id", "lo", "hi", F.when(F.col("id") < "00500", geometry.rectangle(F.col("lo"), F.col("hi"))).alias("points"))
+    points = df.select("dataset", "id", F.col("centre")[0].alias("x"), F.col("centre")[1].alias("y"))
+    got = spatial.inside_footprint(points, areas).localCheckpoint()
+    centre, want = (lo + hi) / 2, 0
+    for m in range(2):
+        c, a, b = centre[m::2], lo[m::2], hi[m::2]
+        want += (((c[:, None, :2] >= a[None, :, :2]) & (c[:, None, :2] <= b[None, :, :2])).all(axis=2)).sum() - len(c)
+    assert tasks(got) > 1 and got.count() == want
+
+
 def test_polygons_are_clipped_many_at_once():
     rng = np.random.default_rng(5)
 
