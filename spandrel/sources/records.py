@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.graph import canonical, containment
 from ..operators.relational import Tables
+from ..operators.staging import staged
 
 _ATTRIBUTES = "MAP<STRING, MAP<STRING, VARIANT>>"
 SCHEMA = f"""GlobalId STRING, ExpressId BIGINT, Name STRING, IfcType STRING, ClassRaw STRING, BaseClasses ARRAY<STRING>, PredefinedType STRING, Description STRING,
@@ -29,22 +32,24 @@ def read(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Records of lines (dataset, line, value)."""
-    whole = lines.where("value <> ''").withColumn("r", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))
-    return whole.where("r.ExpressId IS NOT NULL").select("dataset", "line", "r.*")
+    """Records of lines (dataset, line, value). Each line is parsed once, and its record written by columns, as tables and graph read records many times."""
+    # a generator's output is a column of its own: the parser isn't repeated in the condition
+    whole = lines.where("value <> ''").select("dataset", "line", F.explode(F.array(F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}))).alias("r"))
+    return staged(whole.where("r.ExpressId IS NOT NULL").select("dataset", "line", "r.*"))
 
 
-def first_per(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key in an order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def first_per(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The row of each key that comes first in an order, numbers that no two rows share. Only keys that come again are looked up, so that rows stay where they are while those are few."""
+    rows = rows.withColumn("_order", order)
+    again = staged(rows.groupBy(*keys).agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    return rows.join(again, keys, "left").where("_first IS NULL OR _first = _order").drop("_first", "_order")
 
 
 def elements(records: DataFrame) -> DataFrame:
     """The elements table: a key that comes again loses to the first; a record needs a GlobalId and a class."""
     level = F.col("Hierarchy.Level")
     rows = records.where("GlobalId IS NOT NULL AND IfcType IS NOT NULL")
-    rows = first_per(first_per(rows, ["dataset", "ExpressId"], "line"), ["dataset", "GlobalId"], "line")
+    rows = first_per(first_per(rows, ["dataset", "ExpressId"], F.col("line")), ["dataset", "GlobalId"], F.col("line"))
     names = {"PredefinedType": "predefined_type", "Name": "name", "Description": "description", "ObjectType": "object_type", "Tag": "tag"}
     return rows.select(
         "dataset", F.col("ExpressId").alias("express_id"), F.col("GlobalId").alias("global_id"), F.col("IfcType").alias("ifc_class"),
@@ -52,28 +57,31 @@ def elements(records: DataFrame) -> DataFrame:
     )
 
 
-def _attributes(records: DataFrame, sets: Column, *more: Column) -> DataFrame:
-    rows = records.select("dataset", F.col("ExpressId").alias("element_id"), "line", F.explode(sets).alias("set_name", "members"), *more)
-    return rows.select("*", F.explode("members").alias("name", "value")).where("name <> 'id'").drop("members")
+def _attributes(records: DataFrame, sets: list[tuple[Column, Callable]], value: Callable, kind: str) -> DataFrame:
+    """(dataset, element_id, set_name, name, value, is_official, id) of the members of records' sets, each with a function that tells official ones by their name. All of a record's members lie in its row, so
+    their numbers (official ones first, then by names) are places in a sorted array."""
+    none = F.array().cast(f"array<struct<other: int, set_name: string, name: string, value: {kind}>>")
 
+    def flat(own: Column, official: Callable) -> Column:
+        member = lambda s: lambda m: F.struct((1 - official(s["key"])).alias("other"), s["key"].alias("set_name"), m["key"].alias("name"), value(m["value"]).alias("value"))
+        members = lambda s: F.transform(F.filter(F.map_entries(s["value"]), lambda m: m["key"] != "id"), member(s))
+        return F.coalesce(F.flatten(F.transform(F.filter(F.map_entries(own), lambda s: s["value"].isNotNull()), members)), none)
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """A stable number per row: records in order, then names."""
-    w = Window.partitionBy("dataset", "element_id").orderBy("line", F.desc("is_official"), "set_name", "name")
-    return rows.withColumn("id", F.row_number().over(w).cast("long")).drop("line")
+    parts = [flat(own, official) for own, official in sets]
+    rows = records.select("dataset", F.col("ExpressId").alias("element_id"), F.posexplode(F.array_sort(F.concat(*parts))).alias("n", "m"))
+    return rows.select("dataset", "element_id", "m.set_name", "m.name", "m.value", (1 - F.col("m.other")).alias("is_official"), (F.col("n") + 1).cast("long").alias("id"))
 
 
 def tables(records: DataFrame) -> Tables:
     """Elements, properties and quantities; attributes of records that lost their key go with them."""
     own = elements(records)
-    key = own.select("dataset", F.col("express_id").alias("element_id"))
-    kept = first_per(records, ["dataset", "ExpressId"], "line")
-    sets = [(F.col("PropertySets.Official"), 1), (F.col("PropertySets.Custom"), 0)]
-    parts = [_attributes(kept, s).withColumns({"value": F.concat(F.lit("json:"), F.to_json("value")), "is_official": F.lit(n)}) for s, n in sets]
-    properties = _numbered(parts[0].unionByName(parts[1])).join(key, ["dataset", "element_id"], "left_semi").withColumnsRenamed({"set_name": "pset_name", "name": "property_name"})
-    number = F.expr("try_variant_get(value, '$', 'double')")
-    quantities = _attributes(kept, F.col("Quantities")).withColumns({"value": number, "is_official": F.col("set_name").startswith("Qto_").cast("int")})
-    quantities = _numbered(quantities).join(key, ["dataset", "element_id"], "left_semi").withColumnsRenamed({"set_name": "qto_name", "name": "quantity_name"})
+    kept = first_per(records, ["dataset", "ExpressId"], F.col("line"))
+    lost = staged(kept.select("dataset", "ExpressId").join(own.select("dataset", F.col("express_id").alias("ExpressId")), ["dataset", "ExpressId"], "left_anti"))
+    kept = kept.join(lost, ["dataset", "ExpressId"], "left_anti")
+    sets = [(F.col("PropertySets.Official"), lambda name: F.lit(1)), (F.col("PropertySets.Custom"), lambda name: F.lit(0))]
+    properties = _attributes(kept, sets, lambda x: F.concat(F.lit("json:"), F.to_json(x)), "string").withColumnsRenamed({"set_name": "pset_name", "name": "property_name"})
+    sets = [(F.col("Quantities"), lambda name: name.startswith("Qto_").cast("int"))]
+    quantities = _attributes(kept, sets, lambda x: F.try_variant_get(x, "$", "double"), "double").withColumnsRenamed({"set_name": "qto_name", "name": "quantity_name"})
     return Tables(own, properties, quantities)
 
 
@@ -101,11 +109,11 @@ def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): elements, the labels they refer to, and a project and a building for each dataset, stated or not; the last record of an identifier wins; targets are sought in the same
     dataset, others and loops go. The project aggregates the building, the building the storeys; parents contain."""
     rows = records.where("GlobalId IS NOT NULL")
-    rows = first_per(rows.withColumn("_back", -F.col("line")), ["dataset", "GlobalId"], "_back").drop("_back")
+    rows = first_per(rows, ["dataset", "GlobalId"], -F.col("line"))
     class_ = F.coalesce("IfcType", "ClassRaw", F.lit("IfcProduct"))
     me = node_id(F.col("dataset"), class_, F.col("GlobalId"))
-    named = rows.select("dataset", F.col("GlobalId").alias("global_id"), me.alias("dst"))
-    rows = first_per(rows.withColumns({"_back": -F.col("line"), "_me": me}), ["_me"], "_back").drop("_back", "_me")
+    named = rows.select("dataset", F.col("GlobalId").alias("target"), me.alias("dst"))
+    rows = first_per(rows.withColumn("_me", me), ["_me"], -F.col("line")).drop("_me")
     box = F.col("Geometry.BoundingBox")
     whole = (F.size(box["min"]) == 3) & (F.size(box["max"]) == 3)
     nodes = rows.select(
@@ -114,19 +122,18 @@ def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(whole, box["min"]).alias("lo"), F.when(whole, box["max"]).alias("hi"), "Materials", F.coalesce(ring(F.col("Geometry.FootprintPolygon2D")), ring(F.col("Geometry.OrientedBoundingBox.corners_xy"))).alias("footprint"),
         F.col("Geometry.MeshVertices").alias("mesh"), tx.blank_to_null(F.col("TypeName")).alias("type_name"), tx.blank_to_null(F.col("ObjectType")).alias("object_type"), tx.blank_to_null(F.col("Description")).alias("description"),
     )
-    known = named
     datasets = records.select("dataset").distinct()
     single = lambda kind: datasets.select("dataset", F.concat_ws("::", F.lit(kind), "dataset").alias("id"), F.lit(kind).alias("label"), F.lit("Ifc" + kind).alias("class_"))
-    missing = single("Project").unionByName(single("Building")).join(nodes.select("id"), "id", "left_anti")
+    missing = single("Project").unionByName(single("Building")).join(nodes.where(F.col("class_").isin("IfcProject", "IfcBuilding")).select("id"), "id", "left_anti")
     aggregates = datasets.select(F.concat_ws("::", F.lit("Project"), "dataset").alias("src"), F.concat_ws("::", F.lit("Building"), "dataset").alias("dst"), F.lit("aggregates").alias("relation"))
     storeys = nodes.where("class_ = 'IfcBuildingStorey'").select(F.concat_ws("::", F.lit("Building"), "dataset").alias("src"), F.col("id").alias("dst"), F.lit("aggregates").alias("relation"))
-    parents = rows.select("dataset", me.alias("id"), F.col("Hierarchy.ParentId").alias("global_id")).join(known, ["dataset", "global_id"]).select("id", F.col("dst").alias("parent")).where("id <> parent")
+    parents = rows.select("dataset", me.alias("id"), F.col("Hierarchy.ParentId").alias("target")).join(named, ["dataset", "target"]).select("id", F.col("dst").alias("parent")).where("id <> parent")
     stated = rows.select("dataset", me.alias("src"), F.explode("Relationships").alias("relation", "targets")).select("dataset", "src", "relation", F.explode("targets").alias("target"))
-    direct = stated.where(F.col("relation").isin(*ELEMENT_RELATIONS)).join(known.withColumnRenamed("global_id", "target"), ["dataset", "target"]).select("src", "dst", "relation")
+    direct = stated.where(F.col("relation").isin(*ELEMENT_RELATIONS)).join(named, ["dataset", "target"]).select("src", "dst", "relation")
     label = tx.context_label(F.col("target"))
     context = stated.where(F.col("relation").isin(*CONTEXT_RELATIONS)).withColumn("label", label).where("label IS NOT NULL")
     kind = F.create_map(*[F.lit(x) for kv in CONTEXT_RELATIONS.items() for x in kv])[F.col("relation")]
     context = context.withColumns({"class_": kind, "dst": F.concat_ws("::", kind, "dataset", "label")})
     labels = context.select("dataset", F.col("dst").alias("id"), "label", "class_").distinct()
-    edges = containment(parents.distinct()).unionByName(aggregates).unionByName(storeys).unionByName(canonical(direct.unionByName(context.select("src", "dst", "relation"))))
+    edges = containment(parents).unionByName(aggregates).unionByName(storeys).unionByName(canonical(direct.unionByName(context.select("src", "dst", "relation"))))
     return nodes.unionByName(missing, allowMissingColumns=True).unionByName(labels, allowMissingColumns=True), edges
