@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,21 +43,19 @@ def field_values(tables: Tables, ids: DataFrame, name: str) -> DataFrame:
 
 def nested(tables: Tables, name: str) -> DataFrame:
     """(dataset, express_id, text, number) of a property by name, by set and name, or at a path inside a nested value of either: every reading of the dots counts."""
-    parts = name.split(".")
-    key = tables.key
-    found = None
+    parts, readings = name.split("."), []
     for depth in range(1, len(parts) + 1):
         head, path = parts[:depth], parts[depth:]
         for group, own in [("", head)] + ([(head[0], head[1:])] if depth > 1 else []):
-            rows = tables.properties.where(F.col("property_name") == ".".join(own))
-            rows = rows.where(F.col("pset_name") == group) if group else rows
+            fits = F.col("property_name") == ".".join(own)
             value = F.concat(F.lit("json:"), values.at_path(F.col("value"), ".".join(path))) if path else F.col("value")
-            # a generator's output is a column of its own: the long expression isn't repeated in each place that reads it
-            rows = rows.select(*key, F.col("element_id").alias("express_id"), F.explode(F.array(value)).alias("_value"))
-            text, number = relational.decoded(F.col("_value"))
-            rows = rows.select(*key, "express_id", F.explode(F.array(F.struct(text.alias("text"), number.alias("number")))).alias("_v")).select(*key, "express_id", "_v.text", "_v.number").where("text IS NOT NULL OR number IS NOT NULL")
-            found = rows if found is None else found.unionByName(rows)
-    return found
+            readings.append((fits & (F.col("pset_name") == group) if group else fits, value))
+    # all readings of one scan; a generator's output is a column of its own: the long expression isn't repeated in each place that reads it
+    rows = tables.properties.where(reduce(or_, [fits for fits, _ in readings]))
+    rows = rows.select(*tables.key, F.col("element_id").alias("express_id"), F.explode(F.array(*[F.when(fits, value) for fits, value in readings])).alias("_value")).where("_value IS NOT NULL")
+    text, number = relational.decoded(F.col("_value"))
+    rows = rows.select(*tables.key, "express_id", F.explode(F.array(F.struct(text.alias("text"), number.alias("number")))).alias("_v"))
+    return rows.select(*tables.key, "express_id", "_v.text", "_v.number").where("text IS NOT NULL OR number IS NOT NULL")
 
 
 def filled(stated: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:

@@ -97,10 +97,13 @@ def _attribute(tables: Tables, field: Field | Filter) -> DataFrame:
     return rows.select(*tables.key, F.col("element_id").alias("express_id"), "id", "is_official", text.alias("text"), number.alias("number"), F.col("value").cast("string").alias("raw"))
 
 
-def first_values(tables: Tables, field: Field) -> DataFrame:
-    """One value per element: official rows first, then the smallest id."""
+def first_values(tables: Tables, field: Field, only: DataFrame | None = None) -> DataFrame:
+    """One value per element: official rows first, then the smallest id. With only (key, express_id), as few as a caller names, just of these."""
     w = Window.partitionBy(*tables.key, "express_id").orderBy(F.desc("is_official"), F.asc("id"))
-    return _attribute(tables, field).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "id", "is_official")
+    rows = _attribute(tables, field)
+    if only is not None:
+        rows = rows.join(F.broadcast(only), [*tables.key, "express_id"], "left_semi")
+    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "id", "is_official")
 
 
 def element_predicates(request: Request, by_class: bool = True) -> list[Column]:

@@ -6,6 +6,7 @@ and a parameter out of range raise ValueError.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from operator import or_
@@ -19,7 +20,7 @@ from ..functions import values
 from ..operators import classes, graph, lookups, paths, relational, search, spatial
 from ..operators.relational import Tables
 from ..operators.request import Field, Request
-from ..operators.staging import kept
+from ..operators.staging import kept, staged
 from ..sources import records, step_model, store
 from .router import Route, route
 
@@ -39,20 +40,27 @@ class Policy:
 
 
 class Model:
-    def __init__(self, tables: Tables, nodes: DataFrame, stated: DataFrame, policy: Policy | None = None):
-        self.tables, self.nodes, self.stated, self.policy = tables, nodes, stated, policy or Policy()
+    def __init__(self, tables: Tables | Callable[[], Tables], nodes: DataFrame, stated: DataFrame, policy: Policy | None = None):
+        self._tables, self.nodes, self.stated, self.policy = tables, nodes, stated, policy or Policy()
         self.spark = nodes.sparkSession
 
+    @cached_property
+    def tables(self) -> Tables:
+        return self._tables() if callable(self._tables) else self._tables
+
     @classmethod
     def read(cls, spark: SparkSession, *paths: str, policy: Policy | None = None) -> Model:
-        rows = records.read(spark, *paths)
-        return cls(records.tables(rows), *records.graph(rows), policy)
+        return cls.of_records(records.read(spark, *paths), policy)
+
+    @classmethod
+    def of_records(cls, rows: DataFrame, policy: Policy | None = None) -> Model:
+        """A model of records; its tables are made when they are first asked for."""
+        return cls(lambda: records.tables(rows), *records.graph(rows), policy)
 
     @classmethod
     def read_step(cls, spark: SparkSession, *paths: str, policy: Policy | None = None, strict: bool = False) -> Model:
         """A model of STEP files: elements, types and containers with their attributes, relations and geometry. strict refuses files that refer to what isn't there, repeat ids or the like."""
-        rows = kept(step_model.read(spark, *paths, strict=strict))
-        return cls(records.tables(rows), *records.graph(rows), policy)
+        return cls.of_records(kept(step_model.read(spark, *paths, strict=strict)), policy)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, *datasets: str, policy: Policy | None = None) -> Model:
@@ -174,11 +182,12 @@ class Model:
 
     def resolve_all(self, wanted: list[str]) -> list[str]:
         """The nodes that identifiers mean, in their order and each once, by one query for all of them."""
-        asked = self.spark.createDataFrame([(w, tx.plain_of(w)) for w in dict.fromkeys(wanted)], "wanted string, words string")
-        n = self.nodes.select("id", "global_id", F.col("express_id").cast("string").alias("express"), F.when(graph.is_container(F.col("class_")), tx.plain(F.col("label"))).alias("words"))
-        parts = [n.select("id", F.col(c).alias("name"), F.lit(k).alias("rank")) for k, c in enumerate(("id", "global_id", "express"))]
-        hits = asked.join(parts[0].unionByName(parts[1]).unionByName(parts[2]), F.col("wanted") == F.col("name")).select("wanted", "id", "rank")
-        hits = hits.unionByName(asked.join(n.select("id", "words"), "words").select("wanted", "id", F.lit(3).alias("rank")))
+        # as many rows as were asked for, so they are what is sent around; nodes are read once
+        rows = [(w, w, k) for w in dict.fromkeys(wanted) for k in range(3)] + [(w, tx.plain_of(w), 3) for w in dict.fromkeys(wanted)]
+        asked = F.broadcast(self.spark.createDataFrame(rows, "wanted string, name string, rank int"))
+        words = F.when(graph.is_container(F.col("class_")), tx.plain(F.col("label")))
+        names = F.array(*[F.struct(c.alias("name"), F.lit(k).alias("rank")) for k, c in enumerate((F.col("id"), F.col("global_id"), F.col("express_id").cast("string"), words))])
+        hits = self.nodes.select("id", F.explode(names).alias("n")).select("id", "n.*").join(asked, ["name", "rank"])
         best = hits.groupBy("wanted", "id").agg(F.min("rank").alias("rank")).groupBy("wanted", "rank").agg(F.count("*").alias("n"), F.min("id").alias("id"))
         found = {r.wanted: r.f for r in best.groupBy("wanted").agg(F.min(F.struct("rank", "n", "id")).alias("f")).collect()}
         for w in wanted:
@@ -191,12 +200,12 @@ class Model:
     def _ids(self, names: list[str]) -> DataFrame:
         return self.spark.createDataFrame([(n,) for n in names], "id string")
 
+    def _of_class(self, class_: str | None = None) -> DataFrame:
+        return self.nodes.where(F.lower("class_") == ("ifc" + class_.lower().removeprefix("ifc"))) if class_ else self.nodes
+
     def _shown(self, ids: DataFrame, class_: str | None = None) -> DataFrame:
         """The compact columns of nodes, with what ids brings."""
-        n = self.nodes.select("id", "global_id", "label", "class_")
-        if class_:
-            n = n.where(F.lower("class_") == ("ifc" + class_.lower().removeprefix("ifc")))
-        return ids.join(n, "id")
+        return ids.join(self._of_class(class_).select("id", "global_id", "label", "class_"), "id")
 
     def _bounded(self, rows: DataFrame, limit: int, *order: Column) -> DataFrame:
         if limit < 1:
@@ -217,12 +226,13 @@ class Model:
         return self._bounded(self._shown(below), max_results)
 
     def find_elements_by_class(self, class_: str, max_results: int = SCAN) -> DataFrame:
-        return self._bounded(self._shown(self.nodes.select("id"), class_), max_results)
+        return self._bounded(self._of_class(class_).select("id", "global_id", "label", "class_"), max_results)
 
     def find_nodes(self, class_: str | None = None, filters: dict | None = None, max_results: int = SCAN) -> DataFrame:
         """Nodes of a class whose properties have the values given: of the element itself (Name, TypeName, ...), else by name in any set, by set and name, or deeper inside a nested value (Set.Name.Key).
         A list asks for any of its values."""
-        hits = self.nodes.where("express_id IS NOT NULL").select("id", "dataset", "express_id") if filters else self.nodes.select("id")
+        hits = self._of_class(class_)
+        hits = hits.where("express_id IS NOT NULL") if filters else hits
         for name, wanted in (filters or {}).items():
             any_of = wanted if isinstance(wanted, list | tuple | set) else [wanted]
             match = lambda text, number: reduce(or_, [relational.compare("eq", w, text, number) for w in any_of])  # noqa: B023,E731
@@ -234,7 +244,8 @@ class Model:
                 continue
             rows = lookups.nested(self.tables, name).where(match(F.col("text"), F.col("number")))
             hits = hits.join(rows.select("dataset", "express_id"), ["dataset", "express_id"], "left_semi")
-        return self._bounded(self._shown(hits.select("id"), class_), max_results)
+        hits = hits.select("id", "global_id", "label", "class_")
+        return self._bounded(staged(hits) if filters else hits, max_results)
 
     def find_described(self, class_: str, filters: dict | None = None, max_results: int = SCAN) -> DataFrame:
         """find_nodes for a class as people write it: several words are looked up by likeness, one word means the class most like it."""
@@ -352,8 +363,8 @@ class Model:
         return p.unionByName(q).join(own, ["dataset", "element_id"], "left_semi").drop("dataset", "element_id").orderBy(F.desc("is_official"), "set_name", "name")
 
     def _values(self, elements: list[str], field: Field) -> DataFrame:
-        ids = self.nodes.join(self._ids(self.resolve_all(elements)), "id", "left_semi").select("dataset", "express_id")
-        return ids.join(relational.first_values(self.tables, field), ["dataset", "express_id"], "left")
+        ids = kept(self.nodes.join(F.broadcast(self._ids(self.resolve_all(elements))), "id", "left_semi").select("dataset", "express_id"))
+        return ids.join(relational.first_values(self.tables, field, ids), ["dataset", "express_id"], "left")
 
     def aggregate_elements(self, elements: list[str], metric: str, field: Field | None = None) -> DataFrame:
         """value, matched_count, missing_count and non_numeric over exactly these elements."""
@@ -424,4 +435,4 @@ class Model:
         return graph.summary(self.nodes, self.edges)
 
 
-ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "read_step", "load", "save", "update", "with_classes"))
+ACTIONS = tuple(n for n, f in vars(Model).items() if callable(f) and not n.startswith("_") and n not in ("ask", "run", "answer", "answer_each", "act", "resolve", "resolve_all", "read", "of_records", "read_step", "load", "save", "update", "with_classes"))
