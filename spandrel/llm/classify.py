@@ -7,6 +7,8 @@ the means of its features' rows plus a bias. The table's size is fixed by ``BITS
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -84,17 +86,14 @@ def sample(rows: DataFrame, key: str, label: str, per_label: int) -> DataFrame:
     return near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_label).select(key, label)
 
 
-def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, bits: int = BITS, own: bool = False) -> list:
-    """(label, features, shares) of the chosen documents, ordered by key, made on the executors; chosen is a bounded sample.
-
-    Of several rows with a chosen key one is taken, that whose text hashes least; with own, docs have the label and only rows that have the chosen one count.
-    """
+def _made(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, bits: int, own: bool) -> DataFrame:
+    """(k, label, ids, shares) of the chosen documents, numbers packed as bytes."""
     on = {"k": F.col(key)} | ({"label": F.col(label)} if own else {})
     # the left side is far larger; only the bounded sample is sent to all executors
     picked = docs.select(*[c.alias(n) for n, c in on.items()], F.col(text).alias("text")).join(F.broadcast(chosen.select(F.col(key).alias("k"), F.col(label).alias("label"))), list(on))
     # a partial aggregate: a key on many rows leaves one in each partition
     picked = picked.groupBy("k", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    kind, id_kind = picked.schema["label"].dataType.simpleString(), "<u2" if bits <= 16 else "<u4"
+    kind, id_kind = picked.schema["label"].dataType.simpleString(), _id_kind(bits)
 
     def run(batches):
         for batch in batches:
@@ -104,15 +103,45 @@ def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str
                 names=["k", "label", "ids", "shares"],
             )
 
-    schema = f"k {picked.schema['k'].dataType.simpleString()}, label {kind}, ids binary, shares binary"
-    # Arrow buffers that the arrays below only point into: a sample is held once
-    got = picked.select("k", "label", "text").mapInArrow(run, schema).toArrow().combine_chunks()
+    return picked.select("k", "label", "text").mapInArrow(run, f"k {picked.schema['k'].dataType.simpleString()}, label {kind}, ids binary, shares binary")
+
+
+def _id_kind(bits: int) -> str:
+    return "<u2" if bits <= 16 else "<u4"
+
+
+def _in_order(got: pa.Table, bits: int) -> list:
+    """(label, features, shares) of what _made gives, ordered by key; the arrays only point into Arrow's buffers, so a sample is held once."""
+    got = got.combine_chunks()
     keys, labels, ids, shares = (got.column(c) for c in ("k", "label", "ids", "shares"))
-    rows = [(labels[n].as_py(), np.frombuffer(ids[n].as_buffer(), id_kind), np.frombuffer(shares[n].as_buffer(), "<f4")) for n in range(len(got))]
+    rows = [(labels[n].as_py(), np.frombuffer(ids[n].as_buffer(), _id_kind(bits)), np.frombuffer(shares[n].as_buffer(), "<f4")) for n in range(len(got))]
     order = sorted(range(len(got)), key=lambda n: (keys[n].as_py(), str(rows[n][0]), rows[n][1].tobytes()))
     return [rows[n] for n in order]
 
 
+def features(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, bits: int = BITS, own: bool = False) -> list:
+    """(label, features, shares) of the chosen documents, ordered by key, made on the executors; chosen is a bounded sample.
+
+    Of several rows with a chosen key one is taken, that whose text hashes least; with own, docs have the label and only rows that have the chosen one count.
+    """
+    return _in_order(_made(docs, key, text, chosen, label, grams, fold, bits, own).toArrow(), bits)
+
+
+def trained(docs: DataFrame, key: str, text: str, chosen: DataFrame, label: str, grams: tuple[int, ...], fold: bool, learn, bits: int = BITS, own: bool = False):
+    """learn(features) of the chosen documents, run on an executor: of the bounded sample, whose features are many times larger than a model, only the model comes to the driver."""
+
+    def run(batches):
+        got = list(batches)
+        if got:
+            model = pickle.dumps(learn(_in_order(pa.Table.from_batches(got), bits)))
+            got.clear()
+            pa.default_memory_pool().release_unused()  # the worker lives on
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = _made(docs, key, text, chosen, label, grams, fold, bits, own).repartition(1).mapInArrow(run, "model binary").toArrow()
+    return pickle.loads(made.column("model")[0].as_py()) if len(made) else learn([])
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)

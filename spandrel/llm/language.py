@@ -110,7 +110,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learns from text and lang of at most per_language documents of each language outside the held-out fold, with any letter."""
     known = docs.where((classify.fold_of(key, folds) != held_out) & F.col(text).rlike(r"\p{L}") & (F.col(lang) != UNKNOWN))
     known = known.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("y"), F.col(text).alias("t"))
-    return Model(classify.features(known, "k", "t", classify.sample(known, "k", "y", per_language), "y", GRAMS, FOLD_CASE, own=True))
+    return classify.trained(known, "k", "t", classify.sample(known, "k", "y", per_language), "y", GRAMS, FOLD_CASE, Model, own=True)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: bool = False) -> DataFrame:

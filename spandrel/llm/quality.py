@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = labels.where(F.col(label).isin(0, 1) & (classify.fold_of(key, folds) != 0)).select(key, F.col(label).cast("int").alias("y"))
     # only labels of documents that are here; keys alone are compared
     known = kept(known.distinct().join(docs.select(key), key, "left_semi"))
-    rows = classify.features(docs, key, text, classify.sample(known, key, "y", per_label), "y", GRAMS, FOLD_CASE)
+    every = {r.y: r.n for r in known.where(F.col(key).isNotNull()).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return classify.trained(docs, key, text, classify.sample(known, key, "y", per_label), "y", GRAMS, FOLD_CASE, partial(_learned, every))
+
+
+def _learned(every: dict[int, int], rows: list) -> tuple[np.ndarray, float]:
+    """Weights and bias from the sample's (label, features, shares); every: how many labelled documents there are of each label."""
     taken = Counter(y for y, _, _ in rows)
     classes = set(taken)
     if len(classes) < 2:
         return np.zeros((1 << classify.BITS, 1)), {frozenset(): 0.0, frozenset([0]): -3.0, frozenset([1]): 3.0}[frozenset(classes)]
-    every = {r.y: r.n for r in known.where(F.col(key).isNotNull()).groupBy("y").agg(F.count("*").alias("n")).collect()}
     # margins of each half by a model of the other; a half without both labels leaves the model as it is
     halves, margins = (rows[::2], rows[1::2]), []
     if all(len({y for y, _, _ in h}) == 2 for h in halves):

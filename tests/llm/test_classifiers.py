@@ -164,3 +164,16 @@ def test_a_training_step_equals_plain_arithmetic():
     got, bias = classify.train_embeddings(rows, 2, dim=4, epochs=1, bits=5)
     # the read-out was zero, so the vectors stay as they were drawn
     assert np.allclose(got, vectors @ out, atol=1e-4) and np.allclose(bias, [-0.3, 0.3], atol=1e-4)
+
+
+def test_models_are_trained_on_executors(spark, monkeypatch):
+    docs, labels, _, _ = corpus(spark)
+    known = docs.where(classify.fold_of("doc_id", language.FOLDS) != language.HELD_OUT).selectExpr("doc_id AS k", "lang AS y", "text AS t")
+    plain = language.Model(classify.features(known, "k", "t", classify.sample(known, "k", "y", language.PER_LANGUAGE), "y", language.GRAMS, language.FOLD_CASE, own=True))
+    monkeypatch.setattr(classify, "train_embeddings", None)  # in the driver's process alone
+    monkeypatch.setattr(classify, "train_svm", None)
+    got = language.fit(docs)
+    assert np.array_equal(got.weights, plain.weights) and list(got.bias) == list(plain.bias) and got.pairs == plain.pairs
+    weights, _ = quality.fit(docs, labels)
+    assert weights.any()
+    assert not quality.fit(docs.limit(0), labels)[0].any() and not language.fit(docs.limit(0)).families
