@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import geometry
 from spandrel.operators import spatial
+from spandrel.plans import driver_queries
 
-N = 2000
+N, SF = 2000, "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +127,23 @@ def test_polygons_of_a_crowd_go_with_their_boxes(crowd):
     pairs, boxes = pairs.localCheckpoint(), spatial.plan_overlaps(one).where("area > 1e-6").localCheckpoint()
     both = pairs.join(boxes.select("a", "b", F.col("area").alias("box")), ["a", "b"])
     assert tasks(pairs) > 1 and both.where("abs(area - box) < 1e-9").count() == pairs.count() == boxes.count()
+
+
+def crossing(df):
+    """The columns that tasks give for each pair."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "MapInArrow":
+            return {a.name(): a.dataType().simpleString() for a in (node.output().apply(k) for k in range(node.output().size()))}
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+
+
+def test_above_below_takes_pairs_with_a_gap_only(spark, crowd):
+    assert crossing(driver_queries.QUERIES["above_below"](spark, SF)) == {"a": "bigint", "b": "bigint", "gap": "double", "up": "boolean"}
+    one = crowd[0].where("dataset = 'm0'")
+    want = sorted(map(tuple, spatial.above_below(spatial.plan_overlaps(one)).collect()))
+    assert want and sorted(map(tuple, spatial.levels(one).collect())) == want
+    flat = one.select("id", F.transform("lo", lambda x, k: F.when(k < 2, x).otherwise(0.0)).alias("lo"), F.transform("hi", lambda x, k: F.when(k < 2, x).otherwise(1.0)).alias("hi"))
+    assert spatial.levels(flat).isEmpty() and not spatial.plan_overlaps(flat).isEmpty()
