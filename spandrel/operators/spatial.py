@@ -381,6 +381,20 @@ def _overlap(x: _Boxes, a: np.ndarray, b: np.ndarray):
     return keep, figures
 
 
+def _shared(least: float):
+    """area and ratio of the pairs whose plans overlap by at least a share of the smaller one."""
+
+    def run(x: _Boxes, a: np.ndarray, b: np.ndarray):
+        if not hasattr(x, "plan"):
+            x.plan = (x.hi[0] - x.lo[0]) * (x.hi[1] - x.lo[1])
+        keep, area = _plan(x, a, b)
+        ratio = area / np.minimum(x.plan[a[keep]], x.plan[b[keep]])
+        good = ratio >= least
+        return keep[good], {"area": area[good], "ratio": ratio[good]}
+
+    return run
+
+
 def _levels(x: _Boxes, a: np.ndarray, b: np.ndarray):
     """gap of the pairs whose plans overlap with a vertical gap, and whether a is the upper one."""
     over, under = x.lo[2][a] - x.hi[2][b], x.lo[2][b] - x.hi[2][a]
@@ -513,9 +527,11 @@ def _touch(x: _Boxes, a: np.ndarray, b: np.ndarray):
     return np.flatnonzero(keep), {"touching": keep[keep]}
 
 
-def plan_overlaps(shapes: DataFrame, top_k: int | None = None) -> DataFrame:
+def plan_overlaps(shapes: DataFrame, top_k: int | None = None, min_ratio: float | None = None) -> DataFrame:
     """(a, b, area, ratio, touching, gap, upper): pairs whose plans overlap; ratio to the smaller plan, touching if the closed boxes meet, gap between them, upper the one above. With top_k, pairs that can't
-    be among the top_k largest of either end are left out where they are found."""
+    be among the top_k largest of either end are left out where they are found. With min_ratio, pairs are (a, b, area, ratio) of at least that ratio, others are left out likewise."""
+    if min_ratio is not None:
+        return _box_pairs(shapes, 0.0, 2, _shared(min_ratio), "area double, ratio double")
     kind = shapes.schema["id"].dataType.simpleString()
     schema = f"area double, ratio double, touching boolean, gap double, upper {kind}"
     return _box_pairs(shapes, 0.0, 2, _overlap, schema) if top_k is None else _box_pairs(shapes, 0.0, 2, _largest(top_k), schema, per_block=8 * BLOCK)

@@ -147,3 +147,12 @@ def test_above_below_takes_pairs_with_a_gap_only(spark, crowd):
     assert want and sorted(map(tuple, spatial.levels(one).collect())) == want
     flat = one.select("id", F.transform("lo", lambda x, k: F.when(k < 2, x).otherwise(0.0)).alias("lo"), F.transform("hi", lambda x, k: F.when(k < 2, x).otherwise(1.0)).alias("hi"))
     assert spatial.levels(flat).isEmpty() and not spatial.plan_overlaps(flat).isEmpty()
+
+
+def test_overlap_threshold_takes_pairs_of_the_ratio_only(spark, crowd):
+    assert crossing(driver_queries.QUERIES["overlap_threshold"](spark, SF)) == {"a": "bigint", "b": "bigint", "area": "double", "ratio": "double"}
+    one = crowd[0].where("dataset = 'm0'")
+    few, every = spatial.plan_overlaps(one, min_ratio=0.3).localCheckpoint(), spatial.plan_overlaps(one).localCheckpoint()
+    assert few.count() < every.count()
+    ends = lambda rows: sorted(map(tuple, spatial.overlap_edges(rows, "threshold", 0.3).collect()))
+    assert ends(few) == ends(every) and few.count() == len(ends(few))
