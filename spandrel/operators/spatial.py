@@ -164,9 +164,14 @@ def adjacency(shapes: DataFrame, threshold: float | None = None, excluded=EXCLUD
         whole = F.forall("mesh", lambda p: F.coalesce(F.size(p) == 3, F.lit(False)))
         rows = rows.withColumn("mesh", F.when(whole, g.thinned(F.col("mesh"), VERTICES).cast("array<array<double>>")))
     more = [c for c in ("limit", "mesh", "boxed", *(["centre"] if "boxed" in rows.columns else [])) if c in rows.columns]
-    pairs = _box_pairs(rows, widest, 3, _near, "distance double, distance_method string", more)
+    pairs = _box_pairs(rows, widest, 3, _near, "distance double, method tinyint", more)
     relation = F.when(F.col("distance") <= TOUCHING, "connected_to").otherwise("adjacent_to").alias("relation")
-    return pairs.select("a", "b", "distance", relation, "distance_method")
+    method = F.when(F.col("method") == 0, METHODS[0]).when(F.col("method") == 1, METHODS[1]).otherwise(METHODS[2]).alias("distance_method")
+    return pairs.select("a", "b", "distance", relation, method)
+
+
+#: What distances are taken of; tasks give the place in this list, as a text for each pair costs more than the pair.
+METHODS = ("bbox", "centroid", "mesh_vertices")
 
 
 #: Boxes of one cell are met in blocks of about so many; a block, not a cell, is what one task holds.
@@ -340,7 +345,7 @@ def _box_gap(x: _Boxes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near(x: _Boxes, a: np.ndarray, b: np.ndarray):
-    """distance and distance_method of pairs no farther apart than the limit: of vertices, of centres where there is no box, else of boxes."""
+    """distance and method (a place in METHODS) of pairs no farther apart than the limit: of vertices, of centres where there is no box, else of boxes."""
     if not hasattr(x, "limit"):
         whole = {c: x.table[c].combine_chunks() for c in ("limit", "mesh", "boxed", "centre") if c in x.table.column_names}
         x.limit = np.asarray(whole["limit"])
@@ -351,16 +356,16 @@ def _near(x: _Boxes, a: np.ndarray, b: np.ndarray):
     distance = _box_gap(x, a, b)
     keep = np.flatnonzero(distance <= x.limit[a])
     a, b, distance = a[keep], b[keep], distance[keep]
-    method = np.full(len(a), "bbox", object)
+    method = np.zeros(len(a), np.int8)
     if x.bare is not None:
         bare = np.flatnonzero(x.bare[a] | x.bare[b])
         d = x.centre[a[bare]] - x.centre[b[bare]]
-        distance[bare], method[bare] = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]), "centroid"
+        distance[bare], method[bare] = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]), 1
     if x.has is not None:
         both = np.flatnonzero(x.has[a] & x.has[b])
-        distance[both], method[both] = mesh_distances(x.mesh, a[both], b[both]), "mesh_vertices"
+        distance[both], method[both] = mesh_distances(x.mesh, a[both], b[both]), 2
     last = distance <= x.limit[a]
-    return keep[last], {"distance": distance[last], "distance_method": method[last]}
+    return keep[last], {"distance": distance[last], "method": method[last]}
 
 
 def _plan(x: _Boxes, a: np.ndarray, b: np.ndarray):

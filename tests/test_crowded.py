@@ -156,3 +156,7 @@ def test_overlap_threshold_takes_pairs_of_the_ratio_only(spark, crowd):
     assert few.count() < every.count()
     ends = lambda rows: sorted(map(tuple, spatial.overlap_edges(rows, "threshold", 0.3).collect()))
     assert ends(few) == ends(every) and few.count() == len(ends(few))
+
+
+def test_box_adjacency_sends_no_text_for_a_pair(spark):
+    assert crossing(driver_queries.QUERIES["box_adjacency"](spark, SF)) == {"a": "bigint", "b": "bigint", "distance": "double", "method": "tinyint"}
