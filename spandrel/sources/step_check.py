@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import kept
 from . import step
 
 # Arguments of entities: how many at least, and what kind some places hold (ref, refs, numbers, number, text; with ? also nothing).
@@ -21,6 +22,10 @@ _NUMBER = r"-?[0-9]+(\.[0-9]*)?([eE][-+]?[0-9]+)?"
 _FORMS = {"ref": r"#[0-9]+", "refs": r"(\([# 0-9,]*\)|#[0-9]+)", "numbers": r"\([-+.0-9eE, ]*\)", "number": _NUMBER, "text": r"'[^\n]*'"}
 
 
+#: So many missing ids are sent to the references at most.
+SENT = 100_000
+
+
 def problems(all_: DataFrame) -> DataFrame:
     """(dataset, rule, id, message) of instances (dataset, id, entity, args, line):
 
@@ -30,10 +35,15 @@ def problems(all_: DataFrame) -> DataFrame:
     key = ["dataset"]
     # texts may hold anything, so they go first
     bare = F.regexp_replace(F.array_join("args", ","), "'[^']*'", "")
-    told = all_.select(*key, "id", F.explode(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"#(\d+)"), F.lit(1)).cast("array<long>"))).alias("to"))
-    known = all_.select(*key, F.col("id").alias("to"))
-    dangling = told.join(known, [*key, "to"], "left_anti").select(*key, F.lit("dangling").alias("rule"), "id", F.concat(F.lit("refers to #"), F.col("to").cast("string")).alias("message"))
-    double = all_.groupBy(*key, "id").agg(F.count("*").alias("n")).where("n > 1").select(*key, F.lit("double").alias("rule"), "id", F.concat(F.lit("comes "), F.col("n").cast("string"), F.lit(" times")).alias("message"))
+    to = F.array_distinct(F.regexp_extract_all(bare, F.lit(r"#(\d+)"), F.lit(1)).cast("array<long>"))
+    # how often each id that is there or referred to comes: one aggregate, so that what everything refers to is a row for each task
+    ends = all_.select(*key, F.explode(F.concat(F.array(F.struct("id", F.lit(1).alias("own"))), F.transform(to, lambda x: F.struct(x.alias("id"), F.lit(0).alias("own"))))).alias("e"))
+    odd = kept(ends.groupBy(*key, "e.id").agg(F.sum("e.own").alias("n")).where("n <> 1"))
+    lost = odd.where("n = 0").select(*key, F.col("id").alias("to"))
+    # bounded: a file that lacks more is met by a shuffle
+    lost = F.broadcast(lost) if lost.limit(SENT + 1).count() <= SENT else lost
+    dangling = all_.select(*key, "id", F.explode(to).alias("to")).join(lost, [*key, "to"], "left_semi").select(*key, F.lit("dangling").alias("rule"), "id", F.concat(F.lit("refers to #"), F.col("to").cast("string")).alias("message"))
+    double = odd.where("n > 1").select(*key, F.lit("double").alias("rule"), "id", F.concat(F.lit("comes "), F.col("n").cast("string"), F.lit(" times")).alias("message"))
     wrong = F.lit(None).cast("string")
     for entity, (least, kinds) in ARGUMENTS.items():
         faults = F.when(F.size("args") < least, F.lit(f"{entity} takes {least} arguments"))
