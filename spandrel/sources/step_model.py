@@ -111,10 +111,28 @@ def _once(all_: DataFrame, *entities: str) -> DataFrame:
     return all_.where(F.col("entity").isin(*entities))
 
 
-def _looked_up(rows: DataFrame, key: list[str], table: DataFrame, **columns: str) -> DataFrame:
-    """rows with what a table (id, v) holds for references: columns gives names by the columns that refer."""
+#: What more rows than this refer to is sent to them; others meet it by its number.
+SHARED = 10_000
+
+
+def _looked_up(rows: DataFrame, key: list[str], table: DataFrame, counted: DataFrame | None = None, **columns: str) -> DataFrame:
+    """rows (id, ...) with what a table (id, v) holds for references: columns gives names by the columns that refer. counted: rows as they were before joins, where that is cheaper to read.
+
+    Many rows may refer to one instance, or to none. The former are few instances, which are broadcast; the latter are spread by their own ids, so that neither gather in a task.
+    """
+    ends = (rows if counted is None else counted).select(*key, F.explode(F.array(*columns.values())).alias("id")).where("id IS NOT NULL")
+    often = ends.groupBy(*key, "id").agg(F.count("*").alias("n")).where(F.col("n") > SHARED).select(*key, "id")
+    shared = kept(table.join(often, [*key, "id"], "left_semi").select(*key, "id", "v"))
+    some = not shared.isEmpty()
     for name, by in columns.items():
-        rows = rows.join(table.select(*key, F.col("id").alias(by), F.col("v").alias(name)), [*key, by], "left")
+        if some:
+            rows = rows.join(F.broadcast(shared.select(*key, F.col("id").alias(by), F.col("v").alias("_v"))), [*key, by], "left")
+        own = F.when(F.col("_v").isNull(), F.col(by)) if some else F.col(by)
+        # no instance has a number below 0
+        rows = rows.withColumn("_to", F.coalesce(own, -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 40))))
+        rows = rows.join(table.select(*key, F.col("id").alias("_to"), F.col("v").alias(name)), [*key, "_to"], "left").drop("_to")
+        if some:
+            rows = rows.withColumn(name, F.coalesce("_v", name)).drop("_v")
     return rows
 
 
@@ -134,17 +152,17 @@ def placements(all_: DataFrame, axes: DataFrame | None = None) -> DataFrame:
     key = ["dataset"]
     rows = _once(all_, "IFCLOCALPLACEMENT").select(*key, "id", ref(1).alias("up"), ref(2).alias("f"))
     identity = F.array(*[F.lit(1.0 if k in (0, 5, 10) else 0.0) for k in range(12)])
-    rows = rows.join((frames(all_) if axes is None else axes).withColumnRenamed("id", "f"), [*key, "f"], "left").select(*key, "id", "up", F.coalesce("m", identity).alias("m"))
     # a reference to a placement that isn't there ends the chain
-    known = rows.select(*key, F.col("id").alias("up"), F.lit(True).alias("known"))
-    rows = kept(rows.join(known, [*key, "up"], "left").select(*key, "id", F.when(F.col("known"), F.col("up")).alias("up"), "m"))
+    known = _looked_up(rows, key, rows.select(*key, "id", F.lit(True).alias("v")), known="up").select(*key, "id", "f", F.when(F.col("known"), F.col("up")).alias("up"))
+    made = (frames(all_) if axes is None else axes).withColumnRenamed("m", "v")
+    rows = kept(_looked_up(known, key, made, rows, m="f").select(*key, "id", "up", F.coalesce("m", identity).alias("m")))
     n = rows.count()
     for _ in range(max(1, n).bit_length()):
         if rows.where("up IS NOT NULL").isEmpty():
             break
         # what is above what is above: chains are half as long after each round
-        above = rows.select(*key, F.col("id").alias("up"), F.col("up").alias("next"), F.col("m").alias("n"))
-        rows = kept(rows.join(above, [*key, "up"], "left").select(*key, "id", F.col("next").alias("up"), F.coalesce(compose("n", "m"), "m").alias("m")))
+        above = rows.select(*key, "id", F.struct("up", "m").alias("v"))
+        rows = kept(_looked_up(rows, key, above, above="up").select(*key, "id", F.col("above.up").alias("up"), F.coalesce(compose("above.m", "m"), "m").alias("m")))
     return rows.select(*key, "id", F.when(F.col("up").isNull(), F.col("m")).alias("m"))
 
 
@@ -187,7 +205,7 @@ def profiles(all_: DataFrame, axes: DataFrame) -> DataFrame:
     box = _once(all_, "IFCRECTANGLEPROFILEDEF", "IFCRECTANGLEHOLLOWPROFILEDEF", "IFCROUNDEDRECTANGLEPROFILEDEF").select(*key, "id", F.array(*[F.array(size(4) / 2 * a, size(5) / 2 * b) for a, b in half]).alias("points"), ref(3).alias("f"))
     turns = [2 * math.pi * k / ROUND for k in range(ROUND)]
     disc = _once(all_, "IFCCIRCLEPROFILEDEF", "IFCCIRCLEHOLLOWPROFILEDEF").select(*key, "id", F.array(*[F.array(size(4) * math.cos(t), size(4) * math.sin(t)) for t in turns]).alias("points"), ref(3).alias("f"))
-    rows = free.unionByName(box).unionByName(disc).join(axes.withColumnRenamed("id", "f"), [*key, "f"], "left")
+    rows = _looked_up(free.unionByName(box).unionByName(disc), key, axes.withColumnRenamed("m", "v"), box.unionByName(disc), m="f")
     return rows.select(*key, "id", moved("m", "points").alias("points"))
 
 
@@ -198,7 +216,9 @@ def items(all_: DataFrame, axes: DataFrame) -> DataFrame:
     meshes = _looked_up(_once(all_, "IFCTRIANGULATEDFACESET", "IFCTRIANGULATEDIRREGULARNETWORK", "IFCPOLYGONALFACESET").select(*key, "id", ref(1).alias("l")), key, lists, points="l").select(*key, "id", "points")
     solids = _once(all_, "IFCEXTRUDEDAREASOLID").select(*key, "id", ref(1).alias("o"), ref(2).alias("f"), ref(3).alias("d"), step.arg(4).try_cast("double").alias("depth"))
     ways = _once(all_, "IFCDIRECTION").select(*key, "id", numbers(step.arg(1)).alias("v"))
-    solids = _looked_up(solids, key, ways, way="d").join(profiles(all_, axes).withColumnRenamed("id", "o"), [*key, "o"]).join(axes.withColumnRenamed("id", "f"), [*key, "f"], "left")
+    drawn = profiles(all_, axes).select(*key, "id", F.col("points").alias("v"))
+    placed = _looked_up(_looked_up(solids, key, ways, way="d"), key, axes.withColumnRenamed("m", "v"), solids, m="f")
+    solids = _looked_up(placed, key, drawn, solids, points="o").where("points IS NOT NULL")
     w = [F.coalesce(F.get("way", F.lit(i)), F.lit(float(i == 2))) for i in range(3)]
     solids = solids.withColumn("f", F.col("depth") / F.sqrt(w[0] * w[0] + w[1] * w[1] + w[2] * w[2])).withColumn("s", F.array(*[c * F.col("f") for c in w]))
     upper = F.transform("points", lambda p: F.zip_with(p, "s", lambda a, b: a + b))

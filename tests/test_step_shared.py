@@ -1,14 +1,22 @@
-"""STEP instances that are missing or come again, and lines that a small file becomes."""
+"""STEP instances that very many others refer to, or none, and lines that a small file becomes."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from spandrel.plans import views
-from spandrel.sources import step, step_check
+from spandrel.sources import step, step_check, step_model
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture
+def apart(spark):
+    """Small shuffles are not merged into one partition."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def tasks(rows):
     return sorted(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())
 
@@ -32,3 +40,14 @@ def test_ids_are_counted_without_a_join_of_all(spark):
     parts = spark.createDataFrame([("a", 0, "#1=IFCX(#2)")], "dataset string, line long, value string")
     plan = step_check.problems(step.parsed(parts))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan
+
+
+def test_what_is_shared_or_missing_gathers_in_no_task(spark, monkeypatch, apart):
+    monkeypatch.setattr(step_model, "SHARED", 100, raising=False)
+    ref = F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id")).cast("long")
+    rows = spark.range(3000).select(F.lit("a").alias("dataset"), "id", ref.alias("to")).localCheckpoint()
+    table = spark.range(0, 3000, 2).union(spark.range(1, 2)).select(F.lit("a").alias("dataset"), "id", (F.col("id") * 2).alias("v")).localCheckpoint()
+    found = step_model._looked_up(rows.hint("merge"), ["dataset"], table.hint("merge"), got="to").localCheckpoint()
+    want = {k: 2 if k % 3 == 0 else 2 * k if k % 3 == 1 and (k % 2 == 0 or k == 1) else None for k in range(3000)}
+    assert {r.id: r.got for r in found.collect()} == want and found.count() == 3000
+    assert max(tasks(found)) < 1200
