@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators.graph import canonical, containment
+from ..operators.graph import canonical, containment, counted, sent
 from ..operators.relational import Tables
 from ..operators.staging import staged
 
@@ -39,10 +39,11 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def first_per(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    """The row of each key that comes first in an order, numbers that no two rows share. Only keys that come again are looked up, so that rows stay where they are while those are few."""
-    rows = rows.withColumn("_order", order)
-    again = staged(rows.groupBy(*keys).agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
-    return rows.join(again, keys, "left").where("_first IS NULL OR _first = _order").drop("_first", "_order")
+    """The row of each key that comes first in an order, numbers that no two rows share. Only keys that come again are looked up, so that rows stay where they are while those are few, and as they are without any."""
+    ordered = rows.withColumn("_order", order)
+    again = staged(ordered.groupBy(*keys).agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    n = counted(again)
+    return ordered.join(sent(again, n), keys, "left").where("_first IS NULL OR _first = _order").drop("_first", "_order") if n else rows
 
 
 def elements(records: DataFrame) -> DataFrame:
@@ -112,7 +113,8 @@ def graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = first_per(rows, ["dataset", "GlobalId"], -F.col("line"))
     class_ = F.coalesce("IfcType", "ClassRaw", F.lit("IfcProduct"))
     me = node_id(F.col("dataset"), class_, F.col("GlobalId"))
-    named = rows.select("dataset", F.col("GlobalId").alias("target"), me.alias("dst"))
+    # as many as there are records, however small Spark takes them for: merged, never sent through the driver
+    named = rows.select("dataset", F.col("GlobalId").alias("target"), me.alias("dst")).hint("merge")
     rows = first_per(rows.withColumn("_me", me), ["_me"], -F.col("line")).drop("_me")
     box = F.col("Geometry.BoundingBox")
     whole = (F.size(box["min"]) == 3) & (F.size(box["max"]) == 3)
