@@ -77,8 +77,9 @@ def tables(records: DataFrame) -> Tables:
     """Elements, properties and quantities; attributes of records that lost their key go with them."""
     own = elements(records)
     kept = first_per(records, ["dataset", "ExpressId"], F.col("line"))
-    lost = staged(kept.select("dataset", "ExpressId").join(own.select("dataset", F.col("express_id").alias("ExpressId")), ["dataset", "ExpressId"], "left_anti"))
-    kept = kept.join(lost, ["dataset", "ExpressId"], "left_anti")
+    lost = staged(kept.select("dataset", "ExpressId").join(own.select("dataset", F.col("express_id").alias("ExpressId")).hint("merge"), ["dataset", "ExpressId"], "left_anti"))
+    n = counted(lost)
+    kept = kept.join(sent(lost, n), ["dataset", "ExpressId"], "left_anti") if n else kept
     sets = [(F.col("PropertySets.Official"), lambda name: F.lit(1)), (F.col("PropertySets.Custom"), lambda name: F.lit(0))]
     properties = _attributes(kept, sets, lambda x: F.concat(F.lit("json:"), F.to_json(x)), "string").withColumnsRenamed({"set_name": "pset_name", "name": "property_name"})
     sets = [(F.col("Quantities"), lambda name: name.startswith("Qto_").cast("int"))]
