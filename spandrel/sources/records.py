@@ -74,7 +74,8 @@ def _attributes(records: DataFrame, sets: list[tuple[Column, Callable]], value:
 
 
 def tables(records: DataFrame) -> Tables:
-    """Elements, properties and quantities; attributes of records that lost their key go with them."""
+    """Elements, properties and quantities; attributes of records that lost their key go with them. Joins with them are merges unless the other side is sent: Spark takes some columns of the written records
+    for a few MB, as a variant counts much in a row and keys take little room on disk, and would send millions of rows through the driver."""
     own = elements(records)
     kept = first_per(records, ["dataset", "ExpressId"], F.col("line"))
     lost = staged(kept.select("dataset", "ExpressId").join(own.select("dataset", F.col("express_id").alias("ExpressId")).hint("merge"), ["dataset", "ExpressId"], "left_anti"))
@@ -84,7 +85,7 @@ def tables(records: DataFrame) -> Tables:
     properties = _attributes(kept, sets, lambda x: F.concat(F.lit("json:"), F.to_json(x)), "string").withColumnsRenamed({"set_name": "pset_name", "name": "property_name"})
     sets = [(F.col("Quantities"), lambda name: name.startswith("Qto_").cast("int"))]
     quantities = _attributes(kept, sets, lambda x: F.try_variant_get(x, "$", "double"), "double").withColumnsRenamed({"set_name": "qto_name", "name": "quantity_name"})
-    return Tables(own, properties, quantities)
+    return Tables(own.hint("merge"), properties.hint("merge"), quantities.hint("merge"))
 
 
 def write(records: DataFrame, folder: str) -> None:
