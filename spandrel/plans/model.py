@@ -204,8 +204,8 @@ class Model:
         return self.nodes.where(F.lower("class_") == ("ifc" + class_.lower().removeprefix("ifc"))) if class_ else self.nodes
 
     def _shown(self, ids: DataFrame, class_: str | None = None) -> DataFrame:
-        """The compact columns of nodes, with what ids brings."""
-        return ids.join(self._of_class(class_).select("id", "global_id", "label", "class_"), "id")
+        """The compact columns of nodes, with what ids brings. All nodes are never sent through the driver."""
+        return ids.join(self._of_class(class_).select("id", "global_id", "label", "class_").hint("merge"), "id")
 
     def _bounded(self, rows: DataFrame, limit: int, *order: Column) -> DataFrame:
         if limit < 1:
@@ -222,7 +222,7 @@ class Model:
         return getattr(self, action)(**params)
 
     def get_elements_in_storey(self, storey: str, max_results: int = SCAN) -> DataFrame:
-        below = graph.elements_below(self.nodes.select("id", "class_"), self.stated, self._ids([self._storey(storey)])).select("id").distinct()
+        below = graph.elements_below(self.nodes.select("id", "class_").hint("merge"), self.stated, self._ids([self._storey(storey)])).select("id").distinct()
         return self._bounded(self._shown(below), max_results)
 
     def find_elements_by_class(self, class_: str, max_results: int = SCAN) -> DataFrame:
