@@ -27,7 +27,7 @@ def broadcasts(spark, run):
     return rows
 
 
-@pytest.mark.parametrize("name", ["record_graph", "record_tables", "nested_keys", "answer_totals", "action_storey", "action_classification", "action_find_nodes", "action_aggregate"])
+@pytest.mark.parametrize("name", ["record_graph", "record_tables", "nested_keys", "answer_totals", "action_storey", "action_classification", "action_find_nodes", "action_aggregate", "action_group"])
 def test_records_are_not_sent(spark, name):
     rows = broadcasts(spark, lambda: driver_queries.QUERIES[name](spark, SF).collect())
     assert max(rows, default=0) < ORDERS / 2
