@@ -160,3 +160,22 @@ def test_overlap_threshold_takes_pairs_of_the_ratio_only(spark, crowd):
 
 def test_box_adjacency_sends_no_text_for_a_pair(spark):
     assert crossing(driver_queries.QUERIES["box_adjacency"](spark, SF)) == {"a": "bigint", "b": "bigint", "distance": "double", "method": "tinyint"}
+
+
+def test_above_below_takes_little_room(crowd, tmp_path):
+    one = crowd[0].where("dataset = 'm0'").withColumn("id", F.col("id").cast("long"))
+    spatial.levels(one, 6).write.parquet(f"{tmp_path}/new")
+    got, want = one.sparkSession.read.parquet(f"{tmp_path}/new"), spatial.above_below(spatial.plan_overlaps(one)).withColumn("gap", F.round("gap", 6))
+    assert got.exceptAll(want.select(*got.columns)).isEmpty() and got.count() == want.count() > 50_000
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 8 * got.count()
+
+
+def test_crowded_cells_have_few_blocks(crowd, monkeypatch):
+    # blocks as small as if the cells were far more crowded
+    df, cells, kept = crowd[0].where("dataset = 'm0'"), [], spatial.kept
+    want = spatial.plan_overlaps(df, min_ratio=0.3).select("a", "b").localCheckpoint()
+    monkeypatch.setattr(spatial, "kept", lambda rows: cells.append(kept(rows)) or cells[-1])
+    got = spatial._box_pairs(df, 0.0, 2, spatial._shared(0.3), "area double, ratio double", per_block=8).localCheckpoint()
+    n = cells[0].agg(F.max(F.greatest("ns", "nl")).alias("n"), F.max(F.greatest("bs", "bl")).alias("b")).first()
+    assert n.n > 64 and n.b == 8
+    assert tasks(got) > 1 and got.select("a", "b").exceptAll(want).isEmpty() and got.count() == want.count()
